@@ -152,3 +152,156 @@ SELECT abt_name AS table_name, version, row_count, column_name, statistical_scal
 FROM sc
 """,
 )
+
+# ── pairs and drift metrics ─────────────────────────────────────────────────────────────────────
+from oracle import compare_sql  # noqa: E402,F401
+
+_P = "table_name, column_name, pair_idx"
+
+
+def _rounded(names: str, digits: int = 4) -> str:
+    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names.split())
+
+
+answer("X1_consecutive_pairs", f"SELECT {_P}, from_ver, to_ver, last_pair, in_a AS in_from, in_b AS in_to FROM pp")
+answer(
+    "X2_first_version_pairs",
+    "SELECT table_name, column_name, to_idx AS pair_idx, to_ver, in_a AS in_first, in_b AS in_later FROM pb",
+)
+answer("X3_column_universe", "SELECT * FROM uni")
+answer("D1_cv_drift", f"SELECT {_P}, {_rounded('cv_base cv_new cv_change')}, cv_severity FROM suite")
+answer("D2_std_drift", f"SELECT {_P}, {_rounded('std_change')}, std_direction, std_severity FROM suite")
+answer(
+    "D3_quantile_shift",
+    f"SELECT {_P}, {_rounded('iqr_base q1_shift median_shift q3_shift max_quantile_shift')}, worst_quantile, quantile_severity FROM suite",
+)
+answer(
+    "D4_boundary_drift",
+    f"SELECT {_P}, {_rounded('lower_shift upper_shift max_boundary_shift')}, boundary_severity FROM suite",
+)
+answer("D5_kurtosis_drift", f"SELECT {_P}, {_rounded('kurtosis_delta')}, kurtosis_severity FROM suite")
+answer(
+    "D6_entropy_drift", f"SELECT {_P}, {_rounded('entropy_base entropy_new entropy_change')}, entropy_severity FROM suite"
+)
+answer("D7_ks_approx", f"SELECT {_P}, {_rounded('ks')}, ks_point, ks_severity FROM suite")
+answer("D8_psi_union", f"SELECT {_P}, psi, psi_label, psi_applicable FROM ppsi")
+answer(
+    "D8_psi_buckets",
+    "\nUNION ALL ".join(
+        f"SELECT {_P}, {i} AS bucket_no, round(as{i}, 6) AS base_share, round(bs{i}, 6) AS new_share, "
+        f"round((bs{i} - as{i}) * ln(bs{i} / as{i}), 6) AS contrib FROM ppsi "
+        "WHERE psi_state = 'ok' AND a_data_type = 'num' AND b_data_type = 'num'"
+        for i in range(4)
+    ),
+)
+answer("D9_psi_categorical_proxy", f"SELECT {_P}, psi, psi_label FROM ppsi WHERE a_data_type = 'char' AND in_b")
+answer(
+    "D10_psi_base_edges",
+    f"""
+SELECT {_P}, round(raw, 4) AS psi, raw IS NOT NULL AS psi_applicable,
+  CASE WHEN raw IS NULL THEN state WHEN raw < 0.1 THEN 'stable' WHEN raw < 0.25 THEN 'monitor' ELSE 'shift' END AS psi_label
+FROM (SELECT *, CASE state WHEN 'numeric' THEN
+    (greatest(n0 / t, 1e-6) - 0.25) * ln(greatest(n0 / t, 1e-6) / 0.25) + (greatest(n1 / t, 1e-6) - 0.25) * ln(greatest(n1 / t, 1e-6) / 0.25)
+    + (greatest(n2 / t, 1e-6) - 0.25) * ln(greatest(n2 / t, 1e-6) / 0.25) + (greatest(n3 / t, 1e-6) - 0.25) * ln(greatest(n3 / t, 1e-6) / 0.25)
+    + (greatest(n4 / t, 1e-6) - 1e-6) * ln(greatest(n4 / t, 1e-6) / 1e-6)
+    WHEN 'categorical' THEN CASE WHEN a_cardinality_count <> b_cardinality_count
+      THEN least(0.15::DOUBLE * abs(a_cardinality_count - b_cardinality_count), 1) ELSE 0 END END AS raw
+  FROM (SELECT *, n0 + n1 + n2 + n3 + n4 AS t
+    FROM (SELECT *, greatest(0, (least(a_q25, b_max_val) - greatest(a_min_val, b_min_val)) / w * 0.25) AS n0,
+        greatest(0, (least(a_q50, b_max_val) - greatest(a_q25, b_min_val)) / w * 0.25) AS n1,
+        greatest(0, (least(a_q75, b_max_val) - greatest(a_q50, b_min_val)) / w * 0.25) AS n2,
+        greatest(0, (least(a_max_val, b_max_val) - greatest(a_q75, b_min_val)) / w * 0.25) AS n3,
+        (greatest(b_max_val - a_max_val, 0) + greatest(a_min_val - b_min_val, 0)) / w AS n4
+      FROM (SELECT *, greatest(b_max_val - b_min_val, 1e-9) AS w,
+          CASE WHEN NOT (in_a AND in_b) THEN 'absent' WHEN a_data_type <> b_data_type THEN 'type_changed'
+            WHEN a_data_type = 'num' AND a_statistical_scale NOT IN ('id', 'binary', 'unary')
+              THEN CASE WHEN a_q50 IS NULL THEN 'insufficient_data' ELSE 'numeric' END
+            WHEN a_data_type = 'char' AND a_statistical_scale IN ('binary', 'nominal') THEN 'categorical'
+            ELSE 'not_applicable' END AS state FROM pp))))
+""",
+)
+answer("D11_feature_stability", "SELECT table_name, column_name, n_pairs, round(mean_psi, 4) AS mean_psi, fsi, fsi_label FROM d11")
+answer("D12_drift_velocity", "SELECT table_name, column_name, n_pairs, velocity, velocity_label FROM d11")
+answer(
+    "D13_baseline_drift",
+    "SELECT table_name, column_name, to_idx AS pair_idx, to_ver, psi, psi_label, psi_applicable FROM pbs",
+)
+answer("D13_baseline_worst", "SELECT * FROM d13")
+answer(
+    "D14_all_metrics",
+    f"""
+SELECT {_P}, {_rounded('cv_change std_change max_quantile_shift max_boundary_shift kurtosis_delta entropy_change ks psi')},
+  psi_label, cv_severity, std_severity, quantile_severity, boundary_severity, kurtosis_severity, entropy_severity, ks_severity
+FROM suite
+""",
+)
+
+# ── version comparison ──────────────────────────────────────────────────────────────────────────
+answer("C0_verdict", "SELECT * FROM c0")
+answer("C1_version_summary", "SELECT table_name, version, abt_name, row_count, col_count, ver_idx FROM vers")
+answer("C1_pair_summary", "SELECT * EXCLUDE (n_worsened) FROM c1")
+answer("C2_schema_changes", "SELECT * EXCLUDE (last_pair) REPLACE (round(completeness, 6) AS completeness) FROM c2")
+answer(
+    "C3_completeness_changes",
+    """
+SELECT table_name, pair_idx, from_ver, to_ver, column_name, round(b_completeness_percent - a_completeness_percent, 1) AS delta,
+  CASE WHEN b_completeness_percent > a_completeness_percent THEN 'improved' ELSE 'regressed' END AS direction
+FROM pp WHERE abs(b_completeness_percent - a_completeness_percent) >= 5
+""",
+)
+answer("C3_completeness_series", "SELECT * REPLACE (round(first_comp, 6) AS first_comp, round(last_comp, 6) AS last_comp) FROM c3")
+answer("C3p_missing_pattern", "SELECT table_name, missing_pattern, count(*) AS columns FROM c3 GROUP BY 1, 2")
+answer("C4_drift_flags", "SELECT * FROM c4_flags")
+answer("C4_distribution_drift", "SELECT * FROM c4")
+answer(
+    "C4s_version_stats",
+    f"""
+SELECT table_name, column_name, ver_idx, ver_name, {_rounded('mean std skewness min_val max_val')},
+  has_outliers, n_outliers
+FROM (SELECT * REPLACE (CASE WHEN data_type = 'num' THEN has_outliers END AS has_outliers,
+                        CASE WHEN data_type = 'num' THEN n_outliers END AS n_outliers) FROM gridq)
+WHERE z_type = 'num' AND z_scale NOT IN ('id', 'binary', 'unary') AND column_name <> 'target'
+""",
+)
+answer("C5_target_rates", "SELECT * FROM c5_rates")
+answer("C5_target_drift", "SELECT * FROM c5")
+answer("C6_quality_regression", "SELECT * FROM c6")
+answer("C7_readiness_change", "SELECT * FROM c7")
+answer("C8_psi_worst", "SELECT * FROM c8")
+answer("C8_psi_summary", "SELECT * FROM c8s")
+answer(
+    "C8h_psi_heatmap",
+    "SELECT table_name, column_name, "
+    + ", ".join(f"max(CASE WHEN pair_idx = {i} THEN psi END) AS pair_{i}" for i in range(6))
+    + " FROM ppsi GROUP BY 1, 2",
+)
+answer("C9_health_trend", "SELECT * EXCLUDE (first_version, first_seq) FROM c9")
+answer("C9_dataset_trend", "SELECT * FROM c9d")
+answer("C10_cardinality_drift", "SELECT * FROM c10")
+answer(
+    "C12_overview_matrix",
+    """
+SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY CASE worst_label WHEN 'shift' THEN 0 WHEN 'monitor' THEN 1
+    WHEN 'stable' THEN 2 ELSE 3 END, CASE overall_severity WHEN 'critical' THEN 0 WHEN 'notable' THEN 1 ELSE 2 END, column_name) AS overview_rank
+FROM (SELECT table_name, column_name, worst_label, h.last_score, round(c.last_comp, 6) AS last_comp, missing_pattern, last_status,
+        change_type, overall_severity,
+        (SELECT count(*) FROM c10 e WHERE e.table_name = w.table_name AND e.column_name = w.column_name) > 0 AS cardinality_event
+      FROM c8 w LEFT JOIN c9 h USING (table_name, column_name) LEFT JOIN c3 c USING (table_name, column_name)
+        LEFT JOIN c7 USING (table_name, column_name) LEFT JOIN c4 USING (table_name, column_name))
+""",
+)
+answer(
+    "C13_quantile_trend",
+    "\nUNION ALL ".join(
+        f"SELECT table_name, column_name, ver_idx, '{k}' AS stat, round({v}, 4) AS value FROM gridq WHERE data_type = 'num' AND {v} IS NOT NULL"
+        for k, v in {"max": "max_val", "q3": "q75", "median": "q50", "q1": "q25", "min": "min_val", "mean": "mean"}.items()
+    ),
+)
+answer(
+    "C13_ridge_density",
+    "\nUNION ALL ".join(
+        f"SELECT table_name, column_name, ver_idx, {i} AS bin, round({lo}, 4) AS lo, round({hi}, 4) AS hi, "
+        f"round(0.25 / greatest({hi} - {lo}, 1e-9), 4) AS density FROM gridq WHERE q50 IS NOT NULL"
+        for i, (lo, hi) in enumerate([("min_val", "q25"), ("q25", "q50"), ("q50", "q75"), ("q75", "max_val")])
+    ),
+)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.operators import single
+from varve.operators import compare, drift, pairs, single
 from varve.plans import tables
 from varve.plans.workspace import Workspace
 from varve.sources import rows
@@ -235,3 +235,242 @@ def _(ws):
         "health_label", "is_blocker", "is_governance_risk", "governance_risk_types",
     )
     return rounded(sheet, 4, "completeness_pct", "uniqueness_pct", "mean", "std", "q25", "q50", "q75")
+
+
+# ── pairs and drift metrics ─────────────────────────────────────────────────────────────────────
+
+PAIR = ["table_name", "column_name", "pair_idx"]
+COLUMN = ["table_name", "column_name"]
+
+
+@shared("X1_consecutive_pairs")
+def _(ws):
+    return ws.metrics.select(
+        *PAIR, "from_ver", "to_ver", "last_pair", F.col("a").isNotNull().alias("in_from"), F.col("b").isNotNull().alias("in_to")
+    )
+
+
+@shared("X2_first_version_pairs")
+def _(ws):
+    return pairs.against_first(ws.grid).select(
+        *PAIR, "to_ver", F.col("a").isNotNull().alias("in_first"), F.col("b").isNotNull().alias("in_later")
+    )
+
+
+@shared("X3_column_universe")
+def _(ws):
+    return pairs.column_universe(ws.scored)
+
+
+def _metric(ws, *names):
+    return rounded(drift.suite_scope(ws.metrics).select(*PAIR, *names), 4, *[n for n in names if not _is_label(n)])
+
+
+def _is_label(name):
+    return name.endswith(("severity", "direction", "point", "quantile", "label", "applicable"))
+
+
+@shared("D1_cv_drift")
+def _(ws):
+    return _metric(ws, "cv_base", "cv_new", "cv_change", "cv_severity")
+
+
+@shared("D2_std_drift")
+def _(ws):
+    return _metric(ws, "std_change", "std_direction", "std_severity")
+
+
+@shared("D3_quantile_shift")
+def _(ws):
+    return _metric(ws, "iqr_base", "q1_shift", "median_shift", "q3_shift", "max_quantile_shift", "worst_quantile", "quantile_severity")
+
+
+@shared("D4_boundary_drift")
+def _(ws):
+    return _metric(ws, "lower_shift", "upper_shift", "max_boundary_shift", "boundary_severity")
+
+
+@shared("D5_kurtosis_drift")
+def _(ws):
+    return _metric(ws, "kurtosis_delta", "kurtosis_severity")
+
+
+@shared("D6_entropy_drift")
+def _(ws):
+    return _metric(ws, "entropy_base", "entropy_new", "entropy_change", "entropy_severity")
+
+
+@shared("D7_ks_approx")
+def _(ws):
+    return _metric(ws, "ks", "ks_point", "ks_severity")
+
+
+@shared("D8_psi_union")
+def _(ws):
+    return ws.metrics.select(*PAIR, "psi", "psi_label", "psi_applicable")
+
+
+@shared("D8_psi_buckets")
+def _(ws):
+    return rounded(drift.psi_buckets(ws.metrics), 6, "base_share", "new_share", "contrib").drop("bucket")
+
+
+@shared("D9_psi_categorical_proxy")
+def _(ws):
+    return ws.metrics.where("a.data_type = 'char' and b is not null").select(*PAIR, "psi", "psi_label")
+
+
+@shared("D10_psi_base_edges")
+def _(ws):
+    return drift.legacy_psi(ws.metrics, ws.cfg)
+
+
+@shared("D11_feature_stability")
+def _(ws):
+    return rounded(ws.d11.select(*COLUMN, "n_pairs", "mean_psi", "fsi", "fsi_label"), 4, "mean_psi")
+
+
+@shared("D12_drift_velocity")
+def _(ws):
+    return ws.d11.select(*COLUMN, "n_pairs", "velocity", "velocity_label")
+
+
+@shared("D13_baseline_drift")
+def _(ws):
+    return ws.baseline.select(*PAIR, "to_ver", "psi", "psi_label", "psi_applicable")
+
+
+@shared("D13_baseline_worst")
+def _(ws):
+    return ws.d13
+
+
+@shared("D14_all_metrics")
+def _(ws):
+    return _metric(
+        ws, "cv_change", "std_change", "max_quantile_shift", "max_boundary_shift", "kurtosis_delta", "entropy_change",
+        "ks", "psi", "psi_label", "cv_severity", "std_severity", "quantile_severity", "boundary_severity",
+        "kurtosis_severity", "entropy_severity", "ks_severity",
+    )
+
+
+# ── version comparison ──────────────────────────────────────────────────────────────────────────
+
+
+def _joined(*names):
+    return {n: F.concat_ws(",", n) for n in names}
+
+
+@shared("C0_verdict")
+def _(ws):
+    return ws.c0.drop("message").withColumns(_joined("first_shift_columns"))
+
+
+@shared("C1_version_summary")
+def _(ws):
+    return ws.c1_versions.drop("snapshot_date")
+
+
+@shared("C1_pair_summary")
+def _(ws):
+    return ws.c1.drop("last_pair").withColumns(_joined("added", "dropped", "worsened", "improved"))
+
+
+@shared("C2_schema_changes")
+def _(ws):
+    return rounded(ws.c2.drop("last_pair"), 6, "completeness")
+
+
+@shared("C3_completeness_changes")
+def _(ws):
+    return ws.c3_changes
+
+
+@shared("C3_completeness_series")
+def _(ws):
+    return rounded(ws.c3.drop("n_versions"), 6, "first_comp", "last_comp")
+
+
+@shared("C3p_missing_pattern")
+def _(ws):
+    return ws.c3.groupBy("table_name", "missing_pattern").agg(F.count(F.lit(1)).alias("columns"))
+
+
+@shared("C4_drift_flags")
+def _(ws):
+    return ws.c4_flags.drop("last_pair")
+
+
+@shared("C4_distribution_drift")
+def _(ws):
+    return ws.c4
+
+
+@shared("C4s_version_stats")
+def _(ws):
+    return rounded(compare.version_stats(ws.grid), 4, "mean", "std", "skewness", "min_val", "max_val")
+
+
+@shared("C5_target_rates")
+def _(ws):
+    return ws.c5_rates
+
+
+@shared("C5_target_drift")
+def _(ws):
+    return ws.c5
+
+
+@shared("C6_quality_regression")
+def _(ws):
+    return ws.c6
+
+
+@shared("C7_readiness_change")
+def _(ws):
+    return ws.c7
+
+
+@shared("C8_psi_worst")
+def _(ws):
+    return ws.c8
+
+
+@shared("C8_psi_summary")
+def _(ws):
+    return ws.c8_summary.withColumns(_joined("critical_columns"))
+
+
+@shared("C8h_psi_heatmap")
+def _(ws):
+    return compare.psi_heatmap(ws.metrics, list(range(6)))
+
+
+@shared("C9_health_trend")
+def _(ws):
+    return ws.c9
+
+
+@shared("C9_dataset_trend")
+def _(ws):
+    return ws.c9_dataset
+
+
+@shared("C10_cardinality_drift")
+def _(ws):
+    return ws.c10
+
+
+@shared("C12_overview_matrix")
+def _(ws):
+    return rounded(ws.c12, 6, "last_comp")
+
+
+@shared("C13_quantile_trend")
+def _(ws):
+    return rounded(compare.quantile_trend(ws.grid), 4, "value")
+
+
+@shared("C13_ridge_density")
+def _(ws):
+    return rounded(compare.ridge_density(ws.grid), 4, "lo", "hi", "density")

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.config import Thresholds
-from varve.operators import single
+from varve.operators import compare, drift, pairs, single
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -90,3 +90,99 @@ class Workspace:
     @cached_property
     def k1(self) -> DataFrame:
         return single.analysis_export(self.scored)
+
+    # shared comparison stages
+    @cached_property
+    def grid(self) -> DataFrame:
+        return self._stage(pairs.grid(self.scored))
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """Consecutive pairs with all their metrics."""
+        return self._stage(drift.pair_metrics(pairs.consecutive(self.grid), self.cfg))
+
+    @cached_property
+    def baseline(self) -> DataFrame:
+        return self._stage(drift.baseline_pairs(pairs.against_first(self.grid), self.cfg))
+
+    # comparison sections (C11 is this group of properties)
+    @cached_property
+    def c1(self) -> DataFrame:
+        return compare.pair_summary(self.metrics)
+
+    @cached_property
+    def c1_versions(self) -> DataFrame:
+        return compare.version_summary(self.profiles)
+
+    @cached_property
+    def c2(self) -> DataFrame:
+        return compare.schema_changes(self.metrics)
+
+    @cached_property
+    def c3(self) -> DataFrame:
+        return self._stage(compare.completeness_series(self.grid))
+
+    @cached_property
+    def c3_changes(self) -> DataFrame:
+        return compare.completeness_changes(self.metrics, self.cfg)
+
+    @cached_property
+    def c4_flags(self) -> DataFrame:
+        return compare.drift_flags(self.metrics, self.cfg)
+
+    @cached_property
+    def c4(self) -> DataFrame:
+        return self._stage(compare.distribution_drift(self.grid, self.c4_flags))
+
+    @cached_property
+    def c5_rates(self) -> DataFrame:
+        return self._stage(compare.target_rates(self.grid))
+
+    @cached_property
+    def c5(self) -> DataFrame:
+        return compare.target_drift(self.c5_rates, self.cfg)
+
+    @cached_property
+    def c6(self) -> DataFrame:
+        return compare.quality_regression(self.grid)
+
+    @cached_property
+    def c7(self) -> DataFrame:
+        return compare.readiness_change(self.grid)
+
+    @cached_property
+    def c8(self) -> DataFrame:
+        return self._stage(compare.psi_worst(self.metrics))
+
+    @cached_property
+    def c8_summary(self) -> DataFrame:
+        return compare.psi_summary(self.c8)
+
+    @cached_property
+    def c9(self) -> DataFrame:
+        return compare.health_trend(self.grid)
+
+    @cached_property
+    def c9_dataset(self) -> DataFrame:
+        return compare.dataset_trend(self.s0)
+
+    @cached_property
+    def c10(self) -> DataFrame:
+        return compare.cardinality_drift(self.metrics)
+
+    @cached_property
+    def c0(self) -> DataFrame:
+        return self._stage(compare.verdict(self.c5, self.c8_summary, self.c1, self.c9_dataset))
+
+    @cached_property
+    def c12(self) -> DataFrame:
+        return compare.overview_matrix(self.c9, self.c3, self.c7, self.c8, self.c4, self.c10)
+
+    # drift suite (D15 is this group together with ``metrics``)
+    @cached_property
+    def d11(self) -> DataFrame:
+        return self._stage(drift.stability(self.metrics, self.cfg))
+
+    @cached_property
+    def d13(self) -> DataFrame:
+        return drift.baseline_worst(self.baseline)
