@@ -305,3 +305,79 @@ answer(
         for i, (lo, hi) in enumerate([("min_val", "q25"), ("q25", "q50"), ("q50", "q75"), ("q75", "max_val")])
     ),
 )
+
+# ── interpretations ─────────────────────────────────────────────────────────────────────────────
+from oracle import interpret_sql  # noqa: E402,F401
+
+answer("I1_feature_verdicts", f"SELECT {_G}, verdict, cause, effort, n_steps, verdict_rank FROM i1")
+answer(
+    "I1_ordered_steps",
+    f"""
+SELECT {_G}, step_seq, type, method, amount FROM i1_steps
+WHERE ({_G}) IN (SELECT ({_G}) FROM i1 WHERE verdict = 'fix_then_use')
+""",
+)
+answer("I2_training_readiness", "SELECT * REPLACE (round(completeness, 6) AS completeness) FROM i2")
+answer(
+    "I3_preprocessing_checklist",
+    f"""
+SELECT table_name, version, row_number() OVER (PARTITION BY table_name, version
+    ORDER BY list_position(['quality_fix', 'imputation', 'outlier_cap', 'transformation'], type), seen_group, col_seq, step_seq) AS step_no,
+  type, column_name, method, amount
+FROM i1_steps JOIN (SELECT {_G}, seen_group, col_seq FROM i1 WHERE verdict = 'fix_then_use') USING ({_G})
+""",
+)
+answer("S11_verdict_counts", "SELECT table_name, version, verdict, count(*) AS columns FROM i1 GROUP BY 1, 2, 3")
+answer("I4_population_shift", "SELECT * FROM i4")
+answer("I5_target_stability", "SELECT * FROM i5")
+answer("I6_feature_impact", "SELECT * FROM i6")
+answer("I7_model_action", "SELECT * FROM i7")
+answer("I8_break_risks", "SELECT * FROM i8")
+answer("I9_feed_health", "SELECT * EXCLUDE (first_gap) FROM i9")
+answer(
+    "I4b_population_history",
+    """
+SELECT table_name, shift_scope, refined_cause, trend_slope, trend_direction, dataset_scores
+FROM i4c JOIN c9d USING (table_name) JOIN s0_history USING (table_name)
+""",
+)
+answer(
+    "I4b_drifted_score_history",
+    """
+SELECT table_name, column_name, ver_idx, ver_name, score FROM gridq
+WHERE (table_name, column_name) IN (SELECT (table_name, column_name) FROM c4 WHERE overall_severity <> 'stable')
+""",
+)
+answer(
+    "I5b_target_history",
+    """
+SELECT table_name, drift_type, refined_drift_type, ver_idx, ver_name, event_rate FROM i5c LEFT JOIN c5_rates USING (table_name)
+""",
+)
+answer(
+    "I6b_feature_history",
+    f"SELECT {_P}, drift_cause, drift_mechanism, from_ver, to_ver, psi, ppsi.psi_label FROM i6c JOIN ppsi USING (table_name, column_name) WHERE psi_applicable",
+)
+answer(
+    "I7b_action_history",
+    """
+SELECT table_name, decision, refined_decision, drift_type, total_drift_pp, dataset_scores FROM i7c JOIN s0_history USING (table_name)
+""",
+)
+answer("I8b_break_risks", "SELECT table_name, column_name, risk, severity, risk_rank FROM i8")
+answer(
+    "I9b_feed_history",
+    "SELECT table_name, feed_health, pattern, failure_mode, dataset_scores FROM i9c JOIN s0_history USING (table_name)",
+)
+answer("I4c_population_refined", "SELECT table_name, sampling_signal, coordinated, v1_distance, refined_cause FROM i4c")
+answer("I5c_target_refined", "SELECT table_name, drift_type, refined_drift_type FROM i5c")
+answer("I6c_feature_refined", "SELECT table_name, column_name, drift_mechanism, median_abs, mean_delta, upper_abs, std_norm FROM i6c")
+answer("I7c_action_refined", "SELECT table_name, decision, refined_decision, velocity_flag, unstable_count FROM i7c")
+answer(
+    "I8c_risk_priority",
+    """
+SELECT table_name, column_name, risk, severity, CASE WHEN risk IN ('type_mismatch', 'dropped_feature') THEN 'immediate_fix'
+  WHEN severity = 'critical' THEN 'urgent' ELSE 'monitor' END AS priority FROM i8
+""",
+)
+answer("I9c_failure_mode", "SELECT table_name, degrading_count, total_cols, failure_mode FROM i9c")

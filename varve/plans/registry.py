@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.operators import compare, drift, pairs, single
+from varve.operators import compare, drift, interpret_single, pairs, single
+from varve.operators import interpret_compare as interpret
 from varve.plans import tables
 from varve.plans.workspace import Workspace
 from varve.sources import rows
@@ -474,3 +475,139 @@ def _(ws):
 @shared("C13_ridge_density")
 def _(ws):
     return rounded(compare.ridge_density(ws.grid), 4, "lo", "hi", "density")
+
+
+# ── interpretations ─────────────────────────────────────────────────────────────────────────────
+
+
+@shared("I1_feature_verdicts")
+def _(ws):
+    return ws.i1.select(*GROUP, "verdict", "cause", "effort", F.size("steps").alias("n_steps"), "verdict_rank")
+
+
+@shared("I1_ordered_steps")
+def _(ws):
+    return ws.i1.select(*GROUP, F.posexplode("steps").alias("step_seq", "s")).select(*GROUP, "step_seq", "s.*")
+
+
+@shared("I2_training_readiness")
+def _(ws):
+    return rounded(ws.i2, 6, "completeness")
+
+
+@shared("I3_preprocessing_checklist")
+def _(ws):
+    return ws.i3.drop("instruction")
+
+
+@shared("S11_verdict_counts")
+def _(ws):
+    return interpret_single.verdict_counts(ws.i1)
+
+
+@shared("I4_population_shift")
+def _(ws):
+    return ws.i4.withColumns(_joined("drifted_features"))
+
+
+@shared("I5_target_stability")
+def _(ws):
+    return ws.i5
+
+
+@shared("I6_feature_impact")
+def _(ws):
+    return ws.i6.drop("model_impact", "fix")
+
+
+def _action(df):
+    return df.drop("steps").withColumns(_joined("accelerating_cols", "unstable_cols", "drifted_columns"))
+
+
+@shared("I7_model_action")
+def _(ws):
+    return _action(ws.i7)
+
+
+@shared("I8_break_risks")
+def _(ws):
+    return ws.i8.drop("fix")
+
+
+_FEED_LISTS = ["affected_columns", "sparse_columns", "recovering_columns", "quality_regressing"]
+
+
+@shared("I9_feed_health")
+def _(ws):
+    return ws.i9.withColumns(_joined(*_FEED_LISTS))
+
+
+def _scores(df):
+    return df.withColumn(
+        "dataset_scores", F.concat_ws(",", F.transform("dataset_scores", lambda s: s["score"].cast("string")))
+    )
+
+
+@shared("I4b_population_history")
+def _(ws):
+    return _scores(ws.i4b).select("table_name", "shift_scope", "refined_cause", "trend_slope", "trend_direction", "dataset_scores")
+
+
+@shared("I4b_drifted_score_history")
+def _(ws):
+    return interpret.drifted_score_history(ws.i4, ws.grid)
+
+
+@shared("I5b_target_history")
+def _(ws):
+    return ws.i5b.select("table_name", "drift_type", "refined_drift_type", F.inline_outer("rate_series"))
+
+
+@shared("I6b_feature_history")
+def _(ws):
+    return ws.i6b.select(*COLUMN, "drift_cause", "drift_mechanism", F.inline("psi_series"))
+
+
+@shared("I7b_action_history")
+def _(ws):
+    return _scores(ws.i7b).select("table_name", "decision", "refined_decision", "drift_type", "total_drift_pp", "dataset_scores")
+
+
+@shared("I8b_break_risks")
+def _(ws):
+    return ws.i8b.select(*COLUMN, "risk", "severity", "risk_rank")
+
+
+@shared("I9b_feed_history")
+def _(ws):
+    return _scores(ws.i9b).select("table_name", "feed_health", "pattern", "failure_mode", "dataset_scores")
+
+
+@shared("I4c_population_refined")
+def _(ws):
+    return ws.i4c.select("table_name", "sampling_signal", "coordinated", "v1_distance", "refined_cause")
+
+
+@shared("I5c_target_refined")
+def _(ws):
+    return ws.i5c.select("table_name", "drift_type", "refined_drift_type")
+
+
+@shared("I6c_feature_refined")
+def _(ws):
+    return ws.i6c.select(*COLUMN, "drift_mechanism", "median_abs", "mean_delta", "upper_abs", "std_norm")
+
+
+@shared("I7c_action_refined")
+def _(ws):
+    return ws.i7c.select("table_name", "decision", "refined_decision", "velocity_flag", F.size("unstable_cols").alias("unstable_count"))
+
+
+@shared("I8c_risk_priority")
+def _(ws):
+    return ws.i8c.select(*COLUMN, "risk", "severity", "priority")
+
+
+@shared("I9c_failure_mode")
+def _(ws):
+    return ws.i9c.select("table_name", "degrading_count", "total_cols", "failure_mode")

@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.config import Thresholds
-from varve.operators import compare, drift, pairs, single
+from varve.operators import compare, drift, interpret_single, pairs, single
+from varve.operators import interpret_compare as interpret
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -186,3 +187,96 @@ class Workspace:
     @cached_property
     def d13(self) -> DataFrame:
         return drift.baseline_worst(self.baseline)
+
+    # interpretations (I10 is this group of properties)
+    @cached_property
+    def i1(self) -> DataFrame:
+        return interpret_single.feature_verdicts(self.scored)
+
+    @cached_property
+    def i2(self) -> DataFrame:
+        return interpret_single.training_readiness(self.s1, self.s0, self.s6)
+
+    @cached_property
+    def i3(self) -> DataFrame:
+        return interpret_single.preprocessing_checklist(self.i1)
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return pairs.column_universe(self.profiles)
+
+    @cached_property
+    def i4(self) -> DataFrame:
+        return self._stage(interpret.population_shift(self.c9_dataset, self.c1, self.c4, self.places, self.d13))
+
+    @cached_property
+    def i5(self) -> DataFrame:
+        return self._stage(interpret.target_stability(self.c9_dataset, self.c5_rates, self.c5, self.c3, self.c6))
+
+    @cached_property
+    def i6(self) -> DataFrame:
+        return self._stage(interpret.feature_impact(self.c8, self.c3, self.c4, self.metrics))
+
+    @cached_property
+    def i7(self) -> DataFrame:
+        return self._stage(interpret.model_action(self.c0, self.i5, self.i6, self.d11, self.places))
+
+    @cached_property
+    def i8(self) -> DataFrame:
+        return self._stage(interpret.break_risks(self.c2, self.c10, self.metrics))
+
+    @cached_property
+    def i9(self) -> DataFrame:
+        return self._stage(interpret.feed_health(self.c3, self.c6, self.c9_dataset))
+
+    @cached_property
+    def i4c(self) -> DataFrame:
+        return interpret.population_refined(self.i4)
+
+    @cached_property
+    def i5c(self) -> DataFrame:
+        return interpret.target_refined(self.i5)
+
+    @cached_property
+    def i6c(self) -> DataFrame:
+        return interpret.feature_refined(self.i6)
+
+    @cached_property
+    def i7c(self) -> DataFrame:
+        return interpret.action_refined(self.i7, self.i5c, self.i6c)
+
+    @cached_property
+    def i8c(self) -> DataFrame:
+        return interpret.risks_refined(self.i8)
+
+    @cached_property
+    def i9c(self) -> DataFrame:
+        return interpret.feed_refined(self.i9)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return interpret.dataset_history(self.s0)
+
+    @cached_property
+    def i4b(self) -> DataFrame:
+        return interpret.population_history(self.i4c, self.history, self.c9_dataset)
+
+    @cached_property
+    def i5b(self) -> DataFrame:
+        return interpret.target_history(self.i5c, self.c5_rates)
+
+    @cached_property
+    def i6b(self) -> DataFrame:
+        return interpret.feature_history(self.i6c, self.metrics)
+
+    @cached_property
+    def i7b(self) -> DataFrame:
+        return interpret.with_history(self.i7c, self.history)
+
+    @cached_property
+    def i8b(self) -> DataFrame:
+        return self.i8
+
+    @cached_property
+    def i9b(self) -> DataFrame:
+        return interpret.with_history(self.i9c, self.history)
