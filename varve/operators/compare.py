@@ -472,6 +472,33 @@ def verdict(
     )
 
 
+def verdict_issues(c0: DataFrame, target_moves: DataFrame, pair_moves: DataFrame) -> DataFrame:
+    """C0 issues as rows: what led to the verdict."""
+    v = c0.select(TABLE, "verdict")
+    pick = lambda df, issue, measure, from_ver, to_ver: df.select(
+        TABLE, "verdict", issue.alias("issue"), measure.cast("double").alias("measure"), from_ver.alias("from_ver"), to_ver.alias("to_ver")
+    )
+    none = F.lit(None).cast("string")
+    last, first = F.col("last_score"), F.col("first_score")
+    decline = (
+        F.when(F.col("verdict") == "BLOCK", "dataset_not_ready")
+        .when(last < first - 15, "dataset_declined")
+        .when((last < first - 8) & ~F.col("back_test_required"), "dataset_slipping")
+    )
+    pair_ends = (F.col("from_ver"), F.col("to_ver"))
+    return (
+        pick(
+            target_moves.where("back_test_required").join(v, TABLE),
+            F.concat(F.lit("target_"), F.col("severity")), F.col("delta_pp"), *pair_ends,
+        )
+        .unionByName(pick(c0.where("shift_count > 0"), F.lit("shifted_features"), F.col("shift_count"), none, none))
+        .unionByName(
+            pick(pair_moves.where(F.size("worsened") >= 2).join(v, TABLE), F.lit("readiness_degraded"), F.size("worsened"), *pair_ends)
+        )
+        .unionByName(pick(c0.where(decline.isNotNull()), decline, last, none, none))
+    )
+
+
 # ── C12, C13 overview feeds ─────────────────────────────────────────────────────────────────────
 
 

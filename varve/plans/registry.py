@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.operators import compare, drift, interpret_single, pairs, single
+from varve.operators import cards, compare, drift, interpret_single, pairs, signals, single, themes
 from varve.operators import interpret_compare as interpret
 from varve.plans import tables
 from varve.plans.workspace import Workspace
@@ -611,3 +611,215 @@ def _(ws):
 @shared("I9c_failure_mode")
 def _(ws):
     return ws.i9c.select("table_name", "degrading_count", "total_cols", "failure_mode")
+
+
+# ── signals, themes, cards ──────────────────────────────────────────────────────────────────────
+
+
+@shared("C0_issues")
+def _(ws):
+    return ws.c0_issues
+
+
+@shared("G1_metric_rows")
+def _(ws):
+    return signals.metric_rows(ws.facts).select(*COLUMN, "metric_type", "severity")
+
+
+@shared("G2_magnitude")
+def _(ws):
+    return signals.metric_rows(ws.facts).select(*COLUMN, "metric_type", "is_private", "magnitude")
+
+
+@shared("G3_column_signals")
+def _(ws):
+    return ws.signals_v1.where("metric_type <> 'schema'").select(
+        *COLUMN, "metric_type", "severity", "magnitude", F.size("supporting").alias("n_supporting"),
+        F.concat_ws(",", F.transform("supporting", lambda s: s["metric_type"])).alias("supporting"),
+    )
+
+
+@shared("G4_root_cause")
+def _(ws):
+    return ws.signals_v1.select(*COLUMN, "metric_type", "root_cause")
+
+
+@shared("G5_slot")
+def _(ws):
+    return ws.signals_v1.select(*COLUMN, "metric_type", "slot", "is_private")
+
+
+@shared("G6_direction")
+def _(ws):
+    return ws.signals_v1.select(*COLUMN, "metric_type", "direction")
+
+
+@shared("G7_schema_signals")
+def _(ws):
+    return signals.schema_signals(ws.c2, ws.facts).select(*COLUMN, "severity", "magnitude", "direction", "slot")
+
+
+@shared("G8_private_columns")
+def _(ws):
+    return signals.private_columns(ws.scored)
+
+
+@shared("G9_signals")
+def _(ws):
+    return ws.signals_v1.select(*COLUMN, "metric_type", "severity", "magnitude", "root_cause", "direction", "slot", "signal_rank")
+
+
+@shared("G10_slot_severity")
+def _(ws):
+    return signals.slot_severity(ws.signals_v1)
+
+
+@shared("G10_top_population")
+def _(ws):
+    return signals.top_population(ws.signals_v1).select(*COLUMN, "slot_rank", "magnitude")
+
+
+_FACTS = [
+    "psi", "mean_before", "mean_after", "mean_delta", "mean_delta_pct", "completeness_before", "completeness_after",
+    "q1_shift", "median_shift", "q3_shift", "iqr_base", "min_base", "min_new", "max_base", "max_new", "upper_shift",
+    "lower_shift", "std_base", "std_new", "std_change", "cv_base", "cv_new", "cv_change", "baseline_psi", "fsi",
+    "fsi_mean_psi", "velocity",
+]
+
+
+@shared("G11_raw_facts")
+def _(ws):
+    labels = ["psi_label", "psi_worst_pair", "worst_quantile", "baseline_label", "fsi_label", "velocity_label"]
+    return rounded(ws.facts.select(*COLUMN, *_FACTS, *labels), 4, *_FACTS)
+
+
+@shared("G12_composite_importance")
+def _(ws):
+    return ws.facts.select(*COLUMN, signals.composite_importance().alias("importance"))
+
+
+@shared("G13_signals_composite")
+def _(ws):
+    return ws.signals_v2.select(*COLUMN, "metric_type", "severity", "magnitude", "slot", "signal_rank")
+
+
+@shared("G14_rule_signals")
+def _(ws):
+    return ws.rules
+
+
+@shared("H1_signal_themes")
+def _(ws):
+    return themes.assign_themes(ws.signals_v2).select(*COLUMN, "metric_type", "theme_id")
+
+
+@shared("H2_theme_groups")
+def _(ws):
+    return ws.themes.select("table_name", "theme_id", "theme_rank", "n_columns", "max_importance", "worst_column", F.concat_ws(",", "columns").alias("columns"))
+
+
+@shared("H3_theme_facts")
+def _(ws):
+    names = [
+        "worst_psi", "worst_mean_delta_pct", "mean_before", "mean_after", "worst_median_shift", "worst_q1_shift",
+        "worst_q3_shift", "iqr_base", "min_base", "min_new", "max_base", "max_new", "std_base", "std_new",
+        "worst_std_change", "completeness_before", "completeness_after", "baseline_psi", "worst_velocity", "worst_fsi",
+    ]
+    labels = ["worst_psi_label", "worst_psi_pair", "baseline_label", "fsi_label"]
+    return rounded(ws.themes.select("table_name", "theme_id", *names, *labels), 4, *names)
+
+
+@shared("H4_theme_domain")
+def _(ws):
+    return ws.themes.select("table_name", "theme_id", "theme_domain", "theme_label")
+
+
+@shared("H5_fact_sheet")
+def _(ws):
+    return themes.fact_sheet(ws.themes).select("table_name", "theme_id", "n_lines")
+
+
+@shared("B1_theme_cards")
+def _(ws):
+    return ws.theme_cards.select("table_name", "theme_rank", "theme_id", "theme_domain", "headline", "severity", "decision", "psi", "n_columns")
+
+
+@shared("B2_fallback_cards")
+def _(ws):
+    return themes.fallback_cards(ws.rules)
+
+
+@shared("B3_root_cause_analysis")
+def _(ws):
+    return cards.diagnosed(ws.signals_v1).select(*COLUMN, "metric_type", "drift_cause", "is_real_drift")
+
+
+@shared("B4_evidence_rows")
+def _(ws):
+    ev = cards.evidence_rows(cards.diagnosed(ws.signals_v1))
+    return ev.select(*COLUMN, "drift_cause", F.size("evidence").alias("n_evidence"), F.col("evidence")[0]["label"].alias("first_label"))
+
+
+@shared("B5_headline_causes")
+def _(ws):
+    stories = cards.drift_stories(ws.signals_v1)
+    return stories.select("table_name", "slot", "drift_cause", (F.instr("headline", "In the back-testing sample") == 1).alias("names_stage"))
+
+
+@shared("B6_drift_stories")
+def _(ws):
+    stories = cards.drift_stories(ws.signals_v1)
+    return stories.select("table_name", "slot", "severity", "column_name", "metric_type", "drift_cause", "magnitude")
+
+
+def _card_facts(df):
+    return df.select("table_name", "slot", "severity", F.size("evidence").alias("n_evidence"))
+
+
+@shared("B7_target_card")
+def _(ws):
+    return _card_facts(cards.target_card(ws.i5, ws.c5))
+
+
+@shared("B8_feed_card")
+def _(ws):
+    return _card_facts(cards.feed_card(ws.i9, ws.signals_v1))
+
+
+@shared("B9_model_risk_card")
+def _(ws):
+    return _card_facts(cards.risk_card(ws.i6, ws.i7, ws.i8, ws.signals_v1))
+
+
+@shared("B10_governance_card")
+def _(ws):
+    return _card_facts(cards.governance_card(ws.c0, ws.signals_v1))
+
+
+@shared("B11_card_order")
+def _(ws):
+    return ws.cards.select("table_name", "slot", "severity", "card_order")
+
+
+@shared("B12_decision_view")
+def _(ws):
+    banner = ws.i7.select("table_name", "decision", "urgency")
+    return _card_facts(ws.cards).join(banner, "table_name", "left")
+
+
+@shared("V1_card_validation")
+def _(ws):
+    return ws.validated_cards.select(
+        "table_name", "slot", "is_private", "has_loss", "original_rank", "final_rank", "fired_rules", "validation_passed"
+    )
+
+
+@shared("N1_narratives")
+def _(ws):
+    return ws.narratives
+
+
+@shared("N2_story_facts")
+def _(ws):
+    names = ["psi", "mean_before", "mean_after", "mean_delta", "median_shift", "upper_shift", "lower_shift", "std_change", "completeness_before", "completeness_after"]
+    return rounded(cards.story_facts(ws.signals_v1), 4, *names)

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.config import Thresholds
-from varve.operators import compare, drift, interpret_single, pairs, single
+from varve.operators import cards, compare, drift, interpret_single, narrative, pairs, signals, single, themes
 from varve.operators import interpret_compare as interpret
 
 
@@ -280,3 +280,91 @@ class Workspace:
     @cached_property
     def i9b(self) -> DataFrame:
         return interpret.with_history(self.i9c, self.history)
+
+    # signals, themes, cards
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._stage(
+            signals.raw_facts(
+                self.metrics, self.d11, self.baseline, self.c3, self.c4, self.c10, signals.private_columns(self.scored)
+            )
+        )
+
+    @cached_property
+    def signals_v1(self) -> DataFrame:
+        return self._stage(signals.collect_signals(self.facts, self.c2, self.i4))
+
+    @cached_property
+    def signals_v2(self) -> DataFrame:
+        return self._stage(signals.collect_signals(self.facts, self.c2, self.i4, composite=True))
+
+    @cached_property
+    def c0_issues(self) -> DataFrame:
+        return compare.verdict_issues(self.c0, self.c5, self.c1)
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return self._stage(
+            signals.rule_signals(
+                self.c0_issues, self.c0, self.i4, self.i5, self.i6, self.i7, self.i8, self.i9, self.c8
+            )
+        )
+
+    @cached_property
+    def themes(self) -> DataFrame:
+        return self._stage(themes.themes(themes.assign_themes(self.signals_v2)))
+
+    @cached_property
+    def theme_cards(self) -> DataFrame:
+        return themes.theme_cards(self.themes, self.i7)
+
+    def decision_view(self, stage: str = "back_testing") -> DataFrame:
+        """The ordered cards of every table."""
+        return cards.ordered_cards(
+            cards.drift_stories(self.signals_v1, stage),
+            [
+                cards.target_card(self.i5, self.c5, stage),
+                cards.feed_card(self.i9, self.signals_v1, stage),
+                cards.risk_card(self.i6, self.i7, self.i8, self.signals_v1, stage),
+                cards.governance_card(self.c0, self.signals_v1, stage),
+            ],
+        )
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        return self._stage(self.decision_view())
+
+    @cached_property
+    def validated_cards(self) -> DataFrame:
+        """V1."""
+        return cards.validated(self.cards, self.i7, self.c0)
+
+    @cached_property
+    def narratives(self) -> DataFrame:
+        return narrative.narratives(self)
+
+
+def run_analysis(profiles: DataFrame, cfg: Thresholds = Thresholds(), target_col: str | None = None) -> dict[str, DataFrame]:
+    """Sections of every version of every table as lazy DataFrames."""
+    ws = Workspace(profiles, cfg)
+    names = ["s0", "s1", "s2", "s3", "s4", "s5", "s7", "s8", "s9", "i1", "i2", "i3"]
+    out = {n: getattr(ws, n) for n in names}
+    out["s6"] = single.target_analysis(ws.scored, cfg, target_col)
+    return out
+
+
+def run_comparison(profiles: DataFrame, cfg: Thresholds = Thresholds(), stage: str = "back_testing") -> dict[str, DataFrame]:
+    """Comparison, drift suite, interpretations and cards of every table."""
+    ws = Workspace(profiles, cfg)
+    sections = ["c0", "c1", "c2", "c3", "c4", "c5", "c6", "c7", "c8", "c9", "c10"]
+    suite = {"consecutive": ws.metrics, "baseline": ws.baseline, "fsi_velocity": ws.d11}
+    tiers = [f"i{k}{tier}" for k in range(4, 10) for tier in ("", "b", "c")]
+    return {
+        **{n: getattr(ws, n) for n in sections},
+        **suite,
+        **{n: getattr(ws, n) for n in tiers},
+        "signals": ws.signals_v1,
+        "themes": ws.themes,
+        "fallback_cards": themes.fallback_cards(ws.rules),
+        "cards": cards.validated(ws.decision_view(stage), ws.i7, ws.c0),
+    }
