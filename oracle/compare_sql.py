@@ -199,11 +199,14 @@ SELECT *, CASE WHEN fsi IS NULL THEN 'insufficient_data' WHEN fsi >= 0.7 THEN 's
             ELSE 'unstable' END AS fsi_label,
        CASE WHEN velocity IS NULL THEN 'insufficient_data' WHEN abs(velocity) >= 0.15 THEN 'critical'
             WHEN abs(velocity) >= 0.05 THEN 'notable' ELSE 'stable' END AS velocity_label
-FROM (SELECT table_name, column_name, count(psi) AS n_pairs, avg(psi) AS mean_psi,
-             greatest(0, round(1 - avg(psi) / 0.25, 4)) AS fsi_any,
-             CASE WHEN count(psi) > 0 THEN greatest(0, round(1 - avg(psi) / 0.25, 4)) END AS fsi,
-             CASE WHEN count(psi) >= 2 THEN round(regr_slope(psi, pair_idx), 4) END AS velocity
-      FROM suite GROUP BY table_name, column_name) t
+FROM (SELECT table_name, column_name, n_pairs, round(sy / n_pairs::DOUBLE) / 10000 AS mean_psi,
+        CASE WHEN n_pairs > 0 THEN greatest(0, round(10000 - sy / n_pairs::DOUBLE / 0.25) / 10000) END AS fsi,
+        CASE WHEN n_pairs >= 2 THEN CASE WHEN n_pairs * sxx = sx * sx THEN 0
+          ELSE round((n_pairs * sxy - sx * sy)::DOUBLE / (n_pairs * sxx - sx * sx)::DOUBLE) / 10000 END END AS velocity
+      FROM (SELECT table_name, column_name, count(psi) AS n_pairs, sum(CASE WHEN psi IS NOT NULL THEN pair_idx END) AS sx,
+              sum(CAST(round(psi * 10000) AS BIGINT)) AS sy, sum(pair_idx * CAST(round(psi * 10000) AS BIGINT)) AS sxy,
+              sum(CASE WHEN psi IS NOT NULL THEN pair_idx * pair_idx END) AS sxx
+            FROM suite GROUP BY table_name, column_name) r) t
 """,
 )
 step(

@@ -381,3 +381,118 @@ SELECT table_name, column_name, risk, severity, CASE WHEN risk IN ('type_mismatc
 """,
 )
 answer("I9c_failure_mode", "SELECT table_name, degrading_count, total_cols, failure_mode FROM i9c")
+
+# ── signals, themes, cards ──────────────────────────────────────────────────────────────────────
+from oracle import signal_sql  # noqa: E402,F401
+
+_C = "table_name, column_name"
+answer("C0_issues", "SELECT * FROM c0_issues")
+answer("G1_metric_rows", "SELECT * FROM g1")
+answer("G2_magnitude", f"SELECT {_C}, metric_type, is_private, magnitude FROM g2")
+answer(
+    "G3_column_signals",
+    f"SELECT {_C}, metric_type, severity, magnitude, n_supporting, supporting FROM sig1 WHERE metric_type <> 'schema'",
+)
+answer("G4_root_cause", f"SELECT {_C}, metric_type, root_cause FROM sig1")
+answer("G5_slot", f"SELECT {_C}, metric_type, slot, is_private FROM sig1")
+answer("G6_direction", f"SELECT {_C}, metric_type, direction FROM sig1")
+answer("G7_schema_signals", f"SELECT {_C}, severity, magnitude, direction, slot FROM sig1 WHERE metric_type = 'schema'")
+answer("G8_private_columns", "SELECT * FROM private_cols")
+answer("G9_signals", f"SELECT {_C}, metric_type, severity, magnitude, root_cause, direction, slot, signal_rank FROM sig1")
+answer(
+    "G10_slot_severity",
+    """
+SELECT table_name, slot, count(*) AS signals, bool_or(severity = 'critical') AS has_critical, bool_or(severity = 'notable') AS has_notable
+FROM sig1 GROUP BY 1, 2
+""",
+)
+answer("G10_top_population", f"SELECT {_C}, slot_rank, magnitude FROM pop WHERE slot = 'population' AND slot_rank <= 3")
+_FACTS = (
+    "psi mean_before mean_after mean_delta mean_delta_pct completeness_before completeness_after q1_shift median_shift q3_shift "
+    "iqr_base min_base min_new max_base max_new upper_shift lower_shift std_base std_new std_change cv_base cv_new cv_change "
+    "baseline_psi fsi fsi_mean_psi velocity"
+)
+answer(
+    "G11_raw_facts",
+    f"SELECT {_C}, {_rounded(_FACTS)}, psi_label, psi_worst_pair, worst_quantile, baseline_label, fsi_label, velocity_label FROM facts",
+)
+answer("G12_composite_importance", "SELECT * FROM composites")
+answer("G13_signals_composite", f"SELECT {_C}, metric_type, severity, magnitude, slot, signal_rank FROM sig2")
+answer("G14_rule_signals", "SELECT * FROM rules")
+answer("H1_signal_themes", f"SELECT {_C}, metric_type, theme_id FROM themed")
+answer("H2_theme_groups", "SELECT table_name, theme_id, theme_rank, n_columns, max_importance, worst_column, columns FROM theme_groups")
+_THEME = (
+    "worst_psi worst_mean_delta_pct mean_before mean_after worst_median_shift worst_q1_shift worst_q3_shift iqr_base min_base min_new "
+    "max_base max_new std_base std_new worst_std_change completeness_before completeness_after baseline_psi worst_velocity worst_fsi"
+)
+answer(
+    "H3_theme_facts",
+    f"SELECT table_name, theme_id, {_rounded(_THEME)}, worst_psi_label, worst_psi_pair, baseline_label, fsi_label FROM theme_groups",
+)
+_LABELS = {
+    "center_shift_down": ("population", "Typical customer profile has shifted toward lower values"),
+    "center_shift_up": ("population", "Typical customer profile has shifted toward higher values"),
+    "boundary_expansion": ("feature", "New extreme values appeared outside the training range"),
+    "spread_change": ("feature", "Distribution variability has changed with stable centre"),
+    "new_segments": ("feature", "New categories or customer segments appeared"),
+    "pipeline_failure": ("pipeline", "Data supply is degraded — completeness or schema issue"),
+    "volatility": ("feature", "Feature is accelerating or chronically unstable"),
+}
+_DOMAIN = "CASE theme_id " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _LABELS.items()) + " END"
+_TITLE = "CASE theme_id " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in _LABELS.items()) + " END"
+answer("H4_theme_domain", f"SELECT table_name, theme_id, {_DOMAIN} AS theme_domain, {_TITLE} AS theme_label FROM theme_groups")
+_LINES = [
+    "worst_psi", "mean_before + mean_after", "worst_median_shift", "worst_q1_shift", "worst_q3_shift", "max_base + max_new",
+    "worst_std_change + std_base", "completeness_before + completeness_after", "baseline_psi", "worst_velocity", "worst_fsi",
+]
+answer(
+    "H5_fact_sheet",
+    "SELECT table_name, theme_id, 2 + " + " + ".join(f"CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END" for x in _LINES) + " AS n_lines FROM theme_groups",
+)
+answer(
+    "B1_theme_cards",
+    f"""
+SELECT table_name, theme_rank, theme_id, {_DOMAIN} AS theme_domain, {_TITLE} AS headline,
+  CASE worst_severity WHEN 'critical' THEN 'critical' WHEN 'notable' THEN 'high' ELSE 'medium' END AS severity, decision, worst_psi AS psi, n_columns
+FROM theme_groups JOIN i7 USING (table_name) WHERE theme_rank <= 5
+""",
+)
+answer("B2_fallback_cards", "SELECT * FROM rules WHERE rule_rank <= 5")
+answer("B3_root_cause_analysis", f"SELECT {_C}, metric_type, drift_cause, drift_cause <> 'data_loss' AS is_real_drift FROM b3")
+answer("B4_evidence_rows", f"SELECT {_C}, drift_cause, n_evidence, first_label FROM b4")
+answer("B5_headline_causes", "SELECT table_name, story_slot AS slot, drift_cause, true AS names_stage FROM stories")
+answer("B6_drift_stories", f"SELECT {_C}, story_slot AS slot, rag AS severity, metric_type, drift_cause, magnitude FROM stories")
+for _key, _step in [("B7_target_card", "b7"), ("B8_feed_card", "b8"), ("B9_model_risk_card", "b9"), ("B10_governance_card", "b10")]:
+    answer(_key, f"SELECT table_name, slot, severity, n_evidence FROM {_step}")
+answer("B11_card_order", "SELECT table_name, slot, severity, card_order FROM card_list")
+answer(
+    "B12_decision_view",
+    "SELECT table_name, slot, severity, n_evidence, decision, urgency FROM card_list JOIN i7 USING (table_name)",
+)
+answer("V1_card_validation", "SELECT * FROM v1")
+answer(
+    "N2_story_facts",
+    f"""
+SELECT {_C}, slot_rank, metric_type, drift_cause, root_cause, card_from, card_to,
+  {_rounded('psi mean_before mean_after mean_delta median_shift upper_shift lower_shift std_change completeness_before completeness_after')}
+FROM stories
+""",
+)
+_S = "replace({0}, '_', ' ')"
+answer(
+    "N1_narratives",
+    f"""
+SELECT table_name, CAST(version AS VARCHAR) AS subject, 'S0' AS section,
+  'readiness ' || format('{{:.1f}}', score) || ' of 100, ' || {_S.format('readiness_label')} || ', blocked ' || blocked_cols AS sentence FROM s0l
+UNION ALL SELECT table_name, CAST(version AS VARCHAR), 'S6', 'event rate ' || coalesce(format('{{:.2f}}', event_rate), 'n/a') || '%, ' || coalesce(balance_label, 'n/a') FROM s6
+UNION ALL SELECT table_name, 'table', 'C0', 'verdict ' || {_S.format('verdict')} || ', issues ' || issue_count FROM c0
+UNION ALL SELECT table_name, 'table', 'C8', 'shifted ' || shift_count || ', to watch ' || monitor_count || ', stable ' || stable_count FROM c8s
+UNION ALL SELECT table_name, 'table', 'versions', 'score ' || format('{{:.1f}}', first_score) || ' to ' || format('{{:.1f}}', last_score) || ', ' || {_S.format('trend_direction')} FROM c9d
+UNION ALL SELECT table_name, 'table', 'I4b', drifted_count || ' of ' || total_features || ' features drifted, ' || {_S.format('refined_cause')} FROM i4c
+UNION ALL SELECT table_name, 'table', 'I5b', 'target moved ' || format('{{:+.2f}}', total_drift_pp) || 'pp, ' || {_S.format('drift_type')} FROM i5 WHERE target_found
+UNION ALL SELECT table_name, column_name, 'I6b', {_S.format('drift_cause')} || ', PSI ' || coalesce(format('{{:.4f}}', last_psi), 'n/a') FROM i6
+UNION ALL SELECT table_name, 'table', 'I7b', {_S.format('refined_decision')} || ', urgency ' || {_S.format('urgency')}
+  FROM (SELECT i7c.table_name, refined_decision, urgency FROM i7c JOIN i7 ON i7c.table_name = i7.table_name)
+UNION ALL SELECT table_name, 'table', 'I9b', 'feeds ' || feed_health || ', ' || {_S.format('failure_mode')} FROM i9c
+""",
+)

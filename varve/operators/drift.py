@@ -114,35 +114,41 @@ def fsi_label(fsi: Column) -> Column:
 
 
 def stability(metrics: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
-    """D11 and D12 in one aggregation: stability index and drift velocity per column."""
-    x, y = F.col("pair_idx"), F.col("psi")
-    have = F.when(y.isNotNull(), x).cast("double")
+    """D11 and D12 in one aggregation: stability index and drift velocity per column.
+
+    The index has four digits, so sums are taken over whole ten-thousandths: exact in any order.
+    """
+    x, y = F.col("pair_idx").cast("bigint"), F.round(F.col("psi") * 10000).cast("bigint")
+    have = F.when(y.isNotNull(), x)
+    n, total = F.col("n_pairs"), F.col("s_y")
+    fitted = slope(n.cast("double"), F.col("s_x").cast("double"), total.cast("double"), F.col("s_xy").cast("double"), F.col("s_xx").cast("double"))
     return (
         suite_scope(metrics)
         .groupBy(*COLUMN)
         .agg(
             F.count("psi").alias("n_pairs"),
-            F.avg("psi").alias("mean_psi"),
-            slope(
-                F.count("psi"), F.sum(have), F.sum("psi"), F.sum(have * y), F.sum(have * have)
-            ).alias("raw_velocity"),
+            F.sum(have).alias("s_x"),
+            F.sum(y).alias("s_y"),
+            F.sum(have * y).alias("s_xy"),
+            F.sum(have * have).alias("s_xx"),
         )
         .withColumns(
             {
-                "fsi": F.greatest(F.lit(0.0), F.round(1.0 - F.col("mean_psi") / cfg.psi_monitor, 4)),
-                "velocity": F.when(F.col("n_pairs") >= 2, F.round("raw_velocity", 4)),
+                "mean_psi": F.round(F.try_divide(total, n)) / 10000,
+                "fsi": F.greatest(F.lit(0.0), F.round(10000 - F.try_divide(total, n) / cfg.psi_monitor) / 10000),
+                "velocity": F.when(n >= 2, F.round(fitted) / 10000),
             }
         )
         .withColumns(
             {
-                "fsi": F.when(F.col("n_pairs") > 0, F.col("fsi")),
+                "fsi": F.when(n > 0, F.col("fsi")),
                 "velocity_label": F.coalesce(
                     three_way(F.abs("velocity"), *vocab.METRIC_LIMITS["drift_velocity"]), F.lit("insufficient_data")
                 ),
             }
         )
         .withColumn("fsi_label", fsi_label(F.col("fsi")))
-        .drop("raw_velocity")
+        .drop("s_x", "s_y", "s_xy", "s_xx")
     )
 
 

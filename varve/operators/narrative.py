@@ -37,7 +37,7 @@ def narratives(ws) -> DataFrame:
         _say(ws.c9_dataset, "versions", whole, "score ", num(c("first_score"), 1), " to ", num(c("last_score"), 1), ", ", _words("trend_direction")),
         _say(ws.i4b, "I4b", whole, c("drifted_count"), " of ", c("total_features"), " features drifted, ", _words("refined_cause")),
         _say(ws.i5b.where("target_found"), "I5b", whole, "target moved ", signed(c("total_drift_pp"), 2), "pp, ", _words("drift_type")),
-        _say(ws.i6b, "I6b", c("column_name"), _words("drift_cause"), ", PSI ", num(c("last_psi"), 3)),
+        _say(ws.i6b, "I6b", c("column_name"), _words("drift_cause"), ", PSI ", num(c("last_psi"), 4)),
         _say(ws.i7b, "I7b", whole, _words("refined_decision"), ", urgency ", _words("urgency")),
         _say(ws.i9b, "I9b", whole, "feeds ", c("feed_health"), ", ", _words("failure_mode")),
     ]
