@@ -496,3 +496,64 @@ UNION ALL SELECT table_name, 'table', 'I7b', {_S.format('refined_decision')} ||
 UNION ALL SELECT table_name, 'table', 'I9b', 'feeds ' || feed_health || ', ' || {_S.format('failure_mode')} FROM i9c
 """,
 )
+
+# ── payloads, registry, store ───────────────────────────────────────────────────────────────────
+answer(
+    "R8_json_profiles",
+    f"""
+SELECT {_G}, row_count, row_number() OVER (PARTITION BY table_name, version ORDER BY col_seq) - 1 AS col_seq, data_type,
+  statistical_scale, missing_count, cardinality_count, has_outliers, n_outliers, blank_value_count, mismatched_count, information_privacy, has_unique_field, {_rounded('completeness_percent mean std q25 q50 q75')}
+FROM prof
+""",
+)
+answer(
+    "R9_double_encoded",
+    f"""
+SELECT {_G}, row_number() OVER (PARTITION BY table_name, version ORDER BY col_seq) - 1 AS col_seq, {_rounded('completeness_percent')},
+  cardinality_count, statistical_scale FROM prof
+""",
+)
+answer(
+    "R10_content_hash",
+    "SELECT table_name, 2 * count(*) AS documents, count(*) AS distinct_hashes, 64 AS digits FROM vers GROUP BY table_name",
+)
+answer(
+    "R11_registry_ingest",
+    """
+SELECT table_name, ver_idx + 1 AS arrival, ver_idx + 1 AS version, CASE ver_idx WHEN 0 THEN 'registered' ELSE 'version_added' END AS action FROM vers
+UNION ALL SELECT table_name, 1000, 1, 'unchanged' FROM vers WHERE ver_idx = 0
+""",
+)
+answer("R12_snapshot_fallback", "SELECT table_name, version, 77 AS row_count, table_name AS abt_name, false AS measured FROM vers")
+answer(
+    "R13_list_tables",
+    "SELECT table_name, count(*) AS version_count, string_agg(CAST(ver_idx + 1 AS VARCHAR), ',' ORDER BY ver_idx) AS versions FROM vers GROUP BY 1",
+)
+answer("R13_table_versions", "SELECT table_name, ver_idx + 1 AS version, row_count FROM vers WHERE table_name = 'abt_orders'")
+answer(
+    "R14_version_load",
+    "SELECT table_name, version, column_name, row_count, missing_count, cardinality_count FROM prof WHERE table_name = 'abt_orders' AND version = 2000",
+)
+answer("K2_version_store", "SELECT table_name, version, count(*) AS columns, sum(missing_count) AS missing_cells FROM prof GROUP BY 1, 2")
+
+# ── exact drift from rows ───────────────────────────────────────────────────────────────────────
+from oracle import exact_sql  # noqa: E402,F401
+
+answer("D6x_entropy_exact", f"SELECT {_P}, {_rounded('entropy_base entropy_new entropy_change')}, severity FROM d6x")
+answer("D7x_ks_exact", f"SELECT {_P}, {_rounded('ks', 6)}, severity FROM d7x")
+answer("D8x_psi_exact", f"SELECT {_P}, {_rounded('psi', 6)}, psi_label FROM d8x")
+answer("D9x_psi_categorical_exact", f"SELECT {_P}, {_rounded('psi', 6)}, categories, psi_label FROM d9x")
+
+# ── streaming ───────────────────────────────────────────────────────────────────────────────────
+answer(
+    "M1_windowed_profile",
+    """
+SELECT 'events' AS table_name, CAST(ts AS DATE) AS day, column_name, count(*) AS row_count, count(v) AS n_present,
+  min(v) AS min_val, max(v) AS max_val, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std
+FROM (SELECT ts, 'user_id' AS column_name, CAST(user_id AS DOUBLE) AS v FROM events
+      UNION ALL SELECT ts, 'value', value FROM events) t
+WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+GROUP BY 2, 3
+""",
+)
+answer("R3_sketch_profile", f"SELECT {_G}, row_count, missing_count, {_rounded('min_val max_val mean')} FROM prof")

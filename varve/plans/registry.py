@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varve.operators import cards, compare, drift, interpret_single, pairs, signals, single, themes
+from varve.operators import cards, compare, drift, exact, interpret_single, pairs, signals, single, themes
 from varve.operators import interpret_compare as interpret
 from varve.plans import tables
-from varve.plans.workspace import Workspace
-from varve.sources import rows
+from varve.plans.workspace import Workspace, scratch
+from varve.sources import payloads, rows
+from varve.sources import registry as store
+from varve.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -823,3 +825,171 @@ def _(ws):
 def _(ws):
     names = ["psi", "mean_before", "mean_after", "mean_delta", "median_shift", "upper_shift", "lower_shift", "std_change", "completeness_before", "completeness_after"]
     return rounded(cards.story_facts(ws.signals_v1), 4, *names)
+
+
+# ── payloads, registry, store ───────────────────────────────────────────────────────────────────
+
+_PAYLOAD_CHECK = [
+    "row_count", "col_seq", "data_type", "statistical_scale", "completeness_percent", "missing_count",
+    "cardinality_count", "mean", "std", "q25", "q50", "q75", "has_outliers", "n_outliers", "blank_value_count",
+    "mismatched_count", "information_privacy", "has_unique_field",
+]
+
+
+def _payload_facts(docs):
+    out = payloads.profiles(docs).select(*GROUP, *_PAYLOAD_CHECK)
+    return rounded(out, 4, "completeness_percent", "mean", "std", "q25", "q50", "q75")
+
+
+@shared("R8_json_profiles")
+def _(ws):
+    """Written as JSON files by version, read back and parsed."""
+    spark = ws.profiles.sparkSession
+    folder = scratch(spark, "payloads")
+    payloads.to_payloads(ws.profiles).select("payload", "table_name", "version").write.partitionBy("table_name", "version").text(folder)
+    files = spark.read.text(folder).withColumnRenamed("value", "payload")
+    return _payload_facts(payloads.documents(files))
+
+
+@shared("R9_double_encoded")
+def _(ws):
+    """The same documents quoted, embedded in text, flat or as bare lists, depending on the version."""
+    p = payloads.to_payloads(ws.profiles)
+    quoted = F.expr("substring(to_json(array(payload)), 2, length(to_json(array(payload))) - 2)")
+    listed = F.get_json_object("payload", "$.items")
+    kind = F.col("version") % 3
+    broken = F.when(kind == 0, quoted).when(kind == 1, F.concat(F.lit("body = "), F.col("payload"), F.lit(" ;"))).otherwise(listed)
+    out = payloads.profiles(payloads.documents(p.withColumn("payload", broken)))
+    return rounded(out.select(*GROUP, "col_seq", "completeness_percent", "cardinality_count", "statistical_scale"), 4, "completeness_percent")
+
+
+@shared("R10_content_hash")
+def _(ws):
+    """Documents, and the same documents with reversed items: equal digests."""
+    docs = payloads.documents(payloads.to_payloads(ws.profiles))
+    turned = docs.withColumn("doc", F.col("doc").withField("items", F.reverse("doc.items")))
+    both = payloads.content_hash(docs).unionByName(payloads.content_hash(turned))
+    return both.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.countDistinct("hash").alias("distinct_hashes"), F.max(F.length("hash")).alias("digits")
+    )
+
+
+def _arrivals(ws):
+    """All versions in order, then the first version of each table once more."""
+    docs = payloads.content_hash(payloads.documents(payloads.to_payloads(ws.profiles)))
+    numbered = docs.select(
+        "table_name", "hash", F.col("doc.abt_snapshot.row_count").alias("row_count"), F.col("doc.abt_snapshot.snapshot_date").alias("snapshot_date"),
+        F.row_number().over(Window.partitionBy("table_name").orderBy("version")).alias("arrival"),
+    )
+    return numbered.unionByName(numbered.where("arrival = 1").withColumn("arrival", F.lit(1000)))
+
+
+@shared("R11_registry_ingest")
+def _(ws):
+    return store.classify(_arrivals(ws), store.empty(ws.profiles.sparkSession)).select("table_name", "arrival", "version", "action")
+
+
+@shared("R12_snapshot_fallback")
+def _(ws):
+    """Row count and name when a document carries no snapshot."""
+    p = payloads.to_payloads(ws.profiles)
+    bare = p.withColumn("payload", F.concat(F.lit('{"count":77,"items":'), F.get_json_object("payload", "$.items"), F.lit("}")))
+    return payloads.profiles(payloads.documents(bare)).groupBy("table_name", "version").agg(
+        F.max("row_count").alias("row_count"), F.max("abt_name").alias("abt_name"), F.bool_or("row_count_measured").alias("measured")
+    )
+
+
+def _registered(ws):
+    batch = store.classify(_arrivals(ws), store.empty(ws.profiles.sparkSession))
+    return store.ingest(store.empty(ws.profiles.sparkSession), batch, "2024-01-01")
+
+
+@shared("R13_list_tables")
+def _(ws):
+    return store.list_tables(_registered(ws)).withColumn("versions", F.concat_ws(",", "versions")).drop("created_at")
+
+
+@shared("R13_table_versions")
+def _(ws):
+    return store.table_versions(_registered(ws), "abt_orders").select("table_name", "version", "row_count")
+
+
+@shared("R14_version_load")
+def _(ws):
+    """K2 store written and one version read back through its partition."""
+    spark = ws.profiles.sparkSession
+    path = scratch(spark, "store")
+    store.write_store(ws.profiles, path)
+    one = store.load_version(store.read_store(spark, path), "abt_orders", 2000)
+    return one.select("table_name", "version", "column_name", "row_count", "missing_count", "cardinality_count")
+
+
+@shared("K2_version_store")
+def _(ws):
+    spark = ws.profiles.sparkSession
+    path = scratch(spark, "store")
+    store.write_store(ws.profiles, path)
+    return store.read_store(spark, path).groupBy("table_name", "version").agg(
+        F.count(F.lit(1)).alias("columns"), F.sum("missing_count").alias("missing_cells")
+    )
+
+
+# ── exact drift from rows ───────────────────────────────────────────────────────────────────────
+
+
+def _counts(spark, sf_dir):
+    return rows.value_counts(rows.melt_all(tables.specs(spark, sf_dir)))
+
+
+@query("D6x_entropy_exact")
+def _(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    out = exact.entropy_drift(_counts(spark, sf_dir), ws.metrics)
+    return rounded(out, 4, "entropy_base", "entropy_new", "entropy_change")
+
+
+@query("D7x_ks_exact")
+def _(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    return rounded(exact.ks_exact(exact.pair_counts(_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "ks")
+
+
+@query("D8x_psi_exact")
+def _(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    return rounded(exact.psi_exact(exact.pair_counts(_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
+
+
+@query("D9x_psi_categorical_exact")
+def _(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    return rounded(exact.psi_categorical_exact(exact.pair_counts(_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
+
+
+# ── streaming ───────────────────────────────────────────────────────────────────────────────────
+
+
+def _windows(spark, sf_dir):
+    return windows.windowed_profile(windows.read_events(spark, sf_dir, "events.parquet"), "events", "ts", ["user_id", "value"])
+
+
+@query("M1_windowed_profile")
+def _(spark, sf_dir):
+    path = scratch(spark, "windows")
+    windows.run_to_table(_windows(spark, sf_dir), path, f"{path}-state")
+    out = spark.read.parquet(path).select("table_name", F.col("window_start").cast("date").alias("day"), "column_name", "row_count", "n_present", "min_val", "max_val", "mean", "std")
+    return rounded(out, 4, "mean", "std")
+
+
+@query("M2_drift_alerts")
+def _(spark, sf_dir):
+    path = scratch(spark, "alerts")
+    windows.run_alerts(_windows(spark, sf_dir), f"{path}-store", path, f"{path}-state")
+    return spark.read.parquet(path).drop("batch").withColumn("window_start", F.col("window_start").cast("date")).withColumn("base_start", F.col("base_start").cast("date"))
+
+
+@query("R3_sketch_profile")
+def _(spark, sf_dir):
+    """Sketch mode: exact counts and ranges, estimated distinct values and quartiles."""
+    p = rows.profile(spark, tables.specs(spark, sf_dir), tables.overrides(spark), mode="sketch")
+    return rounded(p.select(*GROUP, "row_count", "missing_count", "min_val", "max_val", "mean"), 4, "min_val", "max_val", "mean")

@@ -8,6 +8,7 @@ replans or recomputes the raw scan.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -368,3 +369,9 @@ def run_comparison(profiles: DataFrame, cfg: Thresholds = Thresholds(), stage: s
         "fallback_cards": themes.fallback_cards(ws.rules),
         "cards": cards.validated(ws.decision_view(stage), ws.i7, ws.c0),
     }
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one run inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
