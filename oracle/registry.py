@@ -548,7 +548,7 @@ answer("D9x_psi_categorical_exact", f"SELECT {_P}, {_rounded('psi', 6)}, categor
 answer(
     "M1_windowed_profile",
     """
-SELECT 'events' AS table_name, CAST(ts AS DATE) AS day, column_name, count(*) AS row_count, count(v) AS n_present,
+SELECT 'events' AS table_name, strftime(ts, '%Y-%m-%d') AS day, column_name, count(*) AS row_count, count(v) AS n_present,
   min(v) AS min_val, max(v) AS max_val, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std
 FROM (SELECT ts, 'user_id' AS column_name, CAST(user_id AS DOUBLE) AS v FROM events
       UNION ALL SELECT ts, 'value', value FROM events) t

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from varve.operators import cards, compare, drift, exact, interpret_single, pairs, signals, single, themes
 from varve.operators import interpret_compare as interpret
 from varve.plans import tables
-from varve.plans.workspace import Workspace, scratch
+from varve.plans.workspace import Workspace
 from varve.sources import payloads, rows
 from varve.sources import registry as store
+from varve.sources.shared import scratch, written
 from varve.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +66,10 @@ GROUP = ["table_name", "version", "column_name"]
 # ── profile from rows ───────────────────────────────────────────────────────────────────────────
 
 
+def _counts(spark, sf_dir):
+    return rows.value_counts(rows.melt_all(tables.specs(spark, sf_dir)))
+
+
 @query("R1_profile_rows")
 def _(spark, sf_dir):
     p = rows.profile(spark, tables.specs(spark, sf_dir), tables.overrides(spark))
@@ -93,45 +98,31 @@ def _(spark, sf_dir):
 
 @query("R3_cardinality")
 def _(spark, sf_dir):
-    long = rows.melt_all(tables.specs(spark, sf_dir))
-    totals = long.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("row_count"))
-    distinct = rows.value_counts(long).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("cardinality_count"))
-    return (
-        totals.join(distinct, GROUP, "left")
-        .withColumn("cardinality_count", F.coalesce("cardinality_count", F.lit(0)))
-        .withColumn("uniqueness_percent", F.round(100.0 * F.col("cardinality_count") / F.col("row_count"), 6))
+    facts = rows.basic_facts(_counts(spark, sf_dir))
+    return facts.select(
+        *GROUP, "row_count", "cardinality_count", F.round(100.0 * F.col("cardinality_count") / F.col("row_count"), 6).alias("uniqueness_percent")
     )
 
 
 @query("R4_outliers")
 def _(spark, sf_dir):
-    long = rows.melt_all(tables.specs(spark, sf_dir))
-    counts = rows.value_counts(long)
-    quartiles = rows.exact_quartiles(counts, rows.moments(long, brackets=True))
-    out = (
-        counts.join(quartiles, GROUP)
-        .groupBy(*GROUP)
-        .agg(
-            F.sum(F.when(rows.outlier_test(), F.col("cnt")).otherwise(0)).alias("n_outliers"),
-            F.max(F.round("q25", 4)).alias("q25"),
-            F.max(F.round("q50", 4)).alias("q50"),
-            F.max(F.round("q75", 4)).alias("q75"),
-        )
-    )
+    counts = written(_counts(spark, sf_dir), "value-counts")
+    stats = rows.basic_facts(counts)
+    facts = rows.value_facts(counts, stats, rows.exact_quartiles(counts, stats)).where("q50 is not null")
+    out = rounded(facts.select(*GROUP, "n_outliers", "q25", "q50", "q75"), 4, "q25", "q50", "q75")
     return out.withColumn("has_outliers", F.col("n_outliers") > 0)
 
 
 @query("R5_value_extremes")
 def _(spark, sf_dir):
-    counts = rows.value_counts(rows.melt_all(tables.specs(spark, sf_dir)))
-    freq = lambda sign: F.struct((sign * F.col("cnt")).alias("c"), "num", "txt")
-    return counts.groupBy(*GROUP).agg(
-        F.min_by("num", freq(-1)).alias("mode_num"),
-        F.min_by("txt", freq(-1)).alias("mode_txt"),
-        F.min_by("num", freq(1)).alias("rarest_num"),
-        F.min_by("txt", freq(1)).alias("rarest_txt"),
-        F.max("cnt").alias("mode_count"),
-    )
+    counts = written(_counts(spark, sf_dir), "value-counts")
+    stats = rows.basic_facts(counts)
+    facts = rows.value_facts(counts, stats, rows.exact_quartiles(counts, stats))
+    extremes = facts.select(
+        *GROUP, F.col("top_num").alias("mode_num"), F.col("top_txt").alias("mode_txt"),
+        F.col("low_num").alias("rarest_num"), F.col("low_txt").alias("rarest_txt"),
+    )
+    return extremes.join(stats.select(*GROUP, F.col("top_cnt").alias("mode_count")), GROUP)
 
 
 @shared("R6_scale_inference")
@@ -145,16 +136,9 @@ def _(ws):
 
 @query("R7_mismatch_blank")
 def _(spark, sf_dir):
-    long = rows.melt_all(tables.specs(spark, sf_dir)).where("txt is not null")
-    rules = tables.overrides(spark).where("pattern is not null").select("table_name", "column_name", "pattern")
-    bad = F.col("pattern").isNotNull() & (F.trim("txt") != "") & ~F.regexp_like("txt", F.col("pattern"))
-    return (
-        long.join(rules, ["table_name", "column_name"], "left")
-        .groupBy(*GROUP)
-        .agg(
-            F.count_if(bad).alias("mismatched_count"),
-            F.count_if(F.trim("txt") == "").alias("blank_value_count"),
-        )
+    long = rows.melt_all(tables.specs(spark, sf_dir)).where("blank is not null")
+    return long.groupBy(*GROUP).agg(
+        F.count_if("miss").alias("mismatched_count"), F.count_if("blank").alias("blank_value_count")
     )
 
 
@@ -937,10 +921,6 @@ def _(ws):
 # ── exact drift from rows ───────────────────────────────────────────────────────────────────────
 
 
-def _counts(spark, sf_dir):
-    return rows.value_counts(rows.melt_all(tables.specs(spark, sf_dir)))
-
-
 @query("D6x_entropy_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
@@ -977,7 +957,7 @@ def _windows(spark, sf_dir):
 def _(spark, sf_dir):
     path = scratch(spark, "windows")
     windows.run_to_table(_windows(spark, sf_dir), path, f"{path}-state")
-    out = spark.read.parquet(path).select("table_name", F.col("window_start").cast("date").alias("day"), "column_name", "row_count", "n_present", "min_val", "max_val", "mean", "std")
+    out = spark.read.parquet(path).select("table_name", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "column_name", "row_count", "n_present", "min_val", "max_val", "mean", "std")
     return rounded(out, 4, "mean", "std")
 
 
@@ -985,7 +965,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = scratch(spark, "alerts")
     windows.run_alerts(_windows(spark, sf_dir), f"{path}-store", path, f"{path}-state")
-    return spark.read.parquet(path).drop("batch").withColumn("window_start", F.col("window_start").cast("date")).withColumn("base_start", F.col("base_start").cast("date"))
+    return spark.read.parquet(path).drop("batch").withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ["window_start", "base_start"]})
 
 
 @query("R3_sketch_profile")

@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from varve.sources.rows import OVERRIDE_SCHEMA, TableSpec
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split the work on a source of a few small files, which would otherwise be read by one task each.
+
+    Sources with at least as many files as the session has cores stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order; version is the order year."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    orders = spread(read("orders"))
     lines = (
         read("lineitem")
         .groupBy("l_orderkey")
@@ -23,8 +33,7 @@ def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customers = read("customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     return (
-        read("orders")
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
         .select(
             F.year("o_orderdate").alias("version"),
@@ -61,10 +70,10 @@ def mutated_orders(base: DataFrame) -> DataFrame:
 
 def specs(spark: SparkSession, sf_dir: str) -> list[TableSpec]:
     base = orders_table(spark, sf_dir)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn(
         "version", F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1
     )
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn(
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn(
         "version", F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     )
     return [
@@ -72,26 +81,27 @@ def specs(spark: SparkSession, sf_dir: str) -> list[TableSpec]:
             "abt_orders",
             mutated_orders(base),
             present={"const": F.col("version") >= 2000, "order_status": F.col("version") < 2001},
+            patterns={"priority": "^[1-5]-[A-Z ]+$"},
         ),
         TableSpec("abt_steady", base),
-        TableSpec("events", events, columns=["event_id", "user_id", "event_type", "value", "props"]),
+        TableSpec("events", events, columns=["event_id", "user_id", "event_type", "value", "props"], patterns={"props": '^\\{"k": [0-9]{2}\\}$'}),
         TableSpec("documents", docs, columns=["doc_id", "text", "lang", "source", "n_chars"]),
     ]
 
 
-# Facts a data owner declares: scale, privacy and expected format.
+# Facts a data owner declares: scale and privacy.
 DECLARED = [
-    ("abt_orders", "order_id", "id", None, None),
-    ("abt_orders", "acct_balance", "interval", "private", None),
-    ("abt_orders", "n_lines", "interval", None, None),
-    ("abt_orders", "priority", "nominal", None, "^[1-5]-[A-Z ]+$"),
-    ("abt_steady", "order_id", "id", None, None),
-    ("abt_steady", "n_lines", "interval", None, None),
-    ("events", "event_id", "id", None, None),
-    ("events", "user_id", "nominal", "private", None),
-    ("events", "props", "nominal", None, '^\\{"k": [0-9]{2}\\}$'),
-    ("documents", "doc_id", "id", None, None),
-    ("documents", "n_chars", "interval", None, None),
+    ("abt_orders", "order_id", "id", None),
+    ("abt_orders", "acct_balance", "interval", "private"),
+    ("abt_orders", "n_lines", "interval", None),
+    ("abt_orders", "priority", "nominal", None),
+    ("abt_steady", "order_id", "id", None),
+    ("abt_steady", "n_lines", "interval", None),
+    ("events", "event_id", "id", None),
+    ("events", "user_id", "nominal", "private"),
+    ("events", "props", "nominal", None),
+    ("documents", "doc_id", "id", None),
+    ("documents", "n_chars", "interval", None),
 ]
 
 

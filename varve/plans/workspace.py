@@ -7,28 +7,14 @@ replans or recomputes the raw scan.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from varve.config import Thresholds
 from varve.operators import cards, compare, drift, interpret_single, narrative, pairs, signals, single, themes
 from varve.operators import interpret_compare as interpret
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only for a local session that has none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="varve-checkpoint-")
-    sc.setCheckpointDir(shared)
+from varve.sources.shared import ensure_checkpoint_dir
 
 
 class Workspace:
@@ -369,9 +355,3 @@ def run_comparison(profiles: DataFrame, cfg: Thresholds = Thresholds(), stage: s
         "fallback_cards": themes.fallback_cards(ws.rules),
         "cards": cards.validated(ws.decision_view(stage), ws.i7, ws.c0),
     }
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one run inside the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

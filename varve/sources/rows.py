@@ -3,11 +3,13 @@
 All tables are melted to one long shape and profiled by the same few shuffles, so the number of
 jobs does not grow with the number of tables or columns.
 
-* The *moments* pass has only mergeable aggregates: every map task sends one partial per group.
-* The *value counts* pass reduces rows to distinct values before anything else looks at them, so a
-  hot group or a hot value is already combined when it is shuffled.
-* Exact quartiles come from value counts inside brackets that an approximate percentile proves to
-  contain them. Brackets are cut into pieces, so no task ever holds a whole group.
+* The source is scanned once. Rows become *value counts* (group, value, count) with map-side
+  combining, so a hot group or a hot value is already small when it is shuffled.
+* Every other pass reads the value counts and has only mergeable aggregates.
+* Exact quartiles are found by narrowing: count values per range of the group, keep the ranges that
+  hold a wanted rank, split those again, and rank only inside the ranges that remain. No task ever
+  orders a whole group.
+* Sketch mode never builds value counts: one pass of sketches, one pass for the outlier fences.
 """
 
 from __future__ import annotations
@@ -19,32 +21,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.functions.scalars import finite
+from varve.sources.shared import written
 
 KEYS = ["table_name", "version", "column_name"]
+CELL = ["num", "txt", "res", "has", "blank", "miss"]
 QUARTILES = (0.25, 0.50, 0.75)
 SKETCH_ACCURACY = 10_000
-# Rank error of the sketch is at most 1/SKETCH_ACCURACY; five times that brackets the exact rank
-# once a group has BRACKET_FROM values. Smaller groups use their whole range as the bracket.
-BRACKET_SLACK = 5.0 / SKETCH_ACCURACY
-BRACKET_FROM = 100_000
-PIECES = 256
+RANGES = 2048
 LONG_TEXT = 64
 EXACT_DOUBLE_DIGITS = 15
 
-OVERRIDE_SCHEMA = (
-    "table_name string, column_name string, statistical_scale string, information_privacy string, pattern string"
-)
+OVERRIDE_SCHEMA = "table_name string, column_name string, statistical_scale string, information_privacy string"
 
 
 @dataclass
 class TableSpec:
-    """Rows of one table with an integer version column. ``present`` limits a column to some versions."""
+    """Rows of one table with an integer version column.
+
+    ``present`` limits a column to some versions; ``patterns`` gives the format of text columns.
+    """
 
     name: str
     rows: DataFrame
     version: str = "version"
     columns: list[str] | None = None
     present: dict[str, Column] = field(default_factory=dict)
+    patterns: dict[str, str] = field(default_factory=dict)
 
     def profiled(self) -> list[str]:
         return self.columns or [c for c in self.rows.columns if c != self.version]
@@ -79,28 +81,33 @@ def _residual(name: str, dt: T.DataType) -> Column:
     return F.lit(None).cast("bigint")
 
 
+def _cell(spec: TableSpec, name: str) -> Column:
+    dt = spec.rows.schema[name].dataType
+    kind, c = _kind(dt), F.col(f"`{name}`")
+    number = _as_double(name, dt) if kind == "num" else F.lit(None).cast("double")
+    words = c.cast("string") if kind == "char" else F.lit(None).cast("string")
+    # text checks see the whole text, before long texts are replaced by their digest
+    blank = (F.trim(c) == "") if kind == "char" else F.lit(None).cast("boolean")
+    miss = (~blank & ~c.rlike(spec.patterns[name])) if name in spec.patterns else F.lit(None).cast("boolean")
+    return F.struct(
+        number.alias("num"),
+        words.alias("txt"),
+        _residual(name, dt).alias("res"),
+        (number if kind == "num" else c).isNotNull().alias("has"),
+        blank.alias("blank"),
+        miss.alias("miss"),
+        spec.present.get(name, F.lit(True)).alias("in_schema"),
+    ).alias(name)
+
+
 def melt(spec: TableSpec) -> DataFrame:
     """Long form: one row per source row and column, in a single scan of the source."""
-    cells = []
-    for name in spec.profiled():
-        dt = spec.rows.schema[name].dataType
-        kind = _kind(dt)
-        cells.append(
-            F.struct(
-                (_as_double(name, dt) if kind == "num" else F.lit(None).cast("double")).alias("num"),
-                (F.col(f"`{name}`").cast("string") if kind == "char" else F.lit(None).cast("string")).alias("txt"),
-                _residual(name, dt).alias("res"),
-                (
-                    F.col(f"`{name}`").isNotNull() if kind != "num" else _as_double(name, dt).isNotNull()
-                ).alias("has"),
-                spec.present.get(name, F.lit(True)).alias("in_schema"),
-            ).alias(name)
-        )
-    wide = spec.rows.select(F.col(spec.version).cast("int").alias("version"), *cells)
-    long = wide.unpivot("version", spec.profiled(), "column_name", "cell").where("cell.in_schema")
-    return long.select(
-        F.lit(spec.name).alias("table_name"), "version", "column_name", "cell.num", "cell.txt", "cell.res", "cell.has"
-    )
+    names = spec.profiled()
+    wide = spec.rows.select(F.col(spec.version).cast("int").alias("version"), *[_cell(spec, n) for n in names])
+    long = wide.unpivot("version", names, "column_name", "cell")
+    if spec.present:
+        long = long.where("cell.in_schema")
+    return long.select(F.lit(spec.name).alias("table_name"), "version", "column_name", *[f"cell.{f}" for f in CELL])
 
 
 def melt_all(specs: list[TableSpec]) -> DataFrame:
@@ -123,97 +130,119 @@ def column_catalog(spark: SparkSession, specs: list[TableSpec]) -> DataFrame:
     )
 
 
-def moments(long: DataFrame, brackets: bool = False) -> DataFrame:
-    """Counts, range, moments and text lengths per group; with quartile brackets when asked."""
-    aggs = [
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if("has").alias("n_present"),
-        F.min("num").alias("min_val"),
-        F.max("num").alias("max_val"),
-        F.avg("num").alias("mean"),
-        F.stddev_samp("num").alias("std"),
-        F.skewness("num").alias("skewness"),
-        F.kurtosis("num").alias("kurtosis"),
-        F.count_if(F.trim("txt") == "").alias("blank_value_count"),
-        F.max(F.length("txt")).alias("chars_max_count"),
-        F.min(F.length("txt")).alias("chars_min_count"),
-    ]
-    if brackets:
-        probs = [min(max(p + s, 0.0), 1.0) for p in QUARTILES for s in (-BRACKET_SLACK, BRACKET_SLACK)]
-        aggs.append(F.percentile_approx("num", probs, SKETCH_ACCURACY).alias("bracket"))
-    return long.groupBy(*KEYS).agg(*aggs)
-
-
 def value_counts(long: DataFrame) -> DataFrame:
-    """Rows per distinct value. Long texts are keyed by the digest of the whole text."""
+    """Rows per distinct value, NULL included. Long texts are keyed by the digest of the whole text."""
     key = F.when(F.length("txt") <= LONG_TEXT, F.col("txt")).otherwise(F.concat(F.lit("sha256:"), F.sha2("txt", 256)))
     return (
-        long.where("has")
-        .withColumn("txt", key)
+        long.withColumns({"len": F.length("txt"), "txt": key})
         # 0.0 and -0.0 are one value
         .withColumn("num", F.col("num") + F.lit(0.0))
-        .groupBy(*KEYS, "num", "txt", "res")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .groupBy(*KEYS, "has", "num", "txt", "res")
+        # equal texts agree in length and in both checks
+        .agg(F.count(F.lit(1)).alias("cnt"), *[F.max(c).alias(c) for c in ("len", "blank", "miss")])
+    )
+
+
+def valued() -> Column:
+    """The row of value counts holds a comparable value."""
+    return F.col("num").isNotNull() | F.col("txt").isNotNull()
+
+
+def basic_facts(counts: DataFrame) -> DataFrame:
+    """Counts, range, mean and text lengths per group."""
+    c = F.col("cnt")
+    of = lambda cond: F.sum(F.when(cond, c).otherwise(0))
+    n_num = of(F.col("num").isNotNull())
+    return counts.groupBy(*KEYS).agg(
+        F.sum(c).alias("row_count"),
+        of(F.col("has")).alias("n_present"),
+        n_num.alias("n_num"),
+        F.count_if(valued()).alias("cardinality_count"),
+        F.min("num").alias("min_val"),
+        F.max("num").alias("max_val"),
+        F.try_divide(F.sum(c * F.col("num")), n_num).alias("mean"),
+        of(F.col("blank")).alias("blank_value_count"),
+        of(F.col("miss")).alias("mismatched_count"),
+        F.max("len").alias("chars_max_count"),
+        F.min("len").alias("chars_min_count"),
+        F.max(F.when(valued(), c)).alias("top_cnt"),
+        F.min(F.when(valued(), c)).alias("low_cnt"),
     )
 
 
+def _spread(v: Column) -> Column:
+    """Monotone map that keeps long tails from crowding the middle into one range."""
+    return F.signum(v) * F.log1p(F.abs(v))
+
+
+def _range_no(v: Column, lo: Column, hi: Column) -> Column:
+    """Non-decreasing range number of a value; halves keep the width of the widest ranges finite."""
+    width = F.greatest(hi * 0.5 - lo * 0.5, F.lit(1e-300))
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v * 0.5 - lo * 0.5) / width)) * (RANGES - 1)).cast("int")
+
+
+def _place(p: float) -> Column:
+    return F.lit(p) * (F.col("n") - 1)
+
+
+def _holds_wanted(start: str, end: str) -> Column:
+    """Some wanted rank lies in [start, end)."""
+    hit = F.lit(False)
+    for p in QUARTILES:
+        for r in (F.floor(_place(p)), F.ceil(_place(p))):
+            hit = hit | ((r >= F.col(start)) & (r < F.col(end)))
+    return hit
+
+
 def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
     """Exact interpolated quartiles per numeric group (see the module notes)."""
-    whole = F.col("row_count") < BRACKET_FROM
-    edge = lambda i, limit: F.when(whole, F.col(limit)).otherwise(F.col("bracket")[i])
     bounds = stats.where("min_val is not null").select(
-        *KEYS,
-        *[edge(2 * i, "min_val").alias(f"lo{i}") for i in range(3)],
-        *[edge(2 * i + 1, "max_val").alias(f"hi{i}") for i in range(3)],
+        *KEYS, F.col("n_num").alias("n"), _spread(F.col("min_val")).alias("lo"), _spread(F.col("max_val")).alias("hi")
     )
-    # Piece number: non-decreasing in the value; even zones lie between brackets, odd ones inside.
-    zone = lambda k: F.lit(2 * k * PIECES)
-    piece = F.when(F.col("num") < F.col("lo0"), zone(0))
-    for i in range(3):
-        lo, hi, v = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col("num")
-        part = F.floor(F.least((v - lo) / F.greatest(hi - lo, F.lit(1e-300)), F.lit(1.0)) * (PIECES - 1))
-        piece = piece.when(v < lo, zone(i)).when(v <= hi, F.lit((2 * i + 1) * PIECES) + part)
-    piece = piece.otherwise(zone(3)).cast("int")
-    inside = F.floor(F.col("piece") / PIECES) % 2 == 1
-
-    slim = (
+    first = (
         counts.where("num is not null")
         .join(bounds, KEYS)
-        .select(*KEYS, "num", "cnt", piece.alias("piece"))
-        .select(*KEYS, "piece", F.when(inside, F.col("num")).alias("num"), "cnt")
-        .groupBy(*KEYS, "piece", "num")
+        .select(*KEYS, "n", "num", "cnt", _range_no(_spread(F.col("num")), F.col("lo"), F.col("hi")).alias("r1"))
+    )
+    end_1 = F.sum("c1").over(Window.partitionBy(*KEYS).orderBy("r1"))
+    hits_1 = (
+        first.groupBy(*KEYS, "n", "r1")
+        .agg(F.sum("cnt").alias("c1"), F.min("num").alias("lo1"), F.max("num").alias("hi1"))
+        .withColumn("end1", end_1)
+        .withColumn("start1", F.col("end1") - F.col("c1"))
+        .where(_holds_wanted("start1", "end1"))
+        .select(*KEYS, "r1", "start1", "lo1", "hi1")
+    )
+    second = (
+        first.join(hits_1, [*KEYS, "r1"])
+        .withColumn("r2", _range_no(F.col("num"), F.col("lo1"), F.col("hi1")))
+        # integers beyond 2^53 may share a double: one row per double from here on
+        .groupBy(*KEYS, "n", "r1", "start1", "r2", "num")
         .agg(F.sum("cnt").alias("cnt"))
     )
-    group = Window.partitionBy(*KEYS)
-    totals = (
-        slim.groupBy(*KEYS, "piece")
-        .agg(F.sum("cnt").alias("piece_cnt"))
-        .withColumn("piece_end", F.sum("piece_cnt").over(group.orderBy("piece")))
-        .withColumn("n", F.sum("piece_cnt").over(group))
-        .withColumn("piece_start", F.col("piece_end") - F.col("piece_cnt"))
+    end_2 = F.col("start1") + F.sum("c2").over(Window.partitionBy(*KEYS, "r1").orderBy("r2"))
+    hits_2 = (
+        second.groupBy(*KEYS, "n", "r1", "start1", "r2")
+        .agg(F.sum("cnt").alias("c2"))
+        .withColumn("end2", end_2)
+        .withColumn("start2", F.col("end2") - F.col("c2"))
+        .where(_holds_wanted("start2", "end2"))
+        .select(*KEYS, "r1", "r2", "start2")
     )
-    place = lambda p: F.lit(p) * (F.col("n") - 1)
-    hit = F.lit(False)
-    for p in QUARTILES:
-        for r in (F.floor(place(p)), F.ceil(place(p))):
-            hit = hit | ((r >= F.col("piece_start")) & (r < F.col("piece_end")))
     ranked = (
-        slim.join(totals.where(hit).select(*KEYS, "piece", "piece_start", "n"), [*KEYS, "piece"])
-        .withColumn(
-            "end_rank",
-            F.col("piece_start") + F.sum("cnt").over(Window.partitionBy(*KEYS, "piece").orderBy("num")),
-        )
+        second.join(hits_2, [*KEYS, "r1", "r2"])
+        .withColumn("end_rank", F.col("start2") + F.sum("cnt").over(Window.partitionBy(*KEYS, "r1", "r2").orderBy("num")))
         .withColumn("start_rank", F.col("end_rank") - F.col("cnt"))
     )
     at = lambda r: F.max(F.when((r >= F.col("start_rank")) & (r < F.col("end_rank")), F.col("num")))
     picks = []
     for i, p in enumerate(QUARTILES):
-        picks += [at(F.floor(place(p))).alias(f"f{i}"), at(F.ceil(place(p))).alias(f"c{i}")]
+        picks += [at(F.floor(_place(p))).alias(f"f{i}"), at(F.ceil(_place(p))).alias(f"c{i}")]
     picked = ranked.groupBy(*KEYS).agg(F.max("n").alias("n"), *picks)
     return picked.select(
         *KEYS,
         *[
-            (F.col(f"f{i}") + (F.col(f"c{i}") - F.col(f"f{i}")) * (place(p) - F.floor(place(p)))).alias(name)
+            (F.col(f"f{i}") + (F.col(f"c{i}") - F.col(f"f{i}")) * (_place(p) - F.floor(_place(p)))).alias(name)
             for i, (p, name) in enumerate(zip(QUARTILES, ["q25", "q50", "q75"]))
         ],
     )
@@ -225,63 +254,82 @@ def outlier_test() -> Column:
     return (F.col("num") < F.col("q25") - 1.5 * iqr) | (F.col("num") > F.col("q75") + 1.5 * iqr)
 
 
-def frequency_facts(counts: DataFrame, quartiles: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Distinct values, extremes of frequency, outliers and pattern mismatches from value counts."""
-    label = F.coalesce(F.col("txt"), F.col("num").cast("string"))
-    by_freq = lambda sign: F.struct((sign * F.col("cnt")).alias("c"), F.col("num"), F.col("txt"))
-    rules = overrides.where("pattern is not null").select("table_name", "column_name", "pattern")
-    return (
-        counts.join(quartiles, KEYS, "left")
-        .join(rules, ["table_name", "column_name"], "left")
+def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """Central moments, outliers and extremes of frequency (the least value wins among equals).
+
+    Numbers and texts are aggregated apart: numeric buffers allow hash aggregation, while a text
+    buffer forces a sort, so only texts at an extreme frequency go there.
+    """
+    d, c = F.col("num") - F.col("mean"), F.col("cnt")
+    top, low = c == F.col("top_cnt"), c == F.col("low_cnt")
+    centre = stats.select(*KEYS, "mean", "n_num", "top_cnt", "low_cnt").join(quartiles, KEYS)
+    numbers = (
+        counts.where("num is not null")
+        .join(centre, KEYS)
+        .withColumn("d", d)
+        .withColumn("d2", F.col("d") * F.col("d"))
         .groupBy(*KEYS)
         .agg(
-            F.count(F.lit(1)).alias("cardinality_count"),
-            F.sum(F.when(outlier_test(), F.col("cnt")).otherwise(0)).alias("n_outliers"),
-            F.min_by(label, by_freq(-1)).alias("most_common_value"),
-            F.min_by(label, by_freq(1)).alias("least_common_value"),
-            F.min_by("num", by_freq(-1)).alias("mode_num"),
-            F.max("cnt").alias("mode_count"),
-            F.sum(
-                F.when(
-                    F.col("pattern").isNotNull() & (F.trim("txt") != "") & ~F.regexp_like("txt", F.col("pattern")),
-                    F.col("cnt"),
-                ).otherwise(0)
-            ).alias("mismatched_count"),
-            F.max("q25").alias("q25"),
-            F.max("q50").alias("q50"),
-            F.max("q75").alias("q75"),
+            F.max("n_num").cast("double").alias("n"),
+            F.sum(c * F.col("d2")).alias("m2"),
+            F.sum(c * F.col("d2") * F.col("d")).alias("m3"),
+            F.sum(c * F.col("d2") * F.col("d2")).alias("m4"),
+            F.sum(F.when(outlier_test(), c).otherwise(0)).alias("n_outliers"),
+            F.min(F.when(top, F.col("num"))).alias("top_num"),
+            F.min(F.when(low, F.col("num"))).alias("low_num"),
+            *[F.max(q).alias(q) for q in ("q25", "q50", "q75")],
         )
     )
-
-
-def _sketch_facts(long: DataFrame, stats: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Same facts from sketches: one mergeable pass plus one for the outlier fences."""
-    key = F.when(F.col("has"), F.struct("num", "txt", "res"))
-    quart = stats.select(
-        *KEYS, *[F.col("bracket")[i].alias(q) for i, q in enumerate(["q25", "q50", "q75"])]
+    words = (
+        counts.where("txt is not null")
+        .join(stats.select(*KEYS, "top_cnt", "low_cnt"), KEYS)
+        .where(top | low)
+        .groupBy(*KEYS)
+        .agg(F.min(F.when(top, F.col("txt"))).alias("top_txt"), F.min(F.when(low, F.col("txt"))).alias("low_txt"))
     )
-    rules = overrides.where("pattern is not null").select("table_name", "column_name", "pattern")
+    n, m2 = F.col("n"), F.col("m2")
+    spread = m2 > 0
     return (
-        long.join(quart, KEYS)
-        .join(rules, ["table_name", "column_name"], "left")
-        .groupBy(*KEYS)
-        .agg(
-            F.approx_count_distinct(F.xxhash64(key.getField("num"), key.getField("txt"), key.getField("res")), 0.01).alias("hll"),
-            F.count_if("has").alias("seen"),
-            F.count_if(outlier_test()).alias("n_outliers"),
-            F.count_if(
-                F.col("pattern").isNotNull() & (F.trim("txt") != "") & ~F.regexp_like("txt", F.col("pattern"))
-            ).alias("mismatched_count"),
-            F.max("q25").alias("q25"),
-            F.max("q50").alias("q50"),
-            F.max("q75").alias("q75"),
+        numbers.join(words, KEYS, "full")
+        .withColumns(
+            {
+                "std": F.when(n > 1, F.sqrt(m2 / (n - 1))),
+                "skewness": F.when(spread, F.sqrt(n) * F.col("m3") / (m2 * F.sqrt(m2))),
+                "kurtosis": F.when(spread, n * F.col("m4") / (m2 * m2) - 3.0),
+                "most_common_value": F.coalesce("top_txt", F.col("top_num").cast("string")),
+                "least_common_value": F.coalesce("low_txt", F.col("low_num").cast("string")),
+            }
         )
-        .withColumn("cardinality_count", F.when(F.col("seen") == 0, 0).otherwise(F.col("hll")))
-        .drop("hll", "seen")
+        .drop("n", "m2", "m3", "m4")
+    )
+
+
+def sketch_facts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same facts from mergeable sketches: exact counts and moments, estimated ranks and distinct values."""
+    value = F.when(F.col("has"), F.xxhash64("num", "txt", "res"))
+    stats = long.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if("has").alias("n_present"),
+        F.approx_count_distinct(value, 0.01).alias("cardinality_count"),
+        F.min("num").alias("min_val"),
+        F.max("num").alias("max_val"),
+        F.avg("num").alias("mean"),
+        F.stddev_samp("num").alias("std"),
+        F.skewness("num").alias("skewness"),
+        F.kurtosis("num").alias("kurtosis"),
+        F.count_if("blank").alias("blank_value_count"),
+        F.count_if("miss").alias("mismatched_count"),
+        F.max(F.length("txt")).alias("chars_max_count"),
+        F.min(F.length("txt")).alias("chars_min_count"),
+        F.percentile_approx("num", list(QUARTILES), SKETCH_ACCURACY).alias("q"),
+    ).withColumns({name: F.col("q")[i] for i, name in enumerate(["q25", "q50", "q75"])}).drop("q")
+    second = (
+        long.join(stats.select(*KEYS, "q25", "q50", "q75"), KEYS)
+        .groupBy(*KEYS)
+        .agg(F.count_if(outlier_test()).alias("n_outliers"))
         .withColumns({c: F.lit(None).cast("string") for c in ["most_common_value", "least_common_value"]})
-        .withColumn("mode_num", F.lit(None).cast("double"))
-        .withColumn("mode_count", F.lit(None).cast("bigint"))
     )
+    return stats, second
 
 
 def infer_scale() -> Column:
@@ -320,18 +368,15 @@ def profile(
         overrides = spark.createDataFrame([], OVERRIDE_SCHEMA)
     long = melt_all(specs)
     if mode == "sketch":
-        stats = long.groupBy(*KEYS).agg(
-            F.percentile_approx("num", list(QUARTILES), SKETCH_ACCURACY).alias("bracket")
-        )
-        facts = _sketch_facts(long, stats, overrides)
-        stats = moments(long)
+        stats, facts = sketch_facts(long)
     else:
-        stats = moments(long, brackets=True)
-        counts = value_counts(long)
-        facts = frequency_facts(counts, exact_quartiles(counts, stats), overrides)
-        stats = stats.drop("bracket")
+        # read by several passes: written once, so the source is scanned once
+        counts = written(value_counts(long), "value-counts")
+        stats = basic_facts(counts)
+        facts = value_facts(counts, stats, exact_quartiles(counts, stats))
     wide = (
-        stats.join(facts, KEYS, "left")
+        stats.drop("n_num", "top_cnt", "low_cnt")
+        .join(facts, KEYS, "left")
         .join(column_catalog(spark, specs), ["table_name", "column_name"])
         .join(
             overrides.select(
@@ -340,7 +385,6 @@ def profile(
             ["table_name", "column_name"],
             "left",
         )
-        .withColumn("cardinality_count", F.coalesce("cardinality_count", F.lit(0)))
     )
     rows = F.col("row_count")
     return wide.withColumns(
@@ -356,7 +400,6 @@ def profile(
             "n_outliers": F.coalesce("n_outliers", F.lit(0)),
             "has_outliers": F.coalesce(F.col("n_outliers") > 0, F.lit(False)),
             "mode": F.col("most_common_value"),
-            "mismatched_count": F.coalesce("mismatched_count", F.lit(0)),
             "has_unique_field": (F.col("cardinality_count") == rows) & (F.col("data_type") == "char")
             | (F.col("cardinality_count") == rows) & (F.col("cas_data_type").isin("int", "bigint")),
             "semantic_type_id": F.lit(None).cast("string"),
