@@ -17,23 +17,36 @@ from varve.plans import tables
 from varve.plans.workspace import Workspace
 from varve.sources import payloads, rows
 from varve.sources import registry as store
-from varve.sources.shared import scratch, written
+from varve.sources.shared import scratch
 from varve.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _WORKSPACES: dict[tuple[str, str], Workspace] = {}
+_COUNTS: dict[tuple[str, str], DataFrame] = {}
 
 
 def forget() -> None:
     """Drop the shared stages, so that the next query starts from the source tables."""
     _WORKSPACES.clear()
+    _COUNTS.clear()
+
+
+def shared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value counts of the four tables, written once per session and source folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COUNTS:
+        _COUNTS[key] = rows.written_counts(tables.specs(spark, sf_dir))
+    return _COUNTS[key]
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WORKSPACES:
-        _WORKSPACES[key] = Workspace(rows.profile(spark, tables.specs(spark, sf_dir), tables.overrides(spark)))
+        counts = shared_counts(spark, sf_dir)
+        _WORKSPACES[key] = Workspace(
+            rows.profile(spark, tables.specs(spark, sf_dir), tables.overrides(spark), counts=counts)
+        )
     return _WORKSPACES[key]
 
 
@@ -66,10 +79,6 @@ GROUP = ["table_name", "version", "column_name"]
 # ── profile from rows ───────────────────────────────────────────────────────────────────────────
 
 
-def _counts(spark, sf_dir):
-    return rows.value_counts(rows.melt_all(tables.specs(spark, sf_dir)))
-
-
 @query("R1_profile_rows")
 def _(spark, sf_dir):
     p = rows.profile(spark, tables.specs(spark, sf_dir), tables.overrides(spark))
@@ -98,7 +107,7 @@ def _(spark, sf_dir):
 
 @query("R3_cardinality")
 def _(spark, sf_dir):
-    facts = rows.basic_facts(_counts(spark, sf_dir))
+    facts = rows.basic_facts(shared_counts(spark, sf_dir))
     return facts.select(
         *GROUP, "row_count", "cardinality_count", F.round(100.0 * F.col("cardinality_count") / F.col("row_count"), 6).alias("uniqueness_percent")
     )
@@ -106,7 +115,7 @@ def _(spark, sf_dir):
 
 @query("R4_outliers")
 def _(spark, sf_dir):
-    counts = written(_counts(spark, sf_dir), "value-counts")
+    counts = shared_counts(spark, sf_dir)
     stats = rows.basic_facts(counts)
     facts = rows.value_facts(counts, stats, rows.exact_quartiles(counts, stats)).where("q50 is not null")
     out = rounded(facts.select(*GROUP, "n_outliers", "q25", "q50", "q75"), 4, "q25", "q50", "q75")
@@ -115,7 +124,7 @@ def _(spark, sf_dir):
 
 @query("R5_value_extremes")
 def _(spark, sf_dir):
-    counts = written(_counts(spark, sf_dir), "value-counts")
+    counts = shared_counts(spark, sf_dir)
     stats = rows.basic_facts(counts)
     facts = rows.value_facts(counts, stats, rows.exact_quartiles(counts, stats))
     extremes = facts.select(
@@ -924,26 +933,26 @@ def _(ws):
 @query("D6x_entropy_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    out = exact.entropy_drift(_counts(spark, sf_dir), ws.metrics)
+    out = exact.entropy_drift(shared_counts(spark, sf_dir), ws.metrics)
     return rounded(out, 4, "entropy_base", "entropy_new", "entropy_change")
 
 
 @query("D7x_ks_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    return rounded(exact.ks_exact(exact.pair_counts(_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "ks")
+    return rounded(exact.ks_exact(exact.pair_counts(shared_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "ks")
 
 
 @query("D8x_psi_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    return rounded(exact.psi_exact(exact.pair_counts(_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
+    return rounded(exact.psi_exact(exact.pair_counts(shared_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
 
 
 @query("D9x_psi_categorical_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    return rounded(exact.psi_categorical_exact(exact.pair_counts(_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
+    return rounded(exact.psi_categorical_exact(exact.pair_counts(shared_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
 
 
 # ── streaming ───────────────────────────────────────────────────────────────────────────────────

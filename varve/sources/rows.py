@@ -143,6 +143,11 @@ def value_counts(long: DataFrame) -> DataFrame:
     )
 
 
+def written_counts(specs: list[TableSpec]) -> DataFrame:
+    """Value counts of all tables as a table in the shared folder."""
+    return written(value_counts(melt_all(specs)), "value-counts")
+
+
 def valued() -> Column:
     """The row of value counts holds a comparable value."""
     return F.col("num").isNotNull() | F.col("txt").isNotNull()
@@ -362,16 +367,19 @@ def profile(
     overrides: DataFrame | None = None,
     snapshot_date: str | None = None,
     mode: str = "exact",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Profile facts of all tables and versions. ``mode`` is ``exact`` or ``sketch``."""
+    """Profile facts of all tables and versions. ``mode`` is ``exact`` or ``sketch``.
+
+    Exact mode reads value counts by several passes: they are written once, so the source is scanned
+    once. Pass ``counts`` (from ``written_counts``) to share them with other work on the same rows.
+    """
     if overrides is None:
         overrides = spark.createDataFrame([], OVERRIDE_SCHEMA)
-    long = melt_all(specs)
     if mode == "sketch":
-        stats, facts = sketch_facts(long)
+        stats, facts = sketch_facts(melt_all(specs))
     else:
-        # read by several passes: written once, so the source is scanned once
-        counts = written(value_counts(long), "value-counts")
+        counts = written_counts(specs) if counts is None else counts
         stats = basic_facts(counts)
         facts = value_facts(counts, stats, exact_quartiles(counts, stats))
     wide = (
