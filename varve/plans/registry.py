@@ -43,10 +43,10 @@ def shared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WORKSPACES:
-        counts = shared_counts(spark, sf_dir)
-        _WORKSPACES[key] = Workspace(
-            rows.profile(spark, tables.specs(spark, sf_dir), tables.overrides(spark), counts=counts)
-        )
+        specs = tables.specs(spark, sf_dir)
+        if key not in _COUNTS:
+            _COUNTS[key] = rows.written_counts(specs)
+        _WORKSPACES[key] = Workspace(rows.profile(spark, specs, tables.overrides(spark), counts=_COUNTS[key]))
     return _WORKSPACES[key]
 
 
