@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import SF_DIR
 
@@ -21,7 +22,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return bool(value)
