@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import mixing, tokens
+from varve.llm import mixing, quality, sharding, tokens
 
 #: Vocabulary file of op2; public_tokenizers finds it on any machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,8 +30,14 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
+    "op7_shards": op7_shards,
 }
 ORACLE: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL}
