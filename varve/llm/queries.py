@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import language, mixing, quality, sharding, tokens
+from varve.llm import fingerprints, language, mixing, quality, sharding, tokens
 
 #: Vocabulary file of op2; public_tokenizers finds it on any machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(documents(spark, sf_dir))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
     "op7_shards": op7_shards,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
 }
 ORACLE: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL}
