@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import fingerprints, language, mixing, neardup, quality, sharding, tokens
+from varve.llm import ctw, fingerprints, language, mixing, neardup, quality, sharding, tokens
 
 #: Vocabulary file of op2; public_tokenizers finds it on any machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(documents(spark, sf_dir))
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(documents(spark, sf_dir))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(documents(spark, sf_dir), size=3, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
+    "op4_context_tree": op4_context_tree,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_shards": op7_shards,
     "op9_fingerprints": op9_fingerprints,
