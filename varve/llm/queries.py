@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import ctw, fingerprints, language, mixing, neardup, quality, sharding, tokens
+from varve.llm import ctw, decontaminate, fingerprints, language, mixing, neardup, quality, sharding, tokens
 
 #: Vocabulary file of op2; public_tokenizers finds it on any machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(documents(spark, sf_dir), size=3, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_source_mix": op3_source_mix,
     "op4_context_tree": op4_context_tree,
+    "op5_decontamination": op5_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_shards": op7_shards,
     "op9_fingerprints": op9_fingerprints,
