@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import ctw, decontaminate, fingerprints, language, mixing, neardup, quality, sharding, tokens
+from varve.llm import ctw, decontaminate, fingerprints, language, licenses, mixing, neardup, quality, sharding, tokens
 
 #: Vocabulary file of op2; public_tokenizers finds it on any machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(documents(spark, sf_dir))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(documents(spark, sf_dir))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(documents(spark, sf_dir))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_shards": op7_shards,
+    "op8_licenses": op8_licenses,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
 }
