@@ -269,7 +269,7 @@ def _score(model: Model, slab: Slab) -> list[pa.Array]:
     slot = (hashes & np.uint64(len(model.words) - 1)).astype(np.int64)
     count = np.where(model.words[slot] == hashes, model.counts[slot], 0)
     frequent = count > 0
-    known = np.bincount(row, weights=np.where(frequent, np.log10(count + 0.5), 0), minlength=slab.rows)
+    known = np.bincount(row, weights=np.where(frequent, np.log10(count + 0.5), 0), minlength=slab.rows).astype(np.float64)
     n_known = np.bincount(row[frequent], minlength=slab.rows)
     rare, of = hashes[~frequent], row[~frequent]
     order = np.lexsort((rare, of))
