@@ -10,9 +10,12 @@ rarest elements hold one in common; when both sets fit in a sketch, the place of
 overlap further. For longer sets the same holds for the sketches with ``kept`` of k values, five standard
 deviations below the expected k*t. Lists of values that very many documents hold are therefore hardly used.
 
-Pairs are taken in two rounds: each list first links its members to its first one; after these links are
-verified and joined to components, only members of different components meet. So a large group of copies
-costs a few links per member, and no link between different texts is lost.
+Pairs are taken in two rounds. Each list first links its members to the one that holds its value at the
+earliest place, which is the plainest of a group of copies; after these links are verified and joined to
+components, only members of different components meet. In short lists they do so at once, which is linear in
+the number of members. The members of long lists are looked up anew by their whole sets: their lists then
+follow from all shingles, and the places bound the overlap without the slack of a sketch. So a large group of
+copies costs a few links per member, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ from varve.sources.shared import written
 K = 192
 #: Sample of classes in which very frequent values are looked for, and the share of it that makes one.
 HOT_SAMPLE, HOT_SHARE = 64, 0.02
+#: Members of a list that meet directly; longer lists are resolved by whole sets.
+SHORT_LIST = 32
+WHOLE = 1 << 40
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -116,48 +122,67 @@ def may_match(a: dict[str, Column], b: dict[str, Column], t: float, k: int = K)
 
 
 def star_pairs(lists: DataFrame, t: float, k: int = K) -> DataFrame:
-    """Each member of a list with the list's first one."""
-    head = lists.groupBy("value").agg(F.min(F.struct("class", "n", "place")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    """Each member of a list with the one that holds the value at the earliest place."""
+    head = lists.groupBy("value").agg(F.min(F.struct("place", "class", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     of = lambda s: {c: F.col(f"{s}{c}") for c in ("n", "place")}
-    found = lists.join(head, "value").where(F.col("head.class") < F.col("class")).where(may_match(of("head."), of(""), t, k))
-    return found.select(F.col("head.class").alias("a"), F.col("class").alias("b")).distinct()
+    found = lists.join(head, "value").where(F.col("head.class") != F.col("class")).where(may_match(of("head."), of(""), t, k))
+    return found.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
 
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame, t: float, k: int = K) -> DataFrame:
-    """Members of a list that are in different components so far."""
-    marked = written(lists.join(labels, F.col("class") == F.col("node"), "left").select("value", "class", "n", "place", F.coalesce("label", "class").alias("label")), "neardup-marked")
-    spread = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
-    open_lists = marked.join(spread, "value", "left_semi")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+def meeting(lists: DataFrame, t: float, k: int) -> DataFrame:
+    """Pairs of members of a list with different labels."""
+    x, y = lists.alias("x"), lists.alias("y")
     of = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "place")}
     met = (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
     return x.join(y, met & may_match(of("x"), of("y"), t, k)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, size: int, num: int, den: int, k: int = K) -> DataFrame:
-    """The pairs of classes with den*|A and B| >= num*|A or B|: estimated on the union's sketch, then on full sets."""
-    t = num / den
-    one = table.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    chosen = written(one.join(ends, "class", "left_semi").select("doc_id", "class"), "neardup-chosen")
-    low = table.join(chosen.select("class", F.col("doc_id").alias("of")), "class").where(F.col("doc_id").eqNullSafe(F.col("of"))).dropDuplicates(["class"]).select("class", "n", "sketch")
-    low = written(low, "neardup-sketches")
-    side = lambda s, c: low.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(c))
-    joined = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
-    whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
-    union = F.array_sort(F.array_union("sa", "sb"))
-    top = F.when(whole, union).otherwise(F.slice(union, 1, k))
-    share = F.size(F.array_intersect(F.array_intersect(top, F.col("sa")), F.col("sb"))) / F.size(top)
-    near = F.when(whole, t - 1e-9).otherwise(t - 5 * math.sqrt(t * (1 - t) / k))
-    likely = written(joined.where(share >= near).select("a", "b"), "neardup-likely")
-    needed = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = chosen.join(needed, "class", "left_semi").select(F.col("doc_id").alias("of")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    sets = written(full_sets(texts, size).join(needed, "class", "left_semi").dropDuplicates(["class"]), "neardup-sets")
-    both = likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union_size = F.size("set_a") + F.size("set_b") - F.col("shared")
-    return both.withColumn("shared", shared).where(den * F.col("shared") >= num * union_size).select("a", "b")
+class Search:
+    """The steps of one search for near duplicates over ``docs`` and its sketch table."""
+
+    def __init__(self, docs: DataFrame, table: DataFrame, size: int, num: int, den: int, k: int = K) -> None:
+        self.docs, self.table, self.size, self.num, self.den, self.k = docs, table, size, num, den, k
+        self.t = num / den
+        self.holder = written(table.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "neardup-holders")
+
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """class, n, set: the whole sets of the given classes, from one document of each."""
+        ids = self.holder.join(classes, "class", "left_semi").select(F.col("doc_id").alias("of")).distinct()
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+        found = full_sets(texts, self.size).join(classes, "class", "left_semi").dropDuplicates(["class"])
+        return written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
+
+    def crossing_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of a list that are in different components so far."""
+        label = lambda df: df.join(labels, F.col("class") == F.col("node"), "left").select("value", "class", "n", "place", F.coalesce("label", "class").alias("label"))
+        marked = written(label(lists), "neardup-marked")
+        open_lists = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+        open_lists = written(open_lists.select("value", "members"), "neardup-open")
+        short = marked.join(open_lists.where(F.col("members") <= SHORT_LIST), "value", "left_semi")
+        direct = meeting(short, self.t, self.k)
+        crowded = written(marked.join(open_lists.where(F.col("members") > SHORT_LIST), "value", "left_semi").select("class").distinct(), "neardup-crowded")
+        whole = self.sets(crowded).withColumnRenamed("set", "sketch")
+        finer = written(label(prefixes(whole, self.t, WHOLE)), "neardup-finer")
+        return direct.unionByName(meeting(finer, self.t, WHOLE)).distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of classes with den*|A and B| >= num*|A or B|: estimated on the union's sketch, then on full sets."""
+        t, k = self.t, self.k
+        classes = lambda df: df.select(F.col("a").alias("class")).unionByName(df.select(F.col("b").alias("class"))).distinct()
+        low = self.table.join(classes(pairs), "class", "left_semi").dropDuplicates(["class"]).select("class", "n", "sketch")
+        low = written(low, "neardup-sketches")
+        side = lambda s, c: low.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(c))
+        joined = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+        whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
+        union = F.array_sort(F.array_union("sa", "sb"))
+        top = F.when(whole, union).otherwise(F.slice(union, 1, k))
+        share = F.size(F.array_intersect(F.array_intersect(top, F.col("sa")), F.col("sb"))) / F.size(top)
+        near = F.when(whole, t - 1e-9).otherwise(t - 5 * math.sqrt(t * (1 - t) / k))
+        likely = written(joined.where(share >= near).select("a", "b"), "neardup-likely")
+        sets = self.sets(classes(likely))
+        both = likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
+        union_size = F.size("set_a") + F.size("set_b") - F.col("shared")
+        return both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b"))).where(self.den * F.col("shared") >= self.num * union_size).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
@@ -172,12 +197,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     t = num / den
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(sketches(docs, size, k), "neardup-sketch")
+    search = Search(docs, table, size, num, den, k)
     lists = written(prefixes(table, t, k), "neardup-lists")
     stars = written(star_pairs(lists, t, k), "neardup-stars")
-    links = written(verified(stars, table, docs, size, num, den, k), "neardup-links")
+    links = written(search.verified(stars), "neardup-links")
     labels = written(components(links), "neardup-labels")
-    more = written(crossing_pairs(lists, labels, t, k).join(stars, ["a", "b"], "left_anti"), "neardup-crossing")
-    links = links.unionByName(written(verified(more, table, docs, size, num, den, k), "neardup-links"))
+    more = written(search.crossing_pairs(lists, labels).join(stars, ["a", "b"], "left_anti"), "neardup-crossing")
+    links = links.unionByName(written(search.verified(more), "neardup-links"))
     labels = written(components(links), "neardup-labels")
     rows = table.select("doc_id", "n", "class").join(labels, F.col("class") == F.col("node"), "left")
     rows = written(rows.select("doc_id", "n", "class", F.coalesce("label", "class").alias("label")), "neardup-rows")
