@@ -1,19 +1,43 @@
-"""Corpus preparation: the stages that turn raw documents into shuffled training shards."""
+"""Corpus preparation: the stages that turn raw documents into shuffled training shards.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns the columns of
+documents; the last adds shard and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import mixing
+from varve.llm import decontaminate, mixing, neardup, quality, sharding
 from varve.sources.shared import written
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.keep_one(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("mix", mix)]
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in random order, cut into shards."""
+    return sharding.shuffle_to_shards(docs)
+
+
+STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("mixing", mixed), ("sharding", sharded)]
 
 #: The classifier and the sketches have no SQL form; tests/llm compare each stage with a plain version.
 ORACLE_SQL = None

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varve.llm.components import components
 from varve.llm.ship import ship
@@ -211,3 +212,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     out = rows.join(lowest, F.col("label") == F.col("of"), "left")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", "label", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each group of near duplicates, with all columns: the smallest doc_id, null ids last.
+
+    Texts without words belong to no group and all stay; of rows that repeat id and text one stays.
+    """
+    columns = docs.columns
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = near_duplicates(ids, size, num, den).where("label IS NOT NULL").select("doc_id", "class", "label")
+    rows = written(found.groupBy("doc_id", "class", "label").count(), "neardup-decided")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class")).alias("best")
+    decided = rows.join(rows.groupBy(F.col("label").alias("of")).agg(best), F.col("label") == F.col("of"))
+    wins = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("class") == F.col("best.class"))
+    name = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("class").alias("__of"))
+    lost, repeated = name(decided.where(~wins)), name(decided.where(wins & (F.col("count") > 1)))
+    at = columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [class_of(s) if len(s) else None for s in shingle_sets(batch.column(at), size)]
+            yield batch.append_column("__class", pa.array(classes, pa.int64()))
+
+    marked = docs.mapInArrow(mark, schema)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__of"))
+    kept = marked.join(lost, same, "left_anti")
+    if not repeated.isEmpty():
+        twice = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__class"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(twice)
+    return kept.select(*[F.col(f"`{c}`") for c in columns])
