@@ -436,7 +436,7 @@ step(
     """
 SELECT table_name, verdict,
   CASE verdict WHEN 'BLOCK' THEN 'red' WHEN 'BACK_TEST_REQUIRED' THEN 'amber' WHEN 'MONITOR' THEN 'blue' ELSE 'green' END AS color,
-  back_test_required, issue_count, target_moves, shift_count, first_shift_columns, degraded_pairs, first_score, last_score
+  back_test_required, issue_count, target_moves, shift_count, shift_columns, degraded_pairs, first_score, last_score
 FROM (SELECT *, CASE WHEN is_block THEN 'BLOCK' WHEN back_test_required THEN 'BACK_TEST_REQUIRED' WHEN issue_count > 0 THEN 'MONITOR'
           ELSE 'CLEAR' END AS verdict
   FROM (SELECT *, target_moves + CASE WHEN shift_count > 0 THEN 1 ELSE 0 END + degraded_pairs
@@ -447,7 +447,7 @@ FROM (SELECT *, CASE WHEN is_block THEN 'BLOCK' WHEN back_test_required THEN 'BA
               (SELECT count(*) FROM c5 WHERE c5.table_name = d.table_name AND back_test_required) AS target_moves,
               (SELECT count(*) FROM c1 WHERE c1.table_name = d.table_name AND n_worsened >= 2) AS degraded_pairs,
               coalesce(s.shift_count, 0) AS shift_count,
-              array_to_string(list_slice(string_split(coalesce(s.critical_columns, ''), ','), 1, 5), ',') AS first_shift_columns
+              coalesce(s.critical_columns, '') AS shift_columns
             FROM c9d d LEFT JOIN c8s s ON d.table_name = s.table_name) t) u) v) w
 """,
 )

@@ -5,7 +5,7 @@ from oracle import step
 step(
     "keyed",
     """
-SELECT c.table_name, c.column_name, v.ver_idx, c.num, CASE WHEN length(c.txt) <= 64 THEN c.txt ELSE 'sha256:' || sha256(c.txt) END AS txt, count(*) AS cnt
+SELECT c.table_name, c.column_name, v.ver_idx, c.num, c.txt, count(*) AS cnt
 FROM cells c JOIN vers v ON c.table_name = v.table_name AND c.version = v.version
 WHERE c.num IS NOT NULL OR c.txt IS NOT NULL GROUP BY 1, 2, 3, 4, 5
 """,
@@ -73,7 +73,7 @@ step(
     "d9x",
     f"""
 SELECT *, {_LABEL} FROM (SELECT table_name, column_name, pair_idx, count(*) AS categories, sum((pb - pa) * ln(pb / pa)) AS psi
-  FROM (SELECT s.table_name, s.column_name, s.pair_idx, greatest(ca / sum(ca) OVER g::DOUBLE, 1e-6) AS pa, greatest(cb / sum(cb) OVER g::DOUBLE, 1e-6) AS pb
+  FROM (SELECT s.table_name, s.column_name, s.pair_idx, CASE WHEN ca > 0 THEN ca / sum(ca) OVER g::DOUBLE ELSE least(1e-6, 0.5 / sum(ca) OVER g) END AS pa, CASE WHEN cb > 0 THEN cb / sum(cb) OVER g::DOUBLE ELSE least(1e-6, 0.5 / sum(cb) OVER g) END AS pb
     FROM both_sides s JOIN pp p ON s.table_name = p.table_name AND s.column_name = p.column_name AND s.pair_idx = p.pair_idx
     WHERE s.txt IS NOT NULL AND p.a_data_type = 'char' AND p.b_data_type = 'char' AND p.a_statistical_scale NOT IN ('id', 'unary')
     WINDOW g AS (PARTITION BY s.table_name, s.column_name, s.pair_idx)) t GROUP BY 1, 2, 3) u

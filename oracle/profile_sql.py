@@ -37,10 +37,10 @@ SELECT version, order_id,
 FROM steady
 """,
 )
-step("event_rows", "SELECT *, CAST(floor((day(ts) - 1) / 7) AS INTEGER) + 1 AS version FROM events")
+step("event_rows", "SELECT *, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS version FROM events")
 step(
     "doc_rows",
-    "SELECT *, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS version FROM documents",
+    "SELECT *, TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS version FROM documents",
 )
 
 # (table, relation, condition, columns as (name, kind, type))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from varve import vocab
+from varve.operators import cards
+
 from oracle import compose, profile_sql  # noqa: F401  (registers the steps)
 
 ORACLE: dict[str, str] = {}
@@ -57,7 +60,7 @@ SELECT {_G}, max(CASE WHEN hi = 1 THEN num END) AS mode_num, max(CASE WHEN hi =
 FROM (SELECT *, row_number() OVER (PARTITION BY {_G} ORDER BY cnt DESC, num, k) AS hi,
              row_number() OVER (PARTITION BY {_G} ORDER BY cnt, num, k) AS lo
       FROM (SELECT {_G}, num, k, count(*) AS cnt
-            FROM (SELECT *, CASE WHEN length(txt) <= 64 THEN txt ELSE 'sha256:' || sha256(txt) END AS k FROM cells)
+            FROM (SELECT *, txt AS k FROM cells)
             WHERE num IS NOT NULL OR k IS NOT NULL GROUP BY {_G}, num, k))
 GROUP BY {_G}
 """,
@@ -271,9 +274,7 @@ answer("C8_psi_worst", "SELECT * FROM c8")
 answer("C8_psi_summary", "SELECT * FROM c8s")
 answer(
     "C8h_psi_heatmap",
-    "SELECT table_name, column_name, "
-    + ", ".join(f"max(CASE WHEN pair_idx = {i} THEN psi END) AS pair_{i}" for i in range(6))
-    + " FROM ppsi GROUP BY 1, 2",
+    "SELECT table_name, column_name, pair_idx, psi FROM ppsi",
 )
 answer("C9_health_trend", "SELECT * EXCLUDE (first_version, first_seq) FROM c9")
 answer("C9_dataset_trend", "SELECT * FROM c9d")
@@ -429,15 +430,8 @@ answer(
     "H3_theme_facts",
     f"SELECT table_name, theme_id, {_rounded(_THEME)}, worst_psi_label, worst_psi_pair, baseline_label, fsi_label FROM theme_groups",
 )
-_LABELS = {
-    "center_shift_down": ("population", "Typical customer profile has shifted toward lower values"),
-    "center_shift_up": ("population", "Typical customer profile has shifted toward higher values"),
-    "boundary_expansion": ("feature", "New extreme values appeared outside the training range"),
-    "spread_change": ("feature", "Distribution variability has changed with stable centre"),
-    "new_segments": ("feature", "New categories or customer segments appeared"),
-    "pipeline_failure": ("pipeline", "Data supply is degraded — completeness or schema issue"),
-    "volatility": ("feature", "Feature is accelerating or chronically unstable"),
-}
+# the wording is one table of the library, compared as data
+_LABELS = {k: (vocab.THEME_DOMAINS[k], label) for k, label in vocab.THEME_LABELS.items()}
 _DOMAIN = "CASE theme_id " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _LABELS.items()) + " END"
 _TITLE = "CASE theme_id " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in _LABELS.items()) + " END"
 answer("H4_theme_domain", f"SELECT table_name, theme_id, {_DOMAIN} AS theme_domain, {_TITLE} AS theme_label FROM theme_groups")
@@ -460,7 +454,14 @@ FROM theme_groups JOIN i7 USING (table_name) WHERE theme_rank <= 5
 answer("B2_fallback_cards", "SELECT * FROM rules WHERE rule_rank <= 5")
 answer("B3_root_cause_analysis", f"SELECT {_C}, metric_type, drift_cause, drift_cause <> 'data_loss' AS is_real_drift FROM b3")
 answer("B4_evidence_rows", f"SELECT {_C}, drift_cause, n_evidence, first_label FROM b4")
-answer("B5_headline_causes", "SELECT table_name, story_slot AS slot, drift_cause, true AS names_stage FROM stories")
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_by_cause = lambda words: "CASE drift_cause " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in words.items()) + " END"
+answer(
+    "B5_headline_causes",
+    f"""SELECT table_name, story_slot AS slot, drift_cause,
+  {_quoted(vocab.STAGE_CONTEXT["back_testing"] + ", ")} || {_by_cause(cards.STORY_HEADLINES)} || CASE WHEN rag = 'critical' THEN ', materially' ELSE ', noticeably' END AS headline,
+  {_quoted(vocab.STAGE_ACTION["back_testing"] + ": ")} || {_by_cause(cards.STORY_ACTIONS)} AS impact_and_action FROM stories""",
+)
 answer("B6_drift_stories", f"SELECT {_C}, story_slot AS slot, rag AS severity, metric_type, drift_cause, magnitude FROM stories")
 for _key, _step in [("B7_target_card", "b7"), ("B8_feed_card", "b8"), ("B9_model_risk_card", "b9"), ("B10_governance_card", "b10")]:
     answer(_key, f"SELECT table_name, slot, severity, n_evidence FROM {_step}")

@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from varve.operators import exact
 from varve.plans import tables
+from varve.plans.workspace import Workspace
 from varve.sources import rows
 from conftest import SF_DIR
 
@@ -44,6 +46,12 @@ def test_hot_group_and_missing_values(spark):
     assert row.loc[(1, "t"), "most_common_value"] == "a"
 
 
+def test_long_texts_are_answered_as_they_are(spark):
+    t = ["z" * 90] * 3 + ["b" * 70] + ["c"] * 2
+    row = profile_of(spark, spark.createDataFrame(pd.DataFrame({"version": 1, "t": t}))).loc[(1, "t")]
+    assert row["mode"] == "z" * 90 and row["least_common_value"] == "b" * 70
+
+
 def test_moments_match_pandas(spark):
     v = np.random.default_rng(3).gamma(2.0, 2.0, 2000) + 1e6
     row = profile_of(spark, spark.createDataFrame(pd.DataFrame({"version": 1, "x": v}))).loc[(1, "x")]
@@ -94,3 +102,61 @@ def test_melt_scans_the_source_once_and_stays_in_the_jvm(spark):
     assert plan.count("FileScan") == 1
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "props" in plan and "ReadSchema" in plan
+
+
+def exact_inputs(spark, df):
+    spec = rows.TableSpec("t", df)
+    counts = rows.written_counts([spec])
+    ws = Workspace(rows.profile(spark, [spec], counts=counts))
+    return counts, ws.metrics, exact.pair_counts(counts, exact.compared(ws.metrics))
+
+
+def test_a_replaced_vocabulary_is_a_shift_however_many_words(spark, monkeypatch):
+    monkeypatch.setattr(exact, "FLOOR", 0.01)  # stands for more categories than one over the floor
+    df = spark.range(4000).select((F.col("id") % 2).cast("int").alias("version"), F.concat((F.col("id") % 2).cast("string"), F.lit("-"), (F.col("id") % 800).cast("string")).alias("word"))
+    _, metrics, pc = exact_inputs(spark, df)
+    row = exact.psi_categorical_exact(pc, metrics).first()
+    assert row["psi_label"] == "shift" and row["psi"] > 1 and row["categories"] == 800
+
+
+def test_ks_ranges_stay_even_beside_a_sentinel(spark):
+    rng = np.random.default_rng(5)
+    n = 6000
+    values = np.r_[np.zeros(400), rng.integers(1_700_000_000, 1_730_000_000, n - 400)].astype(float)
+    version = rng.integers(0, 2, n)
+    values[version == 1] += np.where(values[version == 1] > 0, 500_000, 0)
+    counts, metrics, pc = exact_inputs(spark, spark.createDataFrame(pd.DataFrame({"version": version, "x": values})))
+    got = exact.ks_exact(pc, metrics).first()["ks"]
+    a, b = np.sort(values[version == 0]), np.sort(values[version == 1])
+    at = np.unique(values)
+    want = np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max()
+    assert got == pytest.approx(want)
+    sizes = [r["count"] for r in exact.ranged(pc.where("num is not null")).groupBy("range").count().collect()]
+    assert max(sizes) < 3 * len(at) / exact.RANGES
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """The limit at which the test tables show the plans of large ones."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(200 << 10))
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def initial_plan(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[-1]
+
+
+def test_statistics_are_broadcast_against_rows_and_value_counts(spark, small_broadcasts):
+    sf = SF_DIR.replace("0.001", "0.01")
+    events = tables.specs(spark, sf)[2]
+    _, outliers = rows.sketch_facts(rows.melt(events))
+    assert "SortMergeJoin" not in initial_plan(outliers) and "BroadcastHashJoin" in initial_plan(outliers)
+    counts = rows.written_counts([events])
+    stats = rows.written(rows.basic_facts(counts), "facts")
+    quartiles = rows.written(rows.exact_quartiles(counts, stats), "quartiles")
+    assert "SortMergeJoin" not in initial_plan(rows.frequency_extremes(counts, stats).select("low_num")).split("Join")[-1]
+    facts = initial_plan(rows.value_facts(counts, stats, quartiles))
+    assert facts.count("BroadcastHashJoin") >= 3

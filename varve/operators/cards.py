@@ -77,7 +77,7 @@ ALLOWED_ACTIONS = {
     "rebin": "Refit WoE bins on the latest version and back-test before scoring.",
     "retrain": "Retrain on the latest version after rebinning and validate on a holdout.",
 }
-FEED_FIX = "Fix the data pipeline first; model action may not be needed afterwards."
+FEED_FIX = "Repair the pipeline before touching the model; the model may then be fine as it is."
 BLOCK_FIX = "Dataset readiness is too low: fix data quality before any model action."
 SIGN_OFF = "Obtain governance sign-off first. "
 CARD = [TABLE, "slot", "title", "severity", "headline", "impact_and_action", "evidence"]
@@ -135,7 +135,7 @@ def evidence_rows(sig: DataFrame) -> DataFrame:
     label = lambda t: F.concat(F.lit(t), name)
     extra = lambda i: (
         F.coalesce(F.size("supporting") > i, F.lit(False)),
-        row(F.concat(F.lit("Also detected: "), F.get("supporting", F.lit(i))["metric_type"]), F.get("supporting", F.lit(i))["severity"]),
+        row(F.concat(F.lit("Seen as well: "), F.get("supporting", F.lit(i))["metric_type"]), F.get("supporting", F.lit(i))["severity"]),
     )
     ev = rows_of(
         (m == "psi", row(label("PSI "), F.concat(num(safe(F.col("psi")), 3), F.lit(" "), F.coalesce("psi_label", F.lit("shift"))))),
@@ -161,14 +161,14 @@ def evidence_rows(sig: DataFrame) -> DataFrame:
     return sig.withColumn("evidence", ev)
 
 
-def drift_stories(signals: DataFrame, stage: str = "back_testing") -> DataFrame:
-    """The three strongest population signals as cards."""
-    sig = evidence_rows(diagnosed(top_population(signals, 3)))
+def drift_stories(signals: DataFrame, stage: str = "back_testing", stories: int = 3) -> DataFrame:
+    """The strongest population signals as cards."""
+    sig = evidence_rows(diagnosed(top_population(signals, stories)))
     urgency = F.when(F.col("severity") == "critical", "materially").otherwise("noticeably")
     return sig.select(
         TABLE,
         F.concat(F.lit("drift_story_"), F.col("slot_rank")).alias("slot"),
-        F.concat(F.lit("Top Drift Finding "), F.col("slot_rank")).alias("title"),
+        F.concat(F.lit("Strongest movement no. "), F.col("slot_rank")).alias("title"),
         F.when(F.col("severity") == "critical", "critical").when(F.col("severity") == "notable", "warning").otherwise("stable").alias("severity"),
         F.concat_ws(
             ", ", F.lit(vocab.STAGE_CONTEXT.get(stage, "In the current data")), text.lookup(F.col("drift_cause"), STORY_HEADLINES), urgency
@@ -237,7 +237,7 @@ def target_card(i5: DataFrame, c5: DataFrame, stage: str = "back_testing") -> Da
                 F.col("event_rate_first").isNotNull() & F.col("event_rate_last").isNotNull(),
                 row("Event rate change", F.concat(F.col("event_rate_first").cast("string"), F.lit("% to "), F.col("event_rate_last").cast("string"), F.lit("%"))),
             ),
-            (jump > 0, row("Largest single-version jump", F.concat(num(jump, 1), F.lit("pp")))),
+            (jump > 0, row("Biggest step between versions", F.concat(num(jump, 1), F.lit("pp")))),
         ),
         F.coalesce(pair_rows, F.array().cast("array<struct<label:string,detail:string>>")),
         rows_of(
@@ -247,17 +247,17 @@ def target_card(i5: DataFrame, c5: DataFrame, stage: str = "back_testing") -> Da
     )
     severity = F.when(kind.isin("organic_jump", "label_change"), "critical").when(kind.isin("organic_gradual", "data_loss"), "warning").otherwise("stable")
     return _card(
-        i5.join(moves, TABLE, "left"), "target_behavior", "Target / Outcome Behavior", severity,
+        i5.join(moves, TABLE, "left"), "target_behavior", "How the outcome moves", severity,
         F.coalesce(text.lookup(kind, TARGET_HEADLINES), F.lit("no target column detected")),
         F.coalesce(text.lookup(kind, TARGET_ACTIONS), F.lit("Name a target column.")),
         ev, row("Status", "no target column"), stage,
     )
 
 
-def feed_card(i9: DataFrame, signals: DataFrame, stage: str = "back_testing") -> DataFrame:
-    """Quality of the data supply, with at most four affected columns."""
+def feed_card(i9: DataFrame, signals: DataFrame, stage: str = "back_testing", shown: int = 4) -> DataFrame:
+    """Quality of the data supply, with the first ``shown`` affected columns."""
     hits = (
-        diagnosed(slot_signals(signals, "pipeline").where(F.col("slot_rank") <= 4))
+        diagnosed(slot_signals(signals, "pipeline").where(F.col("slot_rank") <= shown))
         .groupBy(TABLE)
         .agg(F.array_sort(F.collect_list(F.struct("slot_rank", "column_name", "drift_cause", "cause_summary"))).alias("hits"))
     )
@@ -269,9 +269,9 @@ def feed_card(i9: DataFrame, signals: DataFrame, stage: str = "back_testing") ->
         ),
     )
     ev = F.concat(
-        rows_of((F.col("health_score_delta").isNotNull(), row("Dataset health score change", signed(F.col("health_score_delta"), 1)))),
+        rows_of((F.col("health_score_delta").isNotNull(), row("Health score, first to last", signed(F.col("health_score_delta"), 1)))),
         F.coalesce(hit_rows, F.array().cast("array<struct<label:string,detail:string>>")),
-        rows_of((F.col("regressing_count") > 0, row("Format and blank regressions", F.concat_ws(", ", F.slice("quality_regressing", 1, 5))))),
+        rows_of((F.col("regressing_count") > 0, row("More blanks or wrong formats in", F.concat_ws(", ", "quality_regressing")))),
     )
     pattern = F.col("pattern")
     severity = F.when(pattern == "systematic", "critical").when(pattern == "isolated", "warning").otherwise("stable")
@@ -289,15 +289,15 @@ def feed_card(i9: DataFrame, signals: DataFrame, stage: str = "back_testing") ->
         .otherwise("Keep monitoring.")
     )
     return _card(
-        i9.join(hits, TABLE, "left"), "pipeline_quality", "Data Pipeline Quality", severity, headline, action, ev,
+        i9.join(hits, TABLE, "left"), "pipeline_quality", "Health of the data supply", severity, headline, action, ev,
         row("Pipeline status", "all checks passed"), stage,
     )
 
 
-def risk_card(i6: DataFrame, i7: DataFrame, i8: DataFrame, signals: DataFrame, stage: str = "back_testing") -> DataFrame:
-    """Risk of scoring with the current model."""
+def risk_card(i6: DataFrame, i7: DataFrame, i8: DataFrame, signals: DataFrame, stage: str = "back_testing", shown: int = 4) -> DataFrame:
+    """Risk of scoring with the current model, with the first ``shown`` break risks."""
     breaks = (
-        i8.where(F.col("risk_rank") <= 4)
+        i8.where(F.col("risk_rank") <= shown)
         .groupBy(TABLE)
         .agg(F.array_sort(F.collect_list(F.struct("risk_rank", "risk", "column_name"))).alias("breaks"))
     )
@@ -313,8 +313,8 @@ def risk_card(i6: DataFrame, i7: DataFrame, i8: DataFrame, signals: DataFrame, s
         F.coalesce(F.transform("breaks", lambda b: row(F.concat(F.lit("Scoring break risk: "), b["risk"]), b["column_name"])), none),
         F.coalesce(F.transform("more", lambda m: row(F.concat(F.lit("Additional drift: "), m["column_name"]), m["drift_cause"])), none),
         rows_of(
-            (F.size("accelerating_cols") > 0, row("Accelerating features", F.concat_ws(", ", F.slice("accelerating_cols", 1, 5)))),
-            (F.size("unstable_cols") > 0, row("Chronically unstable features", F.concat_ws(", ", F.slice("unstable_cols", 1, 5)))),
+            (F.size("accelerating_cols") > 0, row("Moving faster each version", F.concat_ws(", ", "accelerating_cols"))),
+            (F.size("unstable_cols") > 0, row("Moving in every version", F.concat_ws(", ", "unstable_cols"))),
         ),
     )
     d, lost = F.col("decision"), F.col("data_loss_only")
@@ -327,7 +327,7 @@ def risk_card(i6: DataFrame, i7: DataFrame, i8: DataFrame, signals: DataFrame, s
         .otherwise("the population moved beyond what the model learned")
     )
     return _card(
-        i7.join(breaks, TABLE, "left").join(more, TABLE, "left"), "model_scoring_risk", "Model Scoring Risk", severity,
+        i7.join(breaks, TABLE, "left").join(more, TABLE, "left"), "model_scoring_risk", "Risk of keeping the model", severity,
         headline, text.lookup(F.col("rung"), DECISION_ACTIONS), ev, row("Model risk status", "no scoring risk found"), stage,
     )
 
@@ -356,7 +356,7 @@ def governance_card(tables: DataFrame, signals: DataFrame, stage: str = "back_te
     some = F.coalesce(F.col("n"), F.lit(0)) > 0
     severity = F.when(~some, "stable").when(F.col("n_moved") > 0, "critical").otherwise("warning")
     return _card(
-        tables.select(TABLE).join(hits, TABLE, "left"), "governance_fairness", "Governance & Fairness", severity,
+        tables.select(TABLE).join(hits, TABLE, "left"), "governance_fairness", "Private attributes that moved", severity,
         F.when(some, F.concat(F.col("n").cast("string"), F.lit(" governance checkpoints need attention"))).otherwise("no governance signals"),
         F.when(some, "Obtain governance sign-off for all flagged private attributes and run a fairness review.").otherwise("No governance action; keep monitoring."),
         F.coalesce(pairs, F.array().cast("array<struct<label:string,detail:string>>")),

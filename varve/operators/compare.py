@@ -336,10 +336,9 @@ def psi_summary(worst: DataFrame) -> DataFrame:
     )
 
 
-def psi_heatmap(metrics: DataFrame, pairs: list[int]) -> DataFrame:
-    """C8h: one row per column, one index column per pair."""
-    wide = metrics.groupBy(*COLUMN).pivot("pair_idx", pairs).agg(F.first("psi"))
-    return wide.withColumnsRenamed({str(i): f"pair_{i}" for i in pairs})
+def psi_heatmap(metrics: DataFrame) -> DataFrame:
+    """C8h: one cell per column and pair, over all pairs; a chart pivots it by ``pair_idx``."""
+    return metrics.select(*COLUMN, "pair_idx", "psi")
 
 
 # ── C9 health ───────────────────────────────────────────────────────────────────────────────────
@@ -466,7 +465,7 @@ def verdict(
         .withColumn("message", text.lookup(F.col("verdict"), text.VERDICT_MESSAGES))
         .select(
             TABLE, "verdict", "color", "message", "back_test_required", "issue_count", "target_moves", "shift_count",
-            F.slice(F.coalesce("critical_columns", F.array().cast("array<string>")), 1, 5).alias("first_shift_columns"),
+            F.coalesce("critical_columns", F.array().cast("array<string>")).alias("shift_columns"),
             "degraded_pairs", "first_score", "last_score",
         )
     )

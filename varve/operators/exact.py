@@ -14,21 +14,40 @@ from varve.config import Thresholds
 from varve.functions.psi import FLOOR, divergence, psi_label
 from varve.functions.scalars import three_way
 from varve.operators.pairs import COLUMN
+from varve.sources.shared import written
 
 PAIR = [*COLUMN, "pair_idx"]
-RANGES = 1024
+#: Ranges of a pair's values in which ranks are worked out apart.
+RANGES = 128
 
 
-def pair_counts(counts: DataFrame, vers: DataFrame) -> DataFrame:
-    """Counts of each value on both sides of every consecutive pair: (pair, value, ca, cb)."""
-    side = lambda idx, name: F.struct(idx.alias("pair_idx"), F.lit(name).alias("side"))
-    sides = F.array(side(F.col("ver_idx"), "a"), side(F.col("ver_idx") - 1, "b"))
+def _numbers(scale: str, skipped: list[str]) -> Column:
+    return (F.col("a.data_type") == "num") & (F.col("b.data_type") == "num") & ~F.col(f"{scale}.statistical_scale").isin(*skipped)
+
+
+def _categories() -> Column:
+    return (F.col("a.data_type") == "char") & (F.col("b.data_type") == "char") & ~F.col("a.statistical_scale").isin("id", "unary")
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """The version pairs whose values are compared one by one (D7x, D9x); ids and constants are not."""
+    return pairs.where(_numbers("base", vocab.SUITE_SKIP_SCALES) | _categories()).select(*PAIR, "from_version", "to_version")
+
+
+def _sides(scope: DataFrame) -> DataFrame:
+    """Each pair once for either version, as a small written table that can be sent to the counts."""
+    side = lambda name, column: F.struct(F.lit(name).alias("side"), F.col(column).alias("version"))
+    kept = [c for c in scope.columns if c not in ("from_version", "to_version")]
+    return written(scope.select(*kept, F.inline(F.array(side("a", "from_version"), side("b", "to_version")))), "pairs")
+
+
+def pair_counts(counts: DataFrame, scope: DataFrame) -> DataFrame:
+    """Counts of each value on both sides of the pairs in scope: (pair, value, ca, cb); a text travels as its digest."""
     at = lambda s: F.sum(F.when(F.col("side") == s, F.col("cnt")).otherwise(0))
     return (
         counts.where("num is not null or txt is not null")
-        .join(vers.select("table_name", "version", "ver_idx", F.max("ver_idx").over(Window.partitionBy("table_name")).alias("last_idx")), ["table_name", "version"])
-        .select(*COLUMN, "num", "txt", "res", "cnt", "last_idx", F.inline(sides))
-        .where((F.col("pair_idx") >= 0) & (F.col("pair_idx") < F.col("last_idx")))
+        .join(_sides(scope), [*COLUMN, "version"])
+        .withColumn("txt", F.sha2("txt", 256))
         .groupBy(*PAIR, "num", "txt", "res")
         .agg(at("a").alias("ca"), at("b").alias("cb"))
     )
@@ -62,34 +81,28 @@ def entropy_drift(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def _spread(v: Column) -> Column:
-    """Monotone map that keeps long tails from crowding the middle into one range."""
-    return F.signum(v) * F.log1p(F.abs(v))
+def ranged(numbers: DataFrame) -> DataFrame:
+    """Counts per pair, range and value; ranges hold about equal numbers of distinct values, however the values lie."""
+    cuts = [k / RANGES for k in range(1, RANGES)]
+    edges = written(numbers.groupBy(*PAIR).agg(F.percentile_approx("num", cuts, 20 * RANGES).alias("edges")), "edges")
+    return (
+        numbers.join(edges, PAIR)
+        .withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("num"))))
+        .groupBy(*PAIR, "range", "num")
+        .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    )
 
 
 def ks_exact(pc: DataFrame, pairs: DataFrame) -> DataFrame:
     """D7x: largest gap between the two empirical distribution functions of a pair."""
-    ends = pairs.where(
-        (F.col("a.data_type") == "num")
-        & (F.col("b.data_type") == "num")
-        & ~F.col("base.statistical_scale").isin(*vocab.SUITE_SKIP_SCALES)
-    ).select(
-        *PAIR,
-        _spread(F.least("a.min_val", "b.min_val")).alias("lo"),
-        _spread(F.greatest("a.max_val", "b.max_val")).alias("hi"),
-    )
-    part = F.floor((_spread(F.col("num")) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * RANGES)
-    ranged = (
-        pc.where("num is not null")
-        .join(ends, PAIR)
-        .withColumn("range", F.greatest(F.lit(0), F.least(part, F.lit(RANGES))))
-        .groupBy(*PAIR, "range", "num")
-        .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    )
+    scope = pairs.where(_numbers("base", vocab.SUITE_SKIP_SCALES)).select(*PAIR)
+    numbers = pc.where("num is not null").join(written(scope, "pairs"), PAIR, "left_semi")
+    counted = ranged(numbers)
     whole = Window.partitionBy(*PAIR)
     before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        ranged.groupBy(*PAIR, "range")
+    # one row for each range of a pair
+    totals = written(
+        counted.groupBy(*PAIR, "range")
         .agg(F.sum("ca").alias("ra"), F.sum("cb").alias("rb"))
         .select(
             *PAIR,
@@ -98,7 +111,8 @@ def ks_exact(pc: DataFrame, pairs: DataFrame) -> DataFrame:
             F.coalesce(F.sum("rb").over(before), F.lit(0)).alias("before_b"),
             F.sum("ra").over(whole).alias("na"),
             F.sum("rb").over(whole).alias("nb"),
-        )
+        ),
+        "ranges",
     )
     inside = Window.partitionBy(*PAIR, "range").orderBy("num").rowsBetween(Window.unboundedPreceding, 0)
     gap = F.abs(
@@ -106,7 +120,7 @@ def ks_exact(pc: DataFrame, pairs: DataFrame) -> DataFrame:
         - F.try_divide(F.col("before_b") + F.sum("cb").over(inside), F.col("nb"))
     )
     return (
-        ranged.join(totals, [*PAIR, "range"])
+        counted.join(totals, [*PAIR, "range"])
         .where("na > 0 and nb > 0")
         .withColumn("gap", gap)
         .groupBy(*PAIR)
@@ -115,23 +129,18 @@ def ks_exact(pc: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def psi_exact(pc: DataFrame, pairs: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
-    """D8x: index over the exact quartile bins of the earlier version, counted from rows."""
-    edges = pairs.where(
-        (F.col("a.data_type") == "num")
-        & (F.col("b.data_type") == "num")
-        & ~F.col("a.statistical_scale").isin(*vocab.NON_DISTRIBUTION_SCALES)
-        & F.col("a.q50").isNotNull()
-        & F.col("b.q50").isNotNull()
-    ).select(*PAIR, "a.q25", "a.q50", "a.q75")
+def psi_exact(counts: DataFrame, pairs: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
+    """D8x: index over the exact quartile bins of the earlier version; bins are counted where the value counts lie."""
+    scope = pairs.where(_numbers("a", vocab.NON_DISTRIBUTION_SCALES) & F.col("a.q50").isNotNull() & F.col("b.q50").isNotNull())
+    edges = _sides(scope.select(*PAIR, "a.q25", "a.q50", "a.q75", "from_version", "to_version"))
     bin_no = F.when(F.col("num") <= F.col("q25"), 0).when(F.col("num") <= F.col("q50"), 1).when(F.col("num") <= F.col("q75"), 2).otherwise(3)
-    side = lambda s, i: F.sum(F.when(F.col("bin") == i, F.col(s)).otherwise(0)).alias(f"{s}{i}")
+    side = lambda s, i: F.sum(F.when((F.col("side") == s) & (F.col("bin") == i), F.col("cnt")).otherwise(0)).alias(f"c{s}{i}")
     counted = (
-        pc.where("num is not null")
-        .join(edges, PAIR)
+        counts.where("num is not null")
+        .join(edges, [*COLUMN, "version"])
         .withColumn("bin", bin_no)
         .groupBy(*PAIR)
-        .agg(*[side(s, i) for s in ("ca", "cb") for i in range(4)])
+        .agg(*[side(s, i) for s in ("a", "b") for i in range(4)])
     )
     total = lambda s: sum((F.col(f"{s}{i}") for i in range(1, 4)), F.col(f"{s}0"))
     shares = {
@@ -147,13 +156,14 @@ def psi_exact(pc: DataFrame, pairs: DataFrame, cfg: Thresholds = Thresholds()) -
 
 
 def psi_categorical_exact(pc: DataFrame, pairs: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
-    """D9x: index over the shares of every category, new and lost ones included."""
-    scope = pairs.where("a.data_type = 'char' and b.data_type = 'char'").where(
-        ~F.col("a.statistical_scale").isin("id", "unary")
-    ).select(*PAIR)
-    scoped = pc.where("txt is not null").join(scope, PAIR, "left_semi")
-    totals = scoped.groupBy(*PAIR).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
-    share = lambda c, n: F.greatest(F.try_divide(F.col(c), F.col(n)), F.lit(FLOOR))
+    """D9x: index over the shares of every category, new and lost ones included.
+
+    A category missing on one side counts as half a row there, or as the usual floor where that is less;
+    present categories keep their share, however many there are.
+    """
+    scoped = pc.where("txt is not null").join(written(pairs.where(_categories()).select(*PAIR), "pairs"), PAIR, "left_semi")
+    totals = written(scoped.groupBy(*PAIR).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")), "totals")
+    share = lambda c, n: F.when(F.col(c) > 0, F.col(c) / F.col(n)).otherwise(F.least(F.lit(FLOOR), 0.5 / F.col(n)))
     return (
         scoped.join(totals, PAIR)
         .where("na > 0 and nb > 0")

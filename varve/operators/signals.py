@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve import vocab
+from varve.config import Thresholds
 from varve.functions.scalars import is_target, rank_in, safe
 from varve.operators.compare import TABLE
 from varve.operators.pairs import COLUMN
 
 COMPOSITE = ["psi", "mean_shift", "quantile_shift", "boundary", "std"]
-SLOTS = ["population", "feed", "model_risk", "governance"]
 
 
 def private_columns(sc: DataFrame) -> DataFrame:
@@ -189,27 +189,27 @@ def direction(metric: Column) -> Column:
     )
 
 
-def _adjusted(metric: str, severity: Column, composite: bool) -> Column:
+def _adjusted(metric: str, severity: Column, composite: bool, cfg: Thresholds) -> Column:
     base = weight_of(severity, metric)
     has_index = F.col("s_psi").isNotNull() & F.col("psi").isNotNull()
-    quiet = has_index & (F.col("psi") <= 0.10)
+    quiet = has_index & (F.col("psi") <= cfg.psi_stable)
     if composite and metric in COMPOSITE:
         return F.col("composite")
     if metric == "psi":
-        loud = has_index & (F.col("psi") > 0.10)
-        boost = F.least(F.lit(4.0), F.col("psi") / 0.25)
+        loud = has_index & (F.col("psi") > cfg.psi_stable)
+        boost = F.least(F.lit(4.0), F.col("psi") / cfg.psi_monitor)
         return F.when(loud, F.round(F.least(F.lit(1.0), base * boost), 4)).otherwise(F.round(base * 0.1, 4))
     return F.when(quiet, F.round(base * 0.25, 4)).otherwise(base)
 
 
-def column_signals(facts: DataFrame, i4: DataFrame, composite: bool = False) -> DataFrame:
+def column_signals(facts: DataFrame, i4: DataFrame, composite: bool = False, cfg: Thresholds = Thresholds()) -> DataFrame:
     """G3 (or G13 with ``composite``): best metric of each column, the others as support."""
     order = {m: i for i, m in enumerate(vocab.TIE_ORDER)}
     scored = facts.withColumns({f"s_{m}": s for m, s in _severities().items()}).withColumn("composite", composite_importance())
     entries = []
     for m in _severities():
         sev = F.col(f"s_{m}")
-        mag = _adjusted(m, sev, composite)
+        mag = _adjusted(m, sev, composite, cfg)
         entries.append(
             F.when(
                 sev.isNotNull(),
@@ -260,13 +260,13 @@ def schema_signals(c2: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def collect_signals(facts: DataFrame, c2: DataFrame, i4: DataFrame, composite: bool = False) -> DataFrame:
+def collect_signals(facts: DataFrame, c2: DataFrame, i4: DataFrame, composite: bool = False, cfg: Thresholds = Thresholds()) -> DataFrame:
     """G9 (G13 with ``composite``): all signals of a table, strongest first."""
     order = Window.partitionBy(TABLE).orderBy(
         F.desc("magnitude"), rank_in(F.col("metric_type"), vocab.TIE_ORDER), "first_version", "first_seq"
     )
     return (
-        column_signals(facts, i4, composite)
+        column_signals(facts, i4, composite, cfg)
         .unionByName(schema_signals(c2, facts), allowMissingColumns=True)
         .withColumn("signal_rank", F.row_number().over(order))
     )

@@ -141,7 +141,7 @@ def theme_cards(th: DataFrame, i7: DataFrame, limit: int = 5) -> DataFrame:
             "theme_domain",
             F.col("theme_label").alias("headline"),
             F.when(F.col("worst_severity") == "critical", "critical").when(F.col("worst_severity") == "notable", "high").otherwise("medium").alias("severity"),
-            F.concat_ws(": ", F.concat_ws(", ", F.slice("columns", 1, 3)), parts).alias("evidence"),
+            F.concat_ws(": ", F.concat_ws(", ", "columns"), parts).alias("evidence"),
             text.lookup(F.coalesce("decision", F.lit("hold")), actions).alias("action"),
             F.coalesce("decision", F.lit("hold")).alias("decision"),
             F.col("worst_psi").alias("psi"),

@@ -17,19 +17,23 @@ from varve.plans import tables
 from varve.plans.workspace import Workspace
 from varve.sources import payloads, rows
 from varve.sources import registry as store
-from varve.sources.shared import scratch
+from varve.sources.shared import scratch, written
 from varve.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _WORKSPACES: dict[tuple[str, str], Workspace] = {}
 _COUNTS: dict[tuple[str, str], DataFrame] = {}
+_BASICS: dict[tuple[str, str], DataFrame] = {}
+_PAIRS: dict[tuple[str, str], DataFrame] = {}
 
 
 def forget() -> None:
     """Drop the shared stages, so that the next query starts from the source tables."""
     _WORKSPACES.clear()
     _COUNTS.clear()
+    _BASICS.clear()
+    _PAIRS.clear()
 
 
 def shared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +44,23 @@ def shared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _COUNTS[key]
 
 
+def shared_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, range and mean per group, one small table per session and source folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BASICS:
+        _BASICS[key] = written(rows.basic_facts(shared_counts(spark, sf_dir)), "facts")
+    return _BASICS[key]
+
+
+def shared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value counts on both sides of the version pairs that exact metrics compare."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PAIRS:
+        ws = workspace(spark, sf_dir)
+        _PAIRS[key] = written(exact.pair_counts(shared_counts(spark, sf_dir), exact.compared(ws.metrics)), "pair-counts")
+    return _PAIRS[key]
+
+
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WORKSPACES:
@@ -107,7 +128,7 @@ def _(spark, sf_dir):
 
 @query("R3_cardinality")
 def _(spark, sf_dir):
-    facts = rows.basic_facts(shared_counts(spark, sf_dir))
+    facts = shared_facts(spark, sf_dir)
     return facts.select(
         *GROUP, "row_count", "cardinality_count", F.round(100.0 * F.col("cardinality_count") / F.col("row_count"), 6).alias("uniqueness_percent")
     )
@@ -115,18 +136,17 @@ def _(spark, sf_dir):
 
 @query("R4_outliers")
 def _(spark, sf_dir):
-    counts = shared_counts(spark, sf_dir)
-    stats = rows.basic_facts(counts)
-    facts = rows.value_facts(counts, stats, rows.exact_quartiles(counts, stats)).where("q50 is not null")
+    counts, stats = shared_counts(spark, sf_dir), shared_facts(spark, sf_dir)
+    quartiles = written(rows.exact_quartiles(counts, stats), "quartiles")
+    facts = rows.value_facts(counts, stats, quartiles).where("q50 is not null")
     out = rounded(facts.select(*GROUP, "n_outliers", "q25", "q50", "q75"), 4, "q25", "q50", "q75")
     return out.withColumn("has_outliers", F.col("n_outliers") > 0)
 
 
 @query("R5_value_extremes")
 def _(spark, sf_dir):
-    counts = shared_counts(spark, sf_dir)
-    stats = rows.basic_facts(counts)
-    facts = rows.value_facts(counts, stats, rows.exact_quartiles(counts, stats))
+    stats = shared_facts(spark, sf_dir)
+    facts = rows.frequency_extremes(shared_counts(spark, sf_dir), stats)
     extremes = facts.select(
         *GROUP, F.col("top_num").alias("mode_num"), F.col("top_txt").alias("mode_txt"),
         F.col("low_num").alias("rarest_num"), F.col("low_txt").alias("rarest_txt"),
@@ -359,7 +379,7 @@ def _joined(*names):
 
 @shared("C0_verdict")
 def _(ws):
-    return ws.c0.drop("message").withColumns(_joined("first_shift_columns"))
+    return ws.c0.drop("message").withColumns(_joined("shift_columns"))
 
 
 @shared("C1_version_summary")
@@ -439,7 +459,7 @@ def _(ws):
 
 @shared("C8h_psi_heatmap")
 def _(ws):
-    return compare.psi_heatmap(ws.metrics, list(range(6)))
+    return compare.psi_heatmap(ws.metrics)
 
 
 @shared("C9_health_trend")
@@ -758,7 +778,7 @@ def _(ws):
 @shared("B5_headline_causes")
 def _(ws):
     stories = cards.drift_stories(ws.signals_v1)
-    return stories.select("table_name", "slot", "drift_cause", (F.instr("headline", "In the back-testing sample") == 1).alias("names_stage"))
+    return stories.select("table_name", "slot", "drift_cause", "headline", "impact_and_action")
 
 
 @shared("B6_drift_stories")
@@ -940,19 +960,19 @@ def _(spark, sf_dir):
 @query("D7x_ks_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    return rounded(exact.ks_exact(exact.pair_counts(shared_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "ks")
+    return rounded(exact.ks_exact(shared_pairs(spark, sf_dir), ws.metrics), 6, "ks")
 
 
 @query("D8x_psi_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    return rounded(exact.psi_exact(exact.pair_counts(shared_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
+    return rounded(exact.psi_exact(shared_counts(spark, sf_dir), ws.metrics), 6, "psi")
 
 
 @query("D9x_psi_categorical_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    return rounded(exact.psi_categorical_exact(exact.pair_counts(shared_counts(spark, sf_dir), ws.c1_versions), ws.metrics), 6, "psi")
+    return rounded(exact.psi_categorical_exact(shared_pairs(spark, sf_dir), ws.metrics), 6, "psi")
 
 
 # ── streaming ───────────────────────────────────────────────────────────────────────────────────

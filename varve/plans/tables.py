@@ -8,19 +8,10 @@ from pyspark.sql import functions as F
 from varve.sources.rows import OVERRIDE_SCHEMA, TableSpec
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split the work on a source of a few small files, which would otherwise be read by one task each.
-
-    Sources with at least as many files as the session has cores stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order; version is the order year."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    orders = spread(read("orders"))
+    orders = read("orders")
     lines = (
         read("lineitem")
         .groupBy("l_orderkey")
@@ -70,12 +61,10 @@ def mutated_orders(base: DataFrame) -> DataFrame:
 
 def specs(spark: SparkSession, sf_dir: str) -> list[TableSpec]:
     base = orders_table(spark, sf_dir)
-    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn(
-        "version", F.floor((F.dayofmonth("ts") - 1) / 7).cast("int") + 1
-    )
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn(
-        "version", F.regexp_extract("source", r"(\d+)$", 1).cast("int")
-    )
+    # whole weeks since 1970, so that weeks of different months and years stay apart
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("version", F.floor(F.unix_date(F.to_date("ts")) / 7).cast("int"))
+    # a source without a number has no version
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("version", F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"))
     return [
         TableSpec(
             "abt_orders",

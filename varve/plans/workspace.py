@@ -279,11 +279,11 @@ class Workspace:
 
     @cached_property
     def signals_v1(self) -> DataFrame:
-        return self._stage(signals.collect_signals(self.facts, self.c2, self.i4))
+        return self._stage(signals.collect_signals(self.facts, self.c2, self.i4, cfg=self.cfg))
 
     @cached_property
     def signals_v2(self) -> DataFrame:
-        return self._stage(signals.collect_signals(self.facts, self.c2, self.i4, composite=True))
+        return self._stage(signals.collect_signals(self.facts, self.c2, self.i4, composite=True, cfg=self.cfg))
 
     @cached_property
     def c0_issues(self) -> DataFrame:

@@ -28,7 +28,6 @@ CELL = ["num", "txt", "res", "has", "blank", "miss"]
 QUARTILES = (0.25, 0.50, 0.75)
 SKETCH_ACCURACY = 10_000
 RANGES = 2048
-LONG_TEXT = 64
 EXACT_DOUBLE_DIGITS = 15
 
 OVERRIDE_SCHEMA = "table_name string, column_name string, statistical_scale string, information_privacy string"
@@ -86,7 +85,6 @@ def _cell(spec: TableSpec, name: str) -> Column:
     kind, c = _kind(dt), F.col(f"`{name}`")
     number = _as_double(name, dt) if kind == "num" else F.lit(None).cast("double")
     words = c.cast("string") if kind == "char" else F.lit(None).cast("string")
-    # text checks see the whole text, before long texts are replaced by their digest
     blank = (F.trim(c) == "") if kind == "char" else F.lit(None).cast("boolean")
     miss = (~blank & ~c.rlike(spec.patterns[name])) if name in spec.patterns else F.lit(None).cast("boolean")
     return F.struct(
@@ -131,10 +129,9 @@ def column_catalog(spark: SparkSession, specs: list[TableSpec]) -> DataFrame:
 
 
 def value_counts(long: DataFrame) -> DataFrame:
-    """Rows per distinct value, NULL included. Long texts are keyed by the digest of the whole text."""
-    key = F.when(F.length("txt") <= LONG_TEXT, F.col("txt")).otherwise(F.concat(F.lit("sha256:"), F.sha2("txt", 256)))
+    """Rows per distinct value, NULL included; texts of any length are values as they are."""
     return (
-        long.withColumns({"len": F.length("txt"), "txt": key})
+        long.withColumn("len", F.length("txt"))
         # 0.0 and -0.0 are one value
         .withColumn("num", F.col("num") + F.lit(0.0))
         .groupBy(*KEYS, "has", "num", "txt", "res")
@@ -175,7 +172,7 @@ def basic_facts(counts: DataFrame) -> DataFrame:
     )
 
 
-def _spread(v: Column) -> Column:
+def spread(v: Column) -> Column:
     """Monotone map that keeps long tails from crowding the middle into one range."""
     return F.signum(v) * F.log1p(F.abs(v))
 
@@ -202,21 +199,23 @@ def _holds_wanted(start: str, end: str) -> Column:
 def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
     """Exact interpolated quartiles per numeric group (see the module notes)."""
     bounds = stats.where("min_val is not null").select(
-        *KEYS, F.col("n_num").alias("n"), _spread(F.col("min_val")).alias("lo"), _spread(F.col("max_val")).alias("hi")
+        *KEYS, F.col("n_num").alias("n"), spread(F.col("min_val")).alias("lo"), spread(F.col("max_val")).alias("hi")
     )
     first = (
         counts.where("num is not null")
         .join(bounds, KEYS)
-        .select(*KEYS, "n", "num", "cnt", _range_no(_spread(F.col("num")), F.col("lo"), F.col("hi")).alias("r1"))
+        .select(*KEYS, "n", "num", "cnt", _range_no(spread(F.col("num")), F.col("lo"), F.col("hi")).alias("r1"))
     )
     end_1 = F.sum("c1").over(Window.partitionBy(*KEYS).orderBy("r1"))
-    hits_1 = (
+    # the hits are a few ranges of each group: written, their size is known and Spark broadcasts them itself
+    hits_1 = written(
         first.groupBy(*KEYS, "n", "r1")
         .agg(F.sum("cnt").alias("c1"), F.min("num").alias("lo1"), F.max("num").alias("hi1"))
         .withColumn("end1", end_1)
         .withColumn("start1", F.col("end1") - F.col("c1"))
         .where(_holds_wanted("start1", "end1"))
-        .select(*KEYS, "r1", "start1", "lo1", "hi1")
+        .select(*KEYS, "r1", "start1", "lo1", "hi1"),
+        "ranges",
     )
     second = (
         first.join(hits_1, [*KEYS, "r1"])
@@ -226,13 +225,14 @@ def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
         .agg(F.sum("cnt").alias("cnt"))
     )
     end_2 = F.col("start1") + F.sum("c2").over(Window.partitionBy(*KEYS, "r1").orderBy("r2"))
-    hits_2 = (
+    hits_2 = written(
         second.groupBy(*KEYS, "n", "r1", "start1", "r2")
         .agg(F.sum("cnt").alias("c2"))
         .withColumn("end2", end_2)
         .withColumn("start2", F.col("end2") - F.col("c2"))
         .where(_holds_wanted("start2", "end2"))
-        .select(*KEYS, "r1", "r2", "start2")
+        .select(*KEYS, "r1", "r2", "start2"),
+        "ranges",
     )
     ranked = (
         second.join(hits_2, [*KEYS, "r1", "r2"])
@@ -259,15 +259,25 @@ def outlier_test() -> Column:
     return (F.col("num") < F.col("q25") - 1.5 * iqr) | (F.col("num") > F.col("q75") + 1.5 * iqr)
 
 
-def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> DataFrame:
-    """Central moments, outliers and extremes of frequency (the least value wins among equals).
+def frequency_extremes(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """The most and the least frequent value per group (the least value wins among equals).
 
     Numbers and texts are aggregated apart: numeric buffers allow hash aggregation, while a text
     buffer forces a sort, so only texts at an extreme frequency go there.
     """
-    d, c = F.col("num") - F.col("mean"), F.col("cnt")
+    c = F.col("cnt")
     top, low = c == F.col("top_cnt"), c == F.col("low_cnt")
-    centre = stats.select(*KEYS, "mean", "n_num", "top_cnt", "low_cnt").join(quartiles, KEYS)
+    at_extreme = counts.where(valued()).join(stats.select(*KEYS, "top_cnt", "low_cnt"), KEYS).where(top | low)
+    least = lambda name, kind: [F.min(F.when(top, F.col(kind))).alias(f"top_{name}"), F.min(F.when(low, F.col(kind))).alias(f"low_{name}")]
+    numbers = at_extreme.where("num is not null").groupBy(*KEYS).agg(*least("num", "num"))
+    words = at_extreme.where("txt is not null").groupBy(*KEYS).agg(*least("txt", "txt"))
+    return numbers.join(words, KEYS, "full")
+
+
+def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """Central moments, outliers and extremes of frequency. ``stats`` and ``quartiles`` are written tables."""
+    d, c = F.col("num") - F.col("mean"), F.col("cnt")
+    centre = stats.select(*KEYS, "mean", "n_num").join(quartiles, KEYS)
     numbers = (
         counts.where("num is not null")
         .join(centre, KEYS)
@@ -280,22 +290,13 @@ def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> Da
             F.sum(c * F.col("d2") * F.col("d")).alias("m3"),
             F.sum(c * F.col("d2") * F.col("d2")).alias("m4"),
             F.sum(F.when(outlier_test(), c).otherwise(0)).alias("n_outliers"),
-            F.min(F.when(top, F.col("num"))).alias("top_num"),
-            F.min(F.when(low, F.col("num"))).alias("low_num"),
             *[F.max(q).alias(q) for q in ("q25", "q50", "q75")],
         )
     )
-    words = (
-        counts.where("txt is not null")
-        .join(stats.select(*KEYS, "top_cnt", "low_cnt"), KEYS)
-        .where(top | low)
-        .groupBy(*KEYS)
-        .agg(F.min(F.when(top, F.col("txt"))).alias("top_txt"), F.min(F.when(low, F.col("txt"))).alias("low_txt"))
-    )
     n, m2 = F.col("n"), F.col("m2")
     spread = m2 > 0
     return (
-        numbers.join(words, KEYS, "full")
+        numbers.join(frequency_extremes(counts, stats), KEYS, "full")
         .withColumns(
             {
                 "std": F.when(n > 1, F.sqrt(m2 / (n - 1))),
@@ -311,6 +312,7 @@ def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> Da
 
 def sketch_facts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same facts from mergeable sketches: exact counts and moments, estimated ranks and distinct values."""
+    long = long.withColumn("num", F.col("num") + F.lit(0.0))  # 0.0 and -0.0 are one value
     value = F.when(F.col("has"), F.xxhash64("num", "txt", "res"))
     stats = long.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -328,6 +330,7 @@ def sketch_facts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(F.length("txt")).alias("chars_min_count"),
         F.percentile_approx("num", list(QUARTILES), SKETCH_ACCURACY).alias("q"),
     ).withColumns({name: F.col("q")[i] for i, name in enumerate(["q25", "q50", "q75"])}).drop("q")
+    stats = written(stats, "sketch-facts")  # one row per group: small enough to broadcast against the rows
     second = (
         long.join(stats.select(*KEYS, "q25", "q50", "q75"), KEYS)
         .groupBy(*KEYS)
@@ -380,8 +383,8 @@ def profile(
         stats, facts = sketch_facts(melt_all(specs))
     else:
         counts = written_counts(specs) if counts is None else counts
-        stats = basic_facts(counts)
-        facts = value_facts(counts, stats, exact_quartiles(counts, stats))
+        stats = written(basic_facts(counts), "facts")
+        facts = value_facts(counts, stats, written(exact_quartiles(counts, stats), "quartiles"))
     wide = (
         stats.drop("n_num", "top_cnt", "low_cnt")
         .join(facts, KEYS, "left")
