@@ -268,6 +268,13 @@ WHERE z_type = 'num' AND z_scale NOT IN ('id', 'binary', 'unary') AND column_nam
 )
 answer("C5_target_rates", "SELECT * FROM c5_rates")
 answer("C5_target_drift", "SELECT * FROM c5")
+_V = "SELECT table_name, column_name, ver_idx, present"
+answer("C3_completeness_values", f"{_V}, round(completeness_percent, 6) AS completeness_percent FROM gridq")
+answer("C6_quality_values", f"{_V}, mismatched_count, blank_value_count FROM gridq SEMI JOIN c6 USING (table_name, column_name)")
+answer("C7_statuses", f"{_V}, coalesce(status, 'absent') AS status FROM gridq")
+answer("C9_scores", f"{_V}, score FROM gridq")
+answer("C10_cardinalities", f"{_V}, cardinality_count FROM gridq")
+answer("S11_caution_columns", "SELECT table_name, version, column_name, status FROM sc WHERE status = 'caution'")
 answer("C6_quality_regression", "SELECT * FROM c6")
 answer("C7_readiness_change", "SELECT * FROM c7")
 answer("C8_psi_worst", "SELECT * FROM c8")
@@ -279,9 +286,7 @@ answer(
 answer("C9_health_trend", "SELECT * EXCLUDE (first_version, first_seq) FROM c9")
 answer("C9_dataset_trend", "SELECT * FROM c9d")
 answer("C10_cardinality_drift", "SELECT * FROM c10")
-answer(
-    "C12_overview_matrix",
-    """
+_OVERVIEW = """
 SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY CASE worst_label WHEN 'shift' THEN 0 WHEN 'monitor' THEN 1
     WHEN 'stable' THEN 2 ELSE 3 END, CASE overall_severity WHEN 'critical' THEN 0 WHEN 'notable' THEN 1 ELSE 2 END, column_name) AS overview_rank
 FROM (SELECT table_name, column_name, worst_label, h.last_score, round(c.last_comp, 6) AS last_comp, missing_pattern, last_status,
@@ -289,8 +294,9 @@ FROM (SELECT table_name, column_name, worst_label, h.last_score, round(c.last_co
         (SELECT count(*) FROM c10 e WHERE e.table_name = w.table_name AND e.column_name = w.column_name) > 0 AS cardinality_event
       FROM c8 w LEFT JOIN c9 h USING (table_name, column_name) LEFT JOIN c3 c USING (table_name, column_name)
         LEFT JOIN c7 USING (table_name, column_name) LEFT JOIN c4 USING (table_name, column_name))
-""",
-)
+"""
+answer("C12_overview_matrix", _OVERVIEW)
+answer("C12_name_search", f"SELECT table_name, column_name, worst_label, overview_rank FROM ({_OVERVIEW}) WHERE lower(column_name) LIKE '%id%'")
 answer(
     "C13_quantile_trend",
     "\nUNION ALL ".join(
@@ -526,6 +532,13 @@ UNION ALL SELECT table_name, 1000, 1, 'unchanged' FROM vers WHERE ver_idx = 0
 """,
 )
 answer("R12_snapshot_fallback", "SELECT table_name, version, 77 AS row_count, table_name AS abt_name, false AS measured FROM vers")
+answer(
+    "R11_second_batch",
+    """
+SELECT table_name, ver_idx + 1 AS arrival, ver_idx + 1 AS version, CASE WHEN ver_idx < 2 THEN 'unchanged' ELSE 'version_added' END AS action FROM vers
+""",
+)
+answer("R13_resolve", "SELECT table_name, ver_idx + 1 AS version, row_count FROM vers WHERE table_name = 'abt_orders' AND ver_idx = 1")
 answer(
     "R13_list_tables",
     "SELECT table_name, count(*) AS version_count, string_agg(CAST(ver_idx + 1 AS VARCHAR), ',' ORDER BY ver_idx) AS versions FROM vers GROUP BY 1",

@@ -305,6 +305,11 @@ def readiness_change(g: DataFrame) -> DataFrame:
     )
 
 
+def version_values(g: DataFrame, *fields: str) -> DataFrame:
+    """The series behind C3, C6, C7, C9 and C10: facts of each column at each version, NULL where it is absent."""
+    return g.select(*COLUMN, "ver_idx", "present", *[F.col(f"p.{f}").alias(f) for f in fields])
+
+
 # ── C8 stability index ──────────────────────────────────────────────────────────────────────────
 
 

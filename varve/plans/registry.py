@@ -407,6 +407,44 @@ def _(ws):
     return rounded(ws.c3.drop("n_versions"), 6, "first_comp", "last_comp")
 
 
+@shared("C3_completeness_values")
+def _(ws):
+    return rounded(compare.version_values(ws.grid, "completeness_percent"), 6, "completeness_percent")
+
+
+@shared("C6_quality_values")
+def _(ws):
+    bad = ws.c6.select("table_name", "column_name")
+    return compare.version_values(ws.grid, "mismatched_count", "blank_value_count").join(bad, ["table_name", "column_name"], "left_semi")
+
+
+@shared("C7_statuses")
+def _(ws):
+    return compare.version_values(ws.grid, "status").withColumn("status", F.coalesce("status", F.lit("absent")))
+
+
+@shared("C9_scores")
+def _(ws):
+    return compare.version_values(ws.grid, "score")
+
+
+@shared("C10_cardinalities")
+def _(ws):
+    return compare.version_values(ws.grid, "cardinality_count")
+
+
+@shared("S11_caution_columns")
+def _(ws):
+    """S11 filter: the columns of one readiness status."""
+    return single.by_status(ws.scored, "caution").select(*GROUP, "status")
+
+
+@shared("C12_name_search")
+def _(ws):
+    """C12 search: columns whose name holds a part, in any case."""
+    return compare.find_columns(ws.c12, "ID").select("table_name", "column_name", "worst_label", "overview_rank")
+
+
 @shared("C3p_missing_pattern")
 def _(ws):
     return ws.c3.groupBy("table_name", "missing_pattern").agg(F.count(F.lit(1)).alias("columns"))
@@ -902,6 +940,17 @@ def _(ws):
     return store.classify(_arrivals(ws), store.empty(ws.profiles.sparkSession)).select("table_name", "arrival", "version", "action")
 
 
+@shared("R11_second_batch")
+def _(ws):
+    """A stored registry of the first two versions meets a batch with all versions: two are known, the rest are new."""
+    spark = ws.profiles.sparkSession
+    path = scratch(spark, "registry")
+    arrivals = _arrivals(ws).where("arrival < 1000")
+    first = store.classify(arrivals.where("arrival <= 2"), store.empty(spark))
+    store.write_registry(store.ingest(store.empty(spark), first, "2024-01-01"), path)
+    return store.classify(arrivals, store.read_registry(spark, path)).select("table_name", "arrival", "version", "action")
+
+
 @shared("R12_snapshot_fallback")
 def _(ws):
     """Row count and name when a document carries no snapshot."""
@@ -927,6 +976,11 @@ def _(ws):
     return store.table_versions(_registered(ws), "abt_orders").select("table_name", "version", "row_count")
 
 
+@shared("R13_resolve")
+def _(ws):
+    return store.resolve(_registered(ws), "abt_orders", 2).select("table_name", "version", "row_count")
+
+
 @shared("R14_version_load")
 def _(ws):
     """K2 store written and one version read back through its partition."""

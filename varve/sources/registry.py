@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "table_name string, version int, hash string, created_at timestamp, last_seen timestamp, row_count bigint, snapshot_date string"
 
@@ -65,6 +66,16 @@ def ingest(registry: DataFrame, classified: DataFrame, now) -> DataFrame:
     )
 
 
+def write_registry(registry: DataFrame, path: str) -> None:
+    """A new state of the registry under its own path; the state it was made from stays readable."""
+    kinds = T.StructType.fromDDL(SCHEMA)
+    registry.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).write.parquet(path)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
 def list_tables(registry: DataFrame) -> DataFrame:
     """Tables with their versions."""
     return registry.groupBy("table_name").agg(
