@@ -54,7 +54,7 @@ TABLES = {
     "abt_steady": ("steady", _ORDERS),
     "events": ("event_rows", [
         ("event_id", "num", "bigint"), ("user_id", "num", "bigint"), ("event_type", "char", "string"),
-        ("value", "num", "double"), ("props", "char", "string"),
+        ("value", "num", "double"), ("props", "char", "string"), ("ts", "num", "timestamp_ntz"), ("detail", "other", "struct<k:int>"),
     ]),
     "documents": ("doc_rows", [
         ("doc_id", "num", "bigint"), ("text", "char", "string"), ("lang", "char", "string"),
@@ -63,14 +63,17 @@ TABLES = {
 }
 _PRESENT = {("abt_orders", "const"): "version >= 2000", ("abt_orders", "order_status"): "version < 2001"}
 
+_EXPRESSIONS = {("events", "ts"): "(epoch_us(ts) / 1e6::DOUBLE)", ("events", "detail"): "(CASE WHEN user_id % 7 <> 0 THEN props END)"}
+
 _cells = []
 for _table, (_relation, _columns) in TABLES.items():
     for _seq, (_name, _kind, _type) in enumerate(_columns):
-        _num = f"CAST({_name} AS DOUBLE)" if _kind == "num" else "CAST(NULL AS DOUBLE)"
+        _source = _EXPRESSIONS.get((_table, _name), _name)
+        _num = f"CAST({_source} AS DOUBLE)" if _kind == "num" else "CAST(NULL AS DOUBLE)"
         _txt = f"CAST({_name} AS VARCHAR)" if _kind == "char" else "CAST(NULL AS VARCHAR)"
         _cells.append(
             f"SELECT '{_table}' AS table_name, version, {_seq} AS col_seq, '{_name}' AS column_name, "
-            f"'{_kind}' AS data_type, '{_type}' AS cas_data_type, {_num} AS num, {_txt} AS txt "
+            f"'{_kind}' AS data_type, '{_type}' AS cas_data_type, {_num} AS num, {_txt} AS txt, {_source} IS NOT NULL AS has "
             f"FROM {_relation} WHERE {_PRESENT.get((_table, _name), 'true')}"
         )
 step("cells", "\nUNION ALL ".join(_cells))
@@ -95,8 +98,8 @@ step(
     """
 SELECT table_name, version, column_name, min(col_seq) AS col_seq, min(data_type) AS data_type,
        min(cas_data_type) AS cas_data_type, count(*) AS row_count,
-       count(CASE WHEN data_type = 'num' THEN num IS NOT NULL OR NULL ELSE txt IS NOT NULL OR NULL END) AS n_present,
-       CASE WHEN min(data_type) = 'num' THEN count(DISTINCT num) ELSE count(DISTINCT txt) END AS cardinality_count,
+       count(CASE WHEN has THEN 1 END) AS n_present,
+       CASE min(data_type) WHEN 'num' THEN count(DISTINCT num) WHEN 'char' THEN count(DISTINCT txt) END AS cardinality_count,
        min(num) AS min_val, max(num) AS max_val, avg(num) AS mean, stddev_samp(num) AS std,
        stddev_pop(num) AS sdp,
        quantile_cont(num, 0.25) AS q25, quantile_cont(num, 0.5) AS q50, quantile_cont(num, 0.75) AS q75,
@@ -124,7 +127,7 @@ step(
     """
 SELECT b.table_name, b.version, b.table_name || '_v' || b.version AS abt_name, row_count, col_seq, b.column_name,
        data_type, cas_data_type,
-       coalesce(given_scale, CASE WHEN cardinality_count <= 1 THEN 'unary' WHEN cardinality_count = 2 THEN 'binary'
+       coalesce(given_scale, CASE WHEN data_type = 'other' THEN 'nested' WHEN cardinality_count <= 1 THEN 'unary' WHEN cardinality_count = 2 THEN 'binary'
          WHEN cardinality_count = row_count AND (data_type = 'char' OR cas_data_type IN ('int', 'bigint')) THEN 'id'
          WHEN data_type = 'char' THEN 'nominal' ELSE 'interval' END) AS statistical_scale,
        100.0::DOUBLE * n_present / row_count AS completeness_percent, row_count - n_present AS missing_count,
@@ -144,9 +147,9 @@ step(
     """
 SELECT *, mismatched_count / row_count::DOUBLE AS mismatch_rate,
        completeness_percent < 50 AS b_missing,
-       cardinality_count <= 1 OR statistical_scale = 'unary' AS b_zero,
+       coalesce(cardinality_count <= 1, false) OR statistical_scale = 'unary' AS b_zero,
        mismatched_count / row_count::DOUBLE > 0.15::DOUBLE AS b_mismatch,
-       has_unique_field OR statistical_scale = 'id' OR uniqueness_percent >= 99.9::DOUBLE AS g_identifier,
+       has_unique_field OR statistical_scale = 'id' OR coalesce(uniqueness_percent >= 99.9::DOUBLE, false) AS g_identifier,
        coalesce(information_privacy = 'private', false) AS g_privacy,
        lower(column_name) IN ('target', 'bad', 'default', 'event', 'flag', 'label', 'y') AS is_target,
        coalesce(data_type = 'num' AND statistical_scale NOT IN ('binary', 'id', 'unary') AND min_val >= 0
@@ -160,7 +163,7 @@ step(
     """
 SELECT *, b_missing OR b_zero OR b_mismatch AS blocked,
        completeness_percent / 100 AS u_c,
-       CASE WHEN b_zero OR statistical_scale = 'id' THEN 0
+       CASE WHEN b_zero OR statistical_scale = 'id' THEN 0 WHEN cardinality_count IS NULL THEN 1
             WHEN data_type = 'num'
               THEN least(1, coalesce(std, 0) / greatest(abs(coalesce(max_val, 0) - coalesce(min_val, 0)), 1e-9) * 4)
             ELSE greatest(0, 1 - greatest(0, (1 - uniqueness_percent / 100 / greatest(cardinality_count, 1)) - 0.7::DOUBLE) * 3)

@@ -32,8 +32,8 @@ answer(
     "R2_completeness",
     f"""
 SELECT {_G}, count(*) AS row_count,
-  count(*) - count(CASE WHEN coalesce(CAST(num AS VARCHAR), txt) IS NOT NULL THEN 1 END) AS missing_count,
-  round(100.0::DOUBLE * count(coalesce(CAST(num AS VARCHAR), txt)) / count(*), 6) AS completeness_percent
+  count(*) - count(CASE WHEN has THEN 1 END) AS missing_count,
+  round(100.0::DOUBLE * count(CASE WHEN has THEN 1 END) / count(*), 6) AS completeness_percent
 FROM cells GROUP BY {_G}
 """,
 )
@@ -41,7 +41,7 @@ answer(
     "R3_cardinality",
     f"""
 SELECT {_G}, row_count, cardinality_count,
-  round(100.0::DOUBLE * cardinality_count / row_count, 6) AS uniqueness_percent FROM basic
+  round(100.0::DOUBLE * cardinality_count / row_count, 6) AS uniqueness_percent FROM prof
 """,
 )
 answer(
@@ -69,7 +69,7 @@ answer(
     "R6_scale_inference",
     f"""
 SELECT {_G}, inferred_scale, statistical_scale, inferred_scale <> statistical_scale AS declared
-FROM (SELECT *, CASE WHEN cardinality_count <= 1 THEN 'unary' WHEN cardinality_count = 2 THEN 'binary'
+FROM (SELECT *, CASE WHEN data_type = 'other' THEN 'nested' WHEN cardinality_count <= 1 THEN 'unary' WHEN cardinality_count = 2 THEN 'binary'
          WHEN cardinality_count = row_count AND (data_type = 'char' OR cas_data_type IN ('int', 'bigint')) THEN 'id'
          WHEN data_type = 'char' THEN 'nominal' ELSE 'interval' END AS inferred_scale FROM prof)
 """,

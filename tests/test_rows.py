@@ -77,6 +77,16 @@ def test_all_null_column_and_patterns_on_whole_texts(spark):
     assert row.loc[(1, "n"), "completeness_percent"] == 0 and row.loc[(1, "n"), "cardinality_count"] == 0
 
 
+def test_nested_columns_have_a_completeness_only(spark):
+    df = spark.range(40).select(F.lit(1).alias("version"), F.when(F.col("id") % 4 > 0, F.array("id")).alias("list"), F.col("id").cast("string").cast("binary").alias("raw"))
+    for mode in ("exact", "sketch"):
+        profile = rows.profile(spark, [rows.TableSpec("t", df)], mode=mode)
+        row = {r["column_name"]: r for r in profile.collect()}
+        assert row["list"]["completeness_percent"] == 75 and row["list"]["cardinality_count"] is None
+        assert {r["statistical_scale"] for r in row.values()} == {"nested"}
+        assert {r["rule"] for r in Workspace(profile).s2.collect()} == set()
+
+
 def test_sketch_agrees_with_exact(spark):
     df = spark.range(20000).select((F.col("id") % 2).cast("int").alias("version"), (F.col("id") * 7 % 9973).cast("double").alias("x"))
     spec = [rows.TableSpec("t", df)]

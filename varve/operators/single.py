@@ -41,11 +41,11 @@ def _flags(cfg: Thresholds) -> dict[str, Column]:
         "rows": rows,
         "mismatch_rate": F.col("mismatched_count") / rows,
         "b_missing": F.col("completeness_percent") < cfg.blocker_completeness,
-        "b_zero": (F.col("cardinality_count") <= 1) | _in_scales(["unary"]),
+        "b_zero": F.coalesce(F.col("cardinality_count") <= 1, F.lit(False)) | _in_scales(["unary"]),
         "b_mismatch": F.col("mismatched_count") / rows > cfg.blocker_mismatch_rate,
         "g_identifier": F.coalesce(F.col("has_unique_field"), F.lit(False))
         | _in_scales(["id"])
-        | (F.col("uniqueness_percent") >= 99.9),
+        | F.coalesce(F.col("uniqueness_percent") >= 99.9, F.lit(False)),
         "g_privacy": F.coalesce(F.col("information_privacy") == "private", F.lit(False)),
         "prob_like": prob_like(cfg),
     }
@@ -59,6 +59,7 @@ def _subscores() -> dict[str, Column]:
     dominance = 1.0 - F.col("uniqueness_percent") / 100.0 / F.greatest(F.col("cardinality_count"), F.lit(1))
     variance = (
         F.when(F.col("b_zero") | _in_scales(["id"]), 0.0)
+        .when(F.col("cardinality_count").isNull(), 1.0)
         .when(numeric, F.least(F.lit(1.0), spread * 4))
         .otherwise(F.greatest(F.lit(0.0), 1.0 - F.greatest(F.lit(0.0), dominance - 0.7) * 3.0))
     )

@@ -128,7 +128,8 @@ def _(spark, sf_dir):
 
 @query("R3_cardinality")
 def _(spark, sf_dir):
-    facts = shared_facts(spark, sf_dir)
+    facts = shared_facts(spark, sf_dir).join(rows.column_catalog(spark, tables.specs(spark, sf_dir)), ["table_name", "column_name"])
+    facts = facts.withColumn("cardinality_count", F.when(F.col("data_type") != "other", F.col("cardinality_count")))
     return facts.select(
         *GROUP, "row_count", "cardinality_count", F.round(100.0 * F.col("cardinality_count") / F.col("row_count"), 6).alias("uniqueness_percent")
     )

@@ -63,6 +63,8 @@ def specs(spark: SparkSession, sf_dir: str) -> list[TableSpec]:
     base = orders_table(spark, sf_dir)
     # whole weeks since 1970, so that weeks of different months and years stay apart
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("version", F.floor(F.unix_date(F.to_date("ts")) / 7).cast("int"))
+    # a nested column, missing for some users
+    events = events.withColumn("detail", F.when(F.col("user_id") % 7 != 0, F.from_json("props", "k int")))
     # a source without a number has no version
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("version", F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"))
     return [
@@ -73,7 +75,7 @@ def specs(spark: SparkSession, sf_dir: str) -> list[TableSpec]:
             patterns={"priority": "^[1-5]-[A-Z ]+$"},
         ),
         TableSpec("abt_steady", base),
-        TableSpec("events", events, columns=["event_id", "user_id", "event_type", "value", "props"], patterns={"props": '^\\{"k": [0-9]{2}\\}$'}),
+        TableSpec("events", events, columns=["event_id", "user_id", "event_type", "value", "props", "ts", "detail"], patterns={"props": '^\\{"k": [0-9]{2}\\}$'}),
         TableSpec("documents", docs, columns=["doc_id", "text", "lang", "source", "n_chars"]),
     ]
 

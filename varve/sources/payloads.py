@@ -122,11 +122,14 @@ def profiles(docs: DataFrame) -> DataFrame:
     nested = F.from_json(F.col("item")["attributes"], "map<string,string>")
     flat = F.exists(F.map_keys("item"), lambda k: k.isin(*FLAT_MARKS))
     attrs = F.when(F.coalesce(F.size(nested), F.lit(0)) > 0, nested).when(flat, F.col("item")).otherwise(F.create_map().cast("map<string,string>"))
-    return items.withColumn("attrs", attrs).select(
+    facts = items.withColumn("attrs", attrs).select(
         "table_name", "version", "abt_name", "snapshot_date", "row_count", "row_count_measured", "col_seq",
         F.coalesce(F.col("item")["name"], F.lit("")).alias("column_name"),
         *[_value(key, kind, default).alias(name) for key, (name, kind, default) in FIELDS.items()],
     )
+    # nested columns have no distinct values; the default of 0 would make them constants
+    counted = lambda c: F.when(F.col("data_type") != "other", F.col(c))
+    return facts.withColumns({c: counted(c) for c in ("cardinality_count", "uniqueness_percent")})
 
 
 def to_payloads(profile: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def column_catalog(spark: SparkSession, specs: list[TableSpec]) -> DataFrame:
         for seq, name in enumerate(spec.profiled()):
             dt = spec.rows.schema[name].dataType
             kind = _kind(dt)
-            rows.append((spec.name, name, seq, "char" if kind == "other" else kind, dt.simpleString()))
+            rows.append((spec.name, name, seq, kind, dt.simpleString()))
     return spark.createDataFrame(
         rows, "table_name string, column_name string, col_seq int, data_type string, cas_data_type string"
     )
@@ -345,7 +345,8 @@ def infer_scale() -> Column:
     card, rows = F.col("cardinality_count"), F.col("row_count")
     discrete = (F.col("data_type") == "char") | F.col("cas_data_type").isin("tinyint", "smallint", "int", "bigint")
     return (
-        F.when(card <= 1, "unary")
+        F.when(F.col("data_type") == "other", "nested")
+        .when(card <= 1, "unary")
         .when(card == 2, "binary")
         .when((card == rows) & discrete, "id")
         .when(F.col("data_type") == "char", "nominal")
@@ -398,6 +399,8 @@ def profile(
         )
     )
     rows = F.col("row_count")
+    # nested and binary columns have a completeness, but no values that could be told apart
+    wide = wide.withColumn("cardinality_count", F.when(F.col("data_type") != "other", F.col("cardinality_count")))
     return wide.withColumns(
         {
             "abt_name": F.concat("table_name", F.lit("_v"), F.col("version").cast("string")),
