@@ -565,8 +565,8 @@ answer(
 SELECT 'events' AS table_name, strftime(ts, '%Y-%m-%d') AS day, column_name, count(*) AS row_count, count(v) AS n_present,
   min(v) AS min_val, max(v) AS max_val, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std
 FROM (SELECT ts, 'user_id' AS column_name, CAST(user_id AS DOUBLE) AS v FROM events
+      UNION ALL SELECT ts, 'event_id', CAST(event_id AS DOUBLE) FROM events
       UNION ALL SELECT ts, 'value', value FROM events) t
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
 GROUP BY 2, 3
 """,
 )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varve.config import Thresholds
 from varve.functions.psi import cdf_at, divergence, normalised, psi_label
@@ -109,19 +110,35 @@ def run_to_table(windows: DataFrame, path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def close_open(events: DataFrame, table_name: str, ts: str, columns: list[str], finished: DataFrame, width: str = "1 day") -> DataFrame:
+    """M1 at the end of the input: the windows that the watermark has not passed, from the rows that lie in them.
+
+    ``events`` is the same source read as a batch; only rows from the end of the last finished window on are read.
+    """
+    end = finished.agg(F.max("window_end").alias("end")).first()["end"]
+    rest = events if end is None else events.where(F.col(ts).cast("timestamp") >= F.lit(end))
+    return windowed_profile(rest, table_name, ts, columns, width)
+
+
 def run_alerts(windows: DataFrame, store: str, alerts: str, checkpoint: str, cfg: Thresholds = Thresholds()) -> None:
-    """M2: keep every finished window and append its verdict against the first window of its table.
+    """M2: keep every finished window and append its verdict against the first window of its column.
 
-    Both writes are keyed by the batch number, so a batch that is retried replaces its own output.
+    The first window of each column is kept in a table of its own, so a batch reads that and its own rows,
+    however long the stream has run. All writes are keyed by the batch number, so a batch that is retried
+    replaces its own output.
     """
+    base = f"{store}-base"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         readable(batch).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         finished = spark.read.parquet(f"{store}/batch={batch_id}")
-        history = spark.read.parquet(store)
-        first = history.groupBy("table_name", "column_name").agg(F.min("window_start").alias("window_start"))
-        baseline = history.join(first, WINDOW, "left_semi")
+        schema = T.StructType([*finished.schema.fields, T.StructField("batch", T.LongType())])
+        known = spark.read.schema(schema).parquet(base).where(F.col("batch") < batch_id).drop("batch") if batch_id else finished.limit(0)
+        new = finished.join(known, ["table_name", "column_name"], "left_anti")
+        first = new.groupBy("table_name", "column_name").agg(F.min("window_start").alias("window_start"))
+        new.join(first, WINDOW, "left_semi").write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        baseline = known.unionByName(spark.read.schema(finished.schema).parquet(f"{base}/batch={batch_id}"))
         against_baseline(finished, baseline, cfg).write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
 
     q = (
