@@ -19,6 +19,7 @@ from varve.sources.shared import written
 PAIR = [*COLUMN, "pair_idx"]
 #: Ranges of a pair's values in which ranks are worked out apart.
 RANGES = 128
+STRIDE = 12
 
 
 def _numbers(scale: str, skipped: list[str]) -> Column:
@@ -84,10 +85,16 @@ def entropy_drift(counts: DataFrame, pairs: DataFrame) -> DataFrame:
 def ranged(numbers: DataFrame) -> DataFrame:
     """Counts per pair, range and value; ranges hold about equal numbers of distinct values, however the values lie."""
     cuts = [k / RANGES for k in range(1, RANGES)]
-    edges = written(numbers.groupBy(*PAIR).agg(F.percentile_approx("num", cuts, 20 * RANGES).alias("edges")), "edges")
+    edges = numbers.groupBy(*PAIR).agg(F.percentile_approx("num", cuts, 20 * RANGES).alias("edges"))
+    # every STRIDE-th edge first, then the edges between two of them
+    marks = F.filter("edges", lambda e, i: i % STRIDE == STRIDE - 1)
+    edges = written(edges.withColumn("marks", marks), "edges")
+    below = lambda a: F.size(F.filter(a, lambda e: e < F.col("num")))
+    passed = below("marks") * STRIDE
     return (
         numbers.join(edges, PAIR)
-        .withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("num"))))
+        .withColumn("passed", passed)
+        .withColumn("range", F.col("passed") + below(F.slice("edges", F.col("passed") + 1, STRIDE)))
         .groupBy(*PAIR, "range", "num")
         .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
     )
