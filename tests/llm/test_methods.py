@@ -204,6 +204,16 @@ def test_predictions_sum_to_one(spark):
         assert np.exp2(model.log2(high | np.arange(256, dtype=np.uint64)).astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_context_tree_scores_do_not_depend_on_the_broadcast_part(spark, texts):
+    docs = queries.documents(spark, SF_DIR).limit(60)
+    docs = docs.unionByName(docs.limit(5)).cache()
+    whole = sorted((r.doc_id, r.score) for r in ctw.scores(docs).collect())
+    for limit in (0, 300, 20_000):
+        cut = sorted((r.doc_id, r.score) for r in ctw.scores(docs, max_nodes=limit, max_words=100).collect())
+        assert [i for i, _ in cut] == [i for i, _ in whole]
+        assert [s for _, s in cut] == pytest.approx([s for _, s in whole], rel=1e-5)
+
+
 def test_context_tree_beats_the_words_on_held_out_texts(spark):
     got = queries.op4_context_tree(spark, SF_DIR.replace("0.001", "0.1")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)

@@ -6,8 +6,8 @@ from all training texts, and the estimates of all depths are mixed by the weight
 node, how much better it codes the training data itself than its longer contexts together do.
 
 Counting is a map-side count of (DEPTH+1)-grams and one grouped sum; the tree is then folded one depth at a
-time by grouped sums. For scoring the tree is cut to at most ``max_nodes`` nodes, those seen most often, so
-what is broadcast has a fixed bound; a context that was cut is coded by its longest kept suffix.
+time by grouped sums. The ``max_nodes`` nodes seen most often are broadcast, so that has a fixed bound; grams
+whose longest contexts are not among them are joined with the written rest of the tree, so every node counts.
 """
 
 from __future__ import annotations
@@ -131,27 +131,46 @@ def tree(grams: DataFrame) -> DataFrame:
     return out.select("depth", "context", "node", "n0", "n1", F.round("beta", 4).alias("beta"))
 
 
-def most_counted(df: DataFrame, n: Column, limit: int) -> DataFrame:
-    """The rows with the highest n, as many whole classes of about equal n as fit into ``limit`` rows."""
+def most_counted(df: DataFrame, n: Column, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with the highest n, as many whole classes of about equal n as fit into ``limit`` rows, and the rest if there is one."""
     step = F.floor(F.log2(n) * 16).cast("int")
     left, least = limit, None
     # a class for each sixteenth of a power of two
     for row in df.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         if row["count"] > left:
-            break
+            return (df.where(F.lit(False)), df) if least is None else (df.where(step >= least), df.where(step < least))
         left, least = left - row["count"], row["step"]
-    return df.where(F.lit(False)) if least is None else df.where(step >= least)
+    return df, None
 
 
-class Model:
-    """Kept nodes and frequent words as arrays, looked up for many keys at once."""
+class Nodes:
+    """Nodes of the tree as arrays in the order of their keys."""
 
-    def __init__(self, nodes: pa.Table, frequent: pa.Table, slots: int = 1 << 20) -> None:
-        keys = nodes.column("key").to_numpy().view(np.uint64)
+    def __init__(self, keys: np.ndarray, one: np.ndarray, own: np.ndarray) -> None:
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.one = nodes.column("one").to_numpy()[order].astype(np.float32)
-        self.own = nodes.column("own").to_numpy()[order].astype(np.float32)
+        self.keys, self.one, self.own = keys[order], one[order], own[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
+def node_keys(codes: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The keys of the eight nodes that a gram meets at a depth."""
+    byte = codes & np.uint64(255)
+    base = np.uint64(depth << 56) | ((codes >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)) << np.uint64(8)
+    return [base | (byte >> np.uint64(8 - k)) + np.uint64(1 << k) for k in range(8)]
+
+
+class Model:
+    """The broadcast nodes and frequent words as arrays, looked up for many keys at once; ``whole`` if these are all nodes."""
+
+    def __init__(self, nodes: pa.Table, frequent: pa.Table, whole: bool = True, slots: int = 1 << 20) -> None:
+        self.nodes = Nodes(nodes.column("key").to_numpy().view(np.uint64), nodes.column("one").to_numpy(), nodes.column("own").to_numpy())
+        self.whole = whole
         hashes, counts = frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
         order = np.argsort(counts, kind="stable")  # in one slot the most frequent word stays
         self.words, self.counts = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.int64)
@@ -163,7 +182,10 @@ class Model:
         return self.__dict__ | {"cache": None}
 
     def log2(self, codes: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each gram's last byte given the bytes before it; grams seen before are kept in the worker."""
+        """log2 of the probability of each gram's last byte given the bytes before it, NaN where that takes the rest of the tree.
+
+        Grams seen before are kept in the worker.
+        """
         if self.cache is None:
             self.cache = np.full(1 << 21, ~np.uint64(0)), np.zeros(1 << 21, dtype=np.float32)
         kept, values = self.cache
@@ -172,43 +194,90 @@ class Model:
         out = values[slot]
         if missing.any():
             new, _ = tally(codes[missing])
-            fresh = self._mixture(new)
+            fresh = np.full(len(new), np.nan, dtype=np.float32)
+            settled = np.ones(len(new), dtype=bool) if self.whole else ~self.missing(new, DEPTH)
+            fresh[settled] = self.mixture(new[settled])
             out[missing] = fresh[np.searchsorted(new, codes[missing])]
             slot = (mix(new.copy()) & np.uint64(len(kept) - 1)).astype(np.int64)
             kept[slot] = new
             values[slot] = fresh[np.searchsorted(new, kept[slot])]
         return out
 
-    def _mixture(self, codes: np.ndarray) -> np.ndarray:
+    def missing(self, codes: np.ndarray, depth: int) -> np.ndarray:
+        """Whether a gram meets a node of this depth that is not here."""
+        out = np.zeros(len(codes), dtype=bool)
+        for key in node_keys(codes, depth):
+            out |= ~self.nodes.find(key)[1]
+        return out
+
+    def mixture(self, codes: np.ndarray, rest: Nodes | None = None) -> np.ndarray:
+        """log2 of the probabilities from the nodes here and those of the rest."""
         total = np.zeros(len(codes), dtype=np.float32)
-        if not len(self.keys):
+        tables = [t for t in (self.nodes, rest) if t is not None and len(t.keys)]
+        if not tables:
             return total - 8
-        byte = codes & np.uint64(255)
+        keys = [node_keys(codes, depth) for depth in range(DEPTH + 1)]
         for k in range(8):
-            node = (byte >> np.uint64(8 - k)) + np.uint64(1 << k)
             p, seen = np.full(len(codes), 0.5, dtype=np.float32), np.zeros(len(codes), dtype=bool)
             for depth in range(DEPTH, -1, -1):
-                context = (codes >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
-                key = np.uint64(depth << 56) | context << np.uint64(8) | node
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = self.keys[at] == key
-                weight = np.where(seen, self.own[at], np.float32(1))
-                p = np.where(found, weight * self.one[at] + (1 - weight) * p, p)
-                seen |= found
-            bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
+                for table in tables:
+                    at, found = table.find(keys[depth][k])
+                    weight = np.where(seen, table.own[at], np.float32(1))
+                    p = np.where(found, weight * table.one[at] + (1 - weight) * p, p)
+                    seen |= found
+            bit = (codes >> np.uint64(7 - k)) & np.uint64(1)
             total += np.log2(np.where(bit == 1, p, 1 - p))
         return total
 
 
 def fit(spark, counts: DataFrame, max_nodes: int, max_words: int) -> Model:
+    return fit_and_rest(counts, max_nodes, max_words)[0]
+
+
+def fit_and_rest(counts: DataFrame, max_nodes: int, max_words: int) -> tuple[Model, DataFrame | None]:
+    """The model to broadcast, and key, one, own of the nodes that are not in it."""
     nodes = tree(counts.where(F.col("kind") == GRAM))
-    kept = most_counted(nodes, F.col("n0") + F.col("n1"), max_nodes)
+    kept, rest = most_counted(nodes, F.col("n0") + F.col("n1"), max_nodes)
     key = F.shiftleft(F.col("depth").cast("long"), 56).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("node").cast("long"))
     one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
     own = 1 / (1 + F.exp(-F.greatest(F.lit(-80.0), F.least(F.lit(80.0), F.col("beta")))))
-    table = kept.select(key.alias("key"), one.cast("float").alias("one"), own.cast("float").alias("own")).toArrow()
-    frequent = most_counted(counts.where(F.col("kind") == WORD).select("key", "n"), F.col("n"), max_words).toArrow()
-    return Model(table, frequent)
+    columns = [key.alias("key"), one.cast("float").alias("one"), own.cast("float").alias("own")]
+    frequent = most_counted(counts.where(F.col("kind") == WORD).select("key", "n"), F.col("n"), max_words)[0].toArrow()
+    return Model(kept.select(*columns).toArrow(), frequent, rest is None), None if rest is None else rest.select(*columns)
+
+
+def settled_by_join(grams: DataFrame, rest: DataFrame, model) -> DataFrame:
+    """gram, bits: log2 of the probability of each distinct gram, by the broadcast model and the rest of the tree.
+
+    A gram is joined with the rest once for each depth at which it misses a node: all nodes of one context there
+    are one row, of which the gram takes the eight that it meets.
+    """
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(0).to_numpy().view(np.uint64)
+            for depth in range(DEPTH, -1, -1):
+                codes = codes[model.value.missing(codes, depth)]  # a context is seen as often as its longer ones, at least
+                if not len(codes):
+                    break
+                at = node_keys(codes, depth)[0] & ~np.uint64(255)
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(at.view(np.int64))], names=["gram", "at"])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(1).flatten().flatten()
+            key, one, own = (found.field(c).to_numpy(zero_copy_only=False) for c in ("key", "one", "own"))
+            key, first = np.unique(key.view(np.uint64), return_index=True)
+            bits = model.value.mixture(batch.column(0).to_numpy().view(np.uint64), Nodes(key, one[first], own[first]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.astype(np.float64))], names=["gram", "bits"])
+
+    at = F.col("key").bitwiseAND(~255)
+    by_context = rest.groupBy(at.alias("at")).agg(F.collect_list(F.struct("key", "one", "own")).alias("nodes"))
+    byte = F.col("gram").bitwiseAND(255)
+    met = F.array(*[F.col("at").bitwiseOR(F.shiftright(byte, 8 - k) + (1 << k)) for k in range(8)])
+    own = F.filter("nodes", lambda n: F.array_contains(F.col("met"), n["key"]))
+    joined = grams.mapInArrow(contexts, "gram long, at long").join(by_context, "at", "left").withColumn("met", met)
+    return joined.select("gram", own.alias("nodes")).groupBy("gram").agg(F.collect_list("nodes").alias("nodes")).mapInArrow(values, "gram long, bits double")
 
 
 def scores(docs: DataFrame, max_nodes: int = 1 << 21, max_words: int = 1 << 19) -> DataFrame:
@@ -217,8 +286,8 @@ def scores(docs: DataFrame, max_nodes: int = 1 << 21, max_words: int = 1 << 19)
     Learns from the texts whose crc32(doc_id) mod 5 is not 1. Tokens are words and one end per text; base_score
     is the smoothed unigram score, score the context tree's log10 probability of the same tokens. Null and
     empty texts are one end token. A null id is held_out null and not learned from. Without training texts the
-    tree predicts evenly. Counts of frequent words are looked up in a broadcast table of fixed size, those of
-    all other words by a join. Repeated rows give repeated results, an empty table none.
+    tree predicts evenly. Frequent nodes and words are looked up in broadcast tables of fixed size, all others
+    by joins, so the results do not depend on these sizes. Repeated rows give repeated results, an empty table none.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -231,21 +300,28 @@ def scores(docs: DataFrame, max_nodes: int = 1 << 21, max_words: int = 1 << 19)
     ends = training.count()
     n_all, distinct = total["n"] + ends, total["v"] + (1 if ends else 0)
     floor = math.log10(n_all + 0.5 * (distinct + 1))
-    model = spark.sparkContext.broadcast(fit(spark, counts, max_nodes, max_words))
+    fitted, rest = fit_and_rest(counts, max_nodes, max_words)
+    model = spark.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for slab in slabs(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.rows), batch.column(1).slice(slab.first, slab.rows), *_score(model.value, slab)], names=["doc_id", "row", "n_words", "n_known", "known", "bits", "n_bytes", "word", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(slab.first, slab.rows), batch.column(1).slice(slab.first, slab.rows), *_score(model.value, slab)], names=["doc_id", "row", "n_words", "n_known", "known", "bits", "n_bytes", "word", "times", "gram", "often"])
 
-    schema = "doc_id long, row long, n_words long, n_known long, known double, bits double, n_bytes long, word array<long>, times array<long>"
-    scored = written(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, schema), "ctw-scored")
-    rare = scored.where(F.size("word") > 0).select("row", F.explode(F.arrays_zip("word", "times")).alias("w")).select("row", "w.word", "w.times").distinct()
+    schema = "doc_id long, row long, n_words long, n_known long, known double, bits double, n_bytes long, word array<long>, times array<long>, gram array<long>, often array<int>"
+    # once written, the number of a row stays
+    scored = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, schema), "ctw-scored")
+    rare = scored.where(F.size("word") > 0).select("row", F.explode(F.arrays_zip("word", "times")).alias("w")).select("row", "w.word", "w.times")
     found = rare.join(word_counts.select(F.col("key").alias("word"), "n"), "word", "left")
     per_row = found.groupBy(F.col("row").alias("of")).agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rest_known")
     )
-    out = scored.drop("word", "times").join(per_row, F.col("row") == F.col("of"), "left")
+    out = scored.drop("word", "times", "gram", "often").join(per_row, F.col("row") == F.col("of"), "left")
+    if rest is not None:
+        values = settled_by_join(scored.select(F.explode("gram").alias("gram")).distinct(), rest, model)
+        uses = scored.where(F.size("gram") > 0).select("row", F.explode(F.arrays_zip("gram", "often")).alias("g")).select("row", "g.gram", "g.often")
+        rest_bits = uses.join(values, "gram").groupBy(F.col("row").alias("by")).agg(F.sum(F.col("often") * F.col("bits")).alias("rest_bits"))
+        out = out.join(rest_bits, F.col("row") == F.col("by"), "left").withColumn("bits", F.col("bits") + F.coalesce("rest_bits", F.lit(0.0)))
     zero = lambda c: F.coalesce(c, F.lit(0))
     n_tokens = F.col("n_words") + 1
     return out.select(
@@ -263,7 +339,10 @@ def scores(docs: DataFrame, max_nodes: int = 1 << 21, max_words: int = 1 << 19)
 def _score(model: Model, slab: Slab) -> list[pa.Array]:
     w = words(slab)
     codes, bounds = stream(w, slab)
-    bits = np.add.reduceat(model.log2(codes).astype(np.float64), bounds[:-1])
+    bits = model.log2(codes).astype(np.float64)
+    open_ = np.isnan(bits)
+    grams = _per_row(codes[open_], np.repeat(np.arange(slab.rows), np.diff(bounds))[open_], slab.rows, np.int32)
+    bits = np.add.reduceat(np.where(open_, 0, bits), bounds[:-1])
     hashes, counts = word_hashes(w), np.diff(w.bounds)
     row = np.repeat(np.arange(slab.rows), counts)
     slot = (hashes & np.uint64(len(model.words) - 1)).astype(np.int64)
@@ -271,13 +350,16 @@ def _score(model: Model, slab: Slab) -> list[pa.Array]:
     frequent = count > 0
     known = np.bincount(row, weights=np.where(frequent, np.log10(count + 0.5), 0), minlength=slab.rows).astype(np.float64)
     n_known = np.bincount(row[frequent], minlength=slab.rows)
-    rare, of = hashes[~frequent], row[~frequent]
-    order = np.lexsort((rare, of))
-    rare, of = rare[order], of[order]
-    at = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])][: len(rare)])
-    offsets = pa.array(np.searchsorted(of[at], np.arange(slab.rows + 1)).astype(np.int32))
-    as_list = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values))
     return [
         pa.array(counts.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(known), pa.array(bits), pa.array(np.diff(bounds)),
-        as_list(rare[at].view(np.int64)), as_list(np.diff(np.r_[at, len(rare)]).astype(np.int64)),
+        *_per_row(hashes[~frequent], row[~frequent], slab.rows, np.int64), *grams,
     ]
+
+
+def _per_row(keys: np.ndarray, of: np.ndarray, rows: int, kind: type) -> list[pa.Array]:
+    """Two lists per row: its distinct keys and how often it has each."""
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])][: len(keys)])
+    offsets = pa.array(np.searchsorted(of[at], np.arange(rows + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (keys[at].view(np.int64), np.diff(np.r_[at, len(keys)]).astype(kind))]
