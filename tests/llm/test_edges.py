@@ -109,6 +109,15 @@ def test_decontamination(docs, nothing, items, spark):
     assert clean.columns == docs.columns and clean.count() == len(ROWS) - 3
 
 
+def test_decontamination_by_items_that_share_an_id_or_have_none(spark):
+    texts = ["red apples grow on old trees near the river every year", "cold winds blow over the northern hills at night in winter", "seven ships sailed slowly towards the distant harbour of gold today"]
+    docs = spark.createDataFrame([(k, f"see here {t} and so on") for k, t in enumerate(texts)] + [(9, "none of these at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (1, texts[0]), (None, texts[0])], "item_id long, text string")
+    for words in (2_000_000, 8):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, block_words=words).collect()) == [(0, 1), (1, 1), (2, None)]
+        assert [r.doc_id for r in decontaminate.keep_clean(docs, items, block_words=words).collect()] == [9]
+
+
 def test_near_duplicates(docs, nothing):
     out = {(r.doc_id, r.n_shingles): r for r in neardup.near_duplicates(docs, 3, 85, 100).collect()}
     assert out[7, 14].component_id == 1 and not out[7, 14].kept and out[1, 14].kept

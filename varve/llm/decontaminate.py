@@ -76,13 +76,13 @@ class Essential:
 
 @dataclass
 class Index:
-    """terms in order, posting of each, and per item its id and the run hashes of its question and answer."""
+    """terms in order, posting of each, and per item its id (None if it has none) and the run hashes of its question and answer."""
 
     terms: np.ndarray
     postings: list[Posting]
     tops: np.ndarray
     essential: Essential
-    ids: list[int]
+    ids: list[int | None]
     question: list[np.ndarray]
     answer: list[np.ndarray]
     longest: int
@@ -138,7 +138,7 @@ def _answer_start(data: np.ndarray, ends: np.ndarray) -> int:
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """item_id, length, term, tf for each term of each item; items without words have none."""
+    """item, length, term, tf for each term of each item; items without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,32 +154,34 @@ def item_terms(items: DataFrame) -> DataFrame:
                     terms.append(term)
                     tfs.append(tf)
             flat = lambda parts: np.concatenate([*parts, np.zeros(0, dtype=np.int64 if parts is tfs else np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(flat(terms).view(np.int64)), pa.array(flat(tfs).astype(np.int64))], names=["item_id", "length", "term", "tf"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(flat(terms).view(np.int64)), pa.array(flat(tfs).astype(np.int64))], names=["item", "length", "term", "tf"])
 
-    return items.mapInArrow(run, "item_id long, length long, term long, tf long")
+    return items.select("item", "text").mapInArrow(run, "item long, length long, term long, tf long")
 
 
 def indexes(items: DataFrame, threshold: float, block_words: int) -> Iterator[Index]:
     """Indexes over all items, each of about ``block_words`` words; statistics are those of all items."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    items = items.dropDuplicates(["item_id"])
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    # a row without id that repeats the text of one with an id says nothing new
+    named = items.where("item_id IS NOT NULL").select(F.col("text").alias("named")).distinct()
+    items = items.join(named, F.col("item_id").isNull() & (F.col("text") == F.col("named")), "left_anti").withColumn("item", F.xxhash64("item_id", "text"))
     terms = item_terms(items)
-    stats = terms.select("item_id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), F.sum("length").alias("words")).first()
+    stats = terms.select("item", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), F.sum("length").alias("words")).first()
     blocks = max(1, math.ceil((stats["words"] or 0) / block_words))
     weighted = terms.join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
-    block = lambda b: F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b
+    block = lambda b: F.pmod(F.xxhash64("item"), F.lit(blocks)) == b
     for b in range(blocks):
         table = weighted.where(block(b)).toArrow()
-        texts = items.where(block(b)).orderBy("item_id").toArrow()
+        texts = items.where(block(b)).orderBy("item").toArrow()
         if table.num_rows:
             yield _index(table, texts, stats["n"], stats["avg"], threshold)
 
 
 def _index(table: pa.Table, texts: pa.Table, n: int, average: float, threshold: float) -> Index:
-    item_id, length, term, tf, df = (table.column(c).to_numpy() for c in ("item_id", "length", "term", "tf", "df"))
+    number, length, term, tf, df = (table.column(c).to_numpy() for c in ("item", "length", "term", "tf", "df"))
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-    ids, item = np.unique(item_id, return_inverse=True)
+    numbers, item = np.unique(number, return_inverse=True)
     impact = weight / np.bincount(item, weights=weight)[item]
     keys = term.view(np.uint64)
     order = np.lexsort((item, keys))
@@ -190,10 +192,10 @@ def _index(table: pa.Table, texts: pa.Table, n: int, average: float, threshold:
         own, value = item[a:z].tolist(), impact[a:z].tolist()
         cuts = range(0, len(own), BLOCK)
         postings.append(Posting(own, value, [own[min(c + BLOCK, len(own)) - 1] for c in cuts], [max(value[c : c + BLOCK]) for c in cuts], max(value)))
-    questions, answers, longest, place = {}, {}, 1, {int(x): k for k, x in enumerate(ids)}
+    questions, answers, longest, place = {}, {}, 1, {int(x): k for k, x in enumerate(numbers)}
     column = texts.column("text").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    names = texts.column("item_id").to_pylist()
+    names, ids = texts.column("item").to_pylist(), dict(zip(texts.column("item").to_pylist(), texts.column("item_id").to_pylist()))
     for slab in slabs(column):
         w = words(slab)
         hashes = word_hashes(w)
@@ -206,9 +208,9 @@ def _index(table: pa.Table, texts: pa.Table, n: int, average: float, threshold:
             questions[k], answers[k] = _runs(hashes[a : a + cut]), _runs(hashes[a + cut : z])
             longest = max(longest, int(z - a))
     tops = np.array([p.top for p in postings])
-    number = np.searchsorted(keys[starts], keys)
-    essential = Essential.of(number, len(starts), item, len(ids), impact, df, threshold)
-    return Index(keys[starts], postings, tops, essential, [int(x) for x in ids], [questions[k] for k in range(len(ids))], [answers[k] for k in range(len(ids))], longest)
+    place_of = np.searchsorted(keys[starts], keys)
+    essential = Essential.of(place_of, len(starts), item, len(numbers), impact, df, threshold)
+    return Index(keys[starts], postings, tops, essential, [ids[int(x)] for x in numbers], [questions[k] for k in range(len(numbers))], [answers[k] for k in range(len(numbers))], longest)
 
 
 def _runs(hashes: np.ndarray) -> np.ndarray:
@@ -274,8 +276,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, over
     """One row per document and test item found in it: doc_id, item_id, score, question_overlap, answer_overlap, first_word.
 
     The answer of an item is its last sentence, or its second half where it has one sentence. Items without
-    id or words and null or empty texts give nothing; repeated documents give repeated rows; one of several
-    items with an id is used. Items beyond ``block_words`` words are indexed in further blocks, each of which
+    words and null or empty texts give nothing; repeated documents give repeated rows. Items are told apart by id
+    and text: texts that share an id are items of their own, and a text that has no id is reported with item_id
+    null. Items beyond ``block_words`` words are indexed in further blocks, each of which
     all passages query. Other columns are ignored.
     """
     spark = docs.sparkSession
