@@ -170,3 +170,13 @@ def test_statistics_are_broadcast_against_rows_and_value_counts(spark, small_bro
     assert "SortMergeJoin" not in initial_plan(rows.frequency_extremes(counts, stats).select("low_num")).split("Join")[-1]
     facts = initial_plan(rows.value_facts(counts, stats, quartiles))
     assert facts.count("BroadcastHashJoin") >= 3
+
+
+def test_alerts_reach_the_last_day_of_every_column(spark):
+    from pyspark.sql import functions as F
+
+    from varve.plans.registry import QUERIES
+
+    days = {r.day for r in spark.read.parquet(f"{SF_DIR}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct().collect()}
+    got = [(r.window_start, r.column_name) for r in QUERIES["M2_drift_alerts"](spark, SF_DIR).collect()]
+    assert sorted(got) == sorted((d, c) for d in days for c in ("event_id", "user_id", "value", "event_type", "props"))
