@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import ctw, decontaminate, fingerprints, language, licenses, mixing, neardup, quality, sharding, tokens
+from varve.llm import clustering, ctw, decontaminate, exactdup, fingerprints, language, licenses, mixing, neardup, quality, sharding, tokens, whitening
 
 #: Vocabulary file of op2; public_tokenizers finds it on any machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -59,6 +63,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(documents(spark, sf_dir))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_digest(embeddings(spark, sf_dir))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -70,5 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
+    "op11_clusters": op11_clusters,
+    "op12_exact_duplicates": op12_exact_duplicates,
+    "op13_whitening": op13_whitening,
 }
-ORACLE: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL}
+ORACLE: dict[str, str] = {"op3_source_mix": mixing.MIX_SQL, "op11_clusters": clustering.cluster_sql(), "op12_exact_duplicates": exactdup.DEDUP_SQL}
