@@ -31,4 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a columnar table: lineage ends here and readers prune columns."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once nothing that is still to be computed reads them."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path is not None:
+            jvm, sc = table.sparkSession._jvm, table.sparkSession.sparkContext
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            table._written_to = None
