@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that differs from all of ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def crc32_of(column: Column) -> Column:
     """Unsigned CRC-32 of the value written as text."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.sources.shared import written
+from varve.sources.shared import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("m").alias("a"), "b").distinct()
         lowest = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(lowest, F.col("b") == F.col("u")).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        edges = written(small.where("a <> b").distinct(), "links")
+        old, edges = edges, written(small.where("a <> b").distinct(), "links")
+        discard(old)
         after = _state(edges)
         if after == before:
             break

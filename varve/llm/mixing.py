@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from varve.llm.columns import unused
 from varve.sources.shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,13 +82,14 @@ def mix_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     Same rules as mix_counts; a document of size 0 is kept as often as its source's rate says.
     """
     sizes = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    plan = written(rates(sizes, **options).select(F.col("source").alias("__of"), F.col("rate").alias("__rate")), "mix-rates")
-    n = copies(F.col("__rate"), F.col("doc_id"), seed)
+    of, rate, copy = (unused(docs.columns, f"mix_{n}") for n in ("of", "rate", "copy"))
+    plan = written(rates(sizes, **options).select(F.col("source").alias(of), F.col("rate").alias(rate)), "mix-rates")
+    n = copies(F.col(rate), F.col("doc_id"), seed)
     return (
-        docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("__of")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))))
-        .where(F.col("__copy") <= n)
-        .drop("__copy", "__of", "__rate")
+        docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col(of)))
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))))
+        .where(F.col(copy) <= n)
+        .drop(copy, of, rate)
     )
 
 

@@ -4,18 +4,20 @@ A document is the set of its word shingles; equal sets are one class from the st
 smallest shingle hashes. Inverted lists of retained values give candidate pairs, the sketch of their union
 estimates the likeness, and survivors are verified on the full sets.
 
-Which of its retained values lead a class into a list: values held by one class lead nowhere, and the rarest
-ones suffice. A set of n elements with J >= t to another shares at least t*n of them, so its n - ceil(t*n) + 1
-rarest elements hold one in common; when both sets fit in a sketch, the place of a common value bounds the
-overlap further. For longer sets the same holds for the sketches with ``kept`` of k values, five standard
-deviations below the expected k*t. Lists of values that very many documents hold are therefore hardly used.
+Which of its retained values lead a class into a list: a set of n elements with J >= t to another shares at least
+t*n of them, so under any one order of all values its first n - ceil(t*n) + 1 elements hold one in common; when
+both sets fit in a sketch, the place of a common value bounds the overlap further. For longer sets the same holds
+for the sketches with ``kept`` of k values, five standard deviations below the expected k*t. The order puts values
+that are frequent in a sample of the classes last, by their count there, and the others by their hash: it costs
+one bounded broadcast, and only the leading part of a sketch is ever shuffled.
 
 Pairs are taken in two rounds. Each list first links its members to the one that holds its value at the
 earliest place, which is the plainest of a group of copies; after these links are verified and joined to
 components, only members of different components meet. In short lists they do so at once, which is linear in
 the number of members. The members of long lists are looked up anew by their whole sets: their lists then
-follow from all shingles, and the places bound the overlap without the slack of a sketch. So a large group of
-copies costs a few links per member, and no link between different texts is lost.
+follow from all shingles, rarest first by exact counts, and the places bound the overlap without the slack of a
+sketch. So a large group of copies costs a few links per member, and no link between different texts is lost.
+Each step's tables are deleted when the next step has been written.
 """
 
 from __future__ import annotations
@@ -29,14 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varve.llm.columns import unused
 from varve.llm.components import components
 from varve.llm.ship import ship
 from varve.llm.textbytes import mix, shingle_hashes, slabs, word_hashes, words
-from varve.sources.shared import written
+from varve.sources.shared import discard, written
 
 K = 192
-#: Sample of classes in which very frequent values are looked for, and the share of it that makes one.
-HOT_SAMPLE, HOT_SHARE = 64, 0.02
+#: One class in HOT_SAMPLE is looked at for frequent values: those in HOT_SHARE of them, and in HOT_LEAST at least.
+#: Shares add up to k, so there are at most k / HOT_SHARE frequent values, under a million, whatever the input.
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 16, 0.0002, 3
 #: Members of a list that meet directly; longer lists are resolved by whole sets.
 SHORT_LIST = 32
 WHOLE = 1 << 40
@@ -90,28 +94,53 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class long, set array<long>")
 
 
-def prefixes(table: DataFrame, t: float, k: int = K) -> DataFrame:
-    """value, class, n, place: the inverted lists; place counts from the rarest retained value of the class."""
-    kept = math.floor(k * t - 5 * math.sqrt(k * t * (1 - t)))
-    shared = F.least(F.ceil(F.lit(t) * F.col("n") - 1e-9), F.lit(kept))
-    held = F.least(F.col("n"), F.lit(k))
-    members = table.where("n > 0").select("class", "n", F.explode("sketch").alias("value"))
+def frequent_values(table: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent values in ascending order and their counts among the sampled classes."""
     sampled = table.where((F.col("n") > 0) & (F.pmod(F.xxhash64("class"), F.lit(HOT_SAMPLE)) == 0)).select("class", F.explode("sketch").alias("value")).distinct()
-    # a value in 2 % of the sampled sets of k values: at most 50 k of them
-    classes = table.where((F.col("n") > 0) & (F.pmod(F.xxhash64("class"), F.lit(HOT_SAMPLE)) == 0)).select("class").distinct().count()
-    hot = written(sampled.groupBy("value").count().where(F.col("count") > max(20.0, HOT_SHARE * classes)).select("value"), "neardup-hot")
-    # copies of a class fall away where its values meet; very frequent values are counted apart, combined before the shuffle
-    cold = members.join(hot, "value", "left_anti").repartition("value").dropDuplicates(["value", "class"])
-    counts = cold.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rare = cold.join(counts, "value")
-    frequent = members.join(hot, "value").groupBy("value", "class").agg(F.max("n").alias("n"))
-    frequent = frequent.join(frequent.groupBy("value").agg((F.count(F.lit(1)) + (1 << 40)).alias("df")), "value").where(F.col("df") > 1 + (1 << 40))
-    columns = ["class", "n", "value", "df"]
-    per_class = rare.select(*columns).unionByName(frequent.select(*columns)).groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    classes = sampled.agg(F.count_distinct("class")).first()[0]
+    found = sampled.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= max(HOT_LEAST, HOT_SHARE * classes)).toArrow()
+    order = np.argsort(values := found.column("value").to_numpy())
+    return values[order], found.column("times").to_numpy()[order]
+
+
+def leading(table: DataFrame, t: float, k: int = K) -> DataFrame:
+    """value, class, n, place: the inverted lists of the leading values; place counts from 1 in the order of values."""
+    spark = table.sparkSession
+    kept = math.floor(k * t - 5 * math.sqrt(k * t * (1 - t)))
+    hot = spark.sparkContext.broadcast(frequent_values(table, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, times = hot.value
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            lists = batch.column(2)
+            held = np.diff(np.asarray(lists.offsets))
+            value = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), held)
+            at = np.minimum(np.searchsorted(values, value), max(len(values) - 1, 0))
+            count = np.where(values[at] == value, times[at], 0) if len(values) else np.zeros(len(value), dtype=np.int64)
+            order = np.lexsort((value, count, row))
+            value, place = value[order], np.arange(len(value)) - np.repeat(np.cumsum(held) - held, held) + 1
+            shared = np.minimum(np.ceil(t * n - 1e-9).astype(np.int64), kept)
+            keep = place <= (np.minimum(n, k) - shared + 1)[row]
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(value[keep]), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(place[keep].astype(np.int32))], names=["value", "class", "n", "place"])
+
+    lists = table.where("n > 0").select("class", "n", "sketch").mapInArrow(run, "value long, class long, n long, place int")
+    # copies of a class are combined before the shuffle
+    return lists.dropDuplicates(["value", "class"])
+
+
+def prefixes(sets: DataFrame, t: float) -> DataFrame:
+    """value, class, n, place: the inverted lists of whole sets (class, n, set), rarest values first by exact counts."""
+    members = sets.select("class", "n", F.explode("set").alias("value"))
+    counts = members.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per_class = members.join(counts, "value").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     # values of one class alone come first; they are not listed
-    first = held - F.size("common")
-    listed = per_class.select("class", "n", (held - shared + 1).alias("until"), first.alias("first"), F.posexplode("common").alias("at", "entry"))
-    return listed.where(F.col("first") + F.col("at") + 1 <= F.col("until")).select(F.col("entry.value").alias("value"), "class", "n", (F.col("first") + F.col("at") + 1).alias("place"))
+    until = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
+    first = F.col("n") - F.size("common")
+    listed = per_class.select("class", "n", until.alias("until"), first.alias("first"), F.posexplode("common").alias("at", "entry"))
+    return listed.where(F.col("first") + F.col("at") + 1 <= F.col("until")).select(F.col("entry.value").alias("value"), "class", "n", (F.col("first") + F.col("at") + 1).cast("int").alias("place"))
 
 
 def may_match(a: dict[str, Column], b: dict[str, Column], t: float, k: int = K) -> Column:
@@ -154,20 +183,23 @@ class Search:
         return written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
 
     def crossing_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of a list that are in different components so far."""
+        """Members of a list that are in different components so far, as a written table."""
         label = lambda df: df.join(labels, F.col("class") == F.col("node"), "left").select("value", "class", "n", "place", F.coalesce("label", "class").alias("label"))
+        among = lambda marked: marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
         marked = written(label(lists), "neardup-marked")
-        open_lists = marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-        open_lists = written(open_lists.select("value", "members"), "neardup-open")
+        open_lists = written(among(marked).select("value", "members"), "neardup-open")
         short = marked.join(open_lists.where(F.col("members") <= SHORT_LIST), "value", "left_semi")
         direct = meeting(short, self.t, self.k)
         crowded = written(marked.join(open_lists.where(F.col("members") > SHORT_LIST), "value", "left_semi").select("class").distinct(), "neardup-crowded")
-        whole = self.sets(crowded).withColumnRenamed("set", "sketch")
-        finer = written(label(prefixes(whole, self.t, WHOLE)), "neardup-finer")
-        return direct.unionByName(meeting(finer, self.t, WHOLE)).distinct()
+        whole = self.sets(crowded)
+        finer = written(label(prefixes(whole, self.t)), "neardup-finer")
+        finer_open = finer.join(among(finer).select("value"), "value", "left_semi")
+        pairs = written(direct.unionByName(meeting(finer_open, self.t, WHOLE)).distinct(), "neardup-crossing")
+        discard(marked, open_lists, crowded, whole, finer)
+        return pairs
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of classes with den*|A and B| >= num*|A or B|: estimated on the union's sketch, then on full sets."""
+        """The pairs of classes with den*|A and B| >= num*|A or B|, as a written table: estimated on the union's sketch, then on full sets."""
         t, k = self.t, self.k
         classes = lambda df: df.select(F.col("a").alias("class")).unionByName(df.select(F.col("b").alias("class"))).distinct()
         low = self.table.join(classes(pairs), "class", "left_semi").dropDuplicates(["class"]).select("class", "n", "sketch")
@@ -183,7 +215,10 @@ class Search:
         sets = self.sets(classes(likely))
         both = likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
         union_size = F.size("set_a") + F.size("set_b") - F.col("shared")
-        return both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b"))).where(self.den * F.col("shared") >= self.num * union_size).select("a", "b")
+        near_pairs = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b"))).where(self.den * F.col("shared") >= self.num * union_size)
+        links = written(near_pairs.select("a", "b"), "neardup-links")
+        discard(low, likely, sets)
+        return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
@@ -199,15 +234,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(sketches(docs, size, k), "neardup-sketch")
     search = Search(docs, table, size, num, den, k)
-    lists = written(prefixes(table, t, k), "neardup-lists")
+    lists = written(leading(table, t, k), "neardup-lists")
     stars = written(star_pairs(lists, t, k), "neardup-stars")
-    links = written(search.verified(stars), "neardup-links")
-    labels = written(components(links), "neardup-labels")
-    more = written(search.crossing_pairs(lists, labels).join(stars, ["a", "b"], "left_anti"), "neardup-crossing")
-    links = links.unionByName(written(search.verified(more), "neardup-links"))
+    links = search.verified(stars)
     labels = written(components(links), "neardup-labels")
+    crossing = search.crossing_pairs(lists, labels)
+    discard(lists, labels)
+    more = search.verified(crossing.join(stars, ["a", "b"], "left_anti"))
+    labels = written(components(links.unionByName(more)), "neardup-labels")
+    discard(stars, crossing, links, more, search.holder)
     rows = table.select("doc_id", "n", "class").join(labels, F.col("class") == F.col("node"), "left")
     rows = written(rows.select("doc_id", "n", "class", F.coalesce("label", "class").alias("label")), "neardup-rows")
+    discard(table, labels)
     lowest = rows.where("label IS NOT NULL").groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("lowest"))
     out = rows.join(lowest, F.col("label") == F.col("of"), "left")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
@@ -226,20 +264,21 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class")).alias("best")
     decided = rows.join(rows.groupBy(F.col("label").alias("of")).agg(best), F.col("label") == F.col("of"))
     wins = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("class") == F.col("best.class"))
-    name = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("class").alias("__of"))
+    mark_name, id_name, of_name = (unused(columns, f"{n}_of_set") for n in ("class", "id", "held"))
+    name = lambda df: df.select(F.col("doc_id").alias(id_name), F.col("class").alias(of_name))
     lost, repeated = name(decided.where(~wins)), name(decided.where(wins & (F.col("count") > 1)))
     at = columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__class", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark_name, T.LongType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             classes = [class_of(s) if len(s) else None for s in shingle_sets(batch.column(at), size)]
-            yield batch.append_column("__class", pa.array(classes, pa.int64()))
+            yield batch.append_column(mark_name, pa.array(classes, pa.int64()))
 
     marked = docs.mapInArrow(mark, schema)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__of"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(mark_name) == F.col(of_name))
     kept = marked.join(lost, same, "left_anti")
     if not repeated.isEmpty():
-        twice = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__class"])
+        twice = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", mark_name])
         kept = kept.join(repeated, same, "left_anti").unionByName(twice)
     return kept.select(*[F.col(f"`{c}`") for c in columns])

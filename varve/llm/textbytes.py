@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; the temporary arrays are about 40 times that.
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 512 << 10
 
 #: White space of the word definition [^\x20\x09-\x0D]+.
 IS_SPACE = np.zeros(256, dtype=bool)
