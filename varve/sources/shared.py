@@ -36,6 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """As ``written``, dealt into buckets by a column without a shuffle: a join by that column leaves these rows in place.
+
+    The other side has to be repartitioned by its column into as many partitions.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    table = f"varve_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    back = spark.table(table)
+    back._written_to, back._table = path, table
+    return back
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` returned, once nothing that is still to be computed reads them."""
     for table in tables:
@@ -45,3 +58,6 @@ def discard(*tables: DataFrame) -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
             table._written_to = None
+        if getattr(table, "_table", None) is not None:
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
+            table._table = None
