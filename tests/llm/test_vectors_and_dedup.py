@@ -140,7 +140,7 @@ def test_golomb_round_trip():
 TEXTS = ["Ab c", "aB C", "ab c", "ÄB", "äB", None, "", "x" * 3_000_000, "X" * 3_000_000, "other", "ab  c"]
 
 
-@pytest.mark.parametrize("options", [{}, {"packet_rows": 3, "owner_rows": 4, "least_owners": 2}, {"bits": 4, "packet_rows": 5}])
+@pytest.mark.parametrize("options", [{}, {"packet_bytes": 1}, {"packet_rows": 3, "owner_rows": 4, "least_owners": 2}, {"bits": 4, "packet_rows": 5}])
 def test_exact_duplicates_equal_plain_groups(spark, options):
     data = list(enumerate(TEXTS)) + [(100 + i, "Hot" if i % 2 else "hOT") for i in range(60)] + [(3, "ÄB"), (3, "ÄB"), (None, "ÄB"), (None, "alone"), (None, "Alone"), (300, "solo")]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4).withColumns({c: F.lit(1) for c in "packet print sha body suspect place owner row id kept n".split()})

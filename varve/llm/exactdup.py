@@ -1,11 +1,13 @@
 """Exact duplicates by an exchange of compressed fingerprints; only the texts of suspects are shuffled.
 
-1. Every packet of rows (a run of one task's rows) is written once with a fingerprint of each normalised text.
+1. Every packet of rows (a run of one task's rows) is written once, in a bucket of its own number, with a
+   fingerprint of each normalised text.
 2. A packet sends its distinct fingerprints, sorted and Golomb-coded, to the owners of the hash ranges they fall in.
 3. An owner decodes the lists of its range and answers each packet by a bitmap: which of its fingerprints other
-   packets hold as well. Together with those that a packet holds twice itself these are the suspects.
-4. The texts of suspects are grouped byte by byte, combined before the shuffle, and the answer returns to the
-   packets, so that no group of copies is ever gathered: a packet holds at most ``packet_rows`` of them.
+   packets hold as well. The answers are small and travel to the packets' buckets; the packets stay in place.
+   Together with those that a packet holds twice itself these are the suspects.
+4. The texts of suspects, and no others, are grouped byte by byte, combined before the shuffle, and the answer
+   returns to the packets, so that no group of copies is ever gathered: a packet holds at most ``packet_rows`` of them.
 
 A fingerprint is short on purpose: two different texts that share one are suspects, and the bytes tell them apart.
 """
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 
 from varve.llm.ship import ship
 from varve.llm.vectors import gathered
-from varve.sources.shared import written
+from varve.sources.shared import bucketed, discard, written
 
 #: Bits of a fingerprint: a multiple of four, taken from the front of the text's sha256.
 BITS = 48
-PACKET_ROWS = 1 << 16
+PACKET_ROWS, PACKET_BYTES = 1 << 16, 16 << 20
 #: Fingerprints of one owner: its task holds about 40 bytes for each.
 OWNER_ROWS = 1 << 20
+#: Spark's own limit is 100,000.
+MOST_BUCKETS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,18 +77,34 @@ def fingerprint(sha: Column, bits: int) -> Column:
     return F.conv(F.substring(sha, 1, bits // 4), 16, 10).cast("long")
 
 
-def packets(docs: DataFrame, bits: int, rows: int) -> DataFrame:
-    """packet, ids, shas, prints: the rows of every packet in their order, without texts."""
+def packed(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in packets of up to ``rows`` rows, closed by the batch that brings them to ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in gathered(batches, rows):
+        if held and sum(b.num_rows for b in held) + batch.num_rows > rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def packets(docs: DataFrame, bits: int, rows: int, size: int) -> DataFrame:
+    """packet, ids, shas, prints, bodies: the rows of every packet in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for nth, batch in enumerate(gathered(batches, rows)):
+        for nth, batch in enumerate(packed(batches, rows, size)):
             of = lambda column: pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), column)
-            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | nth]), *[of(batch.column(i)) for i in range(3)]], names=["packet", "ids", "shas", "prints"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | nth]), *[of(batch.column(i)) for i in range(4)]], names=["packet", "ids", "shas", "prints", "bodies"])
 
-    sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    rows_of = docs.select(F.col("doc_id").cast("long").alias("id"), sha.alias("sha")).select("id", "sha", fingerprint(F.col("sha"), bits).alias("print"))
-    return rows_of.mapInArrow(run, "packet long, ids array<long>, shas array<string>, prints array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), normalised(F.col("text")).alias("body"))
+    texts = texts.select("id", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "body")
+    rows_of = texts.select("id", "sha", fingerprint(F.col("sha"), bits).alias("print"), "body")
+    return rows_of.mapInArrow(run, "packet long, ids array<long>, shas array<string>, prints array<long>, bodies array<string>")
 
 
 def owner_limits(owners: int, bits: int) -> np.ndarray:
@@ -148,10 +168,13 @@ def replies(sent: DataFrame, owners: int) -> DataFrame:
     return sent.repartition(owners, "owner").sortWithinPartitions("owner", "packet").mapInArrow(run, "packet long, owner int, bitmap binary")
 
 
-def marked(table: DataFrame, answers: DataFrame, owners: int, bits: int) -> DataFrame:
-    """place, packet, doc_id, print, sha, suspect of every document: the packets read what the owners answered."""
+def marked(table: DataFrame, answers: DataFrame, owners: int, bits: int, buckets: int) -> DataFrame:
+    """place, packet, doc_id, print, sha, suspect, body of every document: the packets read what the owners answered.
+
+    The body is there for suspects only.
+    """
     limits = owner_limits(owners, bits)
-    per_packet = answers.groupBy("packet").agg(F.collect_list(F.struct("owner", "bitmap")).alias("answers"))
+    per_packet = answers.repartition(buckets, "packet").groupBy("packet").agg(F.collect_list(F.struct("owner", "bitmap")).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,42 +186,42 @@ def marked(table: DataFrame, answers: DataFrame, owners: int, bits: int) -> Data
                 for reply in batch.column("answers")[i].as_py() or []:
                     low, high = at[reply["owner"]], at[reply["owner"] + 1]
                     suspect[low:high] |= np.unpackbits(np.frombuffer(reply["bitmap"], dtype=np.uint8), count=high - low).astype(bool)
-                n = len(prints)
+                n, is_suspect = len(prints), suspect[inverse]
+                body = of("bodies").take(pa.array(np.arange(n), mask=~is_suspect))  # null for the others
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n)), pa.array(np.full(n, packet)), of("ids"), of("prints"), of("shas"), pa.array(suspect[inverse])],
-                    names=["place", "packet", "doc_id", "print", "sha", "suspect"],
+                    [pa.array(np.arange(n)), pa.array(np.full(n, packet)), of("ids"), of("prints"), of("shas"), pa.array(is_suspect), body],
+                    names=["place", "packet", "doc_id", "print", "sha", "suspect", "body"],
                 )
 
-    return table.join(per_packet, "packet", "left").mapInArrow(run, "place long, packet long, doc_id long, print long, sha string, suspect boolean")
+    joined = table.join(per_packet.hint("shuffle_hash"), "packet", "left")
+    return joined.mapInArrow(run, "place long, packet long, doc_id long, print long, sha string, suspect boolean, body string")
 
 
-def same_texts(docs: DataFrame, suspects: DataFrame, bits: int) -> DataFrame:
-    """print, sha, keep_id, group_size of every distinct text among the suspects, told apart by their bytes."""
-    body = normalised(F.col("text")).alias("body")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), body).withColumn("sha", F.sha2(F.col("body").cast("binary"), 256)).withColumn("print", fingerprint(F.col("sha"), bits))
-    wanted = suspects.select("print").distinct()
-    # one row per task and distinct text enters the shuffle
-    groups = texts.join(wanted, "print", "left_semi").groupBy("print", "sha", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return groups.drop("body")
-
-
-def exact_duplicates(docs: DataFrame, bits: int = BITS, packet_rows: int = PACKET_ROWS, owner_rows: int = OWNER_ROWS, least_owners: int = 16) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, bits: int = BITS, packet_rows: int = PACKET_ROWS, packet_bytes: int = PACKET_BYTES, owner_rows: int = OWNER_ROWS, least_owners: int = 16
+) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are, A-Z in lower case; null counts as empty. Of equal texts the row with the
     largest doc_id stays (of rows that repeat it one, of a group without any id one, with keep_id null).
     ``text_sha256`` is that of the normalised text. An empty table gives none; other columns are ignored, whatever
-    their names. The result does not depend on ``bits`` or the sizes of packets and owners.
+    their names. A task holds a packet, or one longer text. The result does not depend on ``bits`` or the sizes of
+    packets and owners.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    table = written(packets(docs, bits, packet_rows), "dedup-packets")
+    buckets = min(max(docs.rdd.getNumPartitions(), 2), MOST_BUCKETS)
+    table = bucketed(packets(docs, bits, packet_rows, packet_bytes), "dedup-packets", "packet", buckets)
     total = table.agg(F.sum(F.size("prints"))).first()[0] or 0
     owners = max(least_owners, -(-total // owner_rows))
     answers = written(replies(messages(table, owners, bits), owners), "dedup-answers")
-    rows = written(marked(table, answers, owners, bits), "dedup-rows")
+    rows = written(marked(table, answers, owners, bits, buckets), "dedup-rows")
+    discard(table, answers)
     suspects = rows.where("suspect")
-    groups = written(same_texts(docs, suspects, bits), "dedup-groups")
+    # one row per task and distinct text enters the shuffle
+    groups = suspects.groupBy("print", "sha", "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.drop("body"), "dedup-groups")
+    suspects = suspects.drop("body")
     # what each packet holds of each group: a hot text has one row per packet here
     top = F.max(F.struct("doc_id", (-F.col("place")).alias("back"))).alias("top")
     held = suspects.groupBy("packet", "print", "sha").agg(top).join(groups, ["print", "sha"])
@@ -206,6 +229,7 @@ def exact_duplicates(docs: DataFrame, bits: int = BITS, packet_rows: int = PACKE
     home = F.min(F.when(holds, F.col("packet"))).over(Window.partitionBy("print", "sha"))
     told = held.select("packet", "print", "sha", "keep_id", "group_size", F.when(home == F.col("packet"), -F.col("top.back")).alias("stays"))
     told = written(told, "dedup-told")
+    discard(groups)
     copies = suspects.join(told, ["packet", "print", "sha"])
     columns = lambda df, keep, size, kept: df.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
     alone = columns(rows.where("NOT suspect"), F.col("doc_id"), F.lit(1).cast("long"), F.lit(True))
