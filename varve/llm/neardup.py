@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +35,16 @@ from varve.llm.columns import unused
 from varve.llm.components import components
 from varve.llm.ship import ship
 from varve.llm.textbytes import mix, shingle_hashes, slabs, word_hashes, words
-from varve.sources.shared import discard, written
+from varve.sources.shared import bucketed, discard, written
 
 K = 192
 #: One class in HOT_SAMPLE is looked at for frequent values: those in HOT_SHARE of them, and in HOT_LEAST at least.
 #: Shares add up to k, so there are at most k / HOT_SHARE frequent values, under a million, whatever the input.
 HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 16, 0.0002, 3
-#: Members of a list that meet directly; longer lists are resolved by whole sets.
-SHORT_LIST = 32
+#: Members without a list's commonest label that meet all others directly; lists with more are resolved by whole sets.
+FEW = 64
+#: Values of a sketch that a first look compares, and the standard deviations it allows.
+GLANCE, GLANCE_DEVIATIONS = 48, 6
 WHOLE = 1 << 40
 
 
@@ -111,7 +113,11 @@ def leading(table: DataFrame, t: float, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = hot.value
+        told: set[int] = set()  # copies of a class need not be told twice by one task
         for batch in batches:
+            fresh = [i for i, c in enumerate(batch.column(0).to_pylist()) if not (c in told or told.add(c))]
+            if len(fresh) < batch.num_rows:
+                batch = batch.take(pa.array(fresh, pa.int64()))
             n = batch.column(1).to_numpy()
             lists = batch.column(2)
             held = np.diff(np.asarray(lists.offsets))
@@ -127,13 +133,22 @@ def leading(table: DataFrame, t: float, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(value[keep]), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(place[keep].astype(np.int32))], names=["value", "class", "n", "place"])
 
     lists = table.where("n > 0").select("class", "n", "sketch").mapInArrow(run, "value long, class long, n long, place int")
-    # copies of a class are combined before the shuffle
-    return lists.dropDuplicates(["value", "class"])
+    return lists.repartition(parts(spark), "value").dropDuplicates(["value", "class"])
+
+
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_value(lists: DataFrame, name: str) -> DataFrame:
+    """Lists written in buckets of their values, so that grouping and joining them by value moves nothing."""
+    return bucketed(lists, name, "value", parts(lists.sparkSession))
 
 
 def prefixes(sets: DataFrame, t: float) -> DataFrame:
     """value, class, n, place: the inverted lists of whole sets (class, n, set), rarest values first by exact counts."""
-    members = sets.select("class", "n", F.explode("set").alias("value"))
+    # dealt by value once, for the counts and for the join with them
+    members = sets.select("class", "n", F.explode("set").alias("value")).repartition(parts(sets.sparkSession), "value")
     counts = members.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per_class = members.join(counts, "value").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     # values of one class alone come first; they are not listed
@@ -159,12 +174,20 @@ def star_pairs(lists: DataFrame, t: float, k: int = K) -> DataFrame:
     return found.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
 
 
-def meeting(lists: DataFrame, t: float, k: int) -> DataFrame:
-    """Pairs of members of a list with different labels."""
-    x, y = lists.alias("x"), lists.alias("y")
+def open_lists(marked: DataFrame) -> DataFrame:
+    """value, most, few, members: the lists whose members have several labels; the commonest label and how many have another."""
+    per = marked.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
+    lists = per.groupBy("value").agg(F.max_by("label", "c").alias("most"), F.sum("c").alias("members"), F.max("c").alias("top"))
+    return lists.where("members > top").select("value", "most", (F.col("members") - F.col("top")).alias("few"), "members")
+
+
+def meeting(marked: DataFrame, lists: DataFrame, t: float, k: int) -> DataFrame:
+    """Pairs of members of a list with different labels: those without the commonest label meet all others."""
+    all_of, few = marked.alias("x"), marked.join(lists.select("value", "most"), "value").where("label <> most").drop("most").alias("y")
     of = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "place")}
-    met = (F.col("x.value") == F.col("y.value")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
-    return x.join(y, met & may_match(of("x"), of("y"), t, k)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    met = (F.col("x.value") == F.col("y.value")) & (F.col("x.label") != F.col("y.label"))
+    found = all_of.join(few, met & may_match(of("x"), of("y"), t, k))
+    return found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
 class Search:
@@ -185,39 +208,42 @@ class Search:
     def crossing_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of a list that are in different components so far, as a written table."""
         label = lambda df: df.join(labels, F.col("class") == F.col("node"), "left").select("value", "class", "n", "place", F.coalesce("label", "class").alias("label"))
-        among = lambda marked: marked.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-        marked = written(label(lists), "neardup-marked")
-        open_lists = written(among(marked).select("value", "members"), "neardup-open")
-        short = marked.join(open_lists.where(F.col("members") <= SHORT_LIST), "value", "left_semi")
-        direct = meeting(short, self.t, self.k)
-        crowded = written(marked.join(open_lists.where(F.col("members") > SHORT_LIST), "value", "left_semi").select("class").distinct(), "neardup-crowded")
+        marked = by_value(label(lists), "neardup-marked")
+        lists_of_several = by_value(open_lists(marked), "neardup-open")
+        direct = meeting(marked, lists_of_several.where(F.col("few") <= FEW), self.t, self.k)
+        crowded = written(marked.join(lists_of_several.where(F.col("few") > FEW), "value", "left_semi").select("class").distinct(), "neardup-crowded")
         whole = self.sets(crowded)
-        finer = written(label(prefixes(whole, self.t)), "neardup-finer")
-        finer_open = finer.join(among(finer).select("value"), "value", "left_semi")
-        pairs = written(direct.unionByName(meeting(finer_open, self.t, WHOLE)).distinct(), "neardup-crossing")
-        discard(marked, open_lists, crowded, whole, finer)
+        finer = by_value(label(prefixes(whole, self.t)).repartition(parts(self.docs.sparkSession), "value"), "neardup-finer")
+        pairs = written(direct.unionByName(meeting(finer, open_lists(finer), self.t, WHOLE)).distinct(), "neardup-crossing")
+        discard(marked, lists_of_several, crowded, whole, finer)
         return pairs
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of classes with den*|A and B| >= num*|A or B|, as a written table: estimated on the union's sketch, then on full sets."""
-        t, k = self.t, self.k
-        classes = lambda df: df.select(F.col("a").alias("class")).unionByName(df.select(F.col("b").alias("class"))).distinct()
-        low = self.table.join(classes(pairs), "class", "left_semi").dropDuplicates(["class"]).select("class", "n", "sketch")
-        low = written(low, "neardup-sketches")
-        side = lambda s, c: low.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(c))
+    def alike(self, pairs: DataFrame, sketched: DataFrame, k: int, deviations: float) -> DataFrame:
+        """The pairs whose union's sketch of k values does not rule the likeness out."""
+        t = self.t
+        side = lambda s, c: sketched.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.slice("sketch", 1, k).alias(c))
         joined = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
         whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
         union = F.array_sort(F.array_union("sa", "sb"))
         top = F.when(whole, union).otherwise(F.slice(union, 1, k))
         share = F.size(F.array_intersect(F.array_intersect(top, F.col("sa")), F.col("sb"))) / F.size(top)
-        near = F.when(whole, t - 1e-9).otherwise(t - 5 * math.sqrt(t * (1 - t) / k))
-        likely = written(joined.where(share >= near).select("a", "b"), "neardup-likely")
+        return joined.where(share >= F.when(whole, t - 1e-9).otherwise(t - deviations * math.sqrt(t * (1 - t) / k))).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of classes with den*|A and B| >= num*|A or B|, as a written table: estimated on the union's sketch, then on full sets."""
+        classes = lambda df: df.select(F.col("a").alias("class")).unionByName(df.select(F.col("b").alias("class"))).distinct()
+        # one look at a few values first: most pairs end there, and long sketches travel for the rest only
+        sketches_of = lambda df, k: self.table.select("class", "n", F.slice("sketch", 1, k).alias("sketch")).join(classes(df), "class", "left_semi").dropDuplicates(["class"])
+        glance = written(sketches_of(pairs, GLANCE), "neardup-glance")
+        likely = written(self.alike(pairs, glance, GLANCE, GLANCE_DEVIATIONS), "neardup-likely")
+        low = written(sketches_of(likely, self.k), "neardup-sketches")
+        first, likely = likely, written(self.alike(likely, low, self.k, 5), "neardup-likely")
         sets = self.sets(classes(likely))
         both = likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
         union_size = F.size("set_a") + F.size("set_b") - F.col("shared")
         near_pairs = both.withColumn("shared", F.size(F.array_intersect("set_a", "set_b"))).where(self.den * F.col("shared") >= self.num * union_size)
         links = written(near_pairs.select("a", "b"), "neardup-links")
-        discard(low, likely, sets)
+        discard(glance, first, low, likely, sets)
         return links
 
 
@@ -234,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = written(sketches(docs, size, k), "neardup-sketch")
     search = Search(docs, table, size, num, den, k)
-    lists = written(leading(table, t, k), "neardup-lists")
+    lists = by_value(leading(table, t, k), "neardup-lists")
     stars = written(star_pairs(lists, t, k), "neardup-stars")
     links = search.verified(stars)
     labels = written(components(links), "neardup-labels")
