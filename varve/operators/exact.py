@@ -46,10 +46,9 @@ def pair_counts(counts: DataFrame, scope: DataFrame) -> DataFrame:
     """Counts of each value on both sides of the pairs in scope: (pair, value, ca, cb); a text travels as its digest."""
     at = lambda s: F.sum(F.when(F.col("side") == s, F.col("cnt")).otherwise(0))
     return (
-        counts.where("num is not null or txt is not null")
+        counts.where("num is not null or digest is not null")
         .join(_sides(scope), [*COLUMN, "version"])
-        .withColumn("txt", F.sha2("txt", 256))
-        .groupBy(*PAIR, "num", "txt", "res")
+        .groupBy(*PAIR, "num", "digest", "res")
         .agg(at("a").alias("ca"), at("b").alias("cb"))
     )
 
@@ -59,7 +58,7 @@ def entropy(counts: DataFrame) -> DataFrame:
     c = F.col("cnt").cast("double")
     # H = log2 N - sum(c log2 c) / N needs one mergeable pass
     return (
-        counts.where("num is not null or txt is not null")
+        counts.where("num is not null or digest is not null")
         .groupBy(*COLUMN, "version")
         .agg(F.sum("cnt").alias("n"), F.sum(c * F.log2(c)).alias("weighted"))
         .withColumn("entropy", F.log2("n") - F.col("weighted") / F.col("n"))
@@ -168,7 +167,7 @@ def psi_categorical_exact(pc: DataFrame, pairs: DataFrame, cfg: Thresholds = Thr
     A category missing on one side counts as half a row there, or as the usual floor where that is less;
     present categories keep their share, however many there are.
     """
-    scoped = pc.where("txt is not null").join(written(pairs.where(_categories()).select(*PAIR), "pairs"), PAIR, "left_semi")
+    scoped = pc.where("digest is not null").join(written(pairs.where(_categories()).select(*PAIR), "pairs"), PAIR, "left_semi")
     totals = written(scoped.groupBy(*PAIR).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")), "totals")
     share = lambda c, n: F.when(F.col(c) > 0, F.col(c) / F.col(n)).otherwise(F.least(F.lit(FLOOR), 0.5 / F.col(n)))
     return (

@@ -11,6 +11,13 @@ from varve.functions.scalars import rank_in, safe
 from varve.operators.single import VERSION
 
 
+def _same_version(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join by table and version, where no version equals no version."""
+    other = right.withColumnsRenamed({"table_name": "of_table", "version": "of_version"})
+    same = (F.col("table_name") == F.col("of_table")) & F.col("version").eqNullSafe(F.col("of_version"))
+    return left.join(other, same, how).drop("of_table", "of_version")
+
+
 def _seen_group() -> Column:
     """Columns are listed in the order in which the sections first mention them."""
     return F.when(F.col("blocked"), 0).when(F.col("warned"), 1).when(F.col("governed"), 2).when(F.col("has_shape"), 3).otherwise(4)
@@ -115,17 +122,13 @@ def training_readiness(s1: DataFrame, s0: DataFrame, s6: DataFrame) -> DataFrame
         .otherwise("threshold_calibration")
     )
     smote = F.when(balance == "balanced", False).when(balance == "moderate", n > 1000).otherwise((n >= 300) & (n < 2000))
+    readiness = s0.select(*VERSION, F.col("score").alias("readiness_score"), "readiness_label")
+    targets = s6.select(
+        *VERSION, F.col("column_name").alias("target"), "event_rate", "imbalance_ratio", "balance_label",
+        "completeness", "error", F.col("blocked").alias("target_blocked"),
+    )
     return (
-        s1.select(*VERSION, "row_count")
-        .join(s0.select(*VERSION, F.col("score").alias("readiness_score"), "readiness_label"), VERSION)
-        .join(
-            s6.select(
-                *VERSION, F.col("column_name").alias("target"), "event_rate", "imbalance_ratio", "balance_label",
-                "completeness", "error", F.col("blocked").alias("target_blocked"),
-            ),
-            VERSION,
-            "left",
-        )
+        _same_version(_same_version(s1.select(*VERSION, "row_count"), readiness, "inner"), targets, "left")
         .withColumn("stop_reason", stop)
         .withColumn("minority_count", F.when(ready, minority))
         .withColumns(

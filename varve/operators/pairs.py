@@ -20,10 +20,11 @@ SIDE = [
 
 
 def versions(profiles: DataFrame) -> DataFrame:
-    """One row per table version, numbered from 0 in version order."""
+    """One row per table version, numbered from 0 in version order; rows without a version are outside it."""
     order = Window.partitionBy("table_name").orderBy("version")
     return (
-        profiles.groupBy("table_name", "version")
+        profiles.where("version IS NOT NULL")
+        .groupBy("table_name", "version")
         .agg(
             F.max("abt_name").alias("abt_name"),
             F.max("row_count").alias("row_count"),
@@ -34,10 +35,17 @@ def versions(profiles: DataFrame) -> DataFrame:
     )
 
 
+def unversioned(profiles: DataFrame) -> DataFrame:
+    """What has no version, counted apart: table_name, columns, row_count, missing_cells."""
+    return profiles.where("version IS NULL").groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("columns"), F.max("row_count").alias("row_count"), F.sum("missing_count").alias("missing_cells")
+    )
+
+
 def column_universe(profiles: DataFrame) -> DataFrame:
     """Columns of a table over all versions with their first-seen place."""
     seen = F.min(F.struct("version", "col_seq")).alias("seen")
-    return profiles.groupBy(*COLUMN).agg(seen).select(
+    return profiles.where("version IS NOT NULL").groupBy(*COLUMN).agg(seen).select(
         *COLUMN, F.col("seen.version").alias("first_version"), F.col("seen.col_seq").alias("first_seq")
     )
 

@@ -128,7 +128,7 @@ def _(spark, sf_dir):
 
 @query("R3_cardinality")
 def _(spark, sf_dir):
-    facts = shared_facts(spark, sf_dir).join(rows.column_catalog(spark, tables.specs(spark, sf_dir)), ["table_name", "column_name"])
+    facts = rows.shown(shared_facts(spark, sf_dir)).join(rows.column_catalog(spark, tables.specs(spark, sf_dir)), ["table_name", "column_name"])
     facts = facts.withColumn("cardinality_count", F.when(F.col("data_type") != "other", F.col("cardinality_count")))
     return facts.select(
         *GROUP, "row_count", "cardinality_count", F.round(100.0 * F.col("cardinality_count") / F.col("row_count"), 6).alias("uniqueness_percent")
@@ -139,7 +139,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     counts, stats = shared_counts(spark, sf_dir), shared_facts(spark, sf_dir)
     quartiles = written(rows.exact_quartiles(counts, stats), "quartiles")
-    facts = rows.value_facts(counts, stats, quartiles).where("q50 is not null")
+    facts = rows.shown(rows.value_facts(counts, stats, quartiles, tables.specs(spark, sf_dir))).where("q50 is not null")
     out = rounded(facts.select(*GROUP, "n_outliers", "q25", "q50", "q75"), 4, "q25", "q50", "q75")
     return out.withColumn("has_outliers", F.col("n_outliers") > 0)
 
@@ -147,12 +147,12 @@ def _(spark, sf_dir):
 @query("R5_value_extremes")
 def _(spark, sf_dir):
     stats = shared_facts(spark, sf_dir)
-    facts = rows.frequency_extremes(shared_counts(spark, sf_dir), stats)
+    facts = rows.frequency_extremes(shared_counts(spark, sf_dir), stats, tables.specs(spark, sf_dir))
     extremes = facts.select(
         *GROUP, F.col("top_num").alias("mode_num"), F.col("top_txt").alias("mode_txt"),
         F.col("low_num").alias("rarest_num"), F.col("low_txt").alias("rarest_txt"),
     )
-    return extremes.join(stats.select(*GROUP, F.col("top_cnt").alias("mode_count")), GROUP)
+    return rows.shown(extremes.join(stats.select(*GROUP, F.col("top_cnt").alias("mode_count")), GROUP))
 
 
 @shared("R6_scale_inference")
@@ -1064,6 +1064,74 @@ def _(spark, sf_dir):
 
 @query("R3_sketch_profile")
 def _(spark, sf_dir):
-    """Sketch mode: exact counts and ranges, estimated distinct values and quartiles."""
+    """Sketch mode beside the exact facts: exact counts as they are, estimates by whether they keep their tolerance.
+
+    Distinct values within 5 %, every quartile's rank within 1 % of the rows (or one row), and the mode and the rarest
+    value themselves where sketch mode gives them.
+    """
     p = rows.profile(spark, tables.specs(spark, sf_dir), tables.overrides(spark), mode="sketch")
-    return rounded(p.select(*GROUP, "row_count", "missing_count", "min_val", "max_val", "mean"), 4, "min_val", "max_val", "mean")
+    p = p.withColumns({"version": F.coalesce("version", F.lit(rows.NO_VERSION))})
+    counts, exact_facts = shared_counts(spark, sf_dir), shared_facts(spark, sf_dir)
+    ranks = counts.where("num is not null").join(p.select(*GROUP, "q25", "q50", "q75"), GROUP)
+    share = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(0)) / F.sum("cnt")
+    slack = F.greatest(F.lit(0.01), 1.5 / F.sum("cnt"))
+    near = [(share(F.col("num") <= F.col(q)) >= at - slack) & (share(F.col("num") < F.col(q)) <= at + slack) for q, at in zip(["q25", "q50", "q75"], rows.QUARTILES)]
+    ranks = ranks.groupBy(*GROUP).agg((near[0] & near[1] & near[2]).alias("quartiles_near"))
+    distinct = exact_facts.select(*GROUP, F.col("cardinality_count").alias("exact_distinct"))
+    out = p.join(distinct, GROUP).join(ranks, GROUP, "left")
+    near_distinct = F.abs(F.col("cardinality_count") - F.col("exact_distinct")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact_distinct"))
+    # groups of few values, all of which sketch mode counts
+    few = F.col("exact_distinct") < rows.CANDIDATES
+    is_number = F.col("data_type") == "num"
+    value = lambda c: [F.when(few & is_number, F.col(c)).try_cast("double"), F.when(few & ~is_number, F.col(c))]
+    (mode_num, mode_txt), (rarest_num, rarest_txt) = value("most_common_value"), value("least_common_value")
+    out = out.select(
+        *GROUP, "row_count", "missing_count", "min_val", "max_val", "mean",
+        # true where there is nothing to estimate
+        F.coalesce("quartiles_near", F.lit(True)).alias("quartiles_near"),
+        F.coalesce(near_distinct, F.lit(True)).alias("distinct_near"),
+        mode_num.alias("mode_num"), mode_txt.alias("mode_txt"), rarest_num.alias("rarest_num"), rarest_txt.alias("rarest_txt"),
+    )
+    return rounded(rows.shown(out), 4, "min_val", "max_val", "mean", "mode_num", "rarest_num")
+
+
+@query("R7_declared_types")
+def _(spark, sf_dir):
+    """Texts of orders held against declared types and a pattern, from a rules table."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    texts = orders.select(
+        F.year("o_orderdate").alias("version"),
+        F.when(k % 7 == 0, "unknown").otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("day"),
+        F.when(k % 11 == 0, F.concat(F.lit("EUR "), k.cast("string"))).when(k % 13 == 0, "").otherwise(k.cast("string")).alias("number"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    rules = spark.createDataFrame(
+        [("orders", "day", "date", None), ("orders", "number", "bigint", None), ("orders", "priority", "int", "^[1-5]-.*$")], rows.RULE_SCHEMA
+    )
+    p = rows.profile(spark, rows.with_rules([rows.TableSpec("orders", texts)], rules))
+    return p.select(*GROUP, "row_count", "blank_value_count", "mismatched_count")
+
+
+@shared("R15_catalog_rollup")
+def _(ws):
+    return single.catalog_rollup(ws.scored)
+
+
+@shared("R11_two_writers")
+def _(ws):
+    """Two writers start from the same state; the later one is refused, looks again and adds only what is new."""
+    spark = ws.profiles.sparkSession
+    arrivals = written(_arrivals(ws).where("arrival < 1000"), "arrivals")
+    log = store.RegistryLog(spark, scratch(spark, "registry-log"))
+    late = arrivals.where("arrival <= 3")
+    number, state, _ = log.prepare(late, "2024-01-02")
+    log.commit(arrivals.where("arrival <= 2"), "2024-01-01", "first")
+    refused = not log.publish(number, state, "second")
+    log.commit(late, "2024-01-02", "second")
+    log.commit(late, "2024-01-03", "second")
+    last, registry = log.latest()
+    return registry.select(
+        "table_name", "version", "row_count", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+        F.date_format("last_seen", "yyyy-MM-dd").alias("seen"), F.lit(last).alias("commits"), F.lit(refused).alias("refused"),
+    )

@@ -4,17 +4,24 @@ All tables are melted to one long shape and profiled by the same few shuffles, s
 jobs does not grow with the number of tables or columns.
 
 * The source is scanned once. Rows become *value counts* (group, value, count) with map-side
-  combining, so a hot group or a hot value is already small when it is shuffled.
+  combining, so a hot group or a hot value is already small when it is shuffled. A text travels as
+  a digest of 16 bytes and its first characters; whole texts are fetched from the source only for
+  the most and least frequent values of a group, and only where the first characters do not do.
 * Every other pass reads the value counts and has only mergeable aggregates.
 * Exact quartiles are found by narrowing: count values per range of the group, keep the ranges that
   hold a wanted rank, split those again, and rank only inside the ranges that remain. No task ever
   orders a whole group.
-* Sketch mode never builds value counts: one pass of sketches, one pass for the outlier fences.
+* Sketch mode never builds value counts: one pass of mergeable sketches, one over the numeric columns
+  for the outlier fences, one that counts the frequent values exactly.
+* Rows without a version are a group of their own, profiled like any other; they are outside the order
+  of versions, so comparisons leave them out.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +32,13 @@ from varve.sources.shared import written
 
 KEYS = ["table_name", "version", "column_name"]
 CELL = ["num", "txt", "res", "has", "blank", "miss"]
+#: Stands for a missing version while groups are joined by their keys, so that plain equality finds them.
+NO_VERSION = -(2**31)
+#: First characters of a text that travel with its digest.
+HEAD = 16
+#: Sketch mode: values a group's summary tracks, and how many of the most frequent ones are counted exactly. The
+#: summary errs by at most 3.5 rows in 8192, so a value held by more than FREQUENT of a group's rows is among them.
+TRACKED, CANDIDATES, FREQUENT = 4096, 256, 0.005
 QUARTILES = (0.25, 0.50, 0.75)
 SKETCH_ACCURACY = 10_000
 RANGES = 2048
@@ -37,7 +51,8 @@ OVERRIDE_SCHEMA = "table_name string, column_name string, statistical_scale stri
 class TableSpec:
     """Rows of one table with an integer version column.
 
-    ``present`` limits a column to some versions; ``patterns`` gives the format of text columns.
+    ``present`` limits a column to some versions; ``patterns`` gives the format of text columns, ``types`` the SQL
+    type that their values should cast to. Blank and missing values are not mismatches.
     """
 
     name: str
@@ -46,11 +61,33 @@ class TableSpec:
     columns: list[str] | None = None
     present: dict[str, Column] = field(default_factory=dict)
     patterns: dict[str, str] = field(default_factory=dict)
+    types: dict[str, str] = field(default_factory=dict)
 
     def profiled(self) -> list[str]:
         return self.columns or [c for c in self.rows.columns if c != self.version]
 
 
+    def only(self, kind: str) -> TableSpec | None:
+        """The same table with its columns of one kind (num, char), if it has any."""
+        names = [c for c in self.profiled() if _kind(self.rows.schema[c].dataType) == kind]
+        return replace(self, columns=names) if names else None
+
+
+#: Declared formats of columns: a pattern, a type to cast to, or both.
+RULE_SCHEMA = "table_name string, column_name string, declared_type string, pattern string"
+
+
+def with_rules(specs: list[TableSpec], rules: DataFrame) -> list[TableSpec]:
+    """The tables with the formats of a rules table (RULE_SCHEMA), which is metadata: at most one row per column."""
+    found: dict[tuple[str, str], tuple] = {(r.table_name, r.column_name): (r.declared_type, r.pattern) for r in rules.collect()}
+    out = []
+    for spec in specs:
+        own = {c: found[spec.name, c] for c in spec.profiled() if (spec.name, c) in found}
+        types = spec.types | {c: kind for c, (kind, _) in own.items() if kind}
+        out.append(replace(spec, types=types, patterns=spec.patterns | {c: p for c, (_, p) in own.items() if p}))
+    return out
+
+
 def _kind(dt: T.DataType) -> str:
     if isinstance(dt, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return "num"
@@ -86,7 +123,9 @@ def _cell(spec: TableSpec, name: str) -> Column:
     number = _as_double(name, dt) if kind == "num" else F.lit(None).cast("double")
     words = c.cast("string") if kind == "char" else F.lit(None).cast("string")
     blank = (F.trim(c) == "") if kind == "char" else F.lit(None).cast("boolean")
-    miss = (~blank & ~c.rlike(spec.patterns[name])) if name in spec.patterns else F.lit(None).cast("boolean")
+    wrong = [~c.rlike(spec.patterns[name])] if name in spec.patterns else []
+    wrong += [c.try_cast(spec.types[name]).isNull()] if kind == "char" and name in spec.types else []
+    miss = ~blank & reduce(or_, wrong) if wrong else F.lit(None).cast("boolean")
     return F.struct(
         number.alias("num"),
         words.alias("txt"),
@@ -128,13 +167,35 @@ def column_catalog(spark: SparkSession, specs: list[TableSpec]) -> DataFrame:
     )
 
 
+def versioned(df: DataFrame) -> DataFrame:
+    """Rows without a version under NO_VERSION."""
+    return df.withColumn("version", F.coalesce("version", F.lit(NO_VERSION)))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """NO_VERSION as null again."""
+    return df.withColumn("version", F.nullif("version", F.lit(NO_VERSION)))
+
+
+def digest(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def value_counts(long: DataFrame) -> DataFrame:
-    """Rows per distinct value, NULL included; texts of any length are values as they are."""
+    """Rows per distinct value, NULL included: num and res of a number, digest, len and head of a text of any length."""
     return (
-        long.withColumn("len", F.length("txt"))
-        # 0.0 and -0.0 are one value
-        .withColumn("num", F.col("num") + F.lit(0.0))
-        .groupBy(*KEYS, "has", "num", "txt", "res")
+        versioned(long).withColumns(
+            {
+                "len": F.length("txt"),
+                "digest": digest(F.col("txt")),
+                "head": F.left("txt", F.lit(HEAD)),
+                # 0.0 and -0.0 are one value
+                "num": F.col("num") + F.lit(0.0),
+            }
+        )
+        # the head is that of the digest's text
+        .groupBy(*KEYS, "has", "num", "digest", "head", "res")
         # equal texts agree in length and in both checks
         .agg(F.count(F.lit(1)).alias("cnt"), *[F.max(c).alias(c) for c in ("len", "blank", "miss")])
     )
@@ -147,7 +208,7 @@ def written_counts(specs: list[TableSpec]) -> DataFrame:
 
 def valued() -> Column:
     """The row of value counts holds a comparable value."""
-    return F.col("num").isNotNull() | F.col("txt").isNotNull()
+    return F.col("num").isNotNull() | F.col("digest").isNotNull()
 
 
 def basic_facts(counts: DataFrame) -> DataFrame:
@@ -259,22 +320,48 @@ def outlier_test() -> Column:
     return (F.col("num") < F.col("q25") - 1.5 * iqr) | (F.col("num") > F.col("q75") + 1.5 * iqr)
 
 
-def frequency_extremes(counts: DataFrame, stats: DataFrame) -> DataFrame:
+def frequency_extremes(counts: DataFrame, stats: DataFrame, specs: list[TableSpec]) -> DataFrame:
     """The most and the least frequent value per group (the least value wins among equals).
 
     Numbers and texts are aggregated apart: numeric buffers allow hash aggregation, while a text
-    buffer forces a sort, so only texts at an extreme frequency go there.
+    buffer forces a sort, so only the heads of texts at an extreme frequency go there.
     """
     c = F.col("cnt")
-    top, low = c == F.col("top_cnt"), c == F.col("low_cnt")
-    at_extreme = counts.where(valued()).join(stats.select(*KEYS, "top_cnt", "low_cnt"), KEYS).where(top | low)
-    least = lambda name, kind: [F.min(F.when(top, F.col(kind))).alias(f"top_{name}"), F.min(F.when(low, F.col(kind))).alias(f"low_{name}")]
-    numbers = at_extreme.where("num is not null").groupBy(*KEYS).agg(*least("num", "num"))
-    words = at_extreme.where("txt is not null").groupBy(*KEYS).agg(*least("txt", "txt"))
+    at_extreme = (
+        counts.where(valued())
+        .join(stats.select(*KEYS, "top_cnt", "low_cnt"), KEYS)
+        .withColumns({"top": c == F.col("top_cnt"), "low": c == F.col("low_cnt")})
+        .where("top OR low")
+    )
+    least = lambda kind: [F.min(F.when(F.col(end), F.col(kind))).alias(f"{end}_{kind}") for end in ("top", "low")]
+    numbers = at_extreme.where("num is not null").groupBy(*KEYS).agg(*least("num"))
+    texts = at_extreme.where("digest is not null").select(*KEYS, "digest", "head", "len", "top", "low")
+    # the least text has the least head: what is left are few values, written so that Spark knows how few
+    heads = texts.groupBy(*KEYS).agg(*least("head"))
+    first = lambda end: F.col(end) & (F.col("head") == F.col(f"{end}_head"))
+    winners = texts.join(heads, KEYS).withColumns({"top": first("top"), "low": first("low")}).where("top OR low")
+    winners = written(winners.select(*KEYS, "digest", "head", "len", "top", "low"), "extreme-texts")
+    # a text that ends within its head is the least of those that begin so
+    whole = lambda end: F.max(F.when(F.col(end) & (F.col("len") <= HEAD), F.col("head")))
+    words = winners.groupBy(*KEYS).agg(whole("top").alias("top_txt"), whole("low").alias("low_txt"))
+    long = winners.where(F.col("len") > HEAD)
+    if not long.isEmpty():
+        fetched = fetched_texts(long, specs).groupBy(*KEYS).agg(*least("txt"))
+        fetched = fetched.select(*KEYS, *[F.col(f"{end}_txt").alias(f"{end}_fetched") for end in ("top", "low")])
+        whole_or = lambda end: F.coalesce(f"{end}_txt", f"{end}_fetched").alias(f"{end}_txt")
+        words = words.join(fetched, KEYS, "left").select(*KEYS, whole_or("top"), whole_or("low"))
     return numbers.join(words, KEYS, "full")
 
 
-def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> DataFrame:
+def fetched_texts(wanted: DataFrame, specs: list[TableSpec]) -> DataFrame:
+    """The whole texts of the wanted digests, from one more scan of the columns that hold any."""
+    held = {(r.table_name, r.column_name) for r in wanted.select("table_name", "column_name").distinct().collect()}
+    scanned = [replace(s, columns=[c for c in s.profiled() if (s.name, c) in held]) for s in specs]
+    cells = versioned(melt_all([s for s in scanned if s.columns]).where("txt IS NOT NULL").select(*KEYS, "txt"))
+    return cells.withColumn("digest", digest(F.col("txt"))).join(wanted, [*KEYS, "digest"])
+
+
+def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame, specs: list[TableSpec]) -> DataFrame:
     """Central moments, outliers and extremes of frequency. ``stats`` and ``quartiles`` are written tables."""
     d, c = F.col("num") - F.col("mean"), F.col("cnt")
     centre = stats.select(*KEYS, "mean", "n_num").join(quartiles, KEYS)
@@ -296,7 +383,7 @@ def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> Da
     n, m2 = F.col("n"), F.col("m2")
     spread = m2 > 0
     return (
-        numbers.join(frequency_extremes(counts, stats), KEYS, "full")
+        numbers.join(frequency_extremes(counts, stats, specs), KEYS, "full")
         .withColumns(
             {
                 "std": F.when(n > 1, F.sqrt(m2 / (n - 1))),
@@ -310,14 +397,20 @@ def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame) -> Da
     )
 
 
-def sketch_facts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same facts from mergeable sketches: exact counts and moments, estimated ranks and distinct values."""
-    long = long.withColumn("num", F.col("num") + F.lit(0.0))  # 0.0 and -0.0 are one value
-    value = F.when(F.col("has"), F.xxhash64("num", "txt", "res"))
+def sketch_facts(specs: list[TableSpec]) -> tuple[DataFrame, DataFrame]:
+    """The same facts from mergeable sketches: exact counts and moments, estimated ranks and distinct values.
+
+    Distinct values err by about 1 % (standard error), quartiles by one rank in SKETCH_ACCURACY. The mode is the
+    exactly counted most frequent value (``mode_count``) if more than FREQUENT of the rows hold it, or if the group
+    has at most CANDIDATES values, which are then all counted; otherwise no value is frequent and it is NULL. The
+    least frequent value is given in the second case only: no sketch can tell it among many.
+    """
+    long = versioned(melt_all(specs)).withColumn("num", F.col("num") + F.lit(0.0))  # 0.0 and -0.0 are one value
+    long = long.withColumn("h", F.when(F.col("has"), F.xxhash64("num", "txt", "res")))
     stats = long.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if("has").alias("n_present"),
-        F.approx_count_distinct(value, 0.01).alias("cardinality_count"),
+        F.approx_count_distinct("h", 0.01).alias("cardinality_count"),
         F.min("num").alias("min_val"),
         F.max("num").alias("max_val"),
         F.avg("num").alias("mean"),
@@ -329,15 +422,44 @@ def sketch_facts(long: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.length("txt")).alias("chars_max_count"),
         F.min(F.length("txt")).alias("chars_min_count"),
         F.percentile_approx("num", list(QUARTILES), SKETCH_ACCURACY).alias("q"),
+        F.expr(f"approx_top_k(h, {CANDIDATES}, {TRACKED}) FILTER (WHERE h IS NOT NULL)").alias("frequent"),
     ).withColumns({name: F.col("q")[i] for i, name in enumerate(["q25", "q50", "q75"])}).drop("q")
     stats = written(stats, "sketch-facts")  # one row per group: small enough to broadcast against the rows
-    second = (
-        long.join(stats.select(*KEYS, "q25", "q50", "q75"), KEYS)
-        .groupBy(*KEYS)
-        .agg(F.count_if(outlier_test()).alias("n_outliers"))
-        .withColumns({c: F.lit(None).cast("string") for c in ["most_common_value", "least_common_value"]})
+    numeric = [s for s in (spec.only("num") for spec in specs) if s]
+    fences = stats.select(*KEYS, "q25", "q50", "q75")
+    # both have one row per group, and are written so that Spark knows it
+    facts = stats.select(*KEYS).join(written(frequent_values(long, stats), "frequent"), KEYS, "left")
+    if numeric:
+        cells = versioned(melt_all(numeric).select(*KEYS, "num")).where("num IS NOT NULL")
+        outliers = cells.join(fences, KEYS).groupBy(*KEYS).agg(F.count_if(outlier_test()).alias("n_outliers"))
+        facts = facts.join(written(outliers, "outliers"), KEYS, "left")
+    else:
+        facts = facts.withColumn("n_outliers", F.lit(0).cast("bigint"))
+    return stats.drop("frequent"), facts
+
+
+def frequent_values(long: DataFrame, stats: DataFrame) -> DataFrame:
+    """most_common_value, mode_count and least_common_value of the groups whose frequent values settle them."""
+    # where nothing is frequent and not all values are listed, no candidate can be the mode
+    listed, low = F.size("frequent") < CANDIDATES, F.lit(FREQUENT / 2) * F.col("row_count")
+    found = stats.select(*KEYS, "row_count", F.filter("frequent", lambda x: x["count"] >= low).alias("often"), "frequent", listed.alias("listed"))
+    chosen = F.when(F.col("listed"), F.col("frequent")).otherwise(F.col("often"))
+    candidates = written(found.select(*KEYS, F.explode(F.transform(chosen, lambda x: x["item"])).alias("h")), "candidates")
+    counted = long.where("h IS NOT NULL").join(candidates, [*KEYS, "h"]).groupBy(*KEYS, "num", "txt", "res").agg(F.count(F.lit(1)).alias("c"))
+    counted = counted.withColumn("value", F.struct("num", "txt"))
+    # at most CANDIDATES values of a group
+    per = counted.groupBy(*KEYS).agg(
+        F.min(F.struct((-F.col("c")).alias("c"), "value")).alias("most"), F.min(F.struct("c", "value")).alias("least"), F.sum("c").alias("covered")
+    )
+    shown_as = lambda v: F.coalesce(F.col(f"{v}.value.txt"), F.col(f"{v}.value.num").cast("string"))
+    whole = F.col("covered") == F.col("n_present")
+    settled = whole | (-F.col("most.c") > FREQUENT * F.col("row_count"))
+    return per.join(stats.select(*KEYS, "row_count", "n_present"), KEYS).select(
+        *KEYS,
+        F.when(settled, shown_as("most")).alias("most_common_value"),
+        F.when(settled, -F.col("most.c")).alias("mode_count"),
+        F.when(whole, shown_as("least")).alias("least_common_value"),
     )
-    return stats, second
 
 
 def infer_scale() -> Column:
@@ -381,14 +503,13 @@ def profile(
     if overrides is None:
         overrides = spark.createDataFrame([], OVERRIDE_SCHEMA)
     if mode == "sketch":
-        stats, facts = sketch_facts(melt_all(specs))
+        stats, facts = sketch_facts(specs)
     else:
         counts = written_counts(specs) if counts is None else counts
         stats = written(basic_facts(counts), "facts")
-        facts = value_facts(counts, stats, written(exact_quartiles(counts, stats), "quartiles"))
+        facts = value_facts(counts, stats, written(exact_quartiles(counts, stats), "quartiles"), specs)
     wide = (
-        stats.drop("n_num", "top_cnt", "low_cnt")
-        .join(facts, KEYS, "left")
+        shown(stats.drop("n_num", "top_cnt", "low_cnt").join(facts, KEYS, "left"))
         .join(column_catalog(spark, specs), ["table_name", "column_name"])
         .join(
             overrides.select(
@@ -403,7 +524,7 @@ def profile(
     wide = wide.withColumn("cardinality_count", F.when(F.col("data_type") != "other", F.col("cardinality_count")))
     return wide.withColumns(
         {
-            "abt_name": F.concat("table_name", F.lit("_v"), F.col("version").cast("string")),
+            "abt_name": F.concat("table_name", F.lit("_v"), F.coalesce(F.col("version").cast("string"), F.lit("none"))),
             "snapshot_date": F.lit(snapshot_date or "unknown"),
             "statistical_scale": F.coalesce("given_scale", infer_scale()),
             "ordinal_position": F.col("col_seq"),
