@@ -200,10 +200,13 @@ class Search:
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """class, n, set: the whole sets of the given classes, from one document of each."""
-        ids = self.holder.join(classes, "class", "left_semi").select(F.col("doc_id").alias("of")).distinct()
+        # written, so that Spark knows how few they are before it decides to move texts
+        ids = written(self.holder.join(classes, "class", "left_semi").select(F.col("doc_id").alias("of")).distinct(), "neardup-ids")
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
         found = full_sets(texts, self.size).join(classes, "class", "left_semi").dropDuplicates(["class"])
-        return written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
+        sets = written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
+        discard(ids)
+        return sets
 
     def crossing_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of a list that are in different components so far, as a written table."""
@@ -292,7 +295,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     wins = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("class") == F.col("best.class"))
     mark_name, id_name, of_name = (unused(columns, f"{n}_of_set") for n in ("class", "id", "held"))
     name = lambda df: df.select(F.col("doc_id").alias(id_name), F.col("class").alias(of_name))
-    lost, repeated = name(decided.where(~wins)), name(decided.where(wins & (F.col("count") > 1)))
+    lost, repeated = written(name(decided.where(~wins)), "neardup-lost"), written(name(decided.where(wins & (F.col("count") > 1))), "neardup-repeated")
     at = columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(mark_name, T.LongType())])
 
