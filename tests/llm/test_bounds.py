@@ -1,12 +1,13 @@
 """Bounds on memory and rows that hold whatever one text, item or group weighs."""
 
+import random
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.llm import quality
+from varve.llm import decontaminate, quality
 
 
 def test_quality_walks_long_texts_in_runs():
@@ -38,3 +39,18 @@ def test_quality_sample_is_bounded(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (8, 0)], "doc_id long, quality int")
     texts, marks = quality.training_rows(docs, labels, rows=3, total_bytes=1 << 20, longest=1000)
     assert len(texts) == len(marks) <= 3 and max(map(len, texts)) <= 1000
+
+
+def test_other_items_and_blocks_do_not_change_an_items_hits(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate((32, 20, 60, 7, 130))]
+    scattered = [x for k in range(0, 32, 10) for x in (*items[0][1].split()[k : k + 10], *say(60))]
+    docs = spark.createDataFrame([(0, " ".join(scattered))] + [(i + 1, " ".join([*say(300), *t.split(), *say(50)])) for i, t in items], "doc_id long, text string")
+    found = lambda given, **o: {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap, r.first_word, r.score) for r in decontaminate.contaminated(docs, spark.createDataFrame(given, "item_id long, text string"), **o).collect()}
+    alone = found(items)
+    assert set(alone) == {(i + 1, i) for i, _ in items}
+    assert found(items, block_words=50) == alone
+    beside = found([*items, (9, " ".join(say(2000)))])
+    assert {k: v[:3] for k, v in beside.items()} == {k: v[:3] for k, v in alone.items()}
+    assert all(abs(beside[k][3] - alone[k][3]) < 0.05 for k in alone)

@@ -4,8 +4,9 @@ Items are the documents of the index, passages of training texts its queries. Th
 is its BM25 weight divided by the sum of the item's weights, so a passage with all of an item's terms scores 1
 on it and one threshold serves items of any length. A count over the rarer terms of each item finds the passages in
 which an item can reach the threshold at all; for these, block-max WAND retrieves every item that does; each is then verified by the share of its question's and of its answer's five-word runs that the
-passage holds. Passages are twice as long as the longest item and overlap by half, so each item-long stretch
-of a text lies whole inside one.
+passage holds. Items are indexed by classes of length, the powers of two; passages for a class are twice as long as
+its longest possible item and overlap by half, so each item-long stretch of a text lies whole inside one, and what
+is found of an item does not hang on how long other items are.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.ship import ship
-from varve.llm.textbytes import shingle_hashes, slabs, word_hashes, words
+from varve.llm.textbytes import Words, shingle_hashes, slabs, word_hashes, words
+from varve.sources.shared import discard, written
 
 K1, B, RUN, BLOCK = 1.2, 0.75, 5, 64
+#: Words of the shortest length class; each further one is twice as long.
+LEAST_REACH = 16
 SENTENCE_END = (0x2E, 0x21, 0x3F)
 
 
@@ -76,7 +80,10 @@ class Essential:
 
 @dataclass
 class Index:
-    """terms in order, posting of each, and per item its id (None if it has none) and the run hashes of its question and answer."""
+    """Of one length class: terms in order, posting of each, and per item its id (None if it has none) and the run hashes of its question and answer.
+
+    ``reach`` is the most words an item of the class can have.
+    """
 
     terms: np.ndarray
     postings: list[Posting]
@@ -85,7 +92,7 @@ class Index:
     ids: list[int | None]
     question: list[np.ndarray]
     answer: list[np.ndarray]
-    longest: int
+    reach: int
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose summed impact over the given terms reaches the threshold, by block-max WAND."""
@@ -159,25 +166,30 @@ def item_terms(items: DataFrame) -> DataFrame:
     return items.select("item", "text").mapInArrow(run, "item long, length long, term long, tf long")
 
 
-def indexes(items: DataFrame, threshold: float, block_words: int) -> Iterator[Index]:
-    """Indexes over all items, each of about ``block_words`` words; statistics are those of all items."""
+def indexes(items: DataFrame, threshold: float, block_words: int) -> Iterator[list[Index]]:
+    """Blocks of indexes over all items, one for each length class in a block of about ``block_words`` words; statistics are those of all items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     # a row without id that repeats the text of one with an id says nothing new
     named = items.where("item_id IS NOT NULL").select(F.col("text").alias("named")).distinct()
     items = items.join(named, F.col("item_id").isNull() & (F.col("text") == F.col("named")), "left_anti").withColumn("item", F.xxhash64("item_id", "text"))
-    terms = item_terms(items)
+    terms = written(item_terms(items), "item-terms")
     stats = terms.select("item", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), F.sum("length").alias("words")).first()
     blocks = max(1, math.ceil((stats["words"] or 0) / block_words))
-    weighted = terms.join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
-    block = lambda b: F.pmod(F.xxhash64("item"), F.lit(blocks)) == b
+    of = F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")
+    # cut into blocks once; each is then read alone
+    weighted = written(terms.join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("*", of), "item-weights")
+    texts_of = written(items.select("item", "item_id", "text", of), "item-texts")
+    discard(terms)
     for b in range(blocks):
-        table = weighted.where(block(b)).toArrow()
-        texts = items.where(block(b)).orderBy("item").toArrow()
-        if table.num_rows:
-            yield _index(table, texts, stats["n"], stats["avg"], threshold)
+        table, texts = weighted.where(F.col("block") == b).drop("block").toArrow(), texts_of.where(F.col("block") == b).orderBy("item").toArrow()
+        if not table.num_rows:
+            continue
+        reach = np.maximum(LEAST_REACH, 1 << np.ceil(np.log2(np.maximum(table.column("length").to_numpy(), 1))).astype(np.int64))
+        yield [_index(table.filter(pa.array(reach == r)), texts, stats["n"], stats["avg"], threshold, int(r)) for r in np.unique(reach)]
+    discard(weighted, texts_of)
 
 
-def _index(table: pa.Table, texts: pa.Table, n: int, average: float, threshold: float) -> Index:
+def _index(table: pa.Table, texts: pa.Table, n: int, average: float, threshold: float, reach: int) -> Index:
     number, length, term, tf, df = (table.column(c).to_numpy() for c in ("item", "length", "term", "tf", "df"))
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
@@ -192,7 +204,7 @@ def _index(table: pa.Table, texts: pa.Table, n: int, average: float, threshold:
         own, value = item[a:z].tolist(), impact[a:z].tolist()
         cuts = range(0, len(own), BLOCK)
         postings.append(Posting(own, value, [own[min(c + BLOCK, len(own)) - 1] for c in cuts], [max(value[c : c + BLOCK]) for c in cuts], max(value)))
-    questions, answers, longest, place = {}, {}, 1, {int(x): k for k, x in enumerate(numbers)}
+    questions, answers, place = {}, {}, {int(x): k for k, x in enumerate(numbers)}
     column = texts.column("text").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     names, ids = texts.column("item").to_pylist(), dict(zip(texts.column("item").to_pylist(), texts.column("item_id").to_pylist()))
@@ -206,11 +218,10 @@ def _index(table: pa.Table, texts: pa.Table, n: int, average: float, threshold:
             a, z = w.bounds[i], w.bounds[i + 1]
             cut = _answer_start(w.low, w.ends[a:z])
             questions[k], answers[k] = _runs(hashes[a : a + cut]), _runs(hashes[a + cut : z])
-            longest = max(longest, int(z - a))
     tops = np.array([p.top for p in postings])
     place_of = np.searchsorted(keys[starts], keys)
     essential = Essential.of(place_of, len(starts), item, len(numbers), impact, df, threshold)
-    return Index(keys[starts], postings, tops, essential, [ids[int(x)] for x in numbers], [questions[k] for k in range(len(numbers))], [answers[k] for k in range(len(numbers))], longest)
+    return Index(keys[starts], postings, tops, essential, [ids[int(x)] for x in numbers], [questions[k] for k in range(len(numbers))], [answers[k] for k in range(len(numbers))], reach)
 
 
 def _runs(hashes: np.ndarray) -> np.ndarray:
@@ -235,63 +246,69 @@ def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     return shingle_hashes(hashes[at].ravel(), np.arange(len(at) + 1) * n, RUN)[0]
 
 
-def hits_of(index: Index, texts: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, dict[int, tuple]]]:
-    """For each text with hits its row and, per item, the best (score, question, answer, first word) verified."""
-    passage = 2 * index.longest
-    step = index.longest
+def hits_of(block: list[Index], texts: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, dict[tuple[int, int], tuple]]]:
+    """For each text with hits its row and, per item (index of the block, item), the best (score, question, answer, first word) verified."""
     for slab in slabs(texts):
         w = words(slab)
         hashes = word_hashes(w)
-        at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-        known = index.terms[at] == hashes
-        counts = np.diff(w.bounds)
-        n = np.maximum(1, -(-(counts - step) // step))
-        row = np.repeat(np.arange(slab.rows), n)
-        first = w.bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
-        last = np.minimum(first + passage, w.bounds[row + 1])
-        # a word lies in the window that begins in its stretch of ``step`` words and in the one before
-        where = np.flatnonzero(known)
-        of = np.repeat(np.arange(slab.rows), counts)[where]
-        stretch, base = (where - w.bounds[of]) // step, np.cumsum(n) - n
-        inside = [(stretch - k >= 0) & (stretch - k < n[of]) for k in (0, 1)]
-        spots = np.concatenate([where[i] for i in inside])
-        window = np.concatenate([(base[of] + stretch - k)[i] for k, i in enumerate(inside)])
-        hot = index.essential.windows(at[spots], window)
-        best: dict[int, dict[int, tuple]] = {}
-        for k in hot:
-            a, z = int(first[k]), int(last[k])
-            terms = np.unique(at[a:z][known[a:z]])
-            if index.tops[terms].sum() < threshold - 1e-9:
-                continue
-            for item, score in index.retrieve(terms.tolist(), threshold - 1e-9):
-                asked, answered = _held(index.question[item], hashes[a:z]), _held(index.answer[item], hashes[a:z])
-                if asked >= overlap and answered >= overlap:
-                    own = best.setdefault(int(row[k]), {})
-                    own[item] = max(own.get(item, (0.0,)), (score, asked, answered, a - int(w.bounds[row[k]])))
+        best: dict[int, dict[tuple[int, int], tuple]] = {}
+        for number, index in enumerate(block):
+            _search(index, number, w, hashes, slab.rows, threshold, overlap, best)
         for r in sorted(best):
             yield slab.first + r, best[r]
 
 
+def _search(index: Index, number: int, w: Words, hashes: np.ndarray, rows: int, threshold: float, overlap: float, best: dict) -> None:
+    """Query one index by all passages of a slab; what is found goes to ``best``."""
+    step, passage = index.reach, 2 * index.reach
+    at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
+    known = index.terms[at] == hashes
+    counts = np.diff(w.bounds)
+    n = np.maximum(1, -(-(counts - step) // step))
+    row = np.repeat(np.arange(rows), n)
+    first = w.bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
+    last = np.minimum(first + passage, w.bounds[row + 1])
+    # a word lies in the window that begins in its stretch of ``step`` words and in the one before
+    where = np.flatnonzero(known)
+    of = np.repeat(np.arange(rows), counts)[where]
+    stretch, base = (where - w.bounds[of]) // step, np.cumsum(n) - n
+    inside = [(stretch - k >= 0) & (stretch - k < n[of]) for k in (0, 1)]
+    spots = np.concatenate([where[i] for i in inside])
+    window = np.concatenate([(base[of] + stretch - k)[i] for k, i in enumerate(inside)])
+    for k in index.essential.windows(at[spots], window):
+        a, z = int(first[k]), int(last[k])
+        terms = np.unique(at[a:z][known[a:z]])
+        if index.tops[terms].sum() < threshold - 1e-9:
+            continue
+        for item, score in index.retrieve(terms.tolist(), threshold - 1e-9):
+            asked, answered = _held(index.question[item], hashes[a:z]), _held(index.answer[item], hashes[a:z])
+            if asked >= overlap and answered >= overlap:
+                own = best.setdefault(int(row[k]), {})
+                own[number, item] = max(own.get((number, item), (0.0,)), (score, asked, answered, a - int(w.bounds[row[k]])))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, block_words: int = 2_000_000) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, question_overlap, answer_overlap, first_word.
 
     The answer of an item is its last sentence, or its second half where it has one sentence. Items without
     words and null or empty texts give nothing; repeated documents give repeated rows. Items are told apart by id
     and text: texts that share an id are items of their own, and a text that has no id is reported with item_id
-    null. Items beyond ``block_words`` words are indexed in further blocks, each of which
-    all passages query. Other columns are ignored.
+    null. Items beyond ``block_words`` words are indexed in further blocks, for each of which the documents are read
+    again; rows do not depend on it, nor, but for the weights that BM25 takes from all items, on which other items
+    there are. ``first_word`` is where the passage begins. Texts of any length are cut into passages; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     out = spark.createDataFrame([], schema)
-    for index in indexes(items, threshold, block_words):
-        shared = spark.sparkContext.broadcast(index)
+    for block in indexes(items, threshold, block_words):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(batch.column(0)[r].as_py(), shared.value.ids[i], *found) for r, own in hits_of(shared.value, batch.column(1), threshold, overlap) for i, found in sorted(own.items())]
+                rows = [(batch.column(0)[r].as_py(), shared.value[c].ids[i], *found) for r, own in hits_of(shared.value, batch.column(1), threshold, overlap) for (c, i), found in sorted(own.items())]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 columns = list(zip(*rows)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -305,8 +322,8 @@ def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overla
     spark = docs.sparkSession
     ship(spark)
     at = docs.columns.index("text")
-    for index in indexes(items, threshold, block_words):
-        shared = spark.sparkContext.broadcast(index)
+    for block in indexes(items, threshold, block_words):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
