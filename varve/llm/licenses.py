@@ -3,7 +3,8 @@
 Texts are reduced to their letters and digits in lower case. A template's fingerprints (the smallest of each
 four successive hashes of ten characters) are kept in an inverted index; a place where a text shares one is a
 candidate for the template at that offset. The template is then aligned with the text around it inside a band
-of shifts, and reported with the share of its characters that match and the span they cover.
+of shifts. Its coverage is the number of characters matched over the longer of template and matched span, so what
+the text leaves out and what it puts in both count; it is reported with the span.
 """
 
 from __future__ import annotations
@@ -16,27 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varve.llm.license_texts import TEMPLATES
 from varve.llm.ship import ship
 from varve.llm.textbytes import LOWER, mix, slabs
 
 GRAM, WINDOW = 10, 4
 #: Shifts of the alignment to either side, in characters, and in parts of the template's length.
-BAND, BAND_SHARE = 12, 16
+BAND, BAND_SHARE = 12, 8
 TABLE = 1 << 16
 
-#: Common license notices, by the names of the SPDX list where there is one.
-TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "all-rights-reserved": "All rights reserved.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+#: Templates of fewer letters and digits must match in full: one letter more or less there names another license.
+SHORT = 48
+#: Share of a template's fingerprints that a place must show to be aligned with it, and to be reported in part.
+SUPPORT, PARTIAL_SUPPORT = 0.05, 0.25
 
 IS_SOLID = np.zeros(256, dtype=bool)
 IS_SOLID[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -72,19 +65,21 @@ def winnowed(chars: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Library:
-    """Templates and the inverted index of their fingerprints: sorted hashes with template and place."""
+    """Templates (license and wording) and the inverted index of their fingerprints: sorted hashes with template and place."""
 
     names: list[str]
     chars: list[np.ndarray]
     hashes: np.ndarray
     template: np.ndarray
     place: np.ndarray
+    prints: np.ndarray
     filter: np.ndarray
 
     @classmethod
-    def of(cls, templates: dict[str, str]) -> Library:
-        names = [n for n in sorted(templates) if len(solid(np.frombuffer(templates[n].encode(), dtype=np.uint8))[0]) >= GRAM]
-        chars = [solid(np.frombuffer(templates[n].encode(), dtype=np.uint8))[0] for n in names]
+    def of(cls, templates: dict[str, str | list[str]]) -> Library:
+        wordings = [(name, w) for name in sorted(templates) for w in ([templates[name]] if isinstance(templates[name], str) else templates[name])]
+        solids = [(name, solid(np.frombuffer(w.encode(), dtype=np.uint8))[0]) for name, w in wordings]
+        names, chars = [n for n, c in solids if len(c) >= GRAM], [c for _, c in solids if len(c) >= GRAM]
         found = [winnowed(c, np.zeros(len(c), dtype=np.int64)) for c in chars]
         hashes = np.concatenate([*(h for _, h in found), np.zeros(0, dtype=np.uint64)])
         template = np.repeat(np.arange(len(names)), [len(h) for _, h in found])
@@ -92,22 +87,30 @@ class Library:
         order = np.argsort(hashes, kind="stable")
         filter_ = np.zeros(TABLE, dtype=bool)
         filter_[hashes & np.uint64(TABLE - 1)] = True
-        return cls(names, chars, hashes[order], template[order], place[order], filter_)
+        return cls(names, chars, hashes[order], template[order], place[order], np.array([len(h) for _, h in found]), filter_)
 
-    def candidates(self, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(template, place in the text where it would begin), near ones of a template taken together."""
+    def candidates(self, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(template, place in the text where it would begin, share of its fingerprints there), near places of a template taken together."""
         passed = self.filter[hashes & np.uint64(TABLE - 1)]
         at, hashes = at[passed], hashes[passed]
         low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
         n = high - low
         entry = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
-        template, begin = self.template[entry], np.repeat(at, n) - self.place[entry]
+        template, begin, place = self.template[entry], np.repeat(at, n) - self.place[entry], self.place[entry]
         order = np.lexsort((begin, template))
-        last = (-1, 0)
-        for t, b in zip(template[order].tolist(), begin[order].tolist()):
-            if t != last[0] or b - last[1] > self.band(t):
-                yield t, b
-                last = (t, b)
+        group: list[tuple[int, int, int]] = []
+        for t, b, p in zip(template[order].tolist(), begin[order].tolist(), place[order].tolist()):
+            if group and (t != group[0][0] or b - group[0][1] > self.band(t)):
+                yield from self._candidate(group)
+                group = []
+            group.append((t, b, p))
+        if group:
+            yield from self._candidate(group)
+
+    def _candidate(self, group: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, float]]:
+        t, support = group[0][0], len({p for _, _, p in group}) / int(self.prints[group[0][0]])
+        if support >= SUPPORT:
+            yield t, sorted(b for _, b, _ in group)[len(group) // 2], support
 
     def band(self, template: int) -> int:
         return max(BAND, len(self.chars[template]) // BAND_SHARE)
@@ -141,7 +144,7 @@ def align(template: np.ndarray, text: np.ndarray, begin: int, band: int) -> tupl
     return int(best[k]), int(first[k]), int(last[k])
 
 
-def matches(library: Library, texts: pa.Array, coverage: float) -> Iterator[tuple[int, str, float, int, int]]:
+def matches(library: Library, texts: pa.Array, coverage: float, partial: float) -> Iterator[tuple[int, str, float, int, int]]:
     """(row, license, coverage, first byte, byte after the last) of each match; of overlapping ones the best."""
     for slab in slabs(texts):
         chars, at = solid(slab.data)
@@ -149,30 +152,34 @@ def matches(library: Library, texts: pa.Array, coverage: float) -> Iterator[tupl
         bounds = np.searchsorted(row, np.arange(slab.rows + 1))
         places, hashes = winnowed(chars, row)
         found: dict[int, list] = {}
-        for t, begin in library.candidates(places, hashes):
+        for t, begin, support in library.candidates(places, hashes):
             pattern, band = library.chars[t], library.band(t)
+            least = 1.0 if len(pattern) < SHORT else partial if support >= PARTIAL_SUPPORT else coverage
             r = int(row[min(max(begin + len(pattern) // 2, 0), len(row) - 1)])
             for own in {r, int(row[max(begin, 0)]), int(row[min(max(begin + len(pattern) - 1, 0), len(row) - 1)])}:
-                text = chars[bounds[own] : bounds[own + 1]]
-                n, first, last = align(pattern, text, begin - int(bounds[own]), band)
-                if n >= coverage * len(pattern):
+                n, first, last = align(pattern, chars[bounds[own] : bounds[own + 1]], begin - int(bounds[own]), band)
+                share = n / max(len(pattern), last - first + 1)
+                if n and share >= least:
                     a, z = bounds[own] + first, bounds[own] + last
-                    found.setdefault(own, []).append((n / len(pattern), n, library.names[t], int(at[a] - slab.offsets[own]), int(at[z] + 1 - slab.offsets[own])))
+                    found.setdefault(own, []).append((share, n, library.names[t], int(at[a] - slab.offsets[own]), int(at[z] + 1 - slab.offsets[own])))
         for r in sorted(found):
             kept: list = []
-            for m in sorted(set(found[r]), key=lambda m: (-m[0], -m[1], m[3], m[2])):
+            for m in sorted(set(found[r]), key=lambda m: (-m[0] * m[1], m[3], m[2])):
                 if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
                     kept.append(m)
             for m in sorted(kept, key=lambda m: m[3]):
                 yield slab.first + r, m[2], m[0], m[3], m[4]
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.9) -> DataFrame:
-    """One row per license notice found: doc_id, license, coverage, span_start, span_end (bytes of the UTF-8 text).
+def license_matches(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, coverage: float = 0.9, partial: float = 0.5) -> DataFrame:
+    """One row per license found: doc_id, license, coverage, complete, span_start, span_end (bytes of the UTF-8 text).
 
-    ``templates`` (name to text) go to all tasks; they are the caller's list, not data. Templates under ten
-    letters or digits are left out. Where spans overlap, the best covered match stays, then the longest.
-    Null, empty and clean texts give no row; repeated rows give repeated results; other columns are ignored.
+    ``templates`` (name to its wordings) go to all tasks; they are the caller's list, not data. Those under ten
+    letters or digits are left out, those under 48 must match in full. A match is complete from ``coverage`` on;
+    longer templates of which a quarter of the fingerprints is there are also reported in part, from ``partial`` on.
+    Where spans overlap, the match with the most characters, weighed by its coverage, stays. Null, empty and clean
+    texts give no row; texts of any length are scanned whole; repeated rows give repeated results; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -181,8 +188,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(batch.column(0)[r].as_py(), *rest) for r, *rest in matches(library.value, batch.column(1), coverage)]
-            kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=["doc_id", "license", "coverage", "span_start", "span_end"])
+            rows = [(batch.column(0)[r].as_py(), name, share, share >= coverage, a, z) for r, name, share, a, z in matches(library.value, batch.column(1), coverage, partial)]
+            kinds = [pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
+            names = ["doc_id", "license", "coverage", "complete", "span_start", "span_end"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, license string, coverage double, span_start long, span_end long")
+    return docs.mapInArrow(run, "doc_id long, license string, coverage double, complete boolean, span_start long, span_end long")
