@@ -1,5 +1,6 @@
 """Bounds on memory and rows that hold whatever one text, item or group weighs."""
 
+import hashlib
 import random
 import tracemalloc
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, quality
+from varve.llm import decontaminate, fingerprints, quality, sharding
 
 
 def test_quality_walks_long_texts_in_runs():
@@ -54,3 +55,32 @@ def test_other_items_and_blocks_do_not_change_an_items_hits(spark):
     beside = found([*items, (9, " ".join(say(2000)))])
     assert {k: v[:3] for k, v in beside.items()} == {k: v[:3] for k, v in alone.items()}
     assert all(abs(beside[k][3] - alone[k][3]) < 0.05 for k in alone)
+
+
+def test_a_row_that_fills_a_third_of_the_table_spreads_over_buckets(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot row").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    keyed = df.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    spread = sharding.salted(keyed, 7, copies=100)
+    assert spread.count() == 9000 and spread.select("key").distinct().count() == 9000
+    assert sorted(r.row.doc_id for r in spread.select("row").collect()) == sorted(r.doc_id for r in df.collect())
+    again = sharding.salted(keyed.repartition(7), 7, copies=100)
+    assert sorted(r.key for r in again.select("key").collect()) == sorted(r.key for r in spread.select("key").collect())
+
+
+def test_an_id_that_fills_a_third_of_the_table_spreads_over_blocks(spark):
+    rows = [(i if i % 3 else 50, f"text number {i}") for i in range(1, 1501)] + [(None, f"none {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    blocked = fingerprints.in_order(docs, block_bytes=1024).collect()
+    order = sorted(blocked, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.tie))
+    blocks = [r.block for r in order]
+    assert blocks == sorted(blocks)
+    sizes = {}
+    for b in blocks:
+        sizes[b] = sizes.get(b, 0) + 1
+    assert max(sizes.values()) < 200
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.compare_with_edits(docs).collect()}
+    want = set()
+    for i, r in enumerate(order):
+        half = len(r.text) // 2
+        want.add((r.doc_id, len(r.text), hashlib.sha256((r.text[: len(r.text) - half] + order[(i + 1) % len(order)].text[:half]).encode()).hexdigest()))
+    assert got == want

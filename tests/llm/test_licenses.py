@@ -57,5 +57,5 @@ def test_edits_insertions_and_parts_are_measured(spark):
         (name, coverage, complete, start, end), = got[k]
         span = solid((FILLER + t + " " + FILLER)[start:end])
         assert name == "MIT"
-        assert coverage == pytest.approx(plain_common(solid(license_texts.MIT), span) / max(len(solid(license_texts.MIT)), len(span)), abs=0.01)
+        assert coverage == pytest.approx(plain_common(solid(license_texts.MIT), span) / max(len(solid(license_texts.MIT)), len(span)), abs=0.02)
     assert got[1][0][1] < 0.96 and got[2][0][2] is False and 0.6 < got[2][0][1] < 0.72

@@ -21,6 +21,10 @@ WORDS = 5
 SCALE = 8
 
 
+#: Text of a range of ids that one task sorts.
+BLOCK_BYTES = 64 << 20
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
     return F.transform(F.array(value), body)[0]
@@ -56,26 +60,50 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(fingerprint.cast("array<string>"), ",")
 
 
-def block_of(value: Column, bounds: Column) -> Column:
-    """How many bounds are at most the value; a null value comes after all."""
-    return F.when(value.isNull(), F.size(bounds)).otherwise(F.size(F.filter(bounds, lambda b: b <= value)))
+def counted_until(bounds: Column, marks: Column, stride: int, before: Callable[[Column], Column]) -> Column:
+    """How many of the ascending bounds lie before a value: every stride-th first, then those between two of them."""
+    passed = F.size(F.filter(marks, before)) * stride
+    return passed + F.size(F.filter(F.slice(bounds, passed + 1, stride), before))
+
+
+def placed(value: Column, within: Column, bounds: Column, marks: Column, stride: int) -> tuple[Column, Column]:
+    """The range of a value between bounds, and its place in [0, 1) within the range among rows of equal value.
+
+    A value that several bounds repeat holds several ranges; its rows are dealt to them by ``within``, in order.
+    """
+    low = counted_until(bounds, marks, stride, lambda b: b < value)
+    high = counted_until(bounds, marks, stride, lambda b: b <= value)
+    spot = within * (high - low + 1)
+    return low + F.floor(spot).cast("int"), spot - F.floor(spot)
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``block``: ranges of doc_id of about equal row counts, as many as there are shuffle partitions.
+def in_order(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with ``tie`` and ``block``: ranges of (doc_id, tie) of about equal row counts and about ``block_bytes``.
 
-    Two levels of quantiles (of all ids, then of each range) keep both lists of bounds short.
+    Two levels of quantiles (of all ids, then of each range) keep both lists of bounds short. An id that fills
+    several ranges is split by ``tie``, the hash of the text, and so are the rows without an id, which come last.
     """
     spark = docs.sparkSession
-    n = max(2, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    size = F.octet_length("text") + 16
+    total = docs.agg(F.sum(size).alias("all"), F.sum(F.when(F.col("doc_id").isNull(), size)).alias("null")).first()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total["all"] or 0) / block_bytes))
+    n = max(2, math.ceil(math.sqrt(wanted)))
+    nulls, stride = max(1, math.ceil((total["null"] or 0) / block_bytes)), math.isqrt(n) + 1
     cuts = F.array(*[F.lit(k / n) for k in range(1, n)])
-    bounds = lambda c: F.coalesce(F.array_distinct(F.percentile_approx(c, cuts, 10_000)), F.array().cast("array<bigint>"))
+    bounds = lambda c: F.coalesce(F.percentile_approx(c, cuts, 10_000), F.array().cast("array<bigint>"))
+    every = lambda b: F.filter(b, lambda _, i: i % stride == stride - 1)
     outer = F.array(*[F.lit(b) for b in docs.agg(bounds("doc_id").alias("b")).first()["b"]]).cast("array<bigint>")
-    ranged = docs.withColumn("range", block_of(F.col("doc_id"), outer))
-    # one row for each of the n ranges
-    inner = written(ranged.groupBy("range").agg(bounds("doc_id").alias("inner")).withColumnRenamed("range", "of"), "fingerprint-ranges")
-    joined = ranged.join(inner, F.col("range") == F.col("of"))
-    return joined.withColumn("block", F.col("range") * n + block_of(F.col("doc_id"), F.col("inner"))).drop("range", "of", "inner")
+    tied = docs.withColumn("tie", F.xxhash64("text"))
+    fraction = (F.col("tie") / F.lit(2.0**64) + 0.5) * (1 - 2.0**-50)
+    known = F.col("doc_id").isNotNull()
+    low, within = placed(F.col("doc_id"), fraction, outer, every(outer), stride)
+    ranged = tied.withColumns({"range": F.when(known, low).otherwise(n), "within": F.when(known, within).otherwise(fraction)})
+    # one row for each of the n ranges and that of the null ids
+    inner = ranged.groupBy("range").agg(bounds("doc_id").alias("inner")).withColumnRenamed("range", "of").withColumn("marks", every(F.col("inner")))
+    joined = ranged.join(written(inner, "fingerprint-ranges"), F.col("range") == F.col("of"))
+    at, _ = placed(F.col("doc_id"), F.col("within"), F.col("inner"), F.col("marks"), stride)
+    block = F.when(known, F.col("range") * n + at).otherwise(n * n + F.floor(F.col("within") * nulls).cast("int"))
+    return joined.withColumn("block", block).drop("range", "of", "inner", "marks", "within")
 
 
 def with_next(docs: DataFrame, make: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
@@ -85,7 +113,7 @@ def with_next(docs: DataFrame, make: Callable[[DataFrame], DataFrame], carried:
     texts move once and no task sees more than one block.
     """
     spark = docs.sparkSession
-    blocked = in_order(docs).withColumn("tie", F.xxhash64("text"))
+    blocked = in_order(docs)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     per_block = blocked.groupBy("block").agg(F.min(place).alias("first"))
     around = W.orderBy("block")

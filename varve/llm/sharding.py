@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.llm.ship import ship
-from varve.sources.shared import scratch
+from varve.sources.shared import scratch, written
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 LAW = "rows"
+#: Equal rows that may share a bucket.
+COPIES = 4096
 
 
 def size_of(text: str = "text"):
@@ -40,7 +42,8 @@ def shuffle_to_shards(
     size: about ``bucket_bytes`` each, at least ``least_per_shard`` for each shard. The same rows, seed and
     number of shards give the same result whatever the partitioning, so a lost executor's tasks come out alike
     when they run again. Null texts and ids are values like any other; equal texts need not meet in a shard.
-    Rows equal in all columns share a bucket and are interchangeable. An empty table gives an empty one.
+    Rows equal in all columns are interchangeable; up to ``COPIES`` of them share a bucket, more are spread over all.
+    One count for each bucket comes to the driver. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -49,7 +52,7 @@ def shuffle_to_shards(
     key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`").cast("string") for c in docs.columns])
     total = docs.agg(F.sum(size_of()).alias("bytes")).first()["bytes"] or 0
     buckets = max(shards * least_per_shard, math.ceil(total / bucket_bytes))
-    keyed = docs.select(F.struct("*").alias("row"), key.alias("key")).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(buckets)).cast("int"))
+    keyed = salted(docs.select(F.struct("*").alias("row"), key.alias("key")), seed).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(buckets)).cast("int"))
     # one number for each bucket, and buckets are counted by bytes over bucket_bytes
     counts = np.zeros(buckets, dtype=np.int64)
     for bucket, n in keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
@@ -78,6 +81,21 @@ def shuffle_to_shards(
     return spark.read.schema(back).parquet(path).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
 
 
+def salted(keyed: DataFrame, seed: int, copies: int = COPIES) -> DataFrame:
+    """Rows (row, key) where the copies of a row that comes more than ``copies`` times have keys of their own.
+
+    Such rows are combined before they are moved, counted, and dealt out again with a number each, so that their
+    copies spread over all buckets, the same way whatever the partitioning.
+    """
+    hot = written(keyed.groupBy(F.col("key").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > copies).select("hot"), "shard-hot")
+    if hot.isEmpty():
+        return keyed
+    # the key is 64 bits of the row: rows that share it are told apart by their values
+    groups = keyed.join(hot, F.col("key") == F.col("hot"), "left_semi").groupBy("key", "row").agg(F.count(F.lit(1)).alias("n"))
+    dealt = groups.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth")).select("row", F.xxhash64("key", "nth", F.lit(seed)).alias("key"))
+    return keyed.join(hot, F.col("key") == F.col("hot"), "left_anti").unionByName(dealt)
+
+
 def shard_digest(docs: DataFrame, **options) -> DataFrame:
     """One row per document, derived from the written shards: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
