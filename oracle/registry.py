@@ -223,8 +223,60 @@ FROM (SELECT *, CASE state WHEN 'numeric' THEN
             ELSE 'not_applicable' END AS state FROM pp))))
 """,
 )
-answer("D11_feature_stability", "SELECT table_name, column_name, n_pairs, round(mean_psi, 4) AS mean_psi, fsi, fsi_label FROM d11")
-answer("D12_drift_velocity", "SELECT table_name, column_name, n_pairs, velocity, velocity_label FROM d11")
+_PCT = lambda x: f"coalesce(CAST(TRY_CAST(round(({x}) * 100) AS DECIMAL(38,0)) AS VARCHAR), 'very many')"
+answer(
+    "D11_feature_stability",
+    f"""
+SELECT table_name, column_name, n_pairs, round(mean_psi, 4) AS mean_psi, fsi, fsi_label,
+  CASE WHEN fsi IS NULL THEN 'No pair of versions has an index.' ELSE 'Stable to ' || {_PCT('fsi')} || ' % over ' || n_pairs || ' pairs.' END AS fsi_note FROM d11
+""",
+)
+answer(
+    "D12_drift_velocity",
+    f"""
+SELECT table_name, column_name, n_pairs, velocity, velocity_label, CASE WHEN velocity IS NULL THEN 'Two pairs are needed for a trend.'
+  WHEN velocity > 0 THEN 'Drift grows by ' || {_PCT('velocity')} || ' hundredths a version.'
+  WHEN velocity < 0 THEN 'Drift falls by ' || {_PCT('-velocity')} || ' hundredths a version.' ELSE 'Drift neither grows nor falls.' END AS velocity_note FROM d11
+""",
+)
+_ABSENT = "WHEN NOT (in_a AND in_b) THEN 'the column is missing from one of the versions'"
+_NUMERIC = _ABSENT + " WHEN a_data_type <> 'num' OR b_data_type <> 'num' THEN 'not a numeric column'"
+_NULLS = lambda *names: " OR ".join(f"{s}_{n} IS NULL" for n in names for s in "ab")
+_REASONS = {
+    "cv_drift": f"{_NUMERIC} WHEN {_NULLS('mean', 'std')} THEN 'mean or spread unknown' WHEN abs(a_mean) < 1e-6 THEN 'the earlier mean is about zero' WHEN cv_change IS NULL THEN 'the later mean is about zero'",
+    "std_drift": f"{_NUMERIC} WHEN {_NULLS('std')} THEN 'spread unknown' WHEN a_std < 1e-9 THEN 'the earlier spread is about zero'",
+    "quantile_shift": f"{_NUMERIC} WHEN {_NULLS('q25', 'q50', 'q75')} THEN 'quartiles unknown'",
+    "boundary_drift": f"{_NUMERIC} WHEN {_NULLS('min_val', 'max_val')} THEN 'limits unknown'",
+    "kurtosis_drift": f"{_NUMERIC} WHEN {_NULLS('kurtosis')} THEN 'kurtosis unknown'",
+    "entropy_drift": f"{_ABSENT} WHEN a_data_type = 'num' AND a_statistical_scale <> 'binary' THEN 'a numeric column, see its quantiles' "
+    "WHEN coalesce(least(a_cardinality_count, b_cardinality_count), 0) <= 0 THEN 'number of values unknown' "
+    "WHEN entropy_change IS NULL THEN 'one value holds nearly all rows of the earlier version'",
+    "ks_approx": f"{_NUMERIC} WHEN ks IS NULL THEN 'not all of limits and quartiles known'",
+    "psi": f"{_ABSENT} WHEN psi_label = 'not_applicable' THEN 'no index for the scale ' || a_statistical_scale WHEN psi_label = 'insufficient_data' THEN 'quartiles unknown'",
+}
+_FINDINGS = {
+    "cv_drift": ("cv_change", "cv_severity", f"'Spread went from ' || {_PCT('cv_base')} || ' % to ' || {_PCT('cv_new')} || ' % of the mean.'"),
+    "std_drift": ("std_change", "std_severity", f"'Spread ' || std_direction || ' by ' || {_PCT('std_change')} || ' %.'"),
+    "quantile_shift": ("max_quantile_shift", "quantile_severity", f"worst_quantile || ' moved most, by ' || {_PCT('max_quantile_shift')} || ' % of the earlier interquartile range.'"),
+    "boundary_drift": ("max_boundary_shift", "boundary_severity", f"'The lower limit moved by ' || {_PCT('lower_shift')} || ' %, the upper by ' || {_PCT('upper_shift')} || ' % of the earlier range.'"),
+    "kurtosis_drift": (
+        "kurtosis_delta", "kurtosis_severity",
+        f"'Tails are ' || CASE WHEN kurtosis_delta > 0 THEN 'heavier' WHEN kurtosis_delta < 0 THEN 'lighter' ELSE 'as before' END || ', kurtosis by ' || {_PCT('kurtosis_delta')} || ' hundredths.'",
+    ),
+    "entropy_drift": ("entropy_change", "entropy_severity", f"'The mix of values changed its entropy by ' || {_PCT('entropy_change')} || ' %.'"),
+    "ks_approx": ("ks", "ks_severity", f"'The distributions differ most at ' || ks_point || ', by ' || {_PCT('ks')} || ' % of the rows.'"),
+    "psi": ("psi", "psi_label", f"'The index is ' || {_PCT('psi')} || ' hundredths.'"),
+}
+answer(
+    "D14_metric_notes",
+    "\nUNION ALL ".join(
+        f"""SELECT {_P}, '{m}' AS metric, CASE WHEN why IS NULL THEN round({v}, 4) END AS value, CASE WHEN why IS NULL THEN {sev} END AS severity, why IS NULL AS applicable,
+  coalesce(why, {text} || CASE {sev} WHEN 'stable' THEN ' No action.' WHEN 'notable' THEN ' Watch it.' WHEN 'monitor' THEN ' Watch it.'
+    WHEN 'critical' THEN ' Look into it before scoring.' WHEN 'shift' THEN ' Look into it before scoring.' ELSE '' END) AS note
+FROM (SELECT *, CASE {_REASONS[m]} END AS why FROM suite)"""
+        for m, (v, sev, text) in _FINDINGS.items()
+    ),
+)
 answer(
     "D13_baseline_drift",
     "SELECT table_name, column_name, to_idx AS pair_idx, to_ver, psi, psi_label, psi_applicable FROM pbs",

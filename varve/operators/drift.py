@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,23 +83,97 @@ def pair_metrics(pairs: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
     ).drop("new_cdf_1", "new_cdf_2", "new_cdf_3")
 
 
+#: Columns that hold the value and the verdict of each pair metric.
+PAIR_METRICS = {
+    "cv_drift": ("cv_change", "cv_severity"),
+    "std_drift": ("std_change", "std_severity"),
+    "quantile_shift": ("max_quantile_shift", "quantile_severity"),
+    "boundary_drift": ("max_boundary_shift", "boundary_severity"),
+    "kurtosis_drift": ("kurtosis_delta", "kurtosis_severity"),
+    "entropy_drift": ("entropy_change", "entropy_severity"),
+    "ks_approx": ("ks", "ks_severity"),
+    "psi": ("psi", "psi_label"),
+}
+ADVICE = {"stable": " No action.", "notable": " Watch it.", "monitor": " Watch it.", "critical": " Look into it before scoring.", "shift": " Look into it before scoring."}
+
+
 def not_applicable_reason(metric: str) -> Column:
-    """Why a metric of a pair has no value."""
-    non_numeric = ~P.both_numeric()
+    """Why a metric of a pair has no value; NULL where it has one."""
+    absent = F.when(~P.both_present(), "the column is missing from one of the versions")
+    unknown = lambda *names: reduce(or_, [F.col(f"{s}.{n}").isNull() for n in names for s in "ab"])
+    numeric = absent.when(~P.both_numeric(), "not a numeric column")
     reasons = {
-        "cv": F.when(non_numeric, "non-numeric column")
-        .when(F.col("a.mean").isNull() | F.col("b.mean").isNull() | F.col("a.std").isNull() | F.col("b.std").isNull(), "missing mean or std")
-        .when(F.abs("a.mean") < 1e-6, "mean near zero")
-        .when(F.col("cv_change").isNull(), "new mean near zero"),
-        "entropy": F.when(F.col("entropy_base").isNotNull(), None)
-        .when((F.col("a.data_type") == "num") & (F.col("a.statistical_scale") != "binary"), "numeric non-binary column")
-        .otherwise("no entropy in the base"),
-        "ks": F.when(non_numeric, "non-numeric column").when(F.col("ks").isNull(), "insufficient quantile data"),
-        "std": F.when(non_numeric, "non-numeric column").when(F.col("std_change").isNull(), "missing std or base std near zero"),
+        "cv_drift": numeric.when(unknown("mean", "std"), "mean or spread unknown")
+        .when(F.abs("a.mean") < 1e-6, "the earlier mean is about zero")
+        .when(F.col("cv_change").isNull(), "the later mean is about zero"),
+        "std_drift": numeric.when(unknown("std"), "spread unknown").when(F.col("a.std") < 1e-9, "the earlier spread is about zero"),
+        "quantile_shift": numeric.when(unknown("q25", "q50", "q75"), "quartiles unknown"),
+        "boundary_drift": numeric.when(unknown("min_val", "max_val"), "limits unknown"),
+        "kurtosis_drift": numeric.when(unknown("kurtosis"), "kurtosis unknown"),
+        "entropy_drift": absent.when((F.col("a.data_type") == "num") & (F.col("a.statistical_scale") != "binary"), "a numeric column, see its quantiles")
+        .when(F.coalesce(F.least("a.cardinality_count", "b.cardinality_count"), F.lit(0)) <= 0, "number of values unknown")
+        .when(F.col("entropy_change").isNull(), "one value holds nearly all rows of the earlier version"),
+        "ks_approx": numeric.when(F.col("ks").isNull(), "not all of limits and quartiles known"),
+        "psi": absent.when(F.col("psi_state") == "not_applicable", F.concat(F.lit("no index for the scale "), F.col("a.statistical_scale")))
+        .when(F.col("psi_state") == "insufficient_data", "quartiles unknown"),
     }
     return reasons[metric]
 
 
+def _hundredths(value: Column) -> Column:
+    """A number times 100, rounded, as text."""
+    return F.coalesce(F.round(value * 100).try_cast("decimal(38,0)").cast("string"), F.lit("very many"))
+
+
+def finding(metric: str) -> Column:
+    """What a metric of a pair says, in words."""
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    pct, c = _hundredths, F.col
+    texts = {
+        "cv_drift": say("Spread went from ", pct(c("cv_base")), " % to ", pct(c("cv_new")), " % of the mean."),
+        "std_drift": say("Spread ", c("std_direction"), " by ", pct(c("std_change")), " %."),
+        "quantile_shift": say(c("worst_quantile"), " moved most, by ", pct(c("max_quantile_shift")), " % of the earlier interquartile range."),
+        "boundary_drift": say("The lower limit moved by ", pct(c("lower_shift")), " %, the upper by ", pct(c("upper_shift")), " % of the earlier range."),
+        "kurtosis_drift": say("Tails are ", F.when(c("kurtosis_delta") > 0, "heavier").when(c("kurtosis_delta") < 0, "lighter").otherwise("as before"), ", kurtosis by ", pct(c("kurtosis_delta")), " hundredths."),
+        "entropy_drift": say("The mix of values changed its entropy by ", pct(c("entropy_change")), " %."),
+        "ks_approx": say("The distributions differ most at ", c("ks_point"), ", by ", pct(c("ks")), " % of the rows."),
+        "psi": say("The index is ", pct(c("psi")), " hundredths."),
+    }
+    return texts[metric]
+
+
+def metric_notes(metrics: DataFrame) -> DataFrame:
+    """One row per pair and metric: metric, value, severity, applicable, note (the finding, or why there is none)."""
+    rows = []
+    for metric, (value, severity) in PAIR_METRICS.items():
+        reason = not_applicable_reason(metric)
+        advice = F.coalesce(*[F.when(F.col(severity) == k, v) for k, v in ADVICE.items()], F.lit(""))
+        rows.append(
+            F.struct(
+                F.lit(metric).alias("metric"),
+                F.when(reason.isNull(), F.col(value)).alias("value"),
+                F.when(reason.isNull(), F.col(severity)).alias("severity"),
+                reason.isNull().alias("applicable"),
+                F.coalesce(reason, F.concat(finding(metric), advice)).alias("note"),
+            )
+        )
+    return suite_scope(metrics).select(*PAIR, F.inline(F.array(*rows)))
+
+
+def stability_notes(stability: DataFrame) -> DataFrame:
+    """D11 and D12 in words, beside their values."""
+    index = F.when(F.col("fsi").isNull(), "No pair of versions has an index.").otherwise(
+        F.concat(F.lit("Stable to "), _hundredths(F.col("fsi")), F.lit(" % over "), F.col("n_pairs").cast("string"), F.lit(" pairs."))
+    )
+    trend = (
+        F.when(F.col("velocity").isNull(), "Two pairs are needed for a trend.")
+        .when(F.col("velocity") > 0, F.concat(F.lit("Drift grows by "), _hundredths(F.col("velocity")), F.lit(" hundredths a version.")))
+        .when(F.col("velocity") < 0, F.concat(F.lit("Drift falls by "), _hundredths(-F.col("velocity")), F.lit(" hundredths a version.")))
+        .otherwise("Drift neither grows nor falls.")
+    )
+    return stability.withColumns({"fsi_note": index, "velocity_note": trend})
+
+
 def suite_scope(df: DataFrame, base: str = "base", targets: bool = False) -> DataFrame:
     """Columns the drift suite covers: in the first version, not an id or constant, not a label."""
     scale = F.col(f"{base}.statistical_scale")

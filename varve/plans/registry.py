@@ -344,12 +344,12 @@ def _(ws):
 
 @shared("D11_feature_stability")
 def _(ws):
-    return rounded(ws.d11.select(*COLUMN, "n_pairs", "mean_psi", "fsi", "fsi_label"), 4, "mean_psi")
+    return rounded(drift.stability_notes(ws.d11).select(*COLUMN, "n_pairs", "mean_psi", "fsi", "fsi_label", "fsi_note"), 4, "mean_psi")
 
 
 @shared("D12_drift_velocity")
 def _(ws):
-    return ws.d11.select(*COLUMN, "n_pairs", "velocity", "velocity_label")
+    return drift.stability_notes(ws.d11).select(*COLUMN, "n_pairs", "velocity", "velocity_label", "velocity_note")
 
 
 @shared("D13_baseline_drift")
@@ -362,6 +362,12 @@ def _(ws):
     return ws.d13
 
 
+@shared("D14_metric_notes")
+def _(ws):
+    """D1 to D8 of every pair, one row per metric, with a finding or the reason why there is none."""
+    return rounded(drift.metric_notes(ws.metrics).select(*PAIR, "metric", "value", "severity", "applicable", "note"), 4, "value")
+
+
 @shared("D14_all_metrics")
 def _(ws):
     return _metric(
