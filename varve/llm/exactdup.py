@@ -29,7 +29,7 @@ from varve.sources.shared import bucketed, discard, written
 
 #: Bits of a fingerprint: a multiple of four, taken from the front of the text's sha256.
 BITS = 48
-PACKET_ROWS, PACKET_BYTES = 1 << 16, 16 << 20
+PACKET_ROWS, PACKET_BYTES = 1 << 16, 4 << 20
 #: Fingerprints of one owner: its task holds about 40 bytes for each.
 OWNER_ROWS = 1 << 20
 #: Spark's own limit is 100,000.

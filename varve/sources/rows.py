@@ -137,20 +137,22 @@ def _cell(spec: TableSpec, name: str) -> Column:
     ).alias(name)
 
 
-def melt(spec: TableSpec) -> DataFrame:
-    """Long form: one row per source row and column, in a single scan of the source."""
+def melt(spec: TableSpec, part: str | None = None) -> DataFrame:
+    """Long form: one row per source row and column, in a single scan of the source; ``part`` is a column to carry along."""
     names = spec.profiled()
-    wide = spec.rows.select(F.col(spec.version).cast("int").alias("version"), *[_cell(spec, n) for n in names])
-    long = wide.unpivot("version", names, "column_name", "cell")
+    carried = [F.col(part).cast("string").alias("part")] if part else []
+    wide = spec.rows.select(F.col(spec.version).cast("int").alias("version"), *carried, *[_cell(spec, n) for n in names])
+    ids = ["version", "part"] if part else ["version"]
+    long = wide.unpivot(ids, names, "column_name", "cell")
     if spec.present:
         long = long.where("cell.in_schema")
-    return long.select(F.lit(spec.name).alias("table_name"), "version", "column_name", *[f"cell.{f}" for f in CELL])
+    return long.select(F.lit(spec.name).alias("table_name"), *ids, "column_name", *[f"cell.{f}" for f in CELL])
 
 
-def melt_all(specs: list[TableSpec]) -> DataFrame:
-    out = melt(specs[0])
+def melt_all(specs: list[TableSpec], part: str | None = None) -> DataFrame:
+    out = melt(specs[0], part)
     for spec in specs[1:]:
-        out = out.unionByName(melt(spec))
+        out = out.unionByName(melt(spec, part))
     return out
 
 
@@ -500,16 +502,21 @@ def profile(
     Exact mode reads value counts by several passes: they are written once, so the source is scanned
     once. Pass ``counts`` (from ``written_counts``) to share them with other work on the same rows.
     """
-    if overrides is None:
-        overrides = spark.createDataFrame([], OVERRIDE_SCHEMA)
     if mode == "sketch":
         stats, facts = sketch_facts(specs)
     else:
         counts = written_counts(specs) if counts is None else counts
         stats = written(basic_facts(counts), "facts")
         facts = value_facts(counts, stats, written(exact_quartiles(counts, stats), "quartiles"), specs)
+    return finished(spark, shown(stats.drop("n_num", "top_cnt", "low_cnt").join(facts, KEYS, "left")), specs, overrides, snapshot_date)
+
+
+def finished(spark: SparkSession, facts: DataFrame, specs: list[TableSpec], overrides: DataFrame | None = None, snapshot_date: str | None = None) -> DataFrame:
+    """The profile from the measured facts of every group: schema, declared facts, shares and scales added."""
+    if overrides is None:
+        overrides = spark.createDataFrame([], OVERRIDE_SCHEMA)
     wide = (
-        shown(stats.drop("n_num", "top_cnt", "low_cnt").join(facts, KEYS, "left"))
+        facts
         .join(column_catalog(spark, specs), ["table_name", "column_name"])
         .join(
             overrides.select(
