@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,10 +147,9 @@ def by_value(lists: DataFrame, name: str) -> DataFrame:
 
 def prefixes(sets: DataFrame, t: float) -> DataFrame:
     """value, class, n, place: the inverted lists of whole sets (class, n, set), rarest values first by exact counts."""
-    # dealt by value once, for the counts and for the join with them
-    members = sets.select("class", "n", F.explode("set").alias("value")).repartition(parts(sets.sparkSession), "value")
-    counts = members.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    per_class = members.join(counts, "value").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    members = sets.select("class", "n", F.explode("set").alias("value"))
+    shared = members.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("df > 1")
+    per_class = shared.groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
     # values of one class alone come first; they are not listed
     until = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
     first = F.col("n") - F.size("common")
