@@ -669,3 +669,23 @@ SELECT table_name, ver_idx + 1 AS version, row_count, CASE WHEN ver_idx < 2 THEN
 FROM vers WHERE ver_idx < 3
 """,
 )
+answer(
+    "R1_incremental_profile",
+    f"""
+SELECT {_G}, row_count, missing_count, {_rounded('min_val max_val mean std skewness kurtosis')}, blank_value_count, mismatched_count,
+  chars_max_count, chars_min_count, true AS distinct_near FROM prof
+""",
+)
+answer(
+    "M1_weekly_rollup",
+    """
+SELECT 'events' AS table_name, version, column_name, count(*) AS row_count, count(v) AS n_present, min(v) AS min_val, max(v) AS max_val,
+  round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, CAST(sum(blank) AS BIGINT) AS n_blank
+FROM (SELECT version, 'user_id' AS column_name, CAST(user_id AS DOUBLE) AS v, NULL AS blank FROM event_rows
+  UNION ALL SELECT version, 'event_id', CAST(event_id AS DOUBLE), NULL FROM event_rows
+  UNION ALL SELECT version, 'value', value, NULL FROM event_rows
+  UNION ALL SELECT version, 'event_type', length(event_type), CASE WHEN trim(event_type) = '' THEN 1 WHEN event_type IS NOT NULL THEN 0 END FROM event_rows
+  UNION ALL SELECT version, 'props', length(props), CASE WHEN trim(props) = '' THEN 1 WHEN props IS NOT NULL THEN 0 END FROM event_rows) t
+GROUP BY version, column_name
+""",
+)

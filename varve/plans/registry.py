@@ -7,6 +7,7 @@ once per source folder and then shared by the queries that read profile facts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from varve.operators import cards, compare, drift, exact, interpret_single, pair
 from varve.operators import interpret_compare as interpret
 from varve.plans import tables
 from varve.plans.workspace import Workspace
-from varve.sources import payloads, rows
+from varve.sources import payloads, rows, states
 from varve.sources import registry as store
 from varve.sources.shared import scratch, written
 from varve.streaming import windows
@@ -1101,6 +1102,40 @@ def _(spark, sf_dir):
     return rounded(rows.shown(out), 4, "min_val", "max_val", "mean", "mode_num", "rarest_num")
 
 
+@query("R1_incremental_profile")
+def _(spark, sf_dir):
+    """All tables loaded in three parts, the last one in a load of its own; the profile is merged from stored states."""
+    path = scratch(spark, "states")
+    specs = tables.specs(spark, sf_dir)
+    part = lambda s: F.pmod(F.xxhash64(*[F.col(c) for c in s.profiled()[:2]]), F.lit(3))
+    parted = [replace(s, rows=s.rows.withColumn("load_no", part(s)), columns=s.profiled()) for s in specs]
+    for condition in ("load_no < 2", "load_no = 2"):
+        states.write_states(states.partial_states([replace(s, rows=s.rows.where(condition)) for s in parted], "load_no"), path)
+    p = states.profile_of_states(spark, states.read_states(spark, path), specs, tables.overrides(spark))
+    exact_distinct = rows.shown(shared_facts(spark, sf_dir)).select(
+        F.col("table_name").alias("t"), F.col("version").alias("v"), F.col("column_name").alias("c"), F.col("cardinality_count").alias("d")
+    )
+    same = (F.col("table_name") == F.col("t")) & F.col("version").eqNullSafe(F.col("v")) & (F.col("column_name") == F.col("c"))
+    near = F.abs(F.col("cardinality_count") - F.col("d")) <= F.greatest(F.lit(1.0), 0.1 * F.col("d"))
+    out = p.join(exact_distinct, same).select(
+        *GROUP, "row_count", "missing_count", "min_val", "max_val", "mean", "std", "skewness", "kurtosis", "blank_value_count",
+        "mismatched_count", "chars_max_count", "chars_min_count", F.coalesce(near, F.lit(True)).alias("distinct_near"),
+    )
+    return rounded(out, 4, "min_val", "max_val", "mean", "std", "skewness", "kurtosis")
+
+
+@query("M1_weekly_rollup")
+def _(spark, sf_dir):
+    """Days profiled by the stream merge to weeks; no row is read again."""
+    path = scratch(spark, "windows")
+    windows.run_to_table(_windows(spark, sf_dir, STREAMED_TEXTS), path, f"{path}-state")
+    finished = spark.read.parquet(path)
+    rest = windows.close_open(spark.read.parquet(f"{sf_dir}/events.parquet"), "events", "ts", STREAMED, finished, texts=STREAMED_TEXTS)
+    weeks = windows.merged(finished.unionByName(rest), F.floor(F.unix_date(F.to_date("window_start")) / 7).cast("int"))
+    out = weeks.select("table_name", F.col("period").alias("version"), "column_name", "row_count", "n_present", "min_val", "max_val", "mean", "std", "n_blank")
+    return rounded(out, 4, "mean", "std")
+
+
 @query("R7_declared_types")
 def _(spark, sf_dir):
     """Texts of orders held against declared types and a pattern, from a rules table."""

@@ -63,6 +63,36 @@ def windowed_profile(
     )
 
 
+def merged(windows: DataFrame, period: Column) -> DataFrame:
+    """Windows taken together to longer periods (days to weeks or months), from their own facts and sketches.
+
+    ``period`` is an expression over the windows' columns. The result has the columns of windowed_profile with
+    ``period`` beside the first start and the last end; counts, limits, mean and spread merge exactly, sketches as sketches.
+    """
+    n, mean = F.col("n_present"), F.col("mean")
+    keyed = windows.withColumn("period", period)
+    whole = keyed.groupBy("table_name", "period", "column_name").agg(F.try_divide(F.sum(n * mean), F.sum(n)).alias("whole_mean"))
+    # squares about the mean of the whole period
+    squares = F.coalesce(F.col("std") * F.col("std") * (n - 1), F.lit(0.0)) + n * F.pow(mean - F.col("whole_mean"), 2)
+    return (
+        keyed.join(whole, ["table_name", "period", "column_name"])
+        .groupBy("table_name", "period", "column_name")
+        .agg(
+            F.min("window_start").alias("window_start"),
+            F.max("window_end").alias("window_end"),
+            F.sum("row_count").alias("row_count"),
+            F.sum(n).alias("n_present"),
+            F.min("min_val").alias("min_val"),
+            F.max("max_val").alias("max_val"),
+            F.max("whole_mean").alias("mean"),
+            F.when(F.sum(n) > 1, F.sqrt(F.sum(F.when(n > 0, squares)) / (F.sum(n) - 1))).alias("std"),
+            F.sum("n_blank").alias("n_blank"),
+            F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
+            F.kll_merge_agg_double("quantile_sketch").alias("quantile_sketch"),
+        )
+    )
+
+
 def readable(windows: DataFrame) -> DataFrame:
     """Sketches turned into numbers."""
     quantile = lambda p: F.when(F.col("n_present") > 0, F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(p)))
