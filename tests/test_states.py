@@ -34,7 +34,7 @@ def test_parts_merge_to_the_whole_profile_without_reading_old_rows(spark, tmp_pa
             assert g[name] is None if w[name] is None else g[name] == pytest.approx(w[name], rel=1e-6, abs=1e-6), (key, name)
         if w["cardinality_count"] is not None:
             assert abs(g["cardinality_count"] - w["cardinality_count"]) <= max(1, 0.08 * w["cardinality_count"])
-        if w["q50"] is not None and w["row_count"] > 50:
+        if w["q50"] is not None and w["row_count"] > 50 and w["cardinality_count"] > 10:  # else a quartile is one of few values
             assert abs(g["q50"] - w["q50"]) <= 0.1 * (w["max_val"] - w["min_val"]) + 1e-9
             assert abs(g["n_outliers"] - w["n_outliers"]) <= 0.1 * w["row_count"]
     assert got["abt_orders", 1995, "segment"]["mode"] == want["abt_orders", 1995, "segment"]["mode"]
