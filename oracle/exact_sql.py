@@ -79,3 +79,23 @@ SELECT *, {_LABEL} FROM (SELECT table_name, column_name, pair_idx, count(*) AS c
     WINDOW g AS (PARTITION BY s.table_name, s.column_name, s.pair_idx)) t GROUP BY 1, 2, 3) u
 """,
 )
+step(
+    "deciles",
+    """
+SELECT c.table_name, c.column_name, v.ver_idx AS pair_idx, quantile_cont(c.num, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts
+FROM cells c JOIN vers v ON c.table_name = v.table_name AND c.version = v.version WHERE c.num IS NOT NULL GROUP BY 1, 2, 3
+""",
+)
+step(
+    "d8d",
+    f"""
+SELECT *, {_LABEL} FROM (SELECT table_name, column_name, pair_idx, sum((pb - pa) * ln(pb / pa)) AS psi
+  FROM (SELECT *, greatest(a / sum(a) OVER g::DOUBLE, 1e-6) AS pa, greatest(b / sum(b) OVER g::DOUBLE, 1e-6) AS pb
+    FROM (SELECT s.table_name, s.column_name, s.pair_idx, len(list_filter(d.cuts, lambda e: e < s.num)) AS bin, sum(ca) AS a, sum(cb) AS b
+      FROM both_sides s JOIN pp p ON s.table_name = p.table_name AND s.column_name = p.column_name AND s.pair_idx = p.pair_idx
+        JOIN deciles d ON s.table_name = d.table_name AND s.column_name = d.column_name AND s.pair_idx = d.pair_idx
+      WHERE s.num IS NOT NULL AND p.a_data_type = 'num' AND p.b_data_type = 'num' AND p.a_statistical_scale NOT IN ('id', 'binary', 'unary')
+        AND p.a_q50 IS NOT NULL AND p.b_q50 IS NOT NULL GROUP BY 1, 2, 3, 4) t
+    WINDOW g AS (PARTITION BY table_name, column_name, pair_idx)) u GROUP BY 1, 2, 3) w
+""",
+)

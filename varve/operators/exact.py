@@ -161,6 +161,34 @@ def psi_exact(counts: DataFrame, pairs: DataFrame, cfg: Thresholds = Thresholds(
     )
 
 
+def psi_exact_bins(counts: DataFrame, pairs: DataFrame, quantiles: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
+    """D8x over any number of bins: cut at the earlier version's exact ``quantiles`` (table, version, column, quantiles).
+
+    A value that equals a cut belongs to the bin below it; equal cuts leave bins empty, which count as the floor on
+    both sides. The bin is the number of cuts below a value, looked up in the short list of its pair.
+    """
+    scope = pairs.where(_numbers("a", vocab.NON_DISTRIBUTION_SCALES) & F.col("a.q50").isNotNull() & F.col("b.q50").isNotNull())
+    cuts = quantiles.select(*COLUMN, F.col("version").alias("from_version"), F.col("quantiles").alias("cuts"))
+    edges = _sides(scope.select(*PAIR, "from_version", "to_version").join(cuts, [*COLUMN, "from_version"]))
+    counted = (
+        counts.where("num is not null")
+        .join(edges, [*COLUMN, "version"])
+        .withColumn("bin", F.size(F.filter("cuts", lambda e: e < F.col("num"))))
+        .groupBy(*PAIR, "bin", F.size("cuts").alias("cuts"))
+        .agg(*[F.sum(F.when(F.col("side") == s, F.col("cnt")).otherwise(0)).alias(f"c{s}") for s in ("a", "b")])
+    )
+    # one row per pair and bin that holds anything; empty bins differ by nothing
+    totals = counted.groupBy(*PAIR).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
+    share = lambda c, n: F.greatest(F.try_divide(F.col(c), F.col(n)), F.lit(FLOOR))
+    return (
+        counted.join(totals, PAIR)
+        .groupBy(*PAIR)
+        .agg(F.sum(divergence(share("ca", "na"), share("cb", "nb"))).alias("psi"), F.max("cuts").alias("cuts"))
+        .withColumn("psi_label", psi_label(F.col("psi"), cfg))
+        .select(*PAIR, (F.col("cuts") + 1).alias("bins"), "psi", "psi_label")
+    )
+
+
 def psi_categorical_exact(pc: DataFrame, pairs: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
     """D9x: index over the shares of every category, new and lost ones included.
 

@@ -1031,6 +1031,13 @@ def _(spark, sf_dir):
     return rounded(exact.psi_exact(shared_counts(spark, sf_dir), ws.metrics), 6, "psi")
 
 
+@query("D8x_psi_deciles")
+def _(spark, sf_dir):
+    ws, counts = workspace(spark, sf_dir), shared_counts(spark, sf_dir)
+    deciles = written(rows.exact_quantiles(counts, shared_facts(spark, sf_dir), [i / 10 for i in range(1, 10)]), "deciles")
+    return rounded(exact.psi_exact_bins(counts, ws.metrics, deciles), 6, "psi")
+
+
 @query("D9x_psi_categorical_exact")
 def _(spark, sf_dir):
     ws = workspace(spark, sf_dir)

@@ -19,6 +19,7 @@ jobs does not grow with the number of tables or columns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
@@ -250,17 +251,23 @@ def _place(p: float) -> Column:
     return F.lit(p) * (F.col("n") - 1)
 
 
-def _holds_wanted(start: str, end: str) -> Column:
+def _holds_wanted(start: str, end: str, shares: Sequence[float]) -> Column:
     """Some wanted rank lies in [start, end)."""
     hit = F.lit(False)
-    for p in QUARTILES:
+    for p in shares:
         for r in (F.floor(_place(p)), F.ceil(_place(p))):
             hit = hit | ((r >= F.col(start)) & (r < F.col(end)))
     return hit
 
 
 def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """Exact interpolated quartiles per numeric group (see the module notes)."""
+    """Exact interpolated quartiles per numeric group."""
+    found = exact_quantiles(counts, stats, QUARTILES)
+    return found.select(*KEYS, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(["q25", "q50", "q75"])])
+
+
+def exact_quantiles(counts: DataFrame, stats: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """``quantiles``: the exact interpolated quantiles of the given shares per numeric group (see the module notes)."""
     bounds = stats.where("min_val is not null").select(
         *KEYS, F.col("n_num").alias("n"), spread(F.col("min_val")).alias("lo"), spread(F.col("max_val")).alias("hi")
     )
@@ -276,7 +283,7 @@ def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
         .agg(F.sum("cnt").alias("c1"), F.min("num").alias("lo1"), F.max("num").alias("hi1"))
         .withColumn("end1", end_1)
         .withColumn("start1", F.col("end1") - F.col("c1"))
-        .where(_holds_wanted("start1", "end1"))
+        .where(_holds_wanted("start1", "end1", shares))
         .select(*KEYS, "r1", "start1", "lo1", "hi1"),
         "ranges",
     )
@@ -293,7 +300,7 @@ def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
         .agg(F.sum("cnt").alias("c2"))
         .withColumn("end2", end_2)
         .withColumn("start2", F.col("end2") - F.col("c2"))
-        .where(_holds_wanted("start2", "end2"))
+        .where(_holds_wanted("start2", "end2", shares))
         .select(*KEYS, "r1", "r2", "start2"),
         "ranges",
     )
@@ -304,16 +311,11 @@ def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
     )
     at = lambda r: F.max(F.when((r >= F.col("start_rank")) & (r < F.col("end_rank")), F.col("num")))
     picks = []
-    for i, p in enumerate(QUARTILES):
+    for i, p in enumerate(shares):
         picks += [at(F.floor(_place(p))).alias(f"f{i}"), at(F.ceil(_place(p))).alias(f"c{i}")]
     picked = ranked.groupBy(*KEYS).agg(F.max("n").alias("n"), *picks)
-    return picked.select(
-        *KEYS,
-        *[
-            (F.col(f"f{i}") + (F.col(f"c{i}") - F.col(f"f{i}")) * (_place(p) - F.floor(_place(p)))).alias(name)
-            for i, (p, name) in enumerate(zip(QUARTILES, ["q25", "q50", "q75"]))
-        ],
-    )
+    between = [F.col(f"f{i}") + (F.col(f"c{i}") - F.col(f"f{i}")) * (_place(p) - F.floor(_place(p))) for i, p in enumerate(shares)]
+    return picked.select(*KEYS, F.array(*between).alias("quantiles"))
 
 
 def outlier_test() -> Column:
