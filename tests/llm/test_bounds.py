@@ -5,10 +5,12 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, fingerprints, quality, sharding
+from varve.llm import decontaminate, fingerprints, language, quality, sharding
+from varve.llm.textbytes import slabs
 
 
 def test_quality_walks_long_texts_in_runs():
@@ -84,3 +86,19 @@ def test_an_id_that_fills_a_third_of_the_table_spreads_over_blocks(spark):
         half = len(r.text) // 2
         want.add((r.doc_id, len(r.text), hashlib.sha256((r.text[: len(r.text) - half] + order[(i + 1) % len(order)].text[:half]).encode()).hexdigest()))
     assert got == want
+
+
+def test_every_one_of_many_languages_has_landmarks():
+    rng = random.Random(8)
+    alphabet = [chr(0x61 + i) for i in range(26)] + [chr(0x100 + i) for i in range(60)]
+    own = {f"l{k:03}": ["".join(rng.choice(alphabet) for _ in range(4)) for _ in range(12)] for k in range(200)}
+    texts, names = [], []
+    for _ in range(4):
+        for name, vocabulary in own.items():
+            texts.append(" ".join(rng.choice(vocabulary) for _ in range(40)))
+            names.append(name)
+    model = language.fit(texts, names)
+    assert model.languages == sorted(own) and model.landmarks.shape[1] == 400
+    fresh = [" ".join(rng.choice(v) for _ in range(40)) for v in own.values()]
+    best, _ = model.predict(next(slabs(pa.array(fresh, pa.large_string()), 1 << 30)))
+    assert np.mean([model.languages[b] == n for b, n in zip(best, own)]) > 0.98

@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from varve.llm.columns import crc32_of
 from varve.llm.ship import ship
 from varve.llm.textbytes import IS_SPACE, LOWER, Slab, slabs
+from varve.sources.shared import written
 
 UNKNOWN = "und"
-#: Texts whose presence rows are held at once.
-GROUP = 64
+#: Cells of the presence rows that are held at once.
+GROUP_CELLS = 128 << 20
+#: Landmarks that every language has at least, however many languages there are.
+LEAST_LANDMARKS = 2
 
 
 @dataclass
@@ -84,8 +87,9 @@ class Kernel:
 
     def rows(self, slab: Slab) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Presence over the landmarks' n-grams, and the root of each text's own count."""
-        for first in range(0, slab.rows, GROUP):
-            seen = self.grams.presence(slab, first, min(first + GROUP, slab.rows))
+        group = max(1, min(64, GROUP_CELLS // self.grams.codes))
+        for first in range(0, slab.rows, group):
+            seen = self.grams.presence(slab, first, min(first + group, slab.rows))
             yield seen[:, self.columns].astype(np.float32), np.sqrt(np.maximum(seen.sum(axis=1, dtype=np.float32), 1))
 
     def kernel(self, slab: Slab) -> np.ndarray:
@@ -99,19 +103,22 @@ class Kernel:
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 160, ridge: float = 1e-3) -> Kernel | None:
-    """Landmarks are the first texts of each language in turn; the order of ``texts`` decides. None without texts."""
+    """Landmarks are the first texts of each language in turn, at least LEAST_LANDMARKS of each; the order of ``texts`` decides. None without texts."""
     names = sorted(set(languages))
     if not names:
         return None
     by_language = {n: [i for i, x in enumerate(languages) if x == n] for n in names}
-    chosen = [by_language[n][k] for k in range(landmarks) for n in names if k < len(by_language[n])][:landmarks]
+    chosen = [by_language[n][k] for k in range(landmarks) for n in names if k < len(by_language[n])][: max(landmarks, LEAST_LANDMARKS * len(names))]
     marks = pa.array([texts[i] for i in chosen], pa.large_string())
     data = np.concatenate([s.data for s in slabs(marks)])
     grams = Grams.of(data)
-    seen = np.concatenate([grams.presence(s, k, k + 1) for s in slabs(marks) for k in range(s.rows)])
-    columns = np.flatnonzero(seen.any(axis=0))
-    norm = np.sqrt(np.maximum(seen.sum(axis=1, dtype=np.float32), 1))
-    model = Kernel(grams, columns, np.ascontiguousarray((seen[:, columns] / norm[:, None]).T.astype(np.float32)), np.zeros(0), np.zeros(0), names)
+    # one landmark's row at a time: only the codes that it holds are kept
+    held = [np.flatnonzero(grams.presence(s, k, k + 1)[0]) for s in slabs(marks) for k in range(s.rows)]
+    columns = np.unique(np.concatenate(held))
+    rows = np.zeros((len(columns), len(held)), dtype=np.float32)
+    for k, codes in enumerate(held):
+        rows[np.searchsorted(columns, codes), k] = 1 / np.sqrt(max(len(codes), 1))
+    model = Kernel(grams, columns, rows, np.zeros(0), np.zeros(0), names)
     among = (model.landmarks.T @ model.landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(among)
     keep = values > 1e-6 * values.max()
@@ -129,17 +136,22 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 160, ridge: flo
 def training_rows(docs: DataFrame, per_language: int, longest: int) -> tuple[list[str], list[str]]:
     """The first rows of each language in hash order, of those with crc32(doc_id) mod 5 not 0 and at most ``longest`` characters."""
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where((crc32_of(F.col("doc_id")) % 5 != 0) & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
-    turn = F.xxhash64("doc_id", F.lit(11))
-    ranked = usable.select("doc_id", "lang", "text", turn.alias("turn")).withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("turn", "doc_id", "text")))
-    chosen = sorted(ranked.where(F.col("nth") <= per_language).select("nth", "lang", "text").toLocalIterator())
+    # ids are ranked without their texts, which are fetched for the few that are chosen
+    usable = usable.select("doc_id", "lang", "text", F.xxhash64("text").alias("print"))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "print")
+    ranked = usable.select("doc_id", "lang", "print").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    ranked = written(ranked.select(F.col("doc_id").alias("of"), F.col("lang").alias("of_lang"), F.col("print").alias("of_print"), "nth"), "language-sample")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("lang") == F.col("of_lang")) & (F.col("print") == F.col("of_print"))
+    fetched = usable.join(ranked, same).dropDuplicates(["nth", "lang"]).select("nth", "lang", "text")
+    chosen = sorted(fetched.toLocalIterator())
     return [r.text for r in chosen], [r.lang for r in chosen]
 
 
 def languages(docs: DataFrame, per_language: int = 400, longest: int = 65_536, **options) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
-    Learns from a bounded sample (``per_language`` texts of up to ``longest`` characters for each language).
-    Predicts from the whole text alone; a null text or one without a letter is ``und`` with score 0, and so
+    Learns from a bounded sample (``per_language`` texts of up to ``longest`` characters for each language; the sample
+    and the landmarks grow with the number of languages alone). Texts of any length are scored whole. Predicts from the whole text alone; a null text or one without a letter is ``und`` with score 0, and so
     is every text when there is nothing to learn from. A null id is held_out null. Repeated rows give repeated
     results; columns other than doc_id, text and lang are ignored.
     """
