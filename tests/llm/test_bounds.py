@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, fingerprints, language, quality, sharding
+from varve.llm import decontaminate, fingerprints, idfilter, language, quality, sharding
 from varve.llm.textbytes import slabs
 
 
@@ -102,3 +102,14 @@ def test_every_one_of_many_languages_has_landmarks():
     fresh = [" ".join(rng.choice(v) for _ in range(40)) for v in own.values()]
     best, _ = model.predict(next(slabs(pa.array(fresh, pa.large_string()), 1 << 30)))
     assert np.mean([model.languages[b] == n for b, n in zip(best, own)]) > 0.98
+
+
+def test_rows_are_told_apart_by_the_bits_of_their_ids(spark):
+    docs = spark.createDataFrame([(i if i % 7 else None, f"t{i}", i) for i in range(500)], "doc_id long, text string, bit_place int")
+    ids = spark.createDataFrame([(i,) for i in (3, 5, 5, 499)] + [(None,)], "of long")
+    bits = idfilter.bits_of(ids, "of")
+    assert int(np.unpackbits(bits.value).sum()) == 4
+    inside, outside = (idfilter.split(docs, F.col("doc_id"), bits, w) for w in (True, False))
+    assert {r.doc_id for r in inside.collect()} == {3, 5, 499, None} and inside.columns == docs.columns
+    assert inside.count() + outside.count() == 500
+    assert idfilter.split(docs, F.col("doc_id"), idfilter.bits_of(ids.limit(0), "of"), True).count() == 0

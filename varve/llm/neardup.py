@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from varve.llm.columns import unused
 from varve.llm.components import components
+from varve.llm.idfilter import bits_of, split
 from varve.llm.ship import ship
 from varve.llm.textbytes import mix, shingle_hashes, slabs, word_hashes, words
 from varve.sources.shared import bucketed, discard, written
@@ -199,13 +200,10 @@ class Search:
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """class, n, set: the whole sets of the given classes, from one document of each."""
-        # written, so that Spark knows how few they are before it decides to move texts
-        ids = written(self.holder.join(classes, "class", "left_semi").select(F.col("doc_id").alias("of")).distinct(), "neardup-ids")
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-        found = full_sets(texts, self.size).join(classes, "class", "left_semi").dropDuplicates(["class"])
-        sets = written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
-        discard(ids)
-        return sets
+        # texts stay where they are: those that may be wanted become sets, and these are joined
+        bits = bits_of(self.holder.join(classes, "class", "left_semi"), "doc_id")
+        found = full_sets(split(self.docs, F.col("doc_id"), bits, True), self.size).join(classes, "class", "left_semi").dropDuplicates(["class"])
+        return written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
 
     def crossing_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of a list that are in different components so far, as a written table."""
@@ -303,10 +301,13 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
             classes = [class_of(s) if len(s) else None for s in shingle_sets(batch.column(at), size)]
             yield batch.append_column(mark_name, pa.array(classes, pa.int64()))
 
-    marked = docs.mapInArrow(mark, schema)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(mark_name) == F.col(of_name))
+    # rows whose id is in neither list stay without a look at their text; only the others meet the lists
+    bits = bits_of(lost.select(id_name).unionByName(repeated.select(id_name)), id_name)
+    doc_id = F.col("doc_id")
+    marked = split(docs, doc_id, bits, True).mapInArrow(mark, schema)
+    same = doc_id.cast("long").eqNullSafe(F.col(id_name)) & (F.col(mark_name) == F.col(of_name))
     kept = marked.join(lost, same, "left_anti")
     if not repeated.isEmpty():
         twice = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", mark_name])
         kept = kept.join(repeated, same, "left_anti").unionByName(twice)
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    return split(docs, doc_id, bits, False).unionByName(kept.select(*[F.col(f"`{c}`") for c in columns]))
