@@ -28,8 +28,9 @@ TABLE = 1 << 16
 
 #: Templates of fewer letters and digits must match in full: one letter more or less there names another license.
 SHORT = 48
-#: Share of a template's fingerprints that a place must show to be aligned with it, and to be reported in part.
-SUPPORT, PARTIAL_SUPPORT = 0.05, 0.25
+#: Share of a template's fingerprints that a place must show to be aligned with it, by the template's length, and to be
+#: reported in part. A long text that still covers nine tenths keeps far more; a line of it has a template of its own.
+SUPPORT, LONG, LONG_SUPPORT, PARTIAL_SUPPORT = 0.05, 200, 0.2, 0.25
 
 IS_SOLID = np.zeros(256, dtype=bool)
 IS_SOLID[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -109,7 +110,10 @@ class Library:
 
     def _candidate(self, group: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, float]]:
         t, support = group[0][0], len({p for _, _, p in group}) / int(self.prints[group[0][0]])
-        if support >= SUPPORT:
+        if len(self.chars[t]) < SHORT:  # these match in full or not at all: every beginning is looked at
+            yield from ((t, b, support) for b in sorted({b for _, b, _ in group}))
+            return
+        if support >= (SUPPORT if len(self.chars[t]) < LONG else LONG_SUPPORT):
             yield t, sorted(b for _, b, _ in group)[len(group) // 2], support
 
     def band(self, template: int) -> int:
@@ -157,7 +161,12 @@ def matches(library: Library, texts: pa.Array, coverage: float, partial: float)
             least = 1.0 if len(pattern) < SHORT else partial if support >= PARTIAL_SUPPORT else coverage
             r = int(row[min(max(begin + len(pattern) // 2, 0), len(row) - 1)])
             for own in {r, int(row[max(begin, 0)]), int(row[min(max(begin + len(pattern) - 1, 0), len(row) - 1)])}:
-                n, first, last = align(pattern, chars[bounds[own] : bounds[own + 1]], begin - int(bounds[own]), band)
+                text, start = chars[bounds[own] : bounds[own + 1]], begin - int(bounds[own])
+                if len(pattern) >= SHORT:
+                    n, first, last = align(pattern, text, start, band)
+                else:
+                    whole = start >= 0 and np.array_equal(text[start : start + len(pattern)], pattern)
+                    n, first, last = (len(pattern), start, start + len(pattern) - 1) if whole else (0, 0, 0)
                 share = n / max(len(pattern), last - first + 1)
                 if n and share >= least:
                     a, z = bounds[own] + first, bounds[own] + last
