@@ -409,8 +409,7 @@ def sketch_facts(specs: list[TableSpec]) -> tuple[DataFrame, DataFrame]:
     has at most CANDIDATES values, which are then all counted; otherwise no value is frequent and it is NULL. The
     least frequent value is given in the second case only: no sketch can tell it among many.
     """
-    long = versioned(melt_all(specs)).withColumn("num", F.col("num") + F.lit(0.0))  # 0.0 and -0.0 are one value
-    long = long.withColumn("h", F.when(F.col("has"), F.xxhash64("num", "txt", "res")))
+    long = hashed_cells(specs)
     stats = long.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if("has").alias("n_present"),
@@ -432,7 +431,7 @@ def sketch_facts(specs: list[TableSpec]) -> tuple[DataFrame, DataFrame]:
     numeric = [s for s in (spec.only("num") for spec in specs) if s]
     fences = stats.select(*KEYS, "q25", "q50", "q75")
     # both have one row per group, and are written so that Spark knows it
-    facts = stats.select(*KEYS).join(written(frequent_values(long, stats), "frequent"), KEYS, "left")
+    facts = stats.select(*KEYS).join(written(frequent_values(specs, stats), "frequent"), KEYS, "left")
     if numeric:
         cells = versioned(melt_all(numeric).select(*KEYS, "num")).where("num IS NOT NULL")
         outliers = cells.join(fences, KEYS).groupBy(*KEYS).agg(F.count_if(outlier_test()).alias("n_outliers"))
@@ -442,14 +441,24 @@ def sketch_facts(specs: list[TableSpec]) -> tuple[DataFrame, DataFrame]:
     return stats.drop("frequent"), facts
 
 
-def frequent_values(long: DataFrame, stats: DataFrame) -> DataFrame:
+def hashed_cells(specs: list[TableSpec]) -> DataFrame:
+    """The long form with ``h``, a hash of each value that is there."""
+    long = versioned(melt_all(specs)).withColumn("num", F.col("num") + F.lit(0.0))  # 0.0 and -0.0 are one value
+    return long.withColumn("h", F.when(F.col("has"), F.xxhash64("num", "txt", "res")))
+
+
+def frequent_values(specs: list[TableSpec], stats: DataFrame) -> DataFrame:
     """most_common_value, mode_count and least_common_value of the groups whose frequent values settle them."""
     # where nothing is frequent and not all values are listed, no candidate can be the mode
     listed, low = F.size("frequent") < CANDIDATES, F.lit(FREQUENT / 2) * F.col("row_count")
     found = stats.select(*KEYS, "row_count", F.filter("frequent", lambda x: x["count"] >= low).alias("often"), "frequent", listed.alias("listed"))
     chosen = F.when(F.col("listed"), F.col("frequent")).otherwise(F.col("often"))
     candidates = written(found.select(*KEYS, F.explode(F.transform(chosen, lambda x: x["item"])).alias("h")), "candidates")
-    counted = long.where("h IS NOT NULL").join(candidates, [*KEYS, "h"]).groupBy(*KEYS, "num", "txt", "res").agg(F.count(F.lit(1)).alias("c"))
+    # only columns with candidates are read again; at most one row per column comes to the driver
+    held = {(r.table_name, r.column_name) for r in candidates.select("table_name", "column_name").distinct().collect()}
+    scanned = [replace(s, columns=[c for c in s.profiled() if (s.name, c) in held]) for s in specs]
+    scanned = [s for s in scanned if s.columns] or specs[:1]
+    counted = hashed_cells(scanned).where("h IS NOT NULL").join(candidates, [*KEYS, "h"]).groupBy(*KEYS, "num", "txt", "res").agg(F.count(F.lit(1)).alias("c"))
     counted = counted.withColumn("value", F.struct("num", "txt"))
     # at most CANDIDATES values of a group
     per = counted.groupBy(*KEYS).agg(
