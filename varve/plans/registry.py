@@ -35,6 +35,7 @@ def forget() -> None:
     _COUNTS.clear()
     _BASICS.clear()
     _PAIRS.clear()
+    tables.forget()
 
 
 def shared_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

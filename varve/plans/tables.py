@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.sources.rows import OVERRIDE_SCHEMA, TableSpec
+from varve.sources.shared import written
+
+_ORDERS: dict[tuple[str, str], DataFrame] = {}
+
+
+def forget() -> None:
+    """Drop the written orders, so that the next query joins them again."""
+    _ORDERS.clear()
+
+
+def shared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined orders, written once per session and source folder: two tables and every pass read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ORDERS:
+        _ORDERS[key] = written(orders_table(spark, sf_dir), "orders")
+    return _ORDERS[key]
 
 
 def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +76,7 @@ def mutated_orders(base: DataFrame) -> DataFrame:
 
 
 def specs(spark: SparkSession, sf_dir: str) -> list[TableSpec]:
-    base = orders_table(spark, sf_dir)
+    base = shared_orders(spark, sf_dir)
     # whole weeks since 1970, so that weeks of different months and years stay apart
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("version", F.floor(F.unix_date(F.to_date("ts")) / 7).cast("int"))
     # a nested column, missing for some users
