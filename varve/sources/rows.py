@@ -187,11 +187,12 @@ def digest(text: Column) -> Column:
 
 def value_counts(long: DataFrame) -> DataFrame:
     """Rows per distinct value, NULL included: num and res of a number, digest, len and head of a text of any length."""
-    return (
+    counted = (
         versioned(long).withColumns(
             {
                 "len": F.length("txt"),
-                "digest": digest(F.col("txt")),
+                # a text that ends within its head needs no digest to be told apart
+                "digest": F.when(F.length("txt") > HEAD, digest(F.col("txt"))),
                 "head": F.left("txt", F.lit(HEAD)),
                 # 0.0 and -0.0 are one value
                 "num": F.col("num") + F.lit(0.0),
@@ -202,6 +203,8 @@ def value_counts(long: DataFrame) -> DataFrame:
         # equal texts agree in length and in both checks
         .agg(F.count(F.lit(1)).alias("cnt"), *[F.max(c).alias(c) for c in ("len", "blank", "miss")])
     )
+    # digests of short texts are taken once per value, not once per row
+    return counted.withColumn("digest", F.coalesce("digest", digest(F.col("head"))))
 
 
 def written_counts(specs: list[TableSpec]) -> DataFrame:
