@@ -229,3 +229,38 @@ def test_alerts_reach_the_last_day_of_every_column(spark):
     days = {r.day for r in spark.read.parquet(f"{SF_DIR}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct().collect()}
     got = [(r.window_start, r.column_name) for r in QUERIES["M2_drift_alerts"](spark, SF_DIR).collect()]
     assert sorted(got) == sorted((d, c) for d in days for c in ("event_id", "user_id", "value", "event_type", "props"))
+
+
+def test_tables_are_counted_as_their_long_form(spark):
+    """Narrow counts of every kind of column, under group numbers, have the rows that the long form gives."""
+    long_text = "sixteen letters and more "
+    data = spark.sql(f"""
+        SELECT CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN -7 WHEN id % 5 = 2 THEN 2147483647 ELSE 3 END AS version,
+          id % 2 = 0 AS flag, CAST(id % 3 AS tinyint) AS tiny, id % 4 + 9007199254740992 AS large,
+          CASE id % 6 WHEN 0 THEN double('NaN') WHEN 1 THEN -0.0D WHEN 2 THEN 0.0D WHEN 3 THEN double('Infinity') WHEN 4 THEN NULL ELSE 1.5D END AS real,
+          CAST(id % 3 AS float) AS single, CAST(id AS decimal(9, 2)) AS small_decimal, CAST(id % 7 AS decimal(30, 3)) / 1000 + 123456789012345678 AS decimal,
+          date_add(DATE'2024-01-01', int(id % 4)) AS day, timestamp_micros(id % 9) AS ts, timestamp_ntz'2024-01-01 00:00:00' AS ntz,
+          CASE id % 7 WHEN 0 THEN '' WHEN 1 THEN '12' WHEN 2 THEN 'x1' WHEN 3 THEN NULL WHEN 4 THEN repeat(' ', 20) WHEN 5 THEN concat('{long_text}', id % 2) ELSE repeat('7', 17) END AS words,
+          CASE WHEN id % 3 > 0 THEN array(id) END AS list, CAST('a' AS binary) AS raw, int(NULL) AS nothing
+        FROM range(400)""")
+    one = rows.TableSpec("one", data, present={"flag": F.col("version") > 0}, patterns={"words": "^[0-9]+$"}, types={"words": "int"})
+    two = rows.TableSpec("two", data.select("version", "words", "large"))
+    counts = rows.written_counts([one, two])
+    plain = rows.versioned(rows.value_counts(rows.melt_all([one, two])))
+    assert plain.exceptAll(counts.drop("g")).isEmpty() and counts.drop("g").exceptAll(plain).isEmpty()
+    pair = {r.g: (r.table_name, r.version, r.column_name) for r in counts.select("g", *rows.KEYS).distinct().collect()}
+    assert len(set(pair.values())) == len(pair) == counts.select("g").distinct().count()
+    assert {v for _, v, _ in pair.values()} == {rows.NO_VERSION, -7, 3, 2147483647}
+
+
+def test_value_counts_stay_in_place(spark, small_broadcasts):
+    """Passes over the value counts join by the group's number, and no pass but the first shuffles them."""
+    events = tables.specs(spark, SF_DIR.replace("0.001", "0.01"))[2]
+    counts = rows.written_counts([events])
+    stats = rows.written(rows.basic_facts(counts), "facts")
+    quartiles = rows.written(rows.exact_quartiles(counts, stats), "quartiles")
+    plan = initial_plan(rows.value_facts(counts, stats, quartiles, [events]))
+    assert not [line for line in plan.splitlines() if "SortMergeJoin" in line and "Inner" in line]
+    counting = initial_plan(rows.table_counts([events]))
+    shuffled = [line for line in counting.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 4 and not any("column_name" in line or "table_name" in line for line in shuffled)

@@ -3,8 +3,9 @@
 All tables are melted to one long shape and profiled by the same few shuffles, so the number of
 jobs does not grow with the number of tables or columns.
 
-* The source is scanned once. Rows become *value counts* (group, value, count) with map-side
-  combining, so a hot group or a hot value is already small when it is shuffled. A text travels as
+* Each column of the source is read once. Rows become *value counts* (group, value, count) with map-side
+  combining, so a hot group or a hot value is already small when it is shuffled. Columns of one kind travel
+  together, as narrow rows: one number for the group (column and version), one for the value. A text travels as
   a digest of 16 bytes and its first characters; whole texts are fetched from the source only for
   the most and least frequent values of a group, and only where the first characters do not do.
 * Every other pass reads the value counts and has only mergeable aggregates.
@@ -108,25 +109,34 @@ def _as_double(name: str, dt: T.DataType) -> Column:
     return finite(c.cast("double"))
 
 
+def _beyond_double(c: Column) -> Column:
+    return F.when(F.abs(c.cast("double")) >= 2.0**53, F.pmod(c, F.lit(4096)))
+
+
 def _residual(name: str, dt: T.DataType) -> Column:
     """Tells apart large integers and decimals that share one double."""
     c = F.col(f"`{name}`")
     if isinstance(dt, T.LongType):
-        return F.when(F.abs(c.cast("double")) >= 2.0**53, F.pmod(c, F.lit(4096)))
+        return _beyond_double(c)
     if isinstance(dt, T.DecimalType) and dt.precision > EXACT_DOUBLE_DIGITS:
         return F.xxhash64(c)
     return F.lit(None).cast("bigint")
 
 
+def _mismatch(spec: TableSpec, name: str, c: Column, blank: Column) -> Column:
+    """The value misses the declared format of its column; null where none is declared."""
+    wrong = [~c.rlike(spec.patterns[name])] if name in spec.patterns else []
+    wrong += [c.try_cast(spec.types[name]).isNull()] if _kind(spec.rows.schema[name].dataType) == "char" and name in spec.types else []
+    return ~blank & reduce(or_, wrong) if wrong else F.lit(None).cast("boolean")
+
+
 def _cell(spec: TableSpec, name: str) -> Column:
     dt = spec.rows.schema[name].dataType
     kind, c = _kind(dt), F.col(f"`{name}`")
     number = _as_double(name, dt) if kind == "num" else F.lit(None).cast("double")
     words = c.cast("string") if kind == "char" else F.lit(None).cast("string")
     blank = (F.trim(c) == "") if kind == "char" else F.lit(None).cast("boolean")
-    wrong = [~c.rlike(spec.patterns[name])] if name in spec.patterns else []
-    wrong += [c.try_cast(spec.types[name]).isNull()] if kind == "char" and name in spec.types else []
-    miss = ~blank & reduce(or_, wrong) if wrong else F.lit(None).cast("boolean")
+    miss = _mismatch(spec, name, c, blank)
     return F.struct(
         number.alias("num"),
         words.alias("txt"),
@@ -186,7 +196,10 @@ def digest(text: Column) -> Column:
 
 
 def value_counts(long: DataFrame) -> DataFrame:
-    """Rows per distinct value, NULL included: num and res of a number, digest, len and head of a text of any length."""
+    """Rows per distinct value, NULL included: num and res of a number, digest, len and head of a text of any length.
+
+    For rows that are molten already; ``table_counts`` has the same rows from the tables, without the long form.
+    """
     counted = (
         versioned(long).withColumns(
             {
@@ -207,9 +220,147 @@ def value_counts(long: DataFrame) -> DataFrame:
     return counted.withColumn("digest", F.coalesce("digest", digest(F.col("head"))))
 
 
+#: How the values of a column travel until they are counted.
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+
+
+def _carrier(dt: T.DataType) -> str:
+    if isinstance(dt, WHOLE):
+        return "whole"
+    if isinstance(dt, T.DecimalType) and dt.precision > EXACT_DOUBLE_DIGITS:
+        return "decimal"
+    return {"num": "real", "char": "text", "other": "nested"}[_kind(dt)]
+
+
+def _carried(spec: TableSpec, name: str, carrier: str) -> dict[str, Column]:
+    """What travels of a cell: as little as tells its value apart."""
+    dt, c = spec.rows.schema[name].dataType, F.col(f"`{name}`")
+    if carrier == "whole":
+        return {"whole": (c.cast("int") if isinstance(dt, T.BooleanType) else c).cast("bigint")}
+    if carrier == "real":
+        # 0.0 and -0.0 are one value
+        return {"num": _as_double(name, dt) + F.lit(0.0)}
+    if carrier == "decimal":
+        return {"num": _as_double(name, dt) + F.lit(0.0), "res": _residual(name, dt)}
+    if carrier == "nested":
+        return {"has": c.isNotNull()}
+    text = c.cast("string")
+    # a text that ends within its head is told apart, and checked, by its head: once per value, not once per row
+    long = lambda value: F.when(F.length(text) > HEAD, value)
+    blank = F.trim(text) == ""
+    return {
+        "head": F.left(text, F.lit(HEAD)), "digest": long(digest(text)), "len": long(F.length(text)),
+        "blank": long(blank), "miss": long(_mismatch(spec, name, text, blank)),
+    }
+
+
+def _group_no(place: int, version: Column) -> Column:
+    """One number for a column, by its place among all columns, and a version."""
+    return F.lit(place * 2**32 - NO_VERSION) + version.cast("bigint")
+
+
+def _narrow(spec: TableSpec, places: dict[tuple[str, str], int], carrier: str) -> DataFrame | None:
+    """The cells of the columns with one carrier: group number and what travels."""
+    names = [c for c in spec.profiled() if _carrier(spec.rows.schema[c].dataType) == carrier]
+    if not names:
+        return None
+    version = F.coalesce(F.col(spec.version).cast("int"), F.lit(NO_VERSION))
+    wide, tuples = [], []
+    for i, name in enumerate(names):
+        group = _group_no(places[spec.name, name], version)
+        cell = {"g": F.when(spec.present[name], group) if name in spec.present else group, **_carried(spec, name, carrier)}
+        wide += [c.alias(f"{part}_{i}") for part, c in cell.items()]
+        tuples.append(f"({', '.join(f'{part}_{i}' for part in cell)})")
+    parts = ", ".join(cell)
+    return spec.rows.sparkSession.sql(
+        f"SELECT {parts} FROM {{wide}} UNPIVOT INCLUDE NULLS (({parts}) FOR cell IN ({', '.join(tuples)})) WHERE g IS NOT NULL",
+        wide=spec.rows.select(*wide),
+    )
+
+
+def _short_checks(specs: list[TableSpec], places: dict[tuple[str, str], int]) -> Column:
+    """Whether a text that is its head misses the format of its column."""
+    miss = F.lit(None).cast("boolean")
+    for spec in specs:
+        for name in spec.profiled():
+            if _carrier(spec.rows.schema[name].dataType) == "text" and (name in spec.patterns or name in spec.types):
+                found = _mismatch(spec, name, F.col("head"), F.trim("head") == "")
+                miss = F.when(_place_no() == places[spec.name, name], found).otherwise(miss)
+    return miss
+
+
+def _place_no() -> Column:
+    return F.shiftright("g", 32).cast("int")
+
+
+def table_counts(specs: list[TableSpec]) -> DataFrame:
+    """The value counts of all tables under ``g``, the number of their group; ``keyed`` gives it its names.
+
+    Every kind of value has its own narrow aggregate, so a number is hashed and shuffled as two or three numbers.
+    """
+    columns = [(spec.name, name) for spec in specs for name in spec.profiled()]
+    places = {column: i for i, column in enumerate(columns)}
+    none = lambda kind: F.lit(None).cast(kind)
+    short = F.col("digest").isNull() & F.col("head").isNotNull()
+    num_only = {"has": F.col("num").isNotNull(), "digest": none("binary"), "head": none("string"), "len": none("int"), "blank": none("boolean"), "miss": none("boolean")}
+    shapes = {
+        "whole": {**num_only, "has": F.col("whole").isNotNull(), "num": F.col("whole").cast("double"), "res": _beyond_double(F.col("whole"))},
+        "real": {**num_only, "num": F.col("num"), "res": none("bigint")},
+        "decimal": {**num_only, "num": F.col("num"), "res": F.col("res")},
+        "nested": {**num_only, "has": F.col("has"), "num": none("double"), "res": none("bigint")},
+        "text": {
+            "has": F.col("head").isNotNull(), "num": none("double"), "res": none("bigint"), "head": F.col("head"),
+            "digest": F.when(short, digest(F.col("head"))).otherwise(F.col("digest")),
+            "len": F.when(short, F.length("head")).otherwise(F.col("len")),
+            "blank": F.when(short, F.trim("head") == "").otherwise(F.col("blank")),
+            "miss": F.when(short, _short_checks(specs, places)).otherwise(F.col("miss")),
+        },
+    }
+    kinds = []
+    for carrier, shape in shapes.items():
+        cells = [c for c in (_narrow(spec, places, carrier) for spec in specs) if c is not None]
+        if not cells:
+            continue
+        cells = reduce(DataFrame.unionByName, cells)
+        # equal texts agree in length and in both checks
+        along = [c for c in ("len", "blank", "miss") if c in cells.columns]
+        value = [c for c in cells.columns if c not in along]
+        counted = cells.groupBy(*value).agg(F.count(F.lit(1)).alias("cnt"), *[F.max(c).alias(c) for c in along])
+        kinds.append(counted.select("g", *[shape[c].alias(c) for c in ("has", "num", "digest", "head", "res")], "cnt", *[shape[c].alias(c) for c in ("len", "blank", "miss")]))
+    return reduce(DataFrame.unionByName, kinds).withMetadata("g", {"tables": [t for t, _ in columns], "columns": [c for _, c in columns]})
+
+
+def keyed(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """KEYS beside the group number."""
+    name = lambda i: F.array(*[F.lit(c[i]) for c in columns])[_place_no()]
+    version = (F.col("g").bitwiseAND(F.lit(2**32 - 1)) + F.lit(NO_VERSION)).cast("int")
+    keys = {"table_name": name(0), "version": version, "column_name": name(1)}
+    return df.select(*[c.alias(k) for k, c in keys.items()], *df.columns)
+
+
+def columns_of(counts: DataFrame) -> list[tuple[str, str]]:
+    """The columns (with their tables) that the group numbers of value counts stand for."""
+    known = counts.schema["g"].metadata
+    return list(zip(known["tables"], known["columns"]))
+
+
+def _group(counts: DataFrame, *others: DataFrame) -> list[str]:
+    """What tells groups apart: their number, which is joined and hashed faster than names, or their names."""
+    return ["g"] if all("g" in df.columns for df in (counts, *others)) else KEYS
+
+
+def _named(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """Facts of groups with KEYS first, whatever they were grouped by."""
+    return keyed(df, columns_of(counts)) if "g" in df.columns else df
+
+
 def written_counts(specs: list[TableSpec]) -> DataFrame:
     """Value counts of all tables as a table in the shared folder."""
-    return written(value_counts(melt_all(specs)), "value-counts")
+    counts = written(table_counts(specs), "value-counts")
+    # names are looked up where they are read: neither stored nor shuffled
+    named = keyed(counts, columns_of(counts))
+    named._written_to = counts._written_to
+    return named
 
 
 def valued() -> Column:
@@ -222,7 +373,7 @@ def basic_facts(counts: DataFrame) -> DataFrame:
     c = F.col("cnt")
     of = lambda cond: F.sum(F.when(cond, c).otherwise(0))
     n_num = of(F.col("num").isNotNull())
-    return counts.groupBy(*KEYS).agg(
+    facts = counts.groupBy(*_group(counts)).agg(
         F.sum(c).alias("row_count"),
         of(F.col("has")).alias("n_present"),
         n_num.alias("n_num"),
@@ -237,6 +388,7 @@ def basic_facts(counts: DataFrame) -> DataFrame:
         F.max(F.when(valued(), c)).alias("top_cnt"),
         F.min(F.when(valued(), c)).alias("low_cnt"),
     )
+    return _named(facts, counts)
 
 
 def spread(v: Column) -> Column:
@@ -266,59 +418,61 @@ def _holds_wanted(start: str, end: str, shares: Sequence[float]) -> Column:
 def exact_quartiles(counts: DataFrame, stats: DataFrame) -> DataFrame:
     """Exact interpolated quartiles per numeric group."""
     found = exact_quantiles(counts, stats, QUARTILES)
-    return found.select(*KEYS, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(["q25", "q50", "q75"])])
+    return found.select(*dict.fromkeys([*KEYS, *_group(found)]), *[F.col("quantiles")[i].alias(name) for i, name in enumerate(["q25", "q50", "q75"])])
 
 
 def exact_quantiles(counts: DataFrame, stats: DataFrame, shares: Sequence[float]) -> DataFrame:
     """``quantiles``: the exact interpolated quantiles of the given shares per numeric group (see the module notes)."""
+    by = _group(counts, stats)
     bounds = stats.where("min_val is not null").select(
-        *KEYS, F.col("n_num").alias("n"), spread(F.col("min_val")).alias("lo"), spread(F.col("max_val")).alias("hi")
-    )
-    first = (
-        counts.where("num is not null")
-        .join(bounds, KEYS)
-        .select(*KEYS, "n", "num", "cnt", _range_no(spread(F.col("num")), F.col("lo"), F.col("hi")).alias("r1"))
+        *by, F.col("n_num").alias("n"), spread(F.col("min_val")).alias("lo"), spread(F.col("max_val")).alias("hi")
     )
-    end_1 = F.sum("c1").over(Window.partitionBy(*KEYS).orderBy("r1"))
+    numbers = counts.where("num is not null").select(*by, "num", "cnt")
+    first = numbers.join(bounds, by).withColumn("r1", _range_no(spread(F.col("num")), F.col("lo"), F.col("hi")))
+    end_1 = F.sum("c1").over(Window.partitionBy(*by).orderBy("r1"))
     # the hits are a few ranges of each group: written, their size is known and Spark broadcasts them itself
     hits_1 = written(
-        first.groupBy(*KEYS, "n", "r1")
+        first.groupBy(*by, "r1")
         .agg(F.sum("cnt").alias("c1"), F.min("num").alias("lo1"), F.max("num").alias("hi1"))
         .withColumn("end1", end_1)
         .withColumn("start1", F.col("end1") - F.col("c1"))
+        .join(bounds, by)
         .where(_holds_wanted("start1", "end1", shares))
-        .select(*KEYS, "r1", "start1", "lo1", "hi1"),
+        .select(*by, "n", "r1", "start1", "lo1", "hi1"),
         "ranges",
     )
-    second = (
-        first.join(hits_1, [*KEYS, "r1"])
+    # a few ranges' values, found by the limits of the ranges and written because two passes read them
+    second = written(
+        numbers.join(hits_1, by)
+        .where((F.col("num") >= F.col("lo1")) & (F.col("num") <= F.col("hi1")))
         .withColumn("r2", _range_no(F.col("num"), F.col("lo1"), F.col("hi1")))
         # integers beyond 2^53 may share a double: one row per double from here on
-        .groupBy(*KEYS, "n", "r1", "start1", "r2", "num")
-        .agg(F.sum("cnt").alias("cnt"))
+        .groupBy(*by, "n", "r1", "start1", "r2", "num")
+        .agg(F.sum("cnt").alias("cnt")),
+        "range-values",
     )
-    end_2 = F.col("start1") + F.sum("c2").over(Window.partitionBy(*KEYS, "r1").orderBy("r2"))
+    end_2 = F.col("start1") + F.sum("c2").over(Window.partitionBy(*by, "r1").orderBy("r2"))
     hits_2 = written(
-        second.groupBy(*KEYS, "n", "r1", "start1", "r2")
+        second.groupBy(*by, "n", "r1", "start1", "r2")
         .agg(F.sum("cnt").alias("c2"))
         .withColumn("end2", end_2)
         .withColumn("start2", F.col("end2") - F.col("c2"))
         .where(_holds_wanted("start2", "end2", shares))
-        .select(*KEYS, "r1", "r2", "start2"),
+        .select(*by, "r1", "r2", "start2"),
         "ranges",
     )
     ranked = (
-        second.join(hits_2, [*KEYS, "r1", "r2"])
-        .withColumn("end_rank", F.col("start2") + F.sum("cnt").over(Window.partitionBy(*KEYS, "r1", "r2").orderBy("num")))
+        second.join(hits_2, [*by, "r1", "r2"])
+        .withColumn("end_rank", F.col("start2") + F.sum("cnt").over(Window.partitionBy(*by, "r1", "r2").orderBy("num")))
         .withColumn("start_rank", F.col("end_rank") - F.col("cnt"))
     )
     at = lambda r: F.max(F.when((r >= F.col("start_rank")) & (r < F.col("end_rank")), F.col("num")))
     picks = []
     for i, p in enumerate(shares):
         picks += [at(F.floor(_place(p))).alias(f"f{i}"), at(F.ceil(_place(p))).alias(f"c{i}")]
-    picked = ranked.groupBy(*KEYS).agg(F.max("n").alias("n"), *picks)
+    picked = ranked.groupBy(*by).agg(F.max("n").alias("n"), *picks)
     between = [F.col(f"f{i}") + (F.col(f"c{i}") - F.col(f"f{i}")) * (_place(p) - F.floor(_place(p))) for i, p in enumerate(shares)]
-    return picked.select(*KEYS, F.array(*between).alias("quantiles"))
+    return _named(picked.select(*by, F.array(*between).alias("quantiles")), counts)
 
 
 def outlier_test() -> Column:
@@ -333,21 +487,22 @@ def frequency_extremes(counts: DataFrame, stats: DataFrame, specs: list[TableSpe
     Numbers and texts are aggregated apart: numeric buffers allow hash aggregation, while a text
     buffer forces a sort, so only the heads of texts at an extreme frequency go there.
     """
-    c = F.col("cnt")
+    c, by = F.col("cnt"), _group(counts, stats)
     at_extreme = (
         counts.where(valued())
-        .join(stats.select(*KEYS, "top_cnt", "low_cnt"), KEYS)
+        .join(stats.select(*by, "top_cnt", "low_cnt"), by)
         .withColumns({"top": c == F.col("top_cnt"), "low": c == F.col("low_cnt")})
         .where("top OR low")
     )
     least = lambda kind: [F.min(F.when(F.col(end), F.col(kind))).alias(f"{end}_{kind}") for end in ("top", "low")]
-    numbers = at_extreme.where("num is not null").groupBy(*KEYS).agg(*least("num"))
-    texts = at_extreme.where("digest is not null").select(*KEYS, "digest", "head", "len", "top", "low")
+    numbers = _named(at_extreme.where("num is not null").groupBy(*by).agg(*least("num")), counts).drop("g")
+    texts = at_extreme.where("digest is not null").select(*by, "digest", "head", "len", "top", "low")
     # the least text has the least head: what is left are few values, written so that Spark knows how few
-    heads = texts.groupBy(*KEYS).agg(*least("head"))
+    heads = texts.groupBy(*by).agg(*least("head"))
     first = lambda end: F.col(end) & (F.col("head") == F.col(f"{end}_head"))
-    winners = texts.join(heads, KEYS).withColumns({"top": first("top"), "low": first("low")}).where("top OR low")
-    winners = written(winners.select(*KEYS, "digest", "head", "len", "top", "low"), "extreme-texts")
+    winners = texts.join(heads, by).withColumns({"top": first("top"), "low": first("low")}).where("top OR low")
+    winners = _named(winners.select(*by, "digest", "head", "len", "top", "low"), counts).drop("g")
+    winners = written(winners, "extreme-texts")
     # a text that ends within its head is the least of those that begin so
     whole = lambda end: F.max(F.when(F.col(end) & (F.col("len") <= HEAD), F.col("head")))
     words = winners.groupBy(*KEYS).agg(whole("top").alias("top_txt"), whole("low").alias("low_txt"))
@@ -371,13 +526,15 @@ def fetched_texts(wanted: DataFrame, specs: list[TableSpec]) -> DataFrame:
 def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame, specs: list[TableSpec]) -> DataFrame:
     """Central moments, outliers and extremes of frequency. ``stats`` and ``quartiles`` are written tables."""
     d, c = F.col("num") - F.col("mean"), F.col("cnt")
-    centre = stats.select(*KEYS, "mean", "n_num").join(quartiles, KEYS)
+    by = _group(counts, stats, quartiles)
+    # two small tables, joined one by one: of their join Spark would not know that it is small, and shuffle the counts
     numbers = (
         counts.where("num is not null")
-        .join(centre, KEYS)
+        .join(stats.select(*by, "mean", "n_num"), by)
+        .join(quartiles.select(*by, "q25", "q50", "q75"), by)
         .withColumn("d", d)
         .withColumn("d2", F.col("d") * F.col("d"))
-        .groupBy(*KEYS)
+        .groupBy(*by)
         .agg(
             F.max("n_num").cast("double").alias("n"),
             F.sum(c * F.col("d2")).alias("m2"),
@@ -390,7 +547,7 @@ def value_facts(counts: DataFrame, stats: DataFrame, quartiles: DataFrame, specs
     n, m2 = F.col("n"), F.col("m2")
     spread = m2 > 0
     return (
-        numbers.join(frequency_extremes(counts, stats, specs), KEYS, "full")
+        _named(numbers, counts).drop("g").join(frequency_extremes(counts, stats, specs), KEYS, "full")
         .withColumns(
             {
                 "std": F.when(n > 1, F.sqrt(m2 / (n - 1))),
@@ -522,7 +679,7 @@ def profile(
         counts = written_counts(specs) if counts is None else counts
         stats = written(basic_facts(counts), "facts")
         facts = value_facts(counts, stats, written(exact_quartiles(counts, stats), "quartiles"), specs)
-    return finished(spark, shown(stats.drop("n_num", "top_cnt", "low_cnt").join(facts, KEYS, "left")), specs, overrides, snapshot_date)
+    return finished(spark, shown(stats.drop("g", "n_num", "top_cnt", "low_cnt").join(facts, KEYS, "left")), specs, overrides, snapshot_date)
 
 
 def finished(spark: SparkSession, facts: DataFrame, specs: list[TableSpec], overrides: DataFrame | None = None, snapshot_date: str | None = None) -> DataFrame:
