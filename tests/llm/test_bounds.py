@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from varve.llm import decontaminate, fingerprints, idfilter, language, quality, sharding
+from varve.llm import decontaminate, fingerprints, idfilter, language, neardup, quality, sharding
 from varve.llm.textbytes import slabs
+from varve.sources import shared
 
 
 def test_quality_walks_long_texts_in_runs():
@@ -113,3 +114,23 @@ def test_rows_are_told_apart_by_the_bits_of_their_ids(spark):
     assert {r.doc_id for r in inside.collect()} == {3, 5, 499, None} and inside.columns == docs.columns
     assert inside.count() + outside.count() == 500
     assert idfilter.split(docs, F.col("doc_id"), idfilter.bits_of(ids.limit(0), "of"), True).count() == 0
+
+
+def test_sketches_and_sets_of_some_classes_leave_the_rest_in_place(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(12))) for i in range(60)] + [(60, ""), (61, None)], "doc_id long, text string").coalesce(1)
+    table = shared.written(neardup.sketches(docs, 5), "test-sketch")
+    search = neardup.Search(docs, table, 5, 80, 100)
+    wanted = table.where("doc_id IN (4, 5, 40)").select("class").distinct()
+    found = search.sketches(wanted, 3)
+    own = {r["class"]: (r.n, r.sketch[:3]) for r in table.where("n > 0").collect()}
+    asked = {r["class"] for r in wanted.collect()}
+    got = [(r["class"], (r.n, r.sketch)) for r in found.collect()]
+    assert asked <= {c for c, _ in got} and len(got) == len(set(c for c, _ in got)) < 30  # a copy is told once
+    assert all(own[c] == row for c, row in got)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
+    assert search.sketches(wanted.limit(0), 3).count() == 0
+    bits = idfilter.bits_of(docs.where("doc_id = 4"), "doc_id")
+    sets = neardup.full_sets(docs, 5, bits)
+    assert sets._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one Python worker for each task
+    assert [(r["class"], len(r.set)) for r in sets.collect()] == [(c, 8) for c in {r["class"] for r in table.where("doc_id = 4").collect()}]

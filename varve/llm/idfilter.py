@@ -8,13 +8,14 @@ and are told apart by the join, so results do not depend on it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bits of the bitmap (16 MB), in buckets as Spark's bitmap functions make them.
 BITS, BUCKET = 1 << 27, 32_768
@@ -40,17 +41,26 @@ def is_set(bits: np.ndarray, places: pa.Array) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def split(docs: DataFrame, doc_id: Column, bits: Broadcast, wanted: bool) -> DataFrame:
-    """The rows of ``docs`` whose id has its bit set, or those whose id has not."""
+def split(
+    docs: DataFrame, doc_id: Column, bits: Broadcast, wanted: bool, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: StructType | str | None = None
+) -> DataFrame:
+    """The rows of ``docs`` whose id has its bit set, or those whose id has not.
+
+    ``then`` turns their batches into those of ``schema`` in the same Python worker: a second map would start another
+    one for each task, with its own libraries and its own copy of the bitmap.
+    """
     spot = "bit_place"
     while spot in docs.columns:
         spot += "_"
-    schema, width = docs.schema, len(docs.columns)
+    schema, width = schema or docs.schema, len(docs.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.filter(pa.array(is_set(bits.value, batch.column(width)) == wanted))
             if rows.num_rows:
                 yield rows.select(list(range(width)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from passing(batches) if then is None else then(passing(batches))
+
     return docs.withColumn(spot, place(doc_id)).mapInArrow(run, schema)

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,15 +87,23 @@ def sketches(docs: DataFrame, size: int, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """class, set of the given documents."""
+def full_sets(docs: DataFrame, size: int, bits: Broadcast) -> DataFrame:
+    """class, set of the documents (doc_id, text) whose id has its bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for s in shingle_sets(batch.column(0), size) if len(s)]
+            sets = [s for s in shingle_sets(batch.column(1), size) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), lists_of(sets)], names=["class", "set"])
 
-    return docs.select("text").mapInArrow(run, "class long, set array<long>")
+    return split(docs, F.col("doc_id"), bits, True, run, "class long, set array<long>")
+
+
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without rows whose class (the first column) one task has told before."""
+    told: set[int] = set()
+    for batch in batches:
+        fresh = [i for i, c in enumerate(batch.column(0).to_pylist()) if not (c in told or told.add(c))]
+        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
 
 
 def frequent_values(table: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +123,7 @@ def leading(table: DataFrame, t: float, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = hot.value
-        told: set[int] = set()  # copies of a class need not be told twice by one task
-        for batch in batches:
-            fresh = [i for i, c in enumerate(batch.column(0).to_pylist()) if not (c in told or told.add(c))]
-            if len(fresh) < batch.num_rows:
-                batch = batch.take(pa.array(fresh, pa.int64()))
+        for batch in once(batches):
             n = batch.column(1).to_numpy()
             lists = batch.column(2)
             held = np.diff(np.asarray(lists.offsets))
@@ -202,9 +207,15 @@ class Search:
         """class, n, set: the whole sets of the given classes, from one document of each."""
         # texts stay where they are: those that may be wanted become sets, and these are joined
         bits = bits_of(self.holder.join(classes, "class", "left_semi"), "doc_id")
-        found = full_sets(split(self.docs, F.col("doc_id"), bits, True), self.size).join(classes, "class", "left_semi").dropDuplicates(["class"])
+        found = full_sets(self.docs, self.size, bits).join(classes, "class", "left_semi").dropDuplicates(["class"])
         return written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
 
+    def sketches(self, classes: DataFrame, k: int) -> DataFrame:
+        """class, n, sketch (of k values): the given classes, each at least once, and a few others that share their bits."""
+        # sketches stay where they are, whatever the size of the list; no pair meets those that were not asked for
+        rows = self.table.where("class IS NOT NULL").select("class", "n", F.slice("sketch", 1, k).alias("sketch"))
+        return split(rows, F.col("class"), bits_of(classes, "class"), True, once, rows.schema)
+
     def crossing_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of a list that are in different components so far, as a written table."""
         label = lambda df: df.join(labels, F.col("class") == F.col("node"), "left").select("value", "class", "n", "place", F.coalesce("label", "class").alias("label"))
@@ -233,7 +244,7 @@ class Search:
         """The pairs of classes with den*|A and B| >= num*|A or B|, as a written table: estimated on the union's sketch, then on full sets."""
         classes = lambda df: df.select(F.col("a").alias("class")).unionByName(df.select(F.col("b").alias("class"))).distinct()
         # one look at a few values first: most pairs end there, and long sketches travel for the rest only
-        sketches_of = lambda df, k: self.table.select("class", "n", F.slice("sketch", 1, k).alias("sketch")).join(classes(df), "class", "left_semi").dropDuplicates(["class"])
+        sketches_of = lambda df, k: self.sketches(classes(df), k).dropDuplicates(["class"])
         glance = written(sketches_of(pairs, GLANCE), "neardup-glance")
         likely = written(self.alike(pairs, glance, GLANCE, GLANCE_DEVIATIONS), "neardup-likely")
         low = written(sketches_of(likely, self.k), "neardup-sketches")
@@ -304,7 +315,7 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     # rows whose id is in neither list stay without a look at their text; only the others meet the lists
     bits = bits_of(lost.select(id_name).unionByName(repeated.select(id_name)), id_name)
     doc_id = F.col("doc_id")
-    marked = split(docs, doc_id, bits, True).mapInArrow(mark, schema)
+    marked = split(docs, doc_id, bits, True, mark, schema)
     same = doc_id.cast("long").eqNullSafe(F.col(id_name)) & (F.col(mark_name) == F.col(of_name))
     kept = marked.join(lost, same, "left_anti")
     if not repeated.isEmpty():
