@@ -59,3 +59,10 @@ def test_edits_insertions_and_parts_are_measured(spark):
         assert name == "MIT"
         assert coverage == pytest.approx(plain_common(solid(license_texts.MIT), span) / max(len(solid(license_texts.MIT)), len(span)), abs=0.02)
     assert got[1][0][1] < 0.96 and got[2][0][2] is False and 0.6 < got[2][0][1] < 0.72
+
+
+def test_short_lines_match_word_by_word(spark):
+    texts = ["Releasd under the MIT License.", "Released under the BIT License.", "Released under the MITX License.", "All rigths reserved", "Licenced under CC BY 4.0.", "Licensed under CC BY 5.0."]
+    assert {k: [(m[0], m[2]) for m in v] for k, v in found(spark, *[FILLER + t for t in texts]).items()} == {0: [("MIT", True)], 4: [("CC-BY-4.0", True)]}
+    assert licenses.kept_of(b"license", b"licence") == 6 and licenses.kept_of(b"released", b"release") == 7 and licenses.kept_of(b"license", b"licenses") == 7
+    assert licenses.kept_of(b"apache", b"apxchx") == licenses.kept_of(b"mit", b"mi") == licenses.kept_of(b"license", b"") == 0

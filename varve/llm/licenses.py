@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.license_texts import TEMPLATES
+from varve.llm.license_texts import TEMPLATES as WORDINGS
 from varve.llm.ship import ship
 from varve.llm.textbytes import LOWER, mix, slabs
 
@@ -26,8 +26,13 @@ GRAM, WINDOW = 10, 4
 BAND, BAND_SHARE = 12, 8
 TABLE = 1 << 16
 
-#: Templates of fewer letters and digits must match in full: one letter more or less there names another license.
-SHORT = 48
+#: The first wording of each license.
+TEMPLATES = {name: wordings[0] for name, wordings in WORDINGS.items()}
+
+#: Templates of fewer letters and digits must match word by word: words of up to NAME letters or digits in full, as one
+#: letter more or less there names another license, longer ones up to one letter. A place must show that share of the
+#: template's fingerprints to be compared so.
+SHORT, NAME, SPELLED_SUPPORT = 48, 4, 0.2
 #: Share of a template's fingerprints that a place must show to be aligned with it, by the template's length, and to be
 #: reported in part. A long text that still covers nine tenths keeps far more; a line of it has a template of its own.
 SUPPORT, LONG, LONG_SUPPORT, PARTIAL_SUPPORT = 0.05, 200, 0.2, 0.25
@@ -43,6 +48,11 @@ def solid(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[at], at
 
 
+def words_of(chars: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Runs of letters and digits that stand without a gap."""
+    return [w.tobytes() for w in np.split(chars, np.flatnonzero(np.diff(at) != 1) + 1)]
+
+
 def winnowed(chars: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the fingerprints; no gram spans two owners, a short owner keeps its smallest gram."""
     n = len(chars) - GRAM + 1
@@ -70,6 +80,7 @@ class Library:
 
     names: list[str]
     chars: list[np.ndarray]
+    words: list[list[bytes]]
     hashes: np.ndarray
     template: np.ndarray
     place: np.ndarray
@@ -79,8 +90,9 @@ class Library:
     @classmethod
     def of(cls, templates: dict[str, str | list[str]]) -> Library:
         wordings = [(name, w) for name in sorted(templates) for w in ([templates[name]] if isinstance(templates[name], str) else templates[name])]
-        solids = [(name, solid(np.frombuffer(w.encode(), dtype=np.uint8))[0]) for name, w in wordings]
-        names, chars = [n for n, c in solids if len(c) >= GRAM], [c for _, c in solids if len(c) >= GRAM]
+        solids = [(name, *solid(np.frombuffer(w.encode(), dtype=np.uint8))) for name, w in wordings]
+        solids = [x for x in solids if len(x[1]) >= GRAM]
+        names, chars, words = [n for n, _, _ in solids], [c for _, c, _ in solids], [words_of(c, at) for _, c, at in solids]
         found = [winnowed(c, np.zeros(len(c), dtype=np.int64)) for c in chars]
         hashes = np.concatenate([*(h for _, h in found), np.zeros(0, dtype=np.uint64)])
         template = np.repeat(np.arange(len(names)), [len(h) for _, h in found])
@@ -88,7 +100,7 @@ class Library:
         order = np.argsort(hashes, kind="stable")
         filter_ = np.zeros(TABLE, dtype=bool)
         filter_[hashes & np.uint64(TABLE - 1)] = True
-        return cls(names, chars, hashes[order], template[order], place[order], np.array([len(h) for _, h in found]), filter_)
+        return cls(names, chars, words, hashes[order], template[order], place[order], np.array([len(h) for _, h in found]), filter_)
 
     def candidates(self, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(template, place in the text where it would begin, share of its fingerprints there), near places of a template taken together."""
@@ -148,6 +160,40 @@ def align(template: np.ndarray, text: np.ndarray, begin: int, band: int) -> tupl
     return int(best[k]), int(first[k]), int(last[k])
 
 
+def kept_of(word: bytes, other: bytes) -> int:
+    """Letters that two spellings of a word share, one letter apart at most; 0 if they are different words."""
+    if word == other:
+        return len(word)
+    if len(word) <= NAME or abs(len(word) - len(other)) > 1:
+        return 0
+    same = next((i for i, (x, y) in enumerate(zip(word, other)) if x != y), min(len(word), len(other)))
+    if word[same + (len(word) >= len(other)) :] != other[same + (len(other) >= len(word)) :]:
+        return 0
+    return len(word) - (len(word) >= len(other))
+
+
+def spelled(words: list[bytes], chars: np.ndarray, at: np.ndarray, begin: int) -> tuple[int, int, int]:
+    """As ``align``, for the words of a short template that follow each other from a word near ``begin``; 0, 0, 0 if they do not."""
+    low, total = max(begin - 3, 0), sum(map(len, words))
+    near, places = chars[low : begin + total + len(words) + 3], at[low : begin + total + len(words) + 3]
+    if not len(near):
+        return 0, 0, 0
+    starts = np.r_[0, np.flatnonzero(np.diff(places) != 1) + 1]
+    found = words_of(near, places)
+    best = (0, 0, 0)
+    for k in range(min(7, len(found) - len(words) + 1)):
+        first = low + int(starts[k])
+        if first > begin + 3:
+            break
+        if k == 0 and first and at[first] == at[first - 1] + 1:  # not the beginning of a word
+            continue
+        kept = [kept_of(w, o) for w, o in zip(words, found[k : k + len(words)])]
+        last = first + sum(map(len, found[k : k + len(words)])) - 1
+        if all(kept) and sum(kept) > best[0] and not (last + 1 < len(at) and at[last + 1] == at[last] + 1):
+            best = (sum(kept), first, last)
+    return best
+
+
 def matches(library: Library, texts: pa.Array, coverage: float, partial: float) -> Iterator[tuple[int, str, float, int, int]]:
     """(row, license, coverage, first byte, byte after the last) of each match; of overlapping ones the best."""
     for slab in slabs(texts):
@@ -158,7 +204,7 @@ def matches(library: Library, texts: pa.Array, coverage: float, partial: float)
         found: dict[int, list] = {}
         for t, begin, support in library.candidates(places, hashes):
             pattern, band = library.chars[t], library.band(t)
-            least = 1.0 if len(pattern) < SHORT else partial if support >= PARTIAL_SUPPORT else coverage
+            least = partial if len(pattern) >= SHORT and support >= PARTIAL_SUPPORT else coverage
             r = int(row[min(max(begin + len(pattern) // 2, 0), len(row) - 1)])
             for own in {r, int(row[max(begin, 0)]), int(row[min(max(begin + len(pattern) - 1, 0), len(row) - 1)])}:
                 text, start = chars[bounds[own] : bounds[own + 1]], begin - int(bounds[own])
@@ -167,6 +213,8 @@ def matches(library: Library, texts: pa.Array, coverage: float, partial: float)
                 else:
                     whole = start >= 0 and np.array_equal(text[start : start + len(pattern)], pattern)
                     n, first, last = (len(pattern), start, start + len(pattern) - 1) if whole else (0, 0, 0)
+                    if not whole and support >= SPELLED_SUPPORT:
+                        n, first, last = spelled(library.words[t], text, at[bounds[own] : bounds[own + 1]], start)
                 share = n / max(len(pattern), last - first + 1)
                 if n and share >= least:
                     a, z = bounds[own] + first, bounds[own] + last
@@ -184,7 +232,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str | list[str]] | Non
     """One row per license found: doc_id, license, coverage, complete, span_start, span_end (bytes of the UTF-8 text).
 
     ``templates`` (name to its wordings) go to all tasks; they are the caller's list, not data. Those under ten
-    letters or digits are left out, those under 48 must match in full. A match is complete from ``coverage`` on;
+    letters or digits are left out, those under 48 must match word by word, their longer words up to one letter. A match is complete from ``coverage`` on;
     longer templates of which a quarter of the fingerprints is there are also reported in part, from ``partial`` on.
     Where spans overlap, the match with the most characters, weighed by its coverage, stays. Null, empty and clean
     texts give no row; texts of any length are scanned whole; repeated rows give repeated results; other columns
@@ -193,7 +241,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str | list[str]] | Non
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    library = spark.sparkContext.broadcast(Library.of(TEMPLATES if templates is None else templates))
+    library = spark.sparkContext.broadcast(Library.of(WORDINGS if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
