@@ -134,3 +134,35 @@ def test_sketches_and_sets_of_some_classes_leave_the_rest_in_place(spark):
     sets = neardup.full_sets(docs, 5, bits)
     assert sets._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one Python worker for each task
     assert [(r["class"], len(r.set)) for r in sets.collect()] == [(c, 8) for c in {r["class"] for r in table.where("doc_id = 4").collect()}]
+
+
+def test_a_bitmap_of_few_ids_is_small(spark):
+    docs, ids = spark.range(20_000).select(F.col("id").alias("doc_id")), spark.range(0, 20_000, 4)
+    bits = idfilter.bits_of(ids, "id")
+    assert len(bits.value) == idfilter.LEAST_BITS // 8  # the driver and every executor keep it on disk
+    inside = {r.doc_id for r in idfilter.split(docs, F.col("doc_id"), bits, True).collect()}
+    assert inside >= set(range(0, 20_000, 4)) and len(inside) < 5000 + 200
+    full = np.random.default_rng(0).integers(0, 256, 1 << 20).astype(np.uint8)
+    assert idfilter.halved(full, int(np.unpackbits(full).sum())) is full
+
+
+def test_long_lists_are_cut_by_size_before_whole_sets_are_read(spark):
+    marked = spark.createDataFrame([(7, c, 20 + c, 1, c) for c in range(400)], "value long, class long, n long, place int, label long")
+    assert neardup.open_lists(marked).first().few > neardup.FEW
+    for t in (0.5, 0.8, 0.85, 1.0):
+        cut = neardup.bands(marked, t)
+        pairs = lambda rows: {(r.a, r.b) for r in neardup.meeting(rows, neardup.open_lists(rows), t, 10).collect()}
+        assert pairs(cut) == pairs(marked) == {(a, b) for a in range(400) for b in range(a + 1, 400) if 20 + a >= t * (20 + b) - 1e-9}
+    # sets of few sizes in each band
+    sparse = marked.where("class % 8 = 0").unionByName(marked.withColumn("n", F.col("n") * 40).withColumn("class", F.col("class") + 1000).withColumn("label", F.col("class")).where("class % 8 = 0"))
+    assert neardup.open_lists(sparse).first().few > neardup.FEW
+    assert neardup.open_lists(neardup.bands(sparse, 0.8)).where(F.col("few") > neardup.FEW).count() == 0
+
+
+def test_bitmaps_are_deleted_when_their_rows_are_written(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(20)], "doc_id long, text string")
+    table = shared.written(neardup.sketches(docs, 5), "test-sketch")
+    search = neardup.Search(docs, table, 5, 80, 100)
+    by_id = {r.doc_id: r["class"] for r in table.collect()}
+    pairs = spark.createDataFrame([tuple(sorted((by_id[i], by_id[i + 1]))) for i in range(0, 20, 2)], "a long, b long")
+    assert search.verified(pairs).count() == 10 and search.bitmaps == []

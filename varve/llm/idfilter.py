@@ -1,9 +1,10 @@
 """Leaving texts in place while some of them are looked for by id.
 
 A join of the corpus with a list of ids moves every text, unless the list is small enough for Spark to broadcast. Here
-the ids set bits in a bitmap of fixed size, which is built by Spark's bitmap aggregates and broadcast; rows whose bit is
-not set have none of the ids, and only the others are joined. The bitmap never grows; with very many ids more rows pass
-and are told apart by the join, so results do not depend on it.
+the ids set bits in a bitmap of bounded size, which is built by Spark's bitmap aggregates and broadcast; rows whose bit is
+not set have none of the ids, and only the others are joined. A list of few ids gets a small bitmap, since the driver and
+every executor keep a file of it; with very many ids more rows pass and are told apart by the join, so results do not
+depend on it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.types import StructType
 
 #: Bits of the bitmap (16 MB), in buckets as Spark's bitmap functions make them.
 BITS, BUCKET = 1 << 27, 32_768
+#: A bitmap is halved down to LEAST_BITS while at most one bit in SPARSE is set afterwards.
+LEAST_BITS, SPARSE = 1 << 20, 128
 
 
 def place(doc_id: Column) -> Column:
@@ -30,14 +33,23 @@ def bits_of(ids: DataFrame, column: str) -> Broadcast:
     """The bitmap of the ids in a column, as bytes; at most 4096 rows of 4 KB come to the driver."""
     spot = place(F.col(column)) + 1  # Spark counts from 1
     rows = ids.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
-    table = np.zeros((BITS // BUCKET, BUCKET // 8), dtype=np.uint8)
-    for row in rows.toLocalIterator():
+    table, held = np.zeros((BITS // BUCKET, BUCKET // 8), dtype=np.uint8), 0
+    # the iterator runs one job for each partition
+    for row in rows.withColumn("held", F.bitmap_count("bits")).coalesce(16).toLocalIterator():
         table[row.bucket - 1] = np.frombuffer(row.bits, dtype=np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(table.ravel())
+        held += row.held
+    return ids.sparkSession.sparkContext.broadcast(halved(table.ravel(), held))
+
+
+def halved(bits: np.ndarray, held: int) -> np.ndarray:
+    """The bitmap of the same ids by their places modulo a smaller power of two, if ``held`` set bits are few in that."""
+    while len(bits) * 4 >= max(LEAST_BITS, held * SPARSE):
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
 
 
 def is_set(bits: np.ndarray, places: pa.Array) -> np.ndarray:
-    at = places.to_numpy()
+    at = places.to_numpy() & (8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 

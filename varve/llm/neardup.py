@@ -14,9 +14,9 @@ one bounded broadcast, and only the leading part of a sketch is ever shuffled.
 Pairs are taken in two rounds. Each list first links its members to the one that holds its value at the
 earliest place, which is the plainest of a group of copies; after these links are verified and joined to
 components, only members of different components meet. In short lists they do so at once, which is linear in
-the number of members. The members of long lists are looked up anew by their whole sets: their lists then
-follow from all shingles, rarest first by exact counts, and the places bound the overlap without the slack of a
-sketch. So a large group of copies costs a few links per member, and no link between different texts is lost.
+the number of members. Long lists are first cut by size, as sets of very different sizes cannot be alike; the members
+of those that stay long are looked up anew by their whole sets: their lists then follow from all shingles, rarest first
+by exact counts, and the places bound the overlap without the slack of a sketch. So a large group of copies costs a few links per member, and no link between different texts is lost.
 Each step's tables are deleted when the next step has been written.
 """
 
@@ -186,11 +186,26 @@ def open_lists(marked: DataFrame) -> DataFrame:
     return lists.where("members > top").select("value", "most", (F.col("members") - F.col("top")).alias("few"), "members")
 
 
+def bands(marked: DataFrame, t: float) -> DataFrame:
+    """Lists cut by the sizes of their sets: sets that may be alike are in one band or in neighbouring ones.
+
+    A member is in the list of its own band, and as a guest (``own`` false) in that of the band below.
+    """
+    # a little wider than the ratio t, so that rounding puts no two that may be alike further apart
+    band = F.floor(F.log("n") / max(-math.log(t) * (1 + 1e-6), 1e-9))
+    entry = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own"))))
+    rows = marked.select("value", "class", "n", "place", "label", entry.alias("entry"))
+    # lists that get one number by chance have a few more candidates
+    return rows.select(F.xxhash64("value", "entry.band").alias("value"), "class", "n", "place", "label", "entry.own")
+
+
 def meeting(marked: DataFrame, lists: DataFrame, t: float, k: int) -> DataFrame:
-    """Pairs of members of a list with different labels: those without the commonest label meet all others."""
+    """Pairs of members of a list with different labels: those without the commonest label meet all others, guests no guests."""
     all_of, few = marked.alias("x"), marked.join(lists.select("value", "most"), "value").where("label <> most").drop("most").alias("y")
     of = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "place")}
     met = (F.col("x.value") == F.col("y.value")) & (F.col("x.label") != F.col("y.label"))
+    if "own" in marked.columns:
+        met &= F.col("x.own") | F.col("y.own")
     found = all_of.join(few, met & may_match(of("x"), of("y"), t, k))
     return found.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
@@ -201,20 +216,33 @@ class Search:
     def __init__(self, docs: DataFrame, table: DataFrame, size: int, num: int, den: int, k: int = K) -> None:
         self.docs, self.table, self.size, self.num, self.den, self.k = docs, table, size, num, den, k
         self.t = num / den
+        self.bitmaps: list[Broadcast] = []
         self.holder = written(table.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "neardup-holders")
 
+    def bits(self, ids: DataFrame, column: str) -> Broadcast:
+        """The bitmap of the ids, until ``release``."""
+        self.bitmaps.append(bits_of(ids, column))
+        return self.bitmaps[-1]
+
+    def release(self) -> None:
+        """Delete the bitmaps, once what they pick is written."""
+        while self.bitmaps:
+            self.bitmaps.pop().destroy()
+
     def sets(self, classes: DataFrame) -> DataFrame:
         """class, n, set: the whole sets of the given classes, from one document of each."""
         # texts stay where they are: those that may be wanted become sets, and these are joined
-        bits = bits_of(self.holder.join(classes, "class", "left_semi"), "doc_id")
+        bits = self.bits(self.holder.join(classes, "class", "left_semi"), "doc_id")
         found = full_sets(self.docs, self.size, bits).join(classes, "class", "left_semi").dropDuplicates(["class"])
-        return written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
+        sets = written(found.select("class", F.size("set").cast("long").alias("n"), "set"), "neardup-sets")
+        self.release()
+        return sets
 
     def sketches(self, classes: DataFrame, k: int) -> DataFrame:
         """class, n, sketch (of k values): the given classes, each at least once, and a few others that share their bits."""
         # sketches stay where they are, whatever the size of the list; no pair meets those that were not asked for
         rows = self.table.where("class IS NOT NULL").select("class", "n", F.slice("sketch", 1, k).alias("sketch"))
-        return split(rows, F.col("class"), bits_of(classes, "class"), True, once, rows.schema)
+        return split(rows, F.col("class"), self.bits(classes, "class"), True, once, rows.schema)
 
     def crossing_pairs(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of a list that are in different components so far, as a written table."""
@@ -222,11 +250,16 @@ class Search:
         marked = by_value(label(lists), "neardup-marked")
         lists_of_several = by_value(open_lists(marked), "neardup-open")
         direct = meeting(marked, lists_of_several.where(F.col("few") <= FEW), self.t, self.k)
-        crowded = written(marked.join(lists_of_several.where(F.col("few") > FEW), "value", "left_semi").select("class").distinct(), "neardup-crowded")
+        dealt = lambda df, name: by_value(df.repartition(parts(self.docs.sparkSession), "value"), name)
+        cut = dealt(bands(marked.join(lists_of_several.where(F.col("few") > FEW), "value", "left_semi"), self.t), "neardup-bands")
+        open_bands = by_value(open_lists(cut), "neardup-open")
+        banded = meeting(cut, open_bands.where(F.col("few") <= FEW), self.t, self.k)
+        crowded = written(cut.join(open_bands.where(F.col("few") > FEW), "value", "left_semi").select("class").distinct(), "neardup-crowded")
         whole = self.sets(crowded)
-        finer = by_value(label(prefixes(whole, self.t)).repartition(parts(self.docs.sparkSession), "value"), "neardup-finer")
-        pairs = written(direct.unionByName(meeting(finer, open_lists(finer), self.t, WHOLE)).distinct(), "neardup-crossing")
-        discard(marked, lists_of_several, crowded, whole, finer)
+        finer = dealt(label(prefixes(whole, self.t)), "neardup-finer")
+        met = direct.unionByName(banded).unionByName(meeting(finer, open_lists(finer), self.t, WHOLE))
+        pairs = written(met.distinct(), "neardup-crossing")
+        discard(marked, lists_of_several, cut, open_bands, crowded, whole, finer)
         return pairs
 
     def alike(self, pairs: DataFrame, sketched: DataFrame, k: int, deviations: float) -> DataFrame:
@@ -248,6 +281,7 @@ class Search:
         glance = written(sketches_of(pairs, GLANCE), "neardup-glance")
         likely = written(self.alike(pairs, glance, GLANCE, GLANCE_DEVIATIONS), "neardup-likely")
         low = written(sketches_of(likely, self.k), "neardup-sketches")
+        self.release()
         first, likely = likely, written(self.alike(likely, low, self.k, 5), "neardup-likely")
         sets = self.sets(classes(likely))
         both = likely.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
