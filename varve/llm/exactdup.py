@@ -1,10 +1,11 @@
 """Exact duplicates by an exchange of compressed fingerprints; only the texts of suspects are shuffled.
 
-1. Every packet of rows (a run of one task's rows) is written once, in a bucket of its own number, with a
-   fingerprint of each normalised text.
+1. Every packet of rows (a run of one task's rows, about 4 MB) is written once, in a bucket that a few packets of
+   the task share, with a fingerprint of each normalised text.
 2. A packet sends its distinct fingerprints, sorted and Golomb-coded, to the owners of the hash ranges they fall in.
 3. An owner decodes the lists of its range and answers each packet by a bitmap: which of its fingerprints other
-   packets hold as well. The answers are small and travel to the packets' buckets; the packets stay in place.
+   packets hold as well. The answers are small and travel to the packets' buckets, and so do the marks that the
+   fingerprints get there; the texts stay in place.
    Together with those that a packet holds twice itself these are the suspects.
 4. The texts of suspects, and no others, are grouped byte by byte, combined before the shuffle, and the answer
    returns to the packets, so that no group of copies is ever gathered: a packet holds at most ``packet_rows`` of them.
@@ -19,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.llm.ship import ship
-from varve.llm.vectors import gathered
 from varve.sources.shared import bucketed, discard, written
 
 #: Bits of a fingerprint: a multiple of four, taken from the front of the text's sha256.
@@ -34,6 +35,10 @@ PACKET_ROWS, PACKET_BYTES = 1 << 16, 4 << 20
 OWNER_ROWS = 1 << 20
 #: Spark's own limit is 100,000.
 MOST_BUCKETS = 50_000
+#: Packets of a lot, as a power of two.
+LOT_BITS = 3
+#: Row groups of a packet or two, however well they compress: a reader holds a whole row group, a writer one that grows.
+ROW_GROUPS = {"parquet.block.row.count.limit": 2, "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,22 +83,34 @@ def fingerprint(sha: Column, bits: int) -> Column:
 
 
 def packed(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in packets of up to ``rows`` rows, closed by the batch that brings them to ``size`` bytes."""
+    """The same rows in packets of up to ``rows`` rows, closed by the row that brings them to ``size`` bytes."""
     held: list[pa.RecordBatch] = []
-    for batch in gathered(batches, rows):
-        if held and sum(b.num_rows for b in held) + batch.num_rows > rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
+    n = weight = 0
+    for batch in batches:
+        ends, at = np.cumsum(row_bytes(batch)), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(ends, before + size - weight)) + 1, at + rows - n, batch.num_rows)
+            held.append(batch.slice(at, stop - at))
+            n, weight, at = n + stop - at, weight + int(ends[stop - 1]) - before, stop
+            if n == rows or weight >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n, weight = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row: texts by their length, other columns as eight."""
+    total = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        is_text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+        total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) if is_text else 8
+    return total
+
+
 def packets(docs: DataFrame, bits: int, rows: int, size: int) -> DataFrame:
-    """packet, ids, shas, prints, bodies: the rows of every packet in their order."""
+    """lot, packet, ids, shas, prints, bodies: the rows of every packet in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -104,7 +121,13 @@ def packets(docs: DataFrame, bits: int, rows: int, size: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), normalised(F.col("text")).alias("body"))
     texts = texts.select("id", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "body")
     rows_of = texts.select("id", "sha", fingerprint(F.col("sha"), bits).alias("print"), "body")
-    return rows_of.mapInArrow(run, "packet long, ids array<long>, shas array<string>, prints array<long>, bodies array<string>")
+    of_task = rows_of.mapInArrow(run, "packet long, ids array<long>, shas array<string>, prints array<long>, bodies array<string>")
+    return of_task.select(lot().alias("lot"), "*")
+
+
+def lot() -> Column:
+    """The number of the run of packets, of one task, that lie in one bucket: else each packet would be a file."""
+    return F.shiftright("packet", LOT_BITS)
 
 
 def owner_limits(owners: int, bits: int) -> np.ndarray:
@@ -171,30 +194,33 @@ def replies(sent: DataFrame, owners: int) -> DataFrame:
 def marked(table: DataFrame, answers: DataFrame, owners: int, bits: int, buckets: int) -> DataFrame:
     """place, packet, doc_id, print, sha, suspect, body of every document: the packets read what the owners answered.
 
-    The body is there for suspects only.
+    The body is there for suspects only. Python sees the fingerprints and returns a mark for each; texts stay in the JVM here.
     """
     limits = owner_limits(owners, bits)
-    per_packet = answers.repartition(buckets, "packet").groupBy("packet").agg(F.collect_list(F.struct("owner", "bitmap")).alias("answers"))
+    per_lot = lambda df, out: df.repartition(buckets, "lot").groupBy("lot").agg(out).hint("shuffle_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                of = lambda name: batch.column(name)[i].values
-                packet, prints = batch.column("packet")[i].as_py(), of("prints").to_numpy()
+                packet, prints = batch.column("packet")[i].as_py(), batch.column("prints")[i].values.to_numpy()
                 own, inverse, times = np.unique(prints, return_inverse=True, return_counts=True)
                 suspect, at = times > 1, np.searchsorted(own, limits)
                 for reply in batch.column("answers")[i].as_py() or []:
-                    low, high = at[reply["owner"]], at[reply["owner"] + 1]
-                    suspect[low:high] |= np.unpackbits(np.frombuffer(reply["bitmap"], dtype=np.uint8), count=high - low).astype(bool)
-                n, is_suspect = len(prints), suspect[inverse]
-                body = of("bodies").take(pa.array(np.arange(n), mask=~is_suspect))  # null for the others
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n)), pa.array(np.full(n, packet)), of("ids"), of("prints"), of("shas"), pa.array(is_suspect), body],
-                    names=["place", "packet", "doc_id", "print", "sha", "suspect", "body"],
-                )
-
-    joined = table.join(per_packet.hint("shuffle_hash"), "packet", "left")
-    return joined.mapInArrow(run, "place long, packet long, doc_id long, print long, sha string, suspect boolean, body string")
+                    if reply["packet"] == packet:
+                        low, high = at[reply["owner"]], at[reply["owner"] + 1]
+                        suspect[low:high] |= np.unpackbits(np.frombuffer(reply["bitmap"], dtype=np.uint8), count=high - low).astype(bool)
+                marks = pa.ListArray.from_arrays(pa.array([0, len(prints)], pa.int32()), pa.array(suspect[inverse]))
+                yield pa.RecordBatch.from_arrays([batch.column("lot").slice(i, 1), batch.column("packet").slice(i, 1), marks], names=["lot", "packet", "suspects"])
+
+    answered = per_lot(answers.withColumn("lot", lot()), F.collect_list(F.struct("packet", "owner", "bitmap")).alias("answers"))
+    prints = table.select("lot", "packet", "prints").join(answered, "lot", "left").select("lot", "packet", "prints", "answers")
+    marks = prints.mapInArrow(run, "lot long, packet long, suspects array<boolean>")
+    joined = table.join(per_lot(marks, F.map_from_entries(F.collect_list(F.struct("packet", "suspects"))).alias("marks")), "lot")
+    rows = F.arrays_zip("ids", "prints", "shas", F.element_at("marks", F.col("packet")).alias("suspects"), "bodies")
+    each = joined.select("packet", F.posexplode(rows).alias("place", "row"))
+    body = F.when(F.col("row.suspects"), F.col("row.bodies"))
+    named = {"doc_id": "ids", "print": "prints", "sha": "shas", "suspect": "suspects"}
+    return each.select(F.col("place").cast("long").alias("place"), "packet", *[F.col(f"row.{of}").alias(name) for name, of in named.items()], body.alias("body"))
 
 
 def exact_duplicates(
@@ -211,7 +237,7 @@ def exact_duplicates(
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     buckets = min(max(docs.rdd.getNumPartitions(), 2), MOST_BUCKETS)
-    table = bucketed(packets(docs, bits, packet_rows, packet_bytes), "dedup-packets", "packet", buckets)
+    table = bucketed(packets(docs, bits, packet_rows, packet_bytes), "dedup-packets", "lot", buckets, **ROW_GROUPS)
     total = table.agg(F.sum(F.size("prints"))).first()[0] or 0
     owners = max(least_owners, -(-total // owner_rows))
     answers = written(replies(messages(table, owners, bits), owners), "dedup-answers")

@@ -36,14 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, name: str, column: str, buckets: int, **options: object) -> DataFrame:
     """As ``written``, dealt into buckets by a column without a shuffle: a join by that column leaves these rows in place.
 
-    The other side has to be repartitioned by its column into as many partitions.
+    The other side has to be repartitioned by its column into as many partitions. ``options`` go to the Parquet writer.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     table = f"varve_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(buckets, column).options(**options).option("path", path).saveAsTable(table)
     back = spark.table(table)
     back._written_to, back._table = path, table
     return back
